@@ -16,11 +16,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import suffix
+
+    return suffix.digest(suffix.repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stridelake.llm import jaccard
 
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_jaccard": op6_jaccard, "op9_quality": op9_quality}
+QUERIES = {"op5_suffix": op5_suffix, "op6_jaccard": op6_jaccard, "op9_quality": op9_quality}
 ORACLE: dict[str, str] = {}
