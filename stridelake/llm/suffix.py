@@ -80,7 +80,7 @@ def suffix_array(text: np.ndarray, deepest: int) -> tuple[np.ndarray, dict[int,
         word = (word << U64(8)) | padded[j : j + n].astype(U64)
     ranks, h, key = {}, 8, word
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, np.int64)
         new[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int32)
