@@ -19,7 +19,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stridelake.llm import suffix
 
-    return suffix.digest(suffix.repeats(table(spark, sf_dir, "documents")))
+    return suffix.digest(table(spark, sf_dir, "documents"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

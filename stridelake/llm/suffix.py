@@ -25,40 +25,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.shared import U64, id_text, mix, prefix_hash, slices, span_hash, utf8, written
+from stridelake.llm.shared import U64, id_text, mix, powers, prefix_hash, segments, slices, span_hash, utf8, written
 
 K = 32
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int):
     """Segments: anchor hash, segment hash, row, start in the row, bytes."""
-    c = prefix_hash(data)
+    c, inverse = prefix_hash(data), powers(len(data) + 1)[1]
     width = length - K + 1
     low_bits = U64((1 << 24) - 1)
-    out = []
     windows = np.maximum(0, np.diff(offs) - length + 1)
+    all_rows = segments(windows)
+    all_starts = np.arange(len(all_rows)) + np.repeat(offs[:-1] - (np.cumsum(windows) - windows), windows)
+    out = []
     for lo in range(0, max(0, len(data) - length + 1), BLOCK):
         hi = min(lo + BLOCK, len(data) - length + 1)  # windows lo..hi-1
-        at = np.arange(lo, hi + width - 1)
-        v = (span_hash(c, at, at + K) & ~low_bits) | (low_bits - (at - lo).astype(U64))
-        n = -(-len(v) // width) * width
-        v = np.concatenate([v, np.full(n - len(v), ~U64(0))]).reshape(-1, width)
+        i, j = np.searchsorted(all_starts, (lo, hi))
+        if i == j:
+            continue
+        end = hi + width - 1  # K-grams lo..end-1
+        n = -(-(end - lo) // width) * width
+        v = np.full(n, ~U64(0))
+        part = v[: end - lo]
+        np.subtract(c[lo + K : end + K], c[lo:end], out=part)
+        part *= inverse[lo:end]
+        part ^= part >> U64(32)
+        part *= U64(0x9FB21C651E98DF25)
+        part &= ~low_bits
+        part |= np.arange(int(low_bits), int(low_bits) - len(part), -1).astype(U64)
+        v = v.reshape(-1, width)
         ahead = np.minimum.accumulate(v, axis=1).ravel()
         behind = np.minimum.accumulate(v[:, ::-1], axis=1)[:, ::-1].ravel()
-        s = np.arange(hi - lo)
-        best = np.minimum(behind[s], ahead[s + width - 1])
-        p = (low_bits - (best & low_bits)).astype(np.int64) + lo
-        s += lo
-        row = np.searchsorted(offs, s, "right") - 1
-        good = s - offs[row] < windows[row]
-        s, p, row = s[good], p[good], row[good]
-        if len(s):
-            new = np.ones(len(s), bool)
-            new[1:] = (p[1:] != p[:-1]) | (row[1:] != row[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(s)) - 1
-            out.append((p[first], row[first], s[first], s[last] + length))
+        best = np.minimum(behind[: hi - lo], ahead[width - 1 : width - 1 + hi - lo])
+        s, row = all_starts[i:j], all_rows[i:j]
+        p = (low_bits - (best[s - lo] & low_bits)).astype(np.int64) + lo
+        new = np.ones(len(s), bool)
+        new[1:] = (p[1:] != p[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(s)) - 1
+        out.append((p[first], row[first], s[first], s[last] + length))
     if not out:
         z = np.zeros(0, np.int64)
         return z.astype(U64), z.astype(U64), z, z, z
@@ -74,22 +81,30 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int):
 def suffix_array(text: np.ndarray, deepest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Suffixes in order of their first `deepest` bytes by prefix doubling, and the ranks at each depth."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(n, U64)
-    for j in range(8):
-        word = (word << U64(8)) | padded[j : j + n].astype(U64)
-    ranks, h, key = {}, 8, word
+    packed = n <= 1 << 21  # two ranks and the position then fit one sortable word
+    h, bits, own = 5, U64(21), np.arange(n, dtype=U64)
+    padded = np.concatenate([text, np.zeros(h, np.uint8)])
+    key = np.zeros(n, U64)
+    for j in range(h):
+        key = (key << U64(8)) | padded[j : j + n].astype(U64)
+    ranks = {}
     while True:
-        order = np.argsort(key)
-        new = np.ones(n, np.int64)
-        new[1:] = key[order][1:] != key[order][:-1]
+        if packed:
+            both = np.sort((key << bits) | own)
+            order, key = (both & U64((1 << 21) - 1)).astype(np.int64), both >> bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        new = np.ones(n, np.int32)
+        new[1:] = key[1:] != key[:-1]
         rank = np.empty(n, np.int32)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
         ranks[h] = rank
         if h >= deepest or new.all():
             return order, ranks
-        key = rank.astype(U64) << U64(32)
-        key[: n - h] |= rank[h:].astype(U64)
+        wide = rank.astype(U64)
+        key = wide << (bits if packed else U64(32))
+        key[: n - h] |= wide[h:]  # a suffix that ends here is told apart by its own mark before
         h *= 2
 
 
@@ -177,15 +192,15 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], end[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 2 << 20, most_shard: int = 32 << 20) -> DataFrame:
-    """doc_id, text, spans (array of start, end in bytes) of every row of docs."""
+def marked(docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 20, most_shard: int = 32 << 20) -> DataFrame:
+    """doc_id, text and what was found (start of a segment in the document, covered spans in it) of every row."""
     source = id_text(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
 
     def scan(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
             rid = np.asarray(b.column("rid"))
-            for i, j in slices(offs):
+            for i, j in slices(offs, BLOCK):
                 anchor, seg, row, start, size = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length)
                 cols = [anchor.view(np.int64), seg.view(np.int64), rid[i:j][row], start, size]
                 yield pa.record_batch([pa.array(x) for x in cols], names=["anchor", "seg", "rid", "start", "size"])
@@ -226,18 +241,31 @@ def repeats(docs: DataFrame, length: int = 400, shard_bytes: int = 2 << 20, most
     spans = copied.unionByName(light)
     if heavy.limit(1).count():
         spans = spans.unionByName(_by_window(written(texts.where("heavy"), "heavy"), length))
-    marked = met.join(spans, ["anchor", "seg", "size"]).groupBy("rid").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
-    joined = source.join(marked, "rid", "left")
+    found = met.join(spans, ["anchor", "seg", "size"]).groupBy("rid").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    return source.join(found, "rid", "left").select("doc_id", "text", "found")
+
+
+def row_spans(found) -> list[np.ndarray]:
+    """Disjoint spans of each row of a batch's `found` column."""
+    starts, spans = found.flatten().field("start"), found.flatten().field("spans")
+    counts = np.asarray(spans.value_lengths().fill_null(0)) // 2
+    base = np.repeat(np.asarray(starts), counts)
+    flat = np.asarray(spans.flatten(), np.int64).reshape(-1, 2) + base[:, None]
+    per = np.zeros(len(found), np.int64)
+    np.add.at(per, segment_rows(found), counts)
+    cut = np.cumsum(per) - per
+    return [union(flat[i : i + n]) if n else flat[:0] for i, n in zip(cut, per)]
+
+
+def repeats(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, text, spans (start, end, start, end ... in bytes: what to remove) of every row of docs."""
 
     def merge(batches):
         for b in batches:
-            found, out = b.column("found").to_pylist(), []
-            for f in found:
-                rows = [np.array(x["spans"], np.int64).reshape(-1, 2) + x["start"] for x in f or ()]
-                out.append(union(np.concatenate(rows)).ravel() if rows else [])
-            yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text", "spans"])
+            spans = pa.array([x.ravel() for x in row_spans(b.column("found"))], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column("doc_id"), b.column("text"), spans], names=["doc_id", "text", "spans"])
 
-    return joined.select("doc_id", "text", "found").mapInArrow(merge, "doc_id long, text string, spans array<long>")
+    return marked(docs, **parameters).mapInArrow(merge, "doc_id long, text string, spans array<long>")
 
 
 def segment_rows(lists) -> np.ndarray:
@@ -264,20 +292,23 @@ def _by_window(texts: DataFrame, length: int) -> DataFrame:
     return hit.select("anchor", "seg", "size", F.flatten(F.transform("at", lambda x: F.array(x, x + length))).cast("array<int>").alias("spans"))
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from the operator's rows."""
+def digest(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
 
     def run(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
-            rows = []
-            for i, s in enumerate(b.column("spans")):
-                x, s = data[offs[i] : offs[i + 1]], np.asarray(s.values, np.int64).reshape(-1, 2)
-                keep = np.ones(len(x), bool)
+            spans = row_spans(b.column("found"))
+            removed, sums = np.zeros(len(spans), np.int64), []
+            for i, s in enumerate(spans):
+                kept, at = hashlib.sha256(), offs[i]
                 for u, v in s:
-                    keep[u:v] = False
-                rows.append((len(x), int((~keep).sum()), len(s), hashlib.sha256(x[keep].tobytes()).hexdigest()))
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                    kept.update(data[at : offs[i] + u])
+                    at = offs[i] + v
+                    removed[i] += v - u
+                kept.update(data[at : offs[i + 1]])
+                sums.append(kept.hexdigest())
+            cols = [pa.array(np.diff(offs)), pa.array(removed), pa.array([len(s) for s in spans], pa.int64()), pa.array(sums, pa.string())]
+            yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return marked(docs, **parameters).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
