@@ -16,6 +16,34 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import packing
+
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after three edits whose places follow from its length and doc_id."""
+    from stridelake.llm import tokencount
+
+    docs = table(spark, sf_dir, "documents")
+    size, turn = F.coalesce(F.length("text"), F.lit(0)), F.coalesce(F.col("doc_id"), F.lit(0)) % 7
+    made = lambda seq, at, removed, text: F.struct(F.lit(seq).alias("seq"), at.cast("int").alias("at"), removed.cast("int").alias("removed"), F.lit(text).alias("inserted"))
+    edits = F.array(
+        made(1, size / 3, turn, "An inserted passage, it's new.\n"),
+        made(2, size * 2 / 3, turn * 3, ""),
+        made(3, size + turn, F.lit(0), " The end"),
+    )
+    counted = tokencount.recount(tokencount.trees(docs, tokenizer_path(), edits), tokenizer_path(), "extra_0")
+    return counted.select("doc_id", "n_tokens", "n_after", "n_chars", "n_encoded")
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stridelake.llm import suffix
 
@@ -28,5 +56,5 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_suffix": op5_suffix, "op6_jaccard": op6_jaccard, "op9_quality": op9_quality}
+QUERIES = {"op2_packing": op2_packing, "op7_tokencount": op7_tokencount, "op5_suffix": op5_suffix, "op6_jaccard": op6_jaccard, "op9_quality": op9_quality}
 ORACLE: dict[str, str] = {}
