@@ -16,6 +16,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import lm_score
+
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -44,6 +50,33 @@ def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_after", "n_chars", "n_encoded")
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import warc
+
+    back = warc.read_back(warc.normalise(warc.archives(table(spark, sf_dir, "pages"))))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import linededup
+
+    kept = linededup.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("kept_bytes"), F.md5("text").alias("kept_md5"))
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place where a benchmark item occurs."""
+    from stridelake.llm import decontam
+
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stridelake.llm import suffix
 
@@ -56,5 +89,20 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op7_tokencount": op7_tokencount, "op5_suffix": op5_suffix, "op6_jaccard": op6_jaccard, "op9_quality": op9_quality}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam)
+}
+
+# SQL where it can express the whole result.
+ORACLE: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS h FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM f
+    """,
+}
