@@ -3,8 +3,8 @@
 Words are hashed, k-word shingles are hashed from them, and a document is its set of shingles. Two documents link when
 100 * intersection >= percent * union. The join runs in four steps:
 
-1. Dealing. Linked sets differ in at most D shingles, so when all shingles are hashed into D + 1 groups, linked sets
-   agree on one whole group at least. Each document sends the hash of each of its groups (per size class and the next),
+1. Dealing. Linked sets differ in at most D shingles, so when all shingles are hashed into D + 1 groups or more, linked
+   sets agree on one whole group at least. Each document sends the hash of each of its groups (per size class and the next),
    so linked documents meet under one signature at least, whatever words are frequent. Equal signatures of one task
    are merged before the shuffle, so a signature has at most one row per map task. Equal signatures give star edges;
    their components are the candidate classes.
@@ -63,37 +63,57 @@ def size_classes(most: int, percent: int) -> np.ndarray:
     return np.array(tops)
 
 
+def group_counts(tops: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of each size class, and how many more than the differences (plus one) these are.
+
+    With x groups more, linked sets agree on x + 1 groups at least, so a set with x empty groups or fewer shares one that
+    is not empty, and need not send its empty ones. x is chosen above the usual number of empty groups.
+    """
+    k = 2 * tops * (100 - percent) // (100 + percent) + 1
+    low = np.maximum(1, (np.append(0, tops[:-1]) + 1) * percent // 100)
+    empty = k * np.exp(-low / k)
+    more = np.where(k < 10, 0, np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64) + 1)
+    return k + more, more
+
+
 def signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signature and document number, for each group of each document at its own class and the next."""
     tops = size_classes(int(sizes.max(initial=1)) * 2, percent)
+    groups, more = group_counts(tops, percent)
     level0, out = np.searchsorted(tops, np.maximum(sizes, 1)), []
     doc_of = segments(sizes)
 
     def grouped(pick, level, seed):
-        """Hash of each group of the picked documents, and which groups are empty."""
-        k = np.where(pick, 2 * tops[level] * (100 - percent) // (100 + percent) + 1, 0)
+        """Owner, group and hash of each group of the picked documents, and which groups have a shingle."""
+        k = np.where(pick, groups[level], 0)
         base = np.cumsum(k) - k
         keep = pick[doc_of]
         d, v = doc_of[keep], mix(s[keep] + U64(seed))
         slot = base[d] + (v % k[d].astype(U64)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot, v = slot[order], mix(v[order] ^ U64(0xA5A5A5A5))
         total = np.zeros(int(k.sum()), U64)
-        np.add.at(total, slot, mix(v ^ U64(0xA5A5A5A5)))
+        first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else slot
+        total[slot[first]] = np.add.reduceat(v, first) if len(slot) else v
         seen = np.zeros(len(total), bool)
         seen[slot] = True
         owner = segments(k)
-        group = np.arange(len(total)) - base[owner]
-        return owner, group.astype(U64), mix(total + mix(level[owner].astype(U64) * U64(1 << 32) + group.astype(U64) + U64(seed))), seen
+        group = (np.arange(len(total)) - base[owner]).astype(U64)
+        return owner, group, mix(total + mix(level[owner].astype(U64) * U64(1 << 32) + group + U64(seed))), seen
 
     for up in (0, 1):
         level = level0 + up
         owner, group, sig, seen = grouped(sizes > 0, level, 0)
         out.append((sig[seen], owner[seen]))
-        # A group that is empty says little: its documents are dealt out once more by a second grouping.
-        for g in np.unique(group[~seen]):
-            pick = np.zeros(len(sizes), bool)
-            pick[owner[~seen & (group == g)]] = True
-            o2, _, s2, _ = grouped(pick, level, 1)
-            out.append((mix(s2 + g), o2))
+        empty = np.bincount(owner[~seen], minlength=len(sizes))
+        # An empty group says little, so where it must be sent, it goes with each group of a second grouping.
+        often = empty > more[level]
+        if often.any():
+            owner2, _, sig2, _ = grouped(often, level, 1)
+            cut = np.searchsorted(owner2, np.arange(len(sizes) + 1))
+            for d, g in zip(owner[~seen & often[owner]], group[~seen & often[owner]]):
+                part = sig2[cut[d] : cut[d + 1]]
+                out.append((mix(part + g), np.full(len(part), d)))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
@@ -308,6 +328,7 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3, tile_shingles: int = TI
     if found.where("tiles > 1").limit(1).count():
         links = connected(links.unionByName(_across(placed, found, percent, tile_shingles, parts)), "doc_id", "label").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     label = one.join(links.select(F.col("doc_id").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("component_id"))
+    label = written(label, "labels")  # so that the join below can split hot sets
     rows = base.join(label, ["f1", "f2", "n"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
