@@ -30,7 +30,7 @@ LEVELS = 24
 WIDTH = 7
 
 
-def chunks(docs: DataFrame, folds: int = 10, chunk_bytes: int = 12 << 20) -> DataFrame:
+def chunks(docs: DataFrame, folds: int = 10, chunk_bytes: int = 5 << 20) -> DataFrame:
     """Rows of chunk, deleted (its documents are the fold that EM learns from), doc ids, held-out flags and texts."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(2))
     source = id_text(docs).withColumn("fold", fold)
