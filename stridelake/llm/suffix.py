@@ -208,6 +208,7 @@ def marked(docs: DataFrame, length: int = 400, shard_bytes: int = 1 << 20, most_
     seen = written(source.select("rid", "text").mapInArrow(scan, "anchor long, seg long, rid long, start long, size long"), "segments")
     shared = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("s0"), F.max("seg").alias("s1"))
     shared = shared.where("n > 1").select("anchor", (F.col("s0") != F.col("s1")).alias("mixed"))
+    shared = written(shared, "shared")  # so that the join can split hot anchors
     met = written(seen.join(shared, "anchor"), "met")
     kinds = met.groupBy("anchor", "seg", "size", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start")).alias("one"))
     copied = kinds.where("n > 1").select("anchor", "seg", "size", F.expr("array(0, cast(size as int))").alias("spans"))
