@@ -67,7 +67,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
             cols = [doc.take(pa.array(row)), pa.array(start), pa.array(size), pa.array(out, pa.binary()), pa.array(n[row]), pa.array(sequence), pa.array(begin - sequence * length)]
             yield pa.record_batch(cols, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    placed = tokens.join(base, "task").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
+    # One row of 16 bytes for each task of the first pass: a million tasks are 16 MB.
+    placed = tokens.join(F.broadcast(base), "task").select("doc_id", (F.col("at") + F.col("base")).alias("at"), "n", "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
