@@ -30,7 +30,7 @@ LEVELS = 24
 WIDTH = 7
 
 
-def chunks(docs: DataFrame, folds: int = 10, chunk_bytes: int = 5 << 20) -> DataFrame:
+def chunks(docs: DataFrame, folds: int = 10, chunk_bytes: int = 3 << 20) -> DataFrame:
     """Rows of chunk, deleted (its documents are the fold that EM learns from), doc ids, held-out flags and texts."""
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(2))
     source = id_text(docs).withColumn("fold", fold)
@@ -117,7 +117,11 @@ def grams(row: dict, order: int) -> Grams:
             key = mix(key * U64(0xD6E8FEB86659FD93) + back[k] + U64(m))
         parts.append((mix(key) >> low) & ~U64(1) | U64(m == 1))
     n = len(token)
-    keys, number = np.unique(np.concatenate(parts), return_inverse=True)
+    del back, data, h
+    parts = np.concatenate(parts)
+    keys, number = np.unique(parts, return_inverse=True)
+    del parts
+    number = number.astype(np.int32)
     at = [number[m * n : (m + 1) * n] for m in range(order)]
     context = [np.zeros(0, np.int64)]
     for m in range(1, order):  # the context of an (m + 1)-gram is the m-gram before
