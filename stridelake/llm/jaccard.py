@@ -204,7 +204,7 @@ def by_key(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
-def _scan(percent: int, k: int, buckets: int, flush: int = 2_000_000):
+def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
     """Base rows (kind 0), signatures by bucket (kind 1) and edges within the task (kind 2)."""
     names = ["kind", "a", "b", "n", "f1", "f2", "blob", "blob2"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]

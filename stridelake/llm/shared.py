@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
