@@ -115,9 +115,9 @@ def envelope(spark, d):
     return windows.tumbling(events(spark, d), "user_id", "us", "value", DAY).select("user_id", "win", *r("low", "high", "mid"))
 
 
-@query(EV + " SELECT event_id, round(var_samp(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 2) AS rolling_var FROM ev")
+@query(EV + " SELECT event_id, round(var_samp(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 7) AS rolling_var FROM ev")
 def rolling_variance(spark, d):
-    return series.rolling_variance(events(spark, d), "user_id", ["us", "event_id"], "value").select("event_id", *r("rolling_var", places=2))
+    return series.rolling_variance(events(spark, d), "user_id", ["us", "event_id"], "value").select("event_id", *r("rolling_var", places=7))
 
 
 def _runs(spark, d):
