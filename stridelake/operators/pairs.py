@@ -42,3 +42,49 @@ def permutation_entropy(e: DataFrame, key: str) -> DataFrame:
     c = e.where("z is not null").groupBy(key, order.alias("pattern")).agg(F.count("*").alias("n"))
     c = c.withColumn("p", F.col("n") / F.sum("n").over(whole(key)))
     return c.groupBy(key).agg((-F.sum(F.col("p") * F.log2("p")) / F.log2(F.lit(6.0))).alias("perm_entropy"))
+
+
+def approximate_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
+    """Mean log share of templates within r for two values less that for three; a template matches itself."""
+    p = e.where("y is not null").withColumn("n", F.count("*").over(whole(key)))
+    a, b = p.alias("a"), p.alias("b")
+    two = (F.abs(F.col("a.x") - F.col("b.x")) <= r) & (F.abs(F.col("a.y") - F.col("b.y")) <= r)
+    three = two & (F.abs(F.col("a.z") - F.col("b.z")) <= r)
+    c = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).groupBy(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("a.n").alias("n"))
+    c = c.agg(F.count_if(two).alias("c2"), F.count_if(three).alias("c3"))
+    phi2, phi3 = F.avg(F.log(F.col("c2") / F.col("n"))), F.avg(F.when(F.col("c3") > 0, F.log(F.col("c3") / (F.col("n") - 1))))
+    return c.groupBy(key).agg((phi2 - phi3).alias("apen"))
+
+
+def symbolic_entropy(df: DataFrame, key: str, order, value: str) -> DataFrame:
+    """Shannon bits of pairs of neighbouring quartile bins; a value on an edge is of the upper bin."""
+    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).over(whole(key))
+    d = df.withColumn("_q", q).withColumn("_b", sum((F.col(value) >= F.col("_q")[i]).cast("int") for i in range(3)))
+    d = d.withColumn("_w", F.col("_b") * 4 + F.lead("_b").over(ordered(key, order))).where("_w is not null")
+    c = d.groupBy(key, "_w").agg(F.count("*").alias("_n")).withColumn("_p", F.col("_n") / F.sum("_n").over(whole(key)))
+    return c.groupBy(key).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias("symbolic_entropy"))
+
+
+def divergence(e: DataFrame, key: str, steps: int, theiler: int = 10) -> DataFrame:
+    """For each point and its nearest neighbour the distance d0, and dk after k = 1..steps samples; positive ones only."""
+    n = nearest_neighbour(e, key, theiler).select(F.col(key).alias("_k"), "i", "j", F.col("d").alias("d0"))
+    n = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    p = e.where("z is not null")
+    a = p.select(F.col(key).alias("_ka"), F.col("i").alias("_ia"), *[F.col(c).alias(f"_a{c}") for c in "xyz"])
+    b = p.select(F.col(key).alias("_kb"), F.col("i").alias("_ib"), *[F.col(c).alias(f"_b{c}") for c in "xyz"])
+    j = n.join(a, (F.col("_k") == F.col("_ka")) & (F.col("i") + F.col("k") == F.col("_ia")))
+    j = j.join(b, (F.col("_k") == F.col("_kb")) & (F.col("j") + F.col("k") == F.col("_ib")))
+    d = F.sqrt(sum((F.pow(F.col(f"_a{c}") - F.col(f"_b{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    return j.select(F.col("_k").alias(key), "i", "k", "d0", F.round(d, 9).alias("dk")).where("dk > 0")
+
+
+def wolf(e: DataFrame, key: str, fs: float = 1.0) -> DataFrame:
+    """Mean log growth of neighbour distances over one sample, a second."""
+    return divergence(e, key, 1).groupBy(key).agg((F.avg(F.log(F.col("dk") / F.col("d0"))) * fs).alias("wolf"))
+
+
+def rosenstein(e: DataFrame, key: str, fs: float = 1.0, steps: int = 19, points: int = 8) -> DataFrame:
+    """Slope of the mean log divergence over the first `points` of `steps` samples, a second."""
+    m = divergence(e, key, steps).groupBy(key, "k").agg(F.avg(F.log("dk")).alias("m"))
+    m = m.withColumn("_r", F.row_number().over(ordered(key, "k"))).where(F.col("_r") <= points)
+    return m.groupBy(key).agg(F.regr_slope("m", F.col("k") / fs).alias("rosenstein"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import alignment, islands, pairs, series, stats, windows
+from stridelake.operators import alignment, islands, pairs, series, signal, stats, windows
 
 DAY = 86_400_000_000
 
@@ -342,3 +342,106 @@ def autocorr_lag(spark, d):
 @query(EV + " SELECT user_id, round(regr_slope(value, t / 86400), 6) AS slope FROM ev GROUP BY user_id")
 def slope(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.round(F.regr_slope("value", F.col("t") / 86400), 6).alias("slope"))
+
+
+@query(EV + """, n AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM ev)
+SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM n""")
+def ffill_bfill(spark, d):
+    e = events(spark, d).withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    return signal.fill(e, "user_id", ["us", "event_id"], "v").select("event_id", "filled")
+
+
+@query(EV + """, m AS (SELECT user_id, event_type, round(avg(abs(value)), 9) AS strength FROM ev GROUP BY ALL)
+SELECT user_id, event_type, round(strength, 6) AS strength FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, event_type) = 1""")
+def dominant_channel(spark, d):
+    return signal.dominant(events(spark, d), "user_id", "event_type", "value").select("user_id", "event_type", *r("strength"))
+
+
+@query(EV + """, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ev),
+o AS (SELECT event_id, user_id, n, o, (((i + o) % (2*n)) + 2*n) % (2*n) AS m FROM n, generate_series(-12, 12) AS s(o))
+SELECT o.event_id, round(sum(exp(-o*o/18.0::DOUBLE) * x.value) / sum(exp(-o*o/18.0::DOUBLE)), 6) AS smooth FROM o JOIN n x ON x.user_id = o.user_id AND x.i = CASE WHEN m < o.n THEN m ELSE 2*o.n-1-m END GROUP BY o.event_id""")
+def gaussian_smooth(spark, d):
+    return signal.gaussian_smooth(events(spark, d), "user_id", ["us", "event_id"], "value", 3.0).select("event_id", *r("smooth"))
+
+
+@query(EV + """, u AS (SELECT user_id, t, min(value) AS v FROM ev GROUP BY ALL), l AS (SELECT *, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM u WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+g AS (SELECT user_id, k, t0 + (t1 - t0) * k / 100 AS g FROM (SELECT user_id, min(t) AS t0, max(t) AS t1 FROM u GROUP BY 1) CROSS JOIN generate_series(0, 100) AS s(k) WHERE t1 > t0)
+SELECT g.user_id, g.k, round(CASE WHEN t2 IS NULL THEN v ELSE v + (v2 - v) * (g - t) / (t2 - t) END, 5) AS value FROM g ASOF JOIN l ON g.user_id = l.user_id AND g.g >= l.t""")
+def resample_101(spark, d):
+    return signal.resample(events(spark, d), "user_id", "t", "value").select("user_id", "k", *r("value", places=5))
+
+
+@query(EV + """, a AS (SELECT *, coalesce(t - lag(t) OVER w, 0) AS gap, row_number() OVER w AS i FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), b AS (SELECT * FROM a WHERE i <= 101),
+z AS (SELECT user_id, i, count(*) OVER p AS n, (value - avg(value) OVER p) / nullif(stddev_pop(value) OVER p, 0) AS x, (gap - avg(gap) OVER p) / nullif(stddev_pop(gap) OVER p, 0) AS y FROM b WINDOW p AS (PARTITION BY user_id)),
+c AS (SELECT p.user_id, p.i - q.i AS lag, round(sum(p.x * q.y) / max(p.n), 9) AS c FROM z p JOIN z q ON p.user_id = q.user_id GROUP BY ALL)
+SELECT user_id, lag, round(c, 6) AS peak FROM c WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(c) DESC, lag) = 1""")
+def xcorr_peak(spark, d):
+    w = series.ordered("user_id", ["us", "event_id"])
+    e = events(spark, d).withColumn("gap", F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)))
+    x = signal.cross_correlation(e, "user_id", ["us", "event_id"], "value", "gap")
+    return x.select("user_id", F.col("lag").cast("long").alias("lag"), *r("peak"))
+
+
+@query(EV + """, a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i FROM ev), b AS (SELECT *, count(*) OVER p AS n, value - avg(value) OVER p AS c FROM a WHERE i < 900 WINDOW p AS (PARTITION BY user_id)),
+h AS (SELECT user_id, i, n, c * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS c FROM b WHERE n >= 8),
+p AS (SELECT user_id, n, f, sum(c * cos(2 * pi() * i * f / n)) AS re, sum(c * sin(2 * pi() * i * f / n)) AS im FROM h JOIN generate_series(1, 450) AS s(f) ON f <= n // 2 GROUP BY ALL)
+SELECT user_id, f AS bin, round(f / n::DOUBLE, 6) AS hz FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(re*re + im*im, 6) DESC, f) = 1""")
+def dft_dominant(spark, d):
+    return signal.dominant_frequency(events(spark, d), "user_id", ["us", "event_id"], "value").select("user_id", "bin", *r("hz"))
+
+
+@query()
+def butterworth(spark, d):
+    return signal.low_pass(events(spark, d), "user_id", "event_id", "value", 5.0, 25.0).select("event_id", *r("filtered"))
+
+
+@query()
+def find_peaks_distance(spark, d):
+    return signal.peaks(events(spark, d), "user_id", "event_id", "value", distance=5).select("user_id", "event_id", *r("height"))
+
+
+@query()
+def welch_entropy(spark, d):
+    return signal.spectral_entropy(events(spark, d), "user_id", "event_id", "value").select("user_id", *r("spectral_entropy"))
+
+
+@query(EMB + """, t AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM p WHERE y IS NOT NULL),
+c AS (SELECT a.user_id, a.i, a.n, count(*) FILTER (abs(a.x-b.x) <= 0.2 AND abs(a.y-b.y) <= 0.2) AS c2, count(*) FILTER (abs(a.x-b.x) <= 0.2 AND abs(a.y-b.y) <= 0.2 AND abs(a.z-b.z) <= 0.2) AS c3 FROM t a JOIN t b ON a.user_id = b.user_id GROUP BY ALL)
+SELECT user_id, round(avg(ln(c2 / n::DOUBLE)) - avg(ln(c3 / (n - 1)::DOUBLE)) FILTER (c3 > 0), 6) AS apen FROM c WHERE c2 > 0 GROUP BY 1""")
+def approximate_entropy(spark, d):
+    return pairs.approximate_entropy(pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value"), "user_id").select("user_id", *r("apen"))
+
+
+@query(EV + """, q AS (SELECT *, (value >= quantile_cont(value, 0.25) OVER p)::INT + (value >= quantile_cont(value, 0.5) OVER p)::INT + (value >= quantile_cont(value, 0.75) OVER p)::INT AS b FROM ev WINDOW p AS (PARTITION BY user_id)),
+w AS (SELECT user_id, b, lead(b) OVER (PARTITION BY user_id ORDER BY us, event_id) AS b2 FROM q), c AS (SELECT user_id, b, b2, count(*) AS n FROM w WHERE b2 IS NOT NULL GROUP BY ALL),
+f AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(-sum(p * log2(p)), 6) AS symbolic_entropy FROM f GROUP BY 1""")
+def symbolic_entropy(spark, d):
+    return pairs.symbolic_entropy(events(spark, d), "user_id", ["us", "event_id"], "value").select("user_id", *r("symbolic_entropy"))
+
+
+DIV = EMB + """, v AS (SELECT * FROM p WHERE z IS NOT NULL), j AS (SELECT a.user_id, a.i, b.i AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS d FROM v a JOIN v b ON a.user_id = b.user_id AND abs(a.i-b.i) > 10),
+nn AS (SELECT * FROM j WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY d, j) = 1),
+dv AS (SELECT nn.user_id, nn.d AS d0, s.k, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS dk FROM nn CROSS JOIN generate_series(1, 19) AS s(k) JOIN v a ON a.user_id = nn.user_id AND a.i = nn.i + s.k JOIN v b ON b.user_id = nn.user_id AND b.i = nn.j + s.k)"""
+
+
+@query(DIV + " SELECT user_id, round(avg(ln(dk / d0)), 6) AS wolf FROM dv WHERE k = 1 AND dk > 0 GROUP BY 1")
+def lyapunov_wolf(spark, d):
+    return pairs.wolf(pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value"), "user_id").select("user_id", *r("wolf"))
+
+
+@query(DIV + """, m AS (SELECT user_id, k, avg(ln(dk)) AS m FROM dv WHERE dk > 0 GROUP BY ALL), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k) <= 8)
+SELECT user_id, round(regr_slope(m, k), 6) AS rosenstein FROM f GROUP BY 1""")
+def lyapunov_rosenstein(spark, d):
+    return pairs.rosenstein(pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value"), "user_id").select("user_id", *r("rosenstein"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def label_semi_join(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS n_orders, b.n AS n_open FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k")
+def outer_assembly(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "k")
+    a, b = o.groupBy("k").agg(F.count("*").alias("n_orders")), o.where("o_orderstatus = 'O'").groupBy("k").agg(F.count("*").alias("n_open"))
+    return a.join(b, "k", "full")
