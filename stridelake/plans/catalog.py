@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridelake.operators import alignment, islands, pairs, series, signal, stats, windows
+from stridelake.operators import alignment, clusters, islands, pairs, series, signal, stats, windows
 
 DAY = 86_400_000_000
 
@@ -445,3 +445,15 @@ def outer_assembly(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_custkey", "k")
     a, b = o.groupBy("k").agg(F.count("*").alias("n_orders")), o.where("o_orderstatus = 'O'").groupBy("k").agg(F.count("*").alias("n_open"))
     return a.join(b, "k", "full")
+
+
+@query()
+def kmeans_profiles(spark, d):
+    v = clusters.standardised(clusters.vectors(table(spark, d, "embeddings"), "vec_id", "embedding"))
+    return clusters.kmeans(v, "vec_id")
+
+
+@query()
+def pca_variance(spark, d):
+    v = clusters.standardised(clusters.vectors(table(spark, d, "embeddings"), "vec_id", "embedding"))
+    return clusters.explained_variance(v, 10).select("component", *r("share", "running"))
