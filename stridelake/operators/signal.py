@@ -59,9 +59,9 @@ def resample(df: DataFrame, key: str, time: str, value: str, points: int = 101)
     return d.select(key, "k", (F.col("v") + (F.col("v2") - F.col("v")) * (grid - F.col("t")) / (F.col("t2") - F.col("t"))).alias("value"))
 
 
-def cross_correlation(df: DataFrame, key: str, order, a: str, b: str, most: int = 101) -> DataFrame:
-    """Lag and value of the largest magnitude of the normalised cross-correlation of the first `most` samples."""
-    d = df.withColumn("_i", F.row_number().over(ordered(key, order))).where(F.col("_i") <= most)
+def cross_correlation(df: DataFrame, key: str, order, a: str, b: str) -> DataFrame:
+    """Lag and value of the largest magnitude of the normalised cross-correlation; quadratic in a series' length."""
+    d = df.withColumn("_i", F.row_number().over(ordered(key, order)))
     z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(whole(key)), F.stddev_pop(c).over(whole(key)))
     d = d.select(F.col(key).alias("_k"), "_i", z(a).alias("_x"), z(b).alias("_y"), F.count("*").over(whole(key)).alias("_n"))
     x, y = d.select("_k", "_i", "_x", "_n"), d.select(F.col("_k").alias("_k2"), F.col("_i").alias("_j"), "_y")
@@ -71,9 +71,9 @@ def cross_correlation(df: DataFrame, key: str, order, a: str, b: str, most: int
     return top.select(F.col("_k").alias(key), F.col("m.lag").alias("lag"), F.col("m.c").alias("peak"))
 
 
-def dominant_frequency(df: DataFrame, key: str, order, value: str, fs: float = 1.0, most: int = 900) -> DataFrame:
-    """Frequency of the largest Fourier power of the mean-removed, Hann-weighted first `most` samples; eight at least."""
-    d = df.withColumn("_i", F.row_number().over(ordered(key, order)) - 1).where(F.col("_i") < most)
+def dominant_frequency(df: DataFrame, key: str, order, value: str, fs: float = 1.0) -> DataFrame:
+    """Frequency of the largest Fourier power of the mean-removed, Hann-weighted series of eight samples or more."""
+    d = df.withColumn("_i", F.row_number().over(ordered(key, order)) - 1)
     d = d.withColumn("_n", F.count("*").over(whole(key))).withColumn("_c", F.col(value) - F.avg(value).over(whole(key))).where("_n >= 8")
     d = d.withColumn("_c", F.col("_c") * (0.5 - 0.5 * F.cos(2 * np.pi * F.col("_i") / (F.col("_n") - 1))))
     d = d.withColumn("_f", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_n div 2"))))

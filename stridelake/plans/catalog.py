@@ -371,7 +371,7 @@ def resample_101(spark, d):
     return signal.resample(events(spark, d), "user_id", "t", "value").select("user_id", "k", *r("value", places=5))
 
 
-@query(EV + """, a AS (SELECT *, coalesce(t - lag(t) OVER w, 0) AS gap, row_number() OVER w AS i FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), b AS (SELECT * FROM a WHERE i <= 101),
+@query(EV + """, a AS (SELECT *, coalesce(t - lag(t) OVER w, 0) AS gap, row_number() OVER w AS i FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), b AS (SELECT * FROM a),
 z AS (SELECT user_id, i, count(*) OVER p AS n, (value - avg(value) OVER p) / nullif(stddev_pop(value) OVER p, 0) AS x, (gap - avg(gap) OVER p) / nullif(stddev_pop(gap) OVER p, 0) AS y FROM b WINDOW p AS (PARTITION BY user_id)),
 c AS (SELECT p.user_id, p.i - q.i AS lag, round(sum(p.x * q.y) / max(p.n), 9) AS c FROM z p JOIN z q ON p.user_id = q.user_id GROUP BY ALL)
 SELECT user_id, lag, round(c, 6) AS peak FROM c WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(c) DESC, lag) = 1""")
@@ -382,9 +382,9 @@ def xcorr_peak(spark, d):
     return x.select("user_id", F.col("lag").cast("long").alias("lag"), *r("peak"))
 
 
-@query(EV + """, a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i FROM ev), b AS (SELECT *, count(*) OVER p AS n, value - avg(value) OVER p AS c FROM a WHERE i < 900 WINDOW p AS (PARTITION BY user_id)),
+@query(EV + """, a AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i FROM ev), b AS (SELECT *, count(*) OVER p AS n, value - avg(value) OVER p AS c FROM a WINDOW p AS (PARTITION BY user_id)),
 h AS (SELECT user_id, i, n, c * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) AS c FROM b WHERE n >= 8),
-p AS (SELECT user_id, n, f, sum(c * cos(2 * pi() * i * f / n)) AS re, sum(c * sin(2 * pi() * i * f / n)) AS im FROM h JOIN generate_series(1, 450) AS s(f) ON f <= n // 2 GROUP BY ALL)
+p AS (SELECT user_id, n, f, sum(c * cos(2 * pi() * i * f / n)) AS re, sum(c * sin(2 * pi() * i * f / n)) AS im FROM h, unnest(range(1, n // 2 + 1)) AS s(f) GROUP BY ALL)
 SELECT user_id, f AS bin, round(f / n::DOUBLE, 6) AS hz FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(re*re + im*im, 6) DESC, f) = 1""")
 def dft_dominant(spark, d):
     return signal.dominant_frequency(events(spark, d), "user_id", ["us", "event_id"], "value").select("user_id", "bin", *r("hz"))
