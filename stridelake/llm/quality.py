@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridelake.llm.shared import id_text, segments, slices, span_hash, prefix_hash, utf8, word_spans
+from stridelake.llm.shared import id_text, return_memory, segments, slices, span_hash, prefix_hash, utf8, word_spans
 
 PASSAGE_BYTES = 400
 CLASSES = 12
@@ -208,12 +208,14 @@ def score(docs: DataFrame, model: GatedAttention, threshold: float = 0.3, folds:
         schema = docs.schema
 
         def kept(batches):
+            return_memory()
             for b in batches:
                 yield b.filter(pa.array(scores(b.column("text")) >= threshold))
 
         return docs.mapInArrow(kept, schema)
 
     def run(batches):
+        return_memory()
         for b in batches:
             s = scores(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -6,8 +6,10 @@ document or a word. Nothing here knows Spark plans; Spark partitions and shuffle
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,16 @@ BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 20
 
 
+def return_memory() -> None:
+    """Make this Python worker give freed arrays and Arrow buffers of 256 KB or more back to the system at once.
+
+    Workers live as long as their executor, so what one stage keeps adds to the next. Needs glibc (parameter -3 is its
+    mapping threshold); elsewhere nothing changes."""
+    if hasattr(ctypes.CDLL(None), "mallopt"):
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most `rows` rows for what is run within, to bound memory where rows are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes in the text column, by one aggregate."""
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
