@@ -24,15 +24,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm.components import connected
-from stridelake.llm.shared import U64, id_text, mix, pack, segments, slices, text_bytes, unpack, utf8, word_hashes, written
+from stridelake.llm.shared import U64, batches_of, id_text, mix, pack, return_memory, segments, slices, text_bytes, unpack, utf8, word_hashes, written
 
 GROUPS = 64
 FANOUT = 16
 TILE_SHINGLES = 2_000_000
+BATCH_ROWS = 1_000
+SIGNATURE_BYTES = 5  # kept beside the bucket, which grows with the input; equal ones only make candidates
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +233,10 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
         cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(U64))
         for x, (i, j) in enumerate(zip([0, *cut], [*cut, len(sig)])):
             if j > i:
-                yield rows(1, a=[x], n=[int(j - i)], blob=[pack(sig[i:j])], blob2=[pack(who[i:j].astype(U64))])
+                yield rows(1, a=[x], n=[int(j - i)], blob=[pack(sig[i:j], SIGNATURE_BYTES)], blob2=[pack(who[i:j].astype(U64))])
 
     def run(batches):
+        return_memory()
         sigs, ids, seen, held = [], [], set(), 0
         for b in batches:
             data, offs = utf8(b.column("text"))
@@ -269,51 +273,78 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
     return run
 
 
-def join(docs: DataFrame, percent: int = 90, k: int = 3, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    source = id_text(docs)
-    buckets = max(64, text_bytes(source) // (8 << 20))
-    scan = written(source.mapInArrow(_scan(percent, k, buckets), "kind int, a long, b long, n long, f1 long, f2 long, blob binary, blob2 binary"), "shingles")
-    base = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "f1", "f2")
+def _meet(batches):
+    """Signatures by bucket turned into star edges (kind 2) of the documents that share one; other rows as they are."""
+    aside, names = [], ["kind", "a", "b", "n", "f1", "f2"]
 
-    def meet(group: pa.Table) -> pa.Table:
+    def dealt():
+        for b in batches:
+            is_sig = pc.equal(b.column("kind"), 1)
+            aside.append(b.filter(pc.invert(is_sig)).select(names))
+            yield b.filter(is_sig)
+
+    return_memory()
+    for group in by_key(dealt(), "a"):
+        yield from aside
+        aside.clear()
         n = group.column("n").to_pylist()
-        sig = np.concatenate([unpack(x.as_py(), m) for x, m in zip(group.column("blob"), n)])
+        sig = np.concatenate([unpack(x.as_py(), m, SIGNATURE_BYTES) for x, m in zip(group.column("blob"), n)])
         who = np.concatenate([unpack(x.as_py(), m) for x, m in zip(group.column("blob2"), n)]).astype(np.int64)
         order = np.lexsort((who, sig))
         sig, who = sig[order], who[order]
         new = np.ones(len(sig), bool)
         new[1:] = sig[1:] != sig[:-1]
         head = who[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([head[~new], who[~new]], 1), axis=0) if (~new).any() else np.zeros((0, 2), np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pairs = np.stack([head, who], 1)[head != who]
+        if len(pairs):
+            pairs = np.unique(pairs, axis=0)
+            rest = [pa.nulls(len(pairs), pa.int64())] * 3
+            yield pa.record_batch([pa.array(np.full(len(pairs), 2, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *rest], names=names)
+    yield from aside
 
-    blobs = scan.where("kind = 1").select("a", "n", "blob", "blob2")
-    edges = blobs.groupBy("a").applyInArrow(meet, "a long, b long").unionByName(scan.where("kind = 2").select("a", "b"))
+
+def join(docs: DataFrame, percent: int = 90, k: int = 3, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _join(docs, percent, k, tile_shingles)
+
+
+def _join(docs: DataFrame, percent: int, k: int, tile_shingles: int) -> DataFrame:
+    source = id_text(docs)
+    buckets = max(64, text_bytes(source) // (8 << 20))
+    kind = "kind int, a long, b long, n long, f1 long, f2 long"
+    scan = source.mapInArrow(_scan(percent, k, buckets), f"{kind}, blob binary, blob2 binary")
+    # Signatures go to their bucket; the other rows, which are small, stay together by task.
+    keyed = scan.withColumn("key", F.when(F.col("kind") == 1, F.col("a")).otherwise(F.spark_partition_id() % buckets)).repartition("key")
+    scan = written(keyed.drop("key").sortWithinPartitions("kind", "a").mapInArrow(_meet, kind), "shingles")
+    base = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "f1", "f2")
+    edges = scan.where("kind = 2").select("a", "b")
     classes = connected(edges)
     # One representative for each set: the smallest doc_id.
     one = base.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = one.select(F.col("rep").alias("node"))
+    reps = one.select(F.col("rep").alias("node"), "n")
     members = classes.join(reps, "node")
-    heads = members.groupBy("component").agg(F.min("node").alias("head"), F.count("*").alias("m")).where("m > 1")
-    members = members.join(heads.select("component", "head"), "component").select(F.col("node").alias("doc_id"), "head")
+    heads = members.groupBy("component").agg(F.min("node").alias("head"), F.count("*").alias("m"), F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles")).where("m > 1")
+    members = members.select("node", "component").join(heads, "component").select(F.col("node").alias("doc_id"), "head", "tiles")
+    members = written(members.withColumn("tile", F.expr("pmod(xxhash64(doc_id), tiles)").cast("int")), "members")
 
     def sets(batches):
+        return_memory()
         for b in batches:
             data, offs = utf8(b.column("text"))
             for i, j in slices(offs):
                 s, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
                 cut = np.cumsum(sizes) - sizes
                 blob = pa.array([s[x : x + n].tobytes() for x, n in zip(cut, sizes)], pa.binary())
-                yield pa.record_batch([b.column("doc_id").slice(i, j - i), b.column("head").slice(i, j - i), pa.array(sizes), blob], names=["doc_id", "head", "n", "blob"])
+                ours = [b.column(c).slice(i, j - i) for c in ("doc_id", "head", "tiles", "tile")]
+                yield pa.record_batch([*ours, pa.array(sizes), blob], names=["doc_id", "head", "tiles", "tile", "n", "blob"])
 
-    whole = written(source.join(members, "doc_id").mapInArrow(sets, "doc_id long, head long, n long, blob binary").where("n > 0"), "sets")
-    tiles = whole.groupBy("head").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles"))
-    placed = whole.join(tiles, "head").withColumn("tile", F.expr("pmod(xxhash64(doc_id), tiles)").cast("int"))
+    kind = "doc_id long, head long, tiles int, tile int, n long, blob binary"
+    placed = written(source.join(members, "doc_id").mapInArrow(sets, kind).where("n > 0"), "sets")
     parts = max(32, buckets // 4)
 
     def in_tiles(batches):
+        return_memory()
         for t in by_key(batches, "tile_key"):
             ids = np.asarray(t.column("doc_id"))
             label = tile_labels(ids, [np.frombuffer(x.as_py(), U64) for x in t.column("blob")], percent)
@@ -335,9 +366,11 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3, tile_shingles: int = TI
 
 def _across(placed: DataFrame, found: DataFrame, percent: int, tile_shingles: int, parts: int) -> DataFrame:
     """Links of what stands apart from its class's head with all tiles of the class."""
-    apart = found.where("tiles > 1 and label <> head").select("doc_id").distinct()
+    # Written, so that Spark knows the size and moves the sets only where these are too many to be sent to all.
+    apart = written(found.where("tiles > 1 and label <> head").select("doc_id").distinct(), "apart")
     queries = placed.join(apart, "doc_id", "left_semi")
     turns = queries.groupBy("head").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("turns"))
+    turns = written(turns, "turns")
     queries = queries.join(turns, "head").select(
         "doc_id", "head", "blob", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(doc_id), turns)").cast("int").alias("turn"), F.lit(True).alias("query")
     )
