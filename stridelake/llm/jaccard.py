@@ -237,7 +237,7 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
 
     def run(batches):
         return_memory()
-        sigs, ids, seen, held = [], [], set(), 0
+        sigs, ids, seen, held = [], [], {}, 0
         for b in batches:
             data, offs = utf8(b.column("text"))
             doc_id = b.column("doc_id")
@@ -252,12 +252,18 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
                     if len(s):
                         f[x][some] = np.add.reduceat(mix(s + U64(x + 11)), cut[some])
                 yield rows(0, a=doc_id.slice(i, j - i), n=sizes, f1=f[0].view(np.int64), f2=f[1].view(np.int64))
-                fresh = np.zeros(j - i, bool)
-                for x in np.lexsort((doc[i:j],)):  # the smallest of equal sets of this batch speaks for them
-                    key = (int(f[0][x]), int(f[1][x]), int(doc[i + x]))
-                    fresh[x] = some[x] and known[i + x] and key[:2] not in seen
-                    if fresh[x]:
-                        seen.add(key[:2])
+                fresh, lower = np.zeros(j - i, bool), []
+                for x in np.lexsort((doc[i:j],)):  # the smallest of equal sets of this slice speaks for them
+                    if not (some[x] and known[i + x]):
+                        continue
+                    key, me = (int(f[0][x]), int(f[1][x])), int(doc[i + x])
+                    fresh[x] = key not in seen
+                    if me < seen.setdefault(key, me):  # a later one with a smaller id, which may stand for the set, is tied to it
+                        lower.append((seen[key], me))
+                        seen[key] = me
+                if lower:
+                    high, low = np.array(lower, np.int64).T
+                    yield rows(2, a=low, b=high)
                 keep = fresh[segments(sizes)]
                 if fresh.any():
                     sig, owner = signatures(s[keep], np.where(fresh, sizes, 0), percent)
@@ -266,7 +272,7 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
                     held += len(sig)
                 if held >= flush:
                     yield from dealt(np.concatenate(sigs), np.concatenate(ids))
-                    sigs, ids, seen, held = [], [], set(), 0
+                    sigs, ids, seen, held = [], [], {}, 0
         if held:
             yield from dealt(np.concatenate(sigs), np.concatenate(ids))
 

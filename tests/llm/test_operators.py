@@ -160,6 +160,16 @@ def test_jaccard(docs, none, percent, k, tile):
     assert tile < 100 or jaccard.join(none).count() == 0
 
 
+def test_jaccard_descending(spark):
+    """One task meets equal sets in several slices, the smallest doc_id last."""
+    text = " ".join(f"w{i}" for i in range(100))
+    fill = lambda x: " ".join(f"f{x}n{i}" for i in range(250_000))
+    rows = [(50, text), (40, fill(0)), (20, text.replace("w99", "other")), (15, fill(1)), (10, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert got == {50: 10, 40: 40, 20: 10, 15: 15, 10: 10}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 51), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.connected(edges).collect()}
