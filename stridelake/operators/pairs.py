@@ -1,4 +1,7 @@
-"""Pair joins inside one series: entropies and nearest neighbours. Series are bounded by `most` samples."""
+"""Pair joins inside one series: entropies and nearest neighbours. All samples count, at quadratic cost in the length.
+
+Pairs are dealt by blocks of BLOCK samples, so that a long series is spread over tasks.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +10,29 @@ from pyspark.sql import functions as F
 
 from stridelake.operators.series import ordered, whole
 
+BLOCK = 1_000
+
 
-def embedded(df: DataFrame, key: str, order, value: str, most: int = 900) -> DataFrame:
-    """Position, population-standardised value and the next two, of the first `most` samples."""
-    w = ordered(key, order)
-    d = df.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most)
+def embedded(df: DataFrame, key: str, order, value: str) -> DataFrame:
+    """Position, population-standardised value and the next two, of each sample."""
+    d = df.withColumn("i", F.row_number().over(ordered(key, order)))
     d = d.withColumn("x", F.try_divide(F.col(value) - F.avg(value).over(whole(key)), F.stddev_pop(value).over(whole(key))))
     w = Window.partitionBy(key).orderBy("i")
     return d.select(key, "i", "x", F.lead("x", 1).over(w).alias("y"), F.lead("x", 2).over(w).alias("z"))
 
 
+def paired(p: DataFrame, key: str, where) -> DataFrame:
+    """Pairs (a, b) of samples of one series that meet a condition on a and b."""
+    p = p.withColumn("_m", F.floor((F.col("i") - 1) / BLOCK)).withColumn("_all", F.sequence(F.lit(0).cast("long"), F.max("_m").over(whole(key))))
+    a = p.select("*", F.col("_m").alias("_r"), F.explode("_all").alias("_c")).alias("a")
+    b = p.select("*", F.col("_m").alias("_c"), F.explode("_all").alias("_r")).alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "_r", "_c")]
+    return a.join(b, same[0] & same[1] & same[2] & where)
+
+
 def sample_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
     """Template pairs within r for two and three values, and -ln of their ratio."""
-    a, b = e.alias("a"), e.alias("b")
-    j = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") < F.col("b.i")))
+    j = paired(e, key, F.col("a.i") < F.col("b.i"))
     two = (F.abs(F.col("a.x") - F.col("b.x")) <= r) & (F.abs(F.col("a.y") - F.col("b.y")) <= r)
     three = two & (F.abs(F.col("a.z") - F.col("b.z")) <= r)
     out = j.groupBy(F.col(f"a.{key}").alias(key)).agg(F.count_if(two).alias("b_pairs"), F.count_if(three).alias("a_pairs"))
@@ -29,9 +41,7 @@ def sample_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
 
 def nearest_neighbour(e: DataFrame, key: str, theiler: int = 10) -> DataFrame:
     """For each embedded point the nearest other one more than `theiler` samples off, with a positive distance."""
-    p = e.where("z is not null")
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.abs(F.col("a.i") - F.col("b.i")) > theiler))
+    j = paired(e.where("z is not null"), key, F.abs(F.col("a.i") - F.col("b.i")) > theiler)
     d = F.sqrt(sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in "xyz"), F.lit(0.0)))
     j = j.select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round(d, 9).alias("d")).where("d > 0")
     return j.groupBy(key, "i").agg(F.min(F.struct("d", "j")).alias("m")).select(key, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
@@ -47,10 +57,9 @@ def permutation_entropy(e: DataFrame, key: str) -> DataFrame:
 def approximate_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
     """Mean log share of templates within r for two values less that for three; a template matches itself."""
     p = e.where("y is not null").withColumn("n", F.count("*").over(whole(key)))
-    a, b = p.alias("a"), p.alias("b")
     two = (F.abs(F.col("a.x") - F.col("b.x")) <= r) & (F.abs(F.col("a.y") - F.col("b.y")) <= r)
     three = two & (F.abs(F.col("a.z") - F.col("b.z")) <= r)
-    c = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).groupBy(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("a.n").alias("n"))
+    c = paired(p, key, F.lit(True)).groupBy(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("a.n").alias("n"))
     c = c.agg(F.count_if(two).alias("c2"), F.count_if(three).alias("c3"))
     phi2, phi3 = F.avg(F.log(F.col("c2") / F.col("n"))), F.avg(F.when(F.col("c3") > 0, F.log(F.col("c3") / (F.col("n") - 1))))
     return c.groupBy(key).agg((phi2 - phi3).alias("apen"))

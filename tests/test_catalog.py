@@ -34,3 +34,20 @@ def test_query(spark, db, name):
     assert sorted(columns) == names
     assert len(rows) == len(want)
     assert all(same(a, b) for x, y in zip(rows, want) for a, b in zip(x, y))
+
+
+PAIRED = ["sample_entropy", "approximate_entropy", "permutation_entropy", "nearest_neighbour", "lyapunov_wolf"]  # the SQL of lyapunov_rosenstein did not end in 50 s
+
+
+@pytest.mark.parametrize("name", PAIRED)
+def test_long_series(spark, tmp_path, name):
+    """A recording of 1,200 samples beside short ones, against the same SQL."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE events AS SELECT * REPLACE ((CASE WHEN event_id % 5 > 0 THEN 1 ELSE 2 + event_id % 3 END)::BIGINT AS user_id) FROM '/root/testdata/sf0.01/events.parquet' ORDER BY event_id LIMIT 1500")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    found = c.execute(catalog.ORACLE[name])
+    columns = [x[0] for x in found.description]
+    rows, want = sorted(tuple(r[n] for n in columns) for r in got.collect()), sorted(found.fetchall())
+    assert len(rows) == len(want)
+    assert all(same(a, b) for x, y in zip(rows, want) for a, b in zip(x, y))
