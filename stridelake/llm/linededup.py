@@ -1,71 +1,84 @@
 """Operator 8: line dedup by content-defined line chunks.
 
-A rolling hash over the hashes of the last two lines chooses where a chunk ends (1 in `spread`, from `least` lines on), so
-chunks shift with their lines. A last line that would stand alone joins the chunk before it. Chunks of two lines and more
-that occur again anywhere are candidates; candidates are grouped by their bytes themselves, and every occurrence but the
-first (smallest doc_id, then place) is removed with its line ends.
-
-Defined cases: null text is empty and stays as it is; one-line texts stay; rows equal in doc_id and text are one document
-and keep the same; doc_id null counts as the largest; an empty table gives no rows. All columns of docs are kept.
+Lines with text are hashed, and a rolling hash over the last two of them decides whether a chunk may end there: 1 in
+`spread` places is a boundary, chosen by content alone, so boundaries shift with their lines. From each line on a chunk
+runs to the first boundary that leaves it `least` lines with text (or to the last line); blank lines inside a chunk
+belong to it. With spread 1, the default, every place is a boundary, so each run of `least` lines or more that occurs
+twice is found whole, in whatever context; a larger spread sends as many chunks of more lines, and loses the lines behind
+a passage's last boundary (README states how many). Chunks that occur again anywhere are candidates; candidates are
+grouped by their bytes themselves, and every occurrence but the first (smallest doc_id, then place) is removed with its
+line ends.
+
+Defined cases: null text is empty and stays as it is; texts with fewer than `least` lines of text stay, and so do lines
+that repeat alone; very long texts are read whole; rows equal in doc_id and text are one document and keep the same;
+doc_id null counts as the largest; an empty table gives no rows. All columns of docs are kept under their names, whatever
+these are; columns n_lines and n_removed of docs are replaced by this operator's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from stridelake.llm.shared import SPACE, U64, mix, prefix_hash, slices, span_hash, utf8, written
 
-from stridelake.llm.shared import U64, mix, prefix_hash, slices, span_hash, utf8, written
+LAST = (1 << 63) - 1
 
 
-def line_chunks(data: np.ndarray, offs: np.ndarray, spread: int = 2, least: int = 2):
-    """Chunks of two lines and more: row, first byte in the row, bytes, hash; and lines per row."""
-    n = len(offs) - 1
-    full = np.diff(offs) > 0
+def line_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (without the line end) and row of each line."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
     new = np.flatnonzero(data == 10) + 1
-    start = np.unique(np.concatenate([offs[:-1][full], new[new < len(data)]])) if len(data) else np.zeros(0, np.int64)
+    start = np.unique(np.concatenate([offs[:-1][np.diff(offs) > 0], new[new < len(data)]]))
     end = np.append(start[1:], len(data))
-    row = np.searchsorted(offs, start, "right") - 1
-    lines = np.bincount(row, minlength=n)
-    c = prefix_hash(data)
-    strip = end - (data[end - 1] == 10) if len(end) else end
-    h = span_hash(c, start, strip)
-    two = h.copy()
-    two[1:] = mix(h[:-1] * U64(31) + h[1:])
-    wish = (two % U64(spread)) == 0
-    last = np.cumsum(lines)
-    out, first = [], 0
-    for stop in last[lines > 1]:
-        first = stop - lines[row[stop - 1]]
-        a = first
-        for b in (np.flatnonzero(wish[first:stop]) + first + 1).tolist():
-            if b - a >= least and stop - b != 1 and b < stop:
-                out.append((a, b))
-                a = b
-        out.append((a, stop))
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    pairs = pairs[pairs[:, 1] - pairs[:, 0] > 1]
-    a, b = start[pairs[:, 0]], strip[pairs[:, 1] - 1]
-    return row[pairs[:, 0]], a - offs[row[pairs[:, 0]]], b - a, span_hash(c, a, b), lines
-
-
-def dedup(docs: DataFrame, spread: int = 2, least: int = 2) -> DataFrame:
+    return start, end - (data[end - 1] == 10), np.searchsorted(offs, start, "right") - 1
+
+
+def line_chunks(data: np.ndarray, offs: np.ndarray, spread: int = 1, least: int = 2):
+    """Chunks: row, first byte in the row, bytes, hash."""
+    start, end, row = line_starts(data, offs)
+    c, solid = prefix_hash(data), np.append(0, np.cumsum(~SPACE[data]))
+    text = solid[end] > solid[start]
+    start, end, row = start[text], end[text], row[text]
+    h, n = span_hash(c, start, end), len(start)
+    rolling = h.copy()
+    rolling[1:] = mix(h[:-1] * U64(31) + h[1:])
+    final = np.append(row[1:] != row[:-1], True) if n else np.zeros(0, bool)
+    stops = np.flatnonzero((rolling % U64(spread) == 0) | final)
+    first = np.arange(n)
+    ok = first + least <= n
+    first = first[ok]
+    last = stops[np.searchsorted(stops, first + least - 1)] if len(first) else first
+    same = row[first] == row[last] if len(first) else ok[:0]  # a row's last line is a boundary, so none is passed
+    first, last = first[same], last[same]
+    a, b = start[first], end[last]
+    return row[first], a - offs[row[first]], b - a, span_hash(c, a, b)
+
+
+def dedup(docs: DataFrame, spread: int = 1, least: int = 2) -> DataFrame:
     """All columns of docs with the text that is left, and n_lines, n_removed."""
-    columns = list(docs.columns)
-    source = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__rid", F.xxhash64("doc_id", "text"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    fields = [f for f in docs.schema if f.name in columns]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("rid")]
+    source = docs.select(*key, F.col("text"))  # a row is known by doc_id and its text's hash
 
     def scan(batches):
         for b in batches:
             data, offs = utf8(b.column("text"))
             for i, j in slices(offs):
-                row, start, size, h, _ = line_chunks(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], spread, least)
+                row, start, size, h = line_chunks(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], spread, least)
                 at = pa.array(row + i)
-                yield pa.record_batch([b.column("__id").take(at), b.column("__rid").take(at), pa.array(start), pa.array(size), pa.array(h.view(np.int64))], names=["id", "rid", "start", "size", "h"])
+                yield pa.record_batch([b.column("id").take(at), b.column("rid").take(at), pa.array(start), pa.array(size), pa.array(h.view(np.int64))], names=["id", "rid", "start", "size", "h"])
 
-    seen = written(source.select("__id", "__rid", "text").mapInArrow(scan, "id long, rid long, start long, size long, h long"), "chunks")
-    again = seen.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1").select("h", "size")
-    wanted = seen.join(again, ["h", "size"]).groupBy("rid").agg(F.collect_set(F.struct("id", "start", "size", "h")).alias("parts"))  # a document's own chunks
+    seen = written(source.mapInArrow(scan, "id long, rid long, start long, size long, h long"), "chunks")
+    # Both sides of each join are written tables, so that a chunk that is everywhere can be split.
+    again = written(seen.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1").select("h", "size"), "again")
+    wanted = seen.join(again, ["h", "size"]).groupBy("id", "rid").agg(F.collect_set(F.struct("start", "size")).alias("parts"))  # a document's own chunks
 
     def cut(batches):
         for b in batches:
@@ -73,38 +86,37 @@ def dedup(docs: DataFrame, spread: int = 2, least: int = 2) -> DataFrame:
             per = np.asarray(b.column("parts").value_lengths())
             base, p = np.repeat(offs[:-1], per), b.column("parts").flatten()
             blob = [data[o + s : o + s + n].tobytes() for o, s, n in zip(base, np.asarray(p.field("start")), np.asarray(p.field("size")))]
-            rid = b.column("rid").take(pa.array(np.repeat(np.arange(len(per)), per)))
-            yield pa.record_batch([p.field("id"), rid, p.field("start"), p.field("size"), pa.array(blob, pa.binary())], names=["id", "rid", "start", "size", "bytes"])
+            of = pa.array(np.repeat(np.arange(len(per)), per))
+            yield pa.record_batch([b.column("id").take(of), b.column("rid").take(of), p.field("start"), p.field("size"), pa.array(blob, pa.binary())], names=["id", "rid", "start", "size", "bytes"])
 
-    texts = source.select(F.col("__rid").alias("rid"), "text").join(wanted, "rid")
+    texts = source.join(wanted, ["id", "rid"]).select("id", "rid", "text", "parts")
     parts = written(texts.mapInArrow(cut, "id long, rid long, start long, size long, bytes binary"), "candidates")
-    groups = parts.groupBy("bytes").agg(F.min(F.struct("id", "rid", "start")).alias("first"), F.max(F.struct("id", "rid", "start")).alias("last"))
+    place = F.struct("id", "rid", "start")
+    groups = parts.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     groups = written(groups.where("first <> last").select("bytes", "first"), "repeated")
-    gone = parts.join(groups, "bytes").where(F.struct("id", "rid", "start") != F.col("first")).groupBy("rid").agg(F.collect_set(F.struct("start", "size")).alias("__gone"))
-    joined = source.join(gone.withColumnRenamed("rid", "__rid"), "__rid", "left").select(*[docs[c] for c in columns], "__gone")
+    gone = parts.join(groups, "bytes").where(place != F.col("first")).groupBy("id", "rid").agg(F.collect_set(F.struct("start", "size")).alias("gone"))
+    whole = docs.select(*key, F.struct(*[docs[c] for c in columns]).alias("row"))
+    joined = whole.join(gone, ["id", "rid"], "left").select("row", "gone")
 
     def keep(batches):
         for b in batches:
-            data, offs = utf8(b.column("text"))
-            texts, lines, removed = [], [], []
-            for i, spans in enumerate(b.column("__gone").to_pylist()):
-                x = data[offs[i] : offs[i + 1]]
-                lines.append(int((x == 10).sum()) + bool(len(x) and x[-1] != 10))
-                removed.append(0)
-                if spans:
-                    mask = np.ones(len(x), bool)
-                    for s in spans:
-                        a, z = s["start"], s["start"] + s["size"]
-                        removed[-1] += int((x[a:z] == 10).sum()) + 1
-                        mask[a : z + 1] = False
-                    x = x[mask]
-                texts.append(x.tobytes().decode())
-            old = b.column("text")
-            text = pa.array([t if v else None for t, v in zip(texts, old.is_valid().to_pylist())], pa.string())
-            cols = [text if c == "text" else b.column(c) for c in columns]
-            yield pa.record_batch([*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    schema = StructType([*(f if f.name != "text" else StructField("text", f.dataType) for f in docs.schema), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+            every, of_gone = dict(zip(columns, b.column("row").flatten())), b.column("gone")
+            whole, ends = utf8(every["text"])
+            for i, j in slices(ends):
+                row, data, offs = {c: x.slice(i, j - i) for c, x in every.items()}, whole[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+                start, _, of = line_starts(data, offs)
+                kept = np.ones(len(data) + 1, bool)
+                for x, spans in enumerate(of_gone.slice(i, j - i).to_pylist()):
+                    for s in spans or ():
+                        a = int(offs[x]) + s["start"]
+                        kept[a : min(a + s["size"] + 1, int(offs[x + 1]))] = False
+                lines, removed = np.bincount(of, minlength=j - i), np.bincount(of[~kept[start]], minlength=j - i)
+                kept = kept[: len(data)]
+                if not kept.all():
+                    cut = np.append(0, np.cumsum(kept))[offs]
+                    text = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(data[kept].tobytes())])
+                    row["text"] = pc.if_else(row["text"].is_valid(), text.cast(pa.large_string()).cast(pa.string()), pa.scalar(None, pa.string()))
+                yield pa.record_batch([*row.values(), pa.array(lines.astype(np.int64)), pa.array(removed.astype(np.int64))], names=[*columns, "n_lines", "n_removed"])
+
+    schema = StructType([*(StructField("text", f.dataType) if f.name == "text" else f for f in fields), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
     return joined.mapInArrow(keep, schema)
