@@ -6,8 +6,10 @@ overlap by e; bands that reach the bound are verified by banded alignment. Lette
 white-space bytes as blanks. The benchmark is a stated query set: it goes to the tasks in blocks of at most
 `block_bytes`, each against all documents.
 
-Defined cases: null and empty items or documents match nothing; items shorter than q bytes must occur exactly; equal items
-are all reported; repeated documents are reported each; doc_id and item_id may be null; no items or no documents give no rows.
+Defined cases: null and empty items or documents match nothing; items shorter than q bytes must occur exactly, and each
+of their places is reported; very long texts and items are read whole; equal items are all reported; repeated documents
+are reported each; doc_id and item_id may be null; no items or no documents give no rows; `matches` reads no other
+columns, `clean` keeps them all under whatever names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ Q = 10
 EDIT_RATE = 0.08
 FOLD = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
 BITS = 22
+HITS = 1 << 21
 
 
 class Items:
@@ -67,14 +70,22 @@ class Items:
         inside = at + self.q <= offs[row + 1]
         at, where, row = at[inside], where[inside], row[inside]
         times = self.count[where]
-        hit = np.repeat(self.first[where], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        row, item = np.repeat(row, times), self.item[hit]
-        diagonal = np.repeat(at, times) - offs[row] - self.pos[hit]
-        stride = np.maximum(1, self.edits)[item]
-        band = diagonal // stride
-        most = int(np.abs(band).max(initial=0)) + 2
-        key = (row * len(self.ids) + item) * (2 * most + 1) + band + most
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        most = int(max(np.diff(offs).max(initial=0), self.size.max(initial=0))) + 2  # beyond any band
+        keys, counts, i, total = [], [], 0, np.append(0, np.cumsum(times))
+        while i < len(at):  # a q-gram common to text and items (a run of blanks) has many hits: HITS of them at a time
+            j = max(i + 1, int(np.searchsorted(total, total[i] + HITS, "right")) - 1)
+            n = times[i:j]
+            hit = np.repeat(self.first[where[i:j]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            of, item = np.repeat(row[i:j], n), self.item[hit]
+            diagonal = np.repeat(at[i:j], n) - offs[of] - self.pos[hit]
+            band = diagonal // np.maximum(1, self.edits)[item]
+            key = (of * len(self.ids) + item) * (2 * most + 1) + band + most
+            key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            i = j
+        key, number = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        count = np.bincount(number, np.concatenate(counts), minlength=len(key)) if keys else key
         item = key // (2 * most + 1) % max(1, len(self.ids))
         ok = count >= self.need[item]
         key, item = key[ok], item[ok]
@@ -130,11 +141,14 @@ def places(index: Items, text_column) -> dict[tuple[int, int, int], tuple[int, i
             if place:
                 key = (i + row, item, place[1])
                 out[key] = min(out.get(key, place), place, key=lambda p: p[2])
-        for s in short:
+        for s in short:  # each place, also where places overlap
+            word, size = index.bytes[s].tobytes(), int(index.size[s])
             for row in range(j - i):
-                at = part[o[row] : o[row + 1]].tobytes().find(index.bytes[s].tobytes())
-                if at >= 0:
-                    out[(i + row, s, at + int(index.size[s]))] = (at, at + int(index.size[s]), 0)
+                text = part[o[row] : o[row + 1]].tobytes()
+                at = text.find(word)
+                while at >= 0:
+                    out[(i + row, s, at + size)] = (at, at + size, 0)
+                    at = text.find(word, at + 1)
     return out
 
 
