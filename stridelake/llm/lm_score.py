@@ -10,8 +10,11 @@ bits, with its own counts to shards of the hash space; a shard sums them and ans
 order in which they were asked, so hot n-grams cost a row per chunk and no n-gram goes back. Chunks then score their
 documents from the answers. EM runs as aggregates over the held-out fold's counts.
 
-Defined cases: null text is empty and scores its end token; doc_id null counts as training; rows that are repeated count
-and are scored each; without training tokens every score is that of the uniform model (base 0.1 / 0.1).
+Defined cases: null text is empty and scores its end token; very long texts are read whole (a text longer than a chunk is
+a chunk of its own); doc_id null counts as training; rows that are repeated count and are scored each; without training
+tokens every score is that of the uniform model (base 0.1 / 0.1); an empty table gives no rows; other columns of docs are
+not read and clash with nothing. N-grams are told apart by 55 bits of a hash: of 1e8 distinct ones about 0.1 pairs are
+taken for one, of 1e12 one in 36,000.
 """
 
 from __future__ import annotations
@@ -27,7 +30,9 @@ from stridelake.llm.shared import U64, id_text, mix, pack, segments, slices, tex
 
 END, BEGIN = U64(0x51ED270B7F4A7C15), U64(0xB5297A4D3F84D5B5)
 LEVELS = 24
-WIDTH = 7
+WIDTH = 7  # bytes of a hashed n-gram
+OWN, TOTAL = 4, 6  # bytes of a count in one chunk (less than 2 GB of text) and in all (2.8e14); zero bytes compress away
+PART_BYTES = 8 << 20  # text for each partition of an exchange
 
 
 def chunks(docs: DataFrame, folds: int = 10, chunk_bytes: int = 3 << 20) -> DataFrame:
@@ -140,7 +145,7 @@ def asked(row: dict, order: int, shards: int):
     cut = np.searchsorted(g.keys, ((np.arange(1, shards, dtype=object) << 56) // shards).astype(U64))
     for s, (i, j) in enumerate(zip([0, *cut], [*cut, len(g.keys)])):
         if j > i:
-            yield s, int(j - i), pack(g.keys[i:j], WIDTH), pack(count[i:j].astype(U64), 4)
+            yield s, int(j - i), pack(g.keys[i:j], WIDTH), pack(count[i:j].astype(U64), OWN)
 
 
 class Counts:
@@ -148,7 +153,7 @@ class Counts:
 
     def __init__(self, row: dict, order: int, answers: list[tuple], column: int, documents: int):
         self.g = grams(row, order)
-        flat = np.concatenate([unpack(a[2 + column], a[1], 5) for a in sorted(answers, key=lambda a: a[0])]).astype(np.int64)
+        flat = np.concatenate([unpack(a[2 + column], a[1], TOTAL) for a in sorted(answers, key=lambda a: a[0])]).astype(np.int64)
         if len(flat) != len(self.g.keys):
             raise RuntimeError("answers do not match the chunk")
         self.c = [flat[a] for a in self.g.at]
@@ -200,7 +205,9 @@ def learn(held: DataFrame, order: int, rounds: int = 12) -> np.ndarray:
 
 def score(docs: DataFrame, order: int = 3, folds: int = 10, shard_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
-    shards = max(64, text_bytes(docs.select("text")) // shard_bytes)
+    size = text_bytes(docs.select("text"))
+    # Shards and partitions follow the bytes, so that the largest task stays as it is when the input grows.
+    shards, parts = max(64, size // shard_bytes), max(8, size // PART_BYTES)
     laid = chunks(docs, folds)
 
     def ask(batches):
@@ -214,7 +221,7 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, shard_bytes: int = 8
     def answer(group: pa.Table) -> pa.Table:
         n, deleted = group.column("n").to_pylist(), group.column("deleted").to_pylist()
         keys = np.concatenate([unpack(k.as_py(), m, WIDTH) for k, m in zip(group.column("keys"), n)])
-        mine = np.concatenate([unpack(k.as_py(), m, 4) for k, m in zip(group.column("counts"), n)]).astype(np.float64)
+        mine = np.concatenate([unpack(k.as_py(), m, OWN) for k, m in zip(group.column("counts"), n)]).astype(np.float64)
         keys, number = np.unique(keys, return_inverse=True)
         kept = np.bincount(number, mine * np.repeat(~np.array(deleted), n), minlength=len(keys))
         total = np.bincount(number, mine, minlength=len(keys))
@@ -222,7 +229,7 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, shard_bytes: int = 8
         at, rows = 0, []
         for d, m in zip(deleted, n):
             of = number[at : at + m]
-            rows.append((pack(total[of].astype(U64), 5), pack(kept[of].astype(U64), 5) if d else b""))
+            rows.append((pack(total[of].astype(U64), TOTAL), pack(kept[of].astype(U64), TOTAL) if d else b""))
             at += m
         sums = [int((word & (total > 0)).sum()), int(total[word].sum()), int(kept[word].sum())]
         return pa.table({
@@ -232,7 +239,7 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, shard_bytes: int = 8
         })
 
     wanted = laid.mapInArrow(ask, "shard int, chunk long, deleted boolean, n long, keys binary, counts binary")
-    answers = written(wanted.groupBy("shard").applyInArrow(answer, "chunk long, deleted boolean, shard int, n long, total binary, kept binary, kinds long, tokens long, kept_tokens long"), "answers")
+    answers = written(wanted.repartition(parts, "shard").groupBy("shard").applyInArrow(answer, "chunk long, deleted boolean, shard int, n long, total binary, kept binary, kinds long, tokens long, kept_tokens long"), "answers")
     kinds, tokens, kept_tokens = (int(x or 0) for x in answers.agg(F.sum("kinds"), F.sum("tokens"), F.sum("kept_tokens")).first())
     flags = laid.select("deleted", F.explode("held").alias("held")).where("not held").groupBy("deleted").count().collect()
     documents = {r["deleted"]: r["count"] for r in flags}
@@ -255,7 +262,8 @@ def score(docs: DataFrame, order: int = 3, folds: int = 10, shard_bytes: int = 8
         return pa.table({"bucket": rows[:, 0].astype(np.int32), **{f"p{k}": rows[:, k + 1] for k in range(order + 1)}, "n": n})
 
     def cogroup(where: str):
-        return laid.where(where).groupBy("chunk").cogroup(answers.where(where).select("chunk", "shard", "n", "total", "kept").groupBy("chunk"))
+        got = answers.where(where).select("chunk", "shard", "n", "total", "kept")
+        return laid.where(where).repartition(parts, "chunk").groupBy("chunk").cogroup(got.repartition(parts, "chunk").groupBy("chunk"))
 
     kind = "bucket int, " + ", ".join(f"p{k} double" for k in range(order + 1)) + ", n long"
     weights = learn(written(cogroup("deleted").applyInArrow(held_counts, kind), "held"), order)
