@@ -4,8 +4,9 @@ Archives are rows (archive, content), as spark.read.format("binaryFile") gives t
 stream once, piece by piece, holding one record; every record is written as its own member, and its offset, length, type
 and id go to the index. Archives are cut at `archive_bytes` of records, so a row stays small.
 
-Defined cases: html null is an empty payload; url null is left out; page_id null never becomes what others refer to; rows
-that repeat a page_id with an equal payload are responses when that page_id is the smallest; an empty table gives no rows.
+Defined cases: html null is an empty payload; very long pages are written whole, in an archive of their own size; url null
+is left out; a stream that ends within a gzip member or a record is an error (its last records would be lost in silence); page_id null never becomes what others refer to; rows
+that repeat a page_id with an equal payload are responses when that page_id is the smallest; an empty table gives no rows; other columns of pages are not read and clash with nothing.
 """
 
 from __future__ import annotations
@@ -64,20 +65,22 @@ def archives(pages: DataFrame, least: int = 100, archive_bytes: int = 4 << 20) -
 
 
 def inflate(content: bytes, step: int = 1 << 16):
-    """Inflated pieces of a gzip stream of one member or several."""
-    z, at = zlib.decompressobj(31), 0
+    """Inflated pieces of a gzip stream of one member or several; an error where the stream ends within a member."""
+    z, at, inside = zlib.decompressobj(31), 0, False
     while at < len(content):
         piece = content[at : at + step]
         at += len(piece)
         while piece:
             yield z.decompress(piece)
-            piece = z.unused_data
+            piece, inside = z.unused_data, not z.eof
             if z.eof:
                 z = zlib.decompressobj(31)
+    if inside:
+        raise ValueError("the gzip stream is cut short")
 
 
 def records(pieces):
-    """Whole records (head with its blank line, payload) from inflated pieces."""
+    """Whole records (head with its blank line, payload) from inflated pieces; an error where the last one is cut short."""
     held = bytearray()
     size = head = None
     for piece in pieces:
@@ -95,6 +98,8 @@ def records(pieces):
             yield head, bytes(held[len(head) : len(head) + size])
             del held[:total]
             size = None
+    if held:
+        raise ValueError("the last record is cut short")
 
 
 def fields(head: bytes) -> dict[str, str]:
