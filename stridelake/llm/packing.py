@@ -5,8 +5,9 @@ task tokenises its documents, writes the ids with each document's start within t
 totals' prefix sums give each task's start in the whole stream. Second pass: every document is cut where a window ends;
 the pieces are the boundary records. Nothing is shuffled but one total per task; all sequences but the last are full.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows;
-doc_id null is kept.
+Defined cases: null and empty texts are the end id alone; very long texts are cut into as many pieces as they need;
+repeated rows are packed each; an empty table gives no rows; doc_id null is kept; other columns of docs are not read and
+clash with nothing.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ are learned together from document labels alone, by Adam with hand-written gradi
 The fit uses at most `per_class` labelled documents of each class (those with the smallest hash of doc_id: a bounded,
 documented sample); scoring is a map over all documents without a shuffle.
 
-Defined cases: null or empty text is one empty passage and is scored; doc_id null has held_out false; documents
+Defined cases: null or empty text is one empty passage and is scored; very long texts are scored by all their passages; doc_id null has held_out false; documents
 repeated in the table are scored each; labels other than 0 and 1 are ignored, and of several labels of one document the
 smallest holds; with no usable labels, or labels of one class only, every score is the share of label 1 (0.5 when there
 is none at all). Other columns of the input are not read and clash with nothing.

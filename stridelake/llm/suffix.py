@@ -12,8 +12,9 @@ they stand. Windows of one document that follow each other and share an anchor m
 3. an anchor with more than `most_shard` bytes of different segments is not indexed as a whole: its windows are hashed
    one by one to 128 bits and counted (the exact way for the rest).
 
-Defined cases: null text is empty; shorter texts keep all; rows equal in doc_id and text count as two rows, each of
-which repeats the other; doc_id null is a document like any other; an empty table gives no rows.
+Defined cases: null text is empty; shorter texts keep all; very long texts are read whole, by blocks whose edges are
+joined again; rows equal in doc_id and text count as two rows, each of which repeats the other; doc_id null is a document
+like any other; an empty table gives no rows; other columns of docs are not read and clash with nothing.
 """
 
 from __future__ import annotations

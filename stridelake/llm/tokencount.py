@@ -8,7 +8,9 @@ brought up to date along their paths.
 
 Defined cases: null text is empty; an edit's `at` and `removed` are clipped to the text, nulls count as 0 and as no
 text; edits apply in order of `seq`, each to the text that the one before left; documents without edits keep their
-counts; edits of unknown documents are ignored; rows that are repeated are counted each.
+counts; edits of unknown documents are ignored; rows that are repeated are counted each; very long texts are one tree
+each; doc_id null keeps its counts, and no edit reaches it; an empty table gives no rows; other columns of docs are not
+read and clash with nothing.
 """
 
 from __future__ import annotations
