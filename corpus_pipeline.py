@@ -1,6 +1,10 @@
 """The corpus pipeline: quality classifier, line dedup, near duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of docs.
+
+Defined cases, for all stages: null and empty texts, very long texts, rows without a doc_id, repeated rows and other
+columns go through as the operators state; an empty table stays empty. Rows that repeat a doc_id with different texts are
+one node of the near-duplicate stage: all of them stay when the doc_id does, but equal rows stay once.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each class linked by 5-word shingles at a Jaccard similarity of 0.8."""
     classes = jaccard.join(docs, percent=80, k=5)
-    keep = classes.where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    keep = written(classes.where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
+    among = lambda ids: docs.join(ids.select("kept_id"), docs["doc_id"] == ids["kept_id"], "left_semi")
+    repeated = among(keep.where("n > 1")).dropDuplicates(["doc_id", "text"])
+    return among(keep.where("n = 1")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
