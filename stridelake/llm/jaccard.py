@@ -5,19 +5,24 @@ Words are hashed, k-word shingles are hashed from them, and a document is its se
 
 1. Dealing. Linked sets differ in at most D shingles, so when all shingles are hashed into D + 1 groups or more, linked
    sets agree on one whole group at least. Each document sends the hash of each of its groups (per size class and the next),
-   so linked documents meet under one signature at least, whatever words are frequent. Equal signatures of one task
-   are merged before the shuffle, so a signature has at most one row per map task. Equal signatures give star edges;
-   their components are the candidate classes.
-2. Sets of the representatives (equal sets count once) are cut into tiles of bounded size; the class's smallest
-   document goes along with every tile.
+   so linked documents meet under one signature at least, whatever words are frequent. A task first joins its own
+   documents, as in 3, and lets the smallest of those that are linked speak for all of them; so a signature has at most
+   one row per map task, and a group of near copies few speakers. Under each signature all speakers, with those for
+   whom they speak, are tied to the smallest, so linked documents stand together in a star at least. Stars are never
+   closed over one another: a passage that many documents share ties them to a few heads, and does not tie what these
+   are tied to.
+2. Texts of a star's members (equal sets count once, by their smallest doc_id) are cut into tiles of bounded size; the
+   star's head goes along with every tile.
 3. In a tile, tokens are hashed into GROUPS groups, group counts are points, and an R-tree over the points is
    searched with the overlap bound sum(min(x_i, hi_i)); pairs that survive and are not yet connected are verified on
    the exact sets.
-4. Classes of several tiles: what did not connect to the class's smallest document is searched in all tiles of its
-   class in the same way; nothing is capped.
+4. Stars of several tiles: what did not connect to the head is searched in all tiles of its star in the same way;
+   nothing is capped. The links that were found are closed into components.
 
 Defined cases: null text and text without words give an empty set, linked with nothing; fewer than k words are one
-shingle; equal doc_ids are one node (each row is returned); doc_id null has component null; an empty table gives no rows.
+shingle; very long texts are read whole (a text longer than a slice is a slice of its own, and a tile of its own);
+equal doc_ids are one node (each row is returned); doc_id null has component null; an empty table gives no rows; other
+columns of docs are not read and clash with nothing.
 """
 
 from __future__ import annotations
@@ -57,6 +62,19 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     return s[new], np.bincount(doc[new], minlength=n)
 
 
+def text_sets(column, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows of a text column that have a shingle, and the set of each."""
+    data, offs = utf8(column)
+    rows, sets = [], []
+    for i, j in slices(offs):
+        s, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+        cut = np.cumsum(sizes) - sizes
+        some = np.flatnonzero(sizes)
+        rows.append(some + i)
+        sets += [s[cut[x] : cut[x] + sizes[x]].copy() for x in some]
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), sets
+
+
 def size_classes(most: int, percent: int) -> np.ndarray:
     """Largest size of each class; linked sets lie in one class or in two that follow each other."""
     tops, low = [], 1
@@ -207,8 +225,41 @@ def by_key(batches, key: str):
         yield pa.Table.from_batches(held)
 
 
+def speakers(sig: np.ndarray, who: np.ndarray, ids: np.ndarray, sets: list[np.ndarray], percent: int):
+    """For the documents of one task (who: numbers in ids and sets): distinct signatures and who speaks for each,
+    (speaker, document) of all it may have to answer for, and the links (smallest, document) among them all."""
+    order = np.lexsort((ids[who], sig))
+    sig, who = sig[order], who[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = sig[1:] != sig[:-1]
+    head = who[new][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([head[~new], who[~new]], 1), axis=0)
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for h, w in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+        x, y = find(h), find(w)
+        if x != y and linked(sets[h], sets[w], percent):
+            low, high = (x, y) if (ids[x], x) < (ids[y], y) else (y, x)
+            root[high] = low
+    of = np.array([find(x) for x in range(len(ids))])
+    stars = np.concatenate([np.stack([of[pairs[:, 0]], pairs[:, 1]], 1), np.stack([of, np.arange(len(of))], 1)])
+    stars = np.unique(stars[stars[:, 0] != stars[:, 1]], axis=0)
+    links = [np.zeros((0, 2), np.int64)]
+    for part in np.split(stars, np.flatnonzero(np.diff(stars[:, 0])) + 1) if len(stars) else ():
+        inside = np.append(part[0, 0], part[:, 1])
+        label = tile_labels(ids[inside], [sets[x] for x in inside], percent)
+        apart = label != ids[inside]
+        links.append(np.stack([label[apart], ids[inside][apart]], 1))
+    return sig[new], ids[of[who[new]]], ids[stars], np.concatenate(links)
+
+
 def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
-    """Base rows (kind 0), signatures by bucket (kind 1) and edges within the task (kind 2)."""
+    """Base rows (kind 0), signatures by bucket (kind 1); within the task whom a speaker answers for (kind 3) and links (kind 4)."""
     names = ["kind", "a", "b", "n", "f1", "f2", "blob", "blob2"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
@@ -218,26 +269,19 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
         out += [pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in zip(names[1:], types[1:], strict=True)]
         return pa.record_batch(out, names=names)
 
-    def dealt(sig, who):
-        order = np.lexsort((who, sig))
-        sig, who = sig[order], who[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = sig[1:] != sig[:-1]
-        keep = np.flatnonzero(new)
-        head = who[keep][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([head[~new], who[~new]], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        if len(pairs):
-            yield rows(2, a=pairs[:, 0], b=pairs[:, 1])
-        sig, who = sig[keep], who[keep]
+    def dealt(sigs, who, ids, sets):
+        sig, speaker, stars, links = speakers(np.concatenate(sigs), np.concatenate(who), np.concatenate(ids), sets, percent)
+        for kind, pairs in ((3, stars), (4, links)):
+            if len(pairs):
+                yield rows(kind, a=pairs[:, 0], b=pairs[:, 1])
         cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(U64))
         for x, (i, j) in enumerate(zip([0, *cut], [*cut, len(sig)])):
             if j > i:
-                yield rows(1, a=[x], n=[int(j - i)], blob=[pack(sig[i:j], SIGNATURE_BYTES)], blob2=[pack(who[i:j].astype(U64))])
+                yield rows(1, a=[x], n=[int(j - i)], blob=[pack(sig[i:j], SIGNATURE_BYTES)], blob2=[pack(speaker[i:j].astype(U64))])
 
     def run(batches):
         return_memory()
-        sigs, ids, seen, held = [], [], {}, 0
+        sigs, who, ids, sets, seen, held = [], [], [], [], set(), 0
         for b in batches:
             data, offs = utf8(b.column("text"))
             doc_id = b.column("doc_id")
@@ -252,35 +296,30 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
                     if len(s):
                         f[x][some] = np.add.reduceat(mix(s + U64(x + 11)), cut[some])
                 yield rows(0, a=doc_id.slice(i, j - i), n=sizes, f1=f[0].view(np.int64), f2=f[1].view(np.int64))
-                fresh, lower = np.zeros(j - i, bool), []
-                for x in np.lexsort((doc[i:j],)):  # the smallest of equal sets of this slice speaks for them
-                    if not (some[x] and known[i + x]):
-                        continue
-                    key, me = (int(f[0][x]), int(f[1][x])), int(doc[i + x])
+                fresh = np.zeros(j - i, bool)
+                for x in np.flatnonzero(some & known[i:j]):  # one of equal sets is enough
+                    key = (int(f[0][x]), int(f[1][x]))
                     fresh[x] = key not in seen
-                    if me < seen.setdefault(key, me):  # a later one with a smaller id, which may stand for the set, is tied to it
-                        lower.append((seen[key], me))
-                        seen[key] = me
-                if lower:
-                    high, low = np.array(lower, np.int64).T
-                    yield rows(2, a=low, b=high)
-                keep = fresh[segments(sizes)]
+                    seen.add(key)
                 if fresh.any():
-                    sig, owner = signatures(s[keep], np.where(fresh, sizes, 0), percent)
+                    sig, owner = signatures(s[fresh[segments(sizes)]], np.where(fresh, sizes, 0), percent)
+                    number = np.cumsum(fresh) - 1 + len(sets)
                     sigs.append(sig)
-                    ids.append(doc[i:j][owner])
+                    who.append(number[owner])
+                    ids.append(doc[i:j][fresh])
+                    sets += [s[cut[x] : cut[x] + sizes[x]].copy() for x in np.flatnonzero(fresh)]
                     held += len(sig)
                 if held >= flush:
-                    yield from dealt(np.concatenate(sigs), np.concatenate(ids))
-                    sigs, ids, seen, held = [], [], {}, 0
+                    yield from dealt(sigs, who, ids, sets)
+                    sigs, who, ids, sets, seen, held = [], [], [], [], set(), 0
         if held:
-            yield from dealt(np.concatenate(sigs), np.concatenate(ids))
+            yield from dealt(sigs, who, ids, sets)
 
     return run
 
 
 def _meet(batches):
-    """Signatures by bucket turned into star edges (kind 2) of the documents that share one; other rows as they are."""
+    """Signatures by bucket turned into star edges (kind 2: head, other) of the documents that share one; other rows as they are."""
     aside, names = [], ["kind", "a", "b", "n", "f1", "f2"]
 
     def dealt():
@@ -324,68 +363,67 @@ def _join(docs: DataFrame, percent: int, k: int, tile_shingles: int) -> DataFram
     keyed = scan.withColumn("key", F.when(F.col("kind") == 1, F.col("a")).otherwise(F.spark_partition_id() % buckets)).repartition("key")
     scan = written(keyed.drop("key").sortWithinPartitions("kind", "a").mapInArrow(_meet, kind), "shingles")
     base = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "f1", "f2")
-    edges = scan.where("kind = 2").select("a", "b")
-    classes = connected(edges)
-    # One representative for each set: the smallest doc_id.
-    one = base.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = one.select(F.col("rep").alias("node"), "n")
-    members = classes.join(reps, "node")
-    heads = members.groupBy("component").agg(F.min("node").alias("head"), F.count("*").alias("m"), F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles")).where("m > 1")
-    members = members.select("node", "component").join(heads, "component").select(F.col("node").alias("doc_id"), "head", "tiles")
+    # One representative for each set: the smallest doc_id. Tables are written so that the joins can split hot sets.
+    one = written(base.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    rep = written(base.join(one, ["f1", "f2", "n"]).select("doc_id", "rep", "n"), "sets")
+    near, for_whom = scan.where("kind = 2").select("a", "b").distinct(), scan.where("kind = 3").select("a", "b")
+    answered = near.alias("x").join(for_whom.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+    own = near.select("a").distinct().join(for_whom, "a").select("a", "b")  # a head's own documents are in its star
+    pairs = near.unionByName(answered).unionByName(own).withColumn("sure", F.lit(False)).unionByName(scan.where("kind = 4").select("a", "b", F.lit(True).alias("sure"))).distinct()
+    pairs = pairs.join(rep.select(F.col("doc_id").alias("a"), F.col("rep").alias("head")), "a").join(rep.select(F.col("doc_id").alias("b"), F.col("rep").alias("node")), "b")
+    pairs = written(pairs.where("head <> node").select("head", "node", "sure").distinct(), "pairs")
+    stars = pairs.where("not sure").select("head", "node")
+    stars = stars.unionByName(stars.select("head", F.col("head").alias("node")).distinct())
+    members = stars.join(rep.where("doc_id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
+    large = members.groupBy("head").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles")).where("tiles > 1")
+    members = members.join(written(large, "large"), "head", "left").select(F.col("node").alias("doc_id"), "head", F.coalesce("tiles", F.lit(1)).alias("tiles")).distinct()
     members = written(members.withColumn("tile", F.expr("pmod(xxhash64(doc_id), tiles)").cast("int")), "members")
-
-    def sets(batches):
-        return_memory()
-        for b in batches:
-            data, offs = utf8(b.column("text"))
-            for i, j in slices(offs):
-                s, sizes = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
-                cut = np.cumsum(sizes) - sizes
-                blob = pa.array([s[x : x + n].tobytes() for x, n in zip(cut, sizes)], pa.binary())
-                ours = [b.column(c).slice(i, j - i) for c in ("doc_id", "head", "tiles", "tile")]
-                yield pa.record_batch([*ours, pa.array(sizes), blob], names=["doc_id", "head", "tiles", "tile", "n", "blob"])
-
-    kind = "doc_id long, head long, tiles int, tile int, n long, blob binary"
-    placed = written(source.join(members, "doc_id").mapInArrow(sets, kind).where("n > 0"), "sets")
+    placed = source.join(members, "doc_id").select("doc_id", "head", "tiles", "tile", "text")
     parts = max(32, buckets // 4)
 
     def in_tiles(batches):
         return_memory()
         for t in by_key(batches, "tile_key"):
-            ids = np.asarray(t.column("doc_id"))
-            label = tile_labels(ids, [np.frombuffer(x.as_py(), U64) for x in t.column("blob")], percent)
-            yield pa.record_batch([pa.array(ids), pa.array(label), t.column("head").combine_chunks(), t.column("tiles").combine_chunks()], names=["doc_id", "label", "head", "tiles"])
-
-    spread = placed.where("doc_id <> head or tiles = 1").unionByName(
-        placed.where("doc_id = head and tiles > 1").withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
-    )
+            rows, sets = text_sets(t.column("text"), k)
+            ids, heads, tiles = (np.asarray(t.column(c))[rows] for c in ("doc_id", "head", "tiles"))
+            label = tile_labels(ids, sets, percent)
+            of = dict(zip(ids.tolist(), label.tolist()))
+            apart = (tiles > 1) & (label != np.array([of.get(h, -1) for h in heads.tolist()], np.int64))
+            yield pa.record_batch([pa.array(ids), pa.array(label), pa.array(heads), pa.array(apart)], names=["doc_id", "label", "head", "apart"])
+
+    # Texts are moved, not their sets: a shingle's hash takes more bytes than its text.
+    spread = placed.withColumn("tile", F.explode(F.when((F.col("doc_id") == F.col("head")) & (F.col("tiles") > 1), F.expr("sequence(0, tiles - 1)")).otherwise(F.array("tile"))))
     keyed = spread.withColumn("tile_key", F.xxhash64("head", "tile")).repartition(parts, "tile_key").sortWithinPartitions("tile_key")
-    found = written(keyed.mapInArrow(in_tiles, "doc_id long, label long, head long, tiles int"), "links")
-    links = found.where("doc_id <> label").select("doc_id", "label").distinct()
-    if found.where("tiles > 1").limit(1).count():
-        links = connected(links.unionByName(_across(placed, found, percent, tile_shingles, parts)), "doc_id", "label").select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    label = one.join(links.select(F.col("doc_id").alias("rep"), "label"), "rep", "left").select("f1", "f2", "n", F.coalesce("label", "rep").alias("component_id"))
+    found = written(keyed.mapInArrow(in_tiles, "doc_id long, label long, head long, apart boolean"), "links")
+    links = found.where("doc_id <> label").select("doc_id", "label").unionByName(pairs.where("sure").select(F.col("node").alias("doc_id"), F.col("head").alias("label")))
+    if found.where("apart").limit(1).count():
+        links = links.unionByName(_across(placed.where("tiles > 1"), found, percent, k, tile_shingles, parts))
+    several = rep.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    ties = rep.join(several, "doc_id").where("rep <> low").select(F.col("rep").alias("doc_id"), F.col("low").alias("label"))
+    links = connected(links.unionByName(ties), "doc_id", "label")
+    label = one.join(links.select(F.col("node").alias("rep"), "component"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
     label = written(label, "labels")  # so that the join below can split hot sets
     rows = base.join(label, ["f1", "f2", "n"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(placed: DataFrame, found: DataFrame, percent: int, tile_shingles: int, parts: int) -> DataFrame:
-    """Links of what stands apart from its class's head with all tiles of the class."""
+def _across(placed: DataFrame, found: DataFrame, percent: int, k: int, tile_shingles: int, parts: int) -> DataFrame:
+    """Links of what stands apart from its star's head with all tiles of the star."""
     # Written, so that Spark knows the size and moves the sets only where these are too many to be sent to all.
-    apart = written(found.where("tiles > 1 and label <> head").select("doc_id").distinct(), "apart")
-    queries = placed.join(apart, "doc_id", "left_semi")
-    turns = queries.groupBy("head").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("turns"))
-    turns = written(turns, "turns")
+    apart = written(found.where("apart").select("doc_id", "head").distinct(), "apart")
+    queries = placed.join(apart, ["doc_id", "head"], "left_semi")
+    size = F.sum(F.octet_length("text")) / (tile_shingles * 6)  # about six bytes a shingle
+    turns = written(queries.groupBy("head").agg(F.ceil(size).cast("int").alias("turns")), "turns")
     queries = queries.join(turns, "head").select(
-        "doc_id", "head", "blob", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(doc_id), turns)").cast("int").alias("turn"), F.lit(True).alias("query")
+        "doc_id", "head", "text", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.expr("pmod(xxhash64(doc_id), turns)").cast("int").alias("turn"), F.lit(True).alias("query")
     )
-    rest = placed.join(turns, "head").select("doc_id", "head", "blob", "tile", F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"), F.lit(False).alias("query"))
+    rest = placed.join(turns, "head").select("doc_id", "head", "text", "tile", F.explode(F.expr("sequence(0, turns - 1)")).alias("turn"), F.lit(False).alias("query"))
     keyed = queries.unionByName(rest).withColumn("tile_key", F.xxhash64("head", "tile", "turn")).repartition(parts, "tile_key").sortWithinPartitions("tile_key")
 
     def run(batches):
         for t in by_key(batches, "tile_key"):
-            got = cross_links(np.asarray(t.column("doc_id")), [np.frombuffer(x.as_py(), U64) for x in t.column("blob")], np.asarray(t.column("query").combine_chunks()), percent)
+            rows, sets = text_sets(t.column("text"), k)
+            got = cross_links(np.asarray(t.column("doc_id"))[rows], sets, np.asarray(t.column("query").combine_chunks())[rows], percent)
             if got:
                 x, y = np.array(got).T
                 yield pa.record_batch([pa.array(x), pa.array(y)], names=["doc_id", "label"])
