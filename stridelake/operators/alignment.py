@@ -13,10 +13,26 @@ def nearest_asof(left: DataFrame, right: DataFrame, by: str, on: str, value: str
     r = right.where(F.col(on).isNotNull()).groupBy(by, on).agg(F.max(value).alias("_v"))
     r = r.select(by, on, F.struct(F.col(on).alias("t"), F.col("_v").alias("v")).alias("_r"), F.lit(False).alias("_left"))
     both = left.where(F.col(on).isNotNull()).select(by, on, F.lit(True).alias("_left")).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(on)
-    both = both.withColumn("_b", F.last("_r", True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_f", F.first("_r", True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("_left")
+    # Within one time the right row goes before the left ones in both directions, so running frames see it.
+    forth = Window.partitionBy(by).orderBy(F.col(on), F.col("_left")).rowsBetween(Window.unboundedPreceding, 0)
+    back_ = Window.partitionBy(by).orderBy(F.col(on).desc(), F.col("_left")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_b", F.last("_r", True).over(forth)).withColumn("_f", F.last("_r", True).over(back_)).where("_left")
     back, ahead = F.col(on) - F.col("_b.t"), F.col("_f.t") - F.col(on)
     earlier = ahead.isNull() | (back <= ahead)
     pick = F.when(earlier, F.when(back <= tolerance, F.col("_b.v"))).otherwise(F.when(ahead <= tolerance, F.col("_f.v")))
     return both.select(by, on, pick.alias(value))
+
+
+def synchronised(timeline: DataFrame, sensors: dict[str, DataFrame | None], by: str, on: str, tolerance: int, axes: tuple = ("x", "y", "z")) -> DataFrame:
+    """The distinct times of `timeline` with each sensor's nearest axes (sensor_axis); what has no partner within the
+    tolerance, and sensors that are missing, are 0."""
+    out = timeline.select(by, on).where(F.col(on).isNotNull()).distinct()
+    for name, rows in sensors.items():
+        names = [f"{name}_{a}" for a in axes]
+        if rows is None:
+            out = out.select("*", *[F.lit(0.0).alias(n) for n in names])
+            continue
+        near = nearest_asof(out.select(by, on), rows.select(by, on, F.struct(*axes).alias("_xyz")), by, on, "_xyz", tolerance)
+        near = near.select(by, on, *[F.coalesce(F.col(f"_xyz.{a}").cast("double"), F.lit(0.0)).alias(n) for a, n in zip(axes, names)])
+        out = out.join(near, [by, on], "left")
+    return out

@@ -24,11 +24,12 @@ def standardised(v: DataFrame) -> DataFrame:
     return model.transform(v).drop("features").withColumnRenamed("_z", "features")
 
 
-def kmeans(v: DataFrame, key: str, k: int = 2, starts: int = 5, seed: int = 42) -> DataFrame:
+def kmeans(v: DataFrame, key: str, k: int = 2, starts: int = 100, seed: int = 42) -> DataFrame:
     """Profile of each row from the cheapest of `starts` fits; profiles are numbered by their centroids' order."""
     v = v.persist()
     fits = [KMeans(k=k, seed=seed + i).fit(v) for i in range(starts)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    v.unpersist()
     order = sorted(range(len(best.clusterCenters())), key=lambda i: tuple(best.clusterCenters()[i]))
     number = F.element_at(F.array(*[F.lit(order.index(i)) for i in range(len(order))]), F.col("prediction") + 1)
     return best.transform(v).select(key, number.alias("profile"))

@@ -1,11 +1,12 @@
-"""Pair joins inside one series: entropies and nearest neighbours. All samples count, at quadratic cost in the length.
+"""Pair joins inside one series: entropies, nearest neighbours, exponents and recurrence measures.
 
-Pairs are dealt by blocks of BLOCK samples, so that a long series is spread over tasks.
+Their cost is quadratic in the samples, so a longer recording gives `most` samples spread evenly over all of it (900 by
+default; None takes all). Pairs are dealt by blocks of BLOCK samples, so that a long series is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators.series import ordered, whole
@@ -13,9 +14,18 @@ from stridelake.operators.series import ordered, whole
 BLOCK = 1_000
 
 
-def embedded(df: DataFrame, key: str, order, value: str) -> DataFrame:
+def even_sample(df: DataFrame, key: str, order, most: int = 900) -> DataFrame:
+    """The samples at floor(k * (n - 1) / (most - 1)), k = 0 .. most - 1, of series longer than `most`."""
+    d = df.withColumn("_r", F.row_number().over(ordered(key, order)).cast("long") - 1).withColumn("_n", F.count("*").over(whole(key)))
+    k = F.expr(f"(_r * {most - 1} + _n - 2) div greatest(_n - 1, 1)")
+    return d.withColumn("_k", k).where(f"_n <= {most} or (_k * (_n - 1)) div {most - 1} = _r").drop("_r", "_n", "_k")
+
+
+def embedded(df: DataFrame, key: str, order, value: str, most: int | None = 900) -> DataFrame:
     """Position, population-standardised value and the next two, of each sample."""
-    d = df.withColumn("i", F.row_number().over(ordered(key, order)))
+    d = df.where(F.col(value).isNotNull())
+    d = even_sample(d, key, order, most) if most else d
+    d = d.withColumn("i", F.row_number().over(ordered(key, order)))
     d = d.withColumn("x", F.try_divide(F.col(value) - F.avg(value).over(whole(key)), F.stddev_pop(value).over(whole(key))))
     w = Window.partitionBy(key).orderBy("i")
     return d.select(key, "i", "x", F.lead("x", 1).over(w).alias("y"), F.lead("x", 2).over(w).alias("z"))
@@ -40,11 +50,12 @@ def sample_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
 
 
 def nearest_neighbour(e: DataFrame, key: str, theiler: int = 10) -> DataFrame:
-    """For each embedded point the nearest other one more than `theiler` samples off, with a positive distance."""
+    """For each embedded point the nearest other one more than `theiler` samples off; points whose nearest is equal to
+    them have none."""
     j = paired(e.where("z is not null"), key, F.abs(F.col("a.i") - F.col("b.i")) > theiler)
     d = F.sqrt(sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in "xyz"), F.lit(0.0)))
-    j = j.select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round(d, 9).alias("d")).where("d > 0")
-    return j.groupBy(key, "i").agg(F.min(F.struct("d", "j")).alias("m")).select(key, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
+    j = j.select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round(d, 9).alias("d"))
+    return j.groupBy(key, "i").agg(F.min(F.struct("d", "j")).alias("m")).select(key, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d")).where("d > 0")
 
 
 def permutation_entropy(e: DataFrame, key: str) -> DataFrame:
@@ -92,8 +103,47 @@ def wolf(e: DataFrame, key: str, fs: float = 1.0) -> DataFrame:
     return divergence(e, key, 1).groupBy(key).agg((F.avg(F.log(F.col("dk") / F.col("d0"))) * fs).alias("wolf"))
 
 
-def rosenstein(e: DataFrame, key: str, fs: float = 1.0, steps: int = 19, points: int = 8) -> DataFrame:
-    """Slope of the mean log divergence over the first `points` of `steps` samples, a second."""
+def rosenstein(e: DataFrame, key: str, fs: float = 1.0, steps: int = 19, points: int = 8, least: int = 25) -> DataFrame:
+    """Slope of the mean log divergence over the first `points` of `steps` samples, a second; null for fewer than
+    `least` embedded points or three points of the line."""
     m = divergence(e, key, steps).groupBy(key, "k").agg(F.avg(F.log("dk")).alias("m"))
     m = m.withColumn("_r", F.row_number().over(ordered(key, "k"))).where(F.col("_r") <= points)
-    return m.groupBy(key).agg(F.regr_slope("m", F.col("k") / fs).alias("rosenstein"))
+    slope = m.groupBy(key).agg(F.count("*").alias("_c"), F.regr_slope("m", F.col("k") / fs).alias("_s"))
+    size = e.where("z is not null").groupBy(key).agg(F.count("*").alias("_n"))
+    return size.join(slope, key).select(key, F.when((F.col("_n") >= least) & (F.col("_c") >= 3), F.col("_s")).alias("rosenstein"))
+
+
+def recurrence(e: DataFrame, key: str, share: float = 0.10, line: int = 2) -> DataFrame:
+    """Recurrence measures of embedded points: two points recur when not further apart than the `share` quantile of all
+    positive distances. Lines are diagonal or vertical runs of `line` recurring pairs or more (white: vertical runs of
+    pairs that do not recur); both triangles count, the main diagonal does not recur.
+
+    rec, det, lam, mean_line, max_line and the entropies (bits) of line lengths: diagonal, vertical, white."""
+    p = e.where("z is not null")
+    d = F.sqrt(sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    j = paired(p, key, F.lit(True)).select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round(d, 9).alias("d"))
+    radius = j.where("i < j and d > 0").groupBy(key).agg(F.percentile("d", share).alias("radius"))
+    j = j.join(radius, key).select(key, "i", "j", ((F.col("d") <= F.col("radius")) & (F.col("i") != F.col("j"))).alias("on"))
+
+    def runs(rows: DataFrame, along: Column, at: str) -> DataFrame:
+        """Lengths of the runs of neighbouring positions `at` along lines."""
+        r = rows.select(key, along.alias("_l"), F.col(at).alias("_p"))
+        r = r.withColumn("_g", F.col("_p") - F.row_number().over(Window.partitionBy(key, "_l").orderBy("_p")))
+        return r.groupBy(key, "_l", "_g").agg(F.count("*").alias("n")).where(F.col("n") >= line).groupBy(key, "n").agg(F.count("*").alias("c"))
+
+    def measures(lengths: DataFrame, *names: str) -> DataFrame:
+        share_ = F.col("c") / F.sum("c").over(whole(key))
+        out = {"total": F.sum(F.col("n") * F.col("c")), "mean": F.sum(F.col("n") * F.col("c")) / F.sum("c"), "most": F.max("n").cast("double"), "entropy": -F.sum(F.col("_p") * F.log2("_p"))}
+        return lengths.withColumn("_p", share_).groupBy(key).agg(*[out[k].alias(a) for k, a in zip(("total", "mean", "most", "entropy"), names)])
+
+    black, white = j.where("on"), j.where("not on")
+    diagonal = measures(runs(black, F.col("j") - F.col("i"), "i"), "_det", "mean_line", "max_line", "entropy_line")
+    vertical = measures(runs(black, F.col("j"), "i"), "_lam", "_m", "_x", "entropy_vertical")
+    empty = measures(runs(white, F.col("j"), "i"), "_w", "_wm", "_wx", "entropy_white")
+    size = p.groupBy(key).agg(F.count("*").alias("_n")).where("_n >= 5")
+    base = size.join(radius.select(key), key).join(black.groupBy(key).agg(F.count("*").alias("_on")), key, "left").na.fill({"_on": 0})
+    out = base.join(diagonal, key, "left").join(vertical, key, "left").join(empty, key, "left")
+    return out.select(
+        key, (F.col("_on") / (F.col("_n") * (F.col("_n") - 1))).alias("rec"), F.try_divide("_det", "_on").alias("det"), F.try_divide("_lam", "_on").alias("lam"),
+        "mean_line", "max_line", "entropy_line", "entropy_vertical", "entropy_white",
+    )

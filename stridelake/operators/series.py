@@ -15,6 +15,13 @@ def whole(key):
     return Window.partitionBy(*([key] if isinstance(key, str) else key))
 
 
+def after(key, order):
+    """The rows from the end of the series to the current one: what a following frame would hold, at linear cost."""
+    order = [order] if isinstance(order, str) else list(order)
+    key = [key] if isinstance(key, str) else list(key)
+    return Window.partitionBy(*key).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def number(c: str) -> Column:
     """Lenient double; NaN is null."""
     return F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
@@ -41,24 +48,27 @@ def collapse_duplicates(df: DataFrame, key: str, time: str, *channels: str) -> D
     return df.groupBy(key, time).agg(*[F.avg(c).alias(c) for c in channels])
 
 
-def interpolate(df: DataFrame, key: str, order: str, value: str, out: str = "filled") -> DataFrame:
-    """Linear by position between known values; the ends take the nearest known value."""
+def interpolate(df: DataFrame, key: str, order: str, value: str, out: str = "filled", axis: str | None = None) -> DataFrame:
+    """Linear between known values by position, or along the column `axis`; the ends take the nearest known value."""
     w = ordered(key, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     d = df.withColumn("_i", F.row_number().over(w))
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
-    d = d.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(ahead))
-    inner = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_i") - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
+    x = F.col(axis) if axis else F.col("_i")
+    known = F.when(F.col(value).isNotNull(), F.struct(x.alias("i"), F.col(value).alias("v")))
+    d = d.withColumn("_a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, True).over(after(key, "_i")))
+    inner = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (x - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
     return d.withColumn(out, F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_a.i") == F.col("_b.i")), F.col("_a.v")).otherwise(inner)).drop("_i", "_a", "_b")
 
 
 def gradient(df: DataFrame, key: str, time: str, value: str, out: str = "slope") -> DataFrame:
-    """Second-order differences on an uneven grid, first-order ones at the ends."""
+    """Second-order differences on an uneven grid, first-order ones at the ends; missing values are bridged along the
+    time for their neighbours and stay missing."""
+    d = interpolate(df, key, time, value, "_f", axis=time)
     w = ordered(key, time)
     hs, hd = F.col(time) - F.lag(time).over(w), F.lead(time).over(w) - F.col(time)
-    f, lo, hi = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
+    f, lo, hi = F.col("_f"), F.lag("_f").over(w), F.lead("_f").over(w)
     inner = F.try_divide(hs * hs * hi + (hd * hd - hs * hs) * f - hd * hd * lo, hs * hd * (hs + hd))
-    return df.withColumn(out, F.when(hs.isNull(), F.try_divide(hi - f, hd)).when(hd.isNull(), F.try_divide(f - lo, hs)).otherwise(inner))
+    slope = F.when(hs.isNull(), F.try_divide(hi - f, hd)).when(hd.isNull(), F.try_divide(f - lo, hs)).otherwise(inner)
+    return d.withColumn("_slope", slope).withColumn(out, F.when(F.col(value).isNotNull(), F.col("_slope"))).drop("_f", "_slope")
 
 
 def zscore(df: DataFrame, key, value: str, out: str = "z") -> DataFrame:

@@ -1,7 +1,7 @@
 """Filters, spectra and resampling of keyed, ordered series.
 
-Smoothing, resampling, correlation and Fourier power are DataFrame plans. Recursive filters and greedy peak picking are
-sequential within one series, so they run over one series at a time in a task; a series is one recording.
+Smoothing and resampling are DataFrame plans. Fourier transforms, recursive filters and greedy peak picking need a whole
+series, so they run over one series at a time in a task; a series is one recording, and Spark deals the recordings.
 """
 
 from __future__ import annotations
@@ -11,14 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stridelake.operators.series import ordered, whole
+from stridelake.operators.series import after, ordered, whole
 
 
 def fill(df: DataFrame, key: str, order, value: str, out: str = "filled") -> DataFrame:
     """The last known value, and before the first one the first."""
-    w = ordered(key, order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(out, F.coalesce(F.last(value, True).over(back), F.first(value, True).over(ahead)))
+    back = ordered(key, order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.coalesce(F.last(value, True).over(back), F.last(value, True).over(after(key, order))))
 
 
 def dominant(df: DataFrame, key: str, channel: str, value: str) -> DataFrame:
@@ -59,29 +58,55 @@ def resample(df: DataFrame, key: str, time: str, value: str, points: int = 101)
     return d.select(key, "k", (F.col("v") + (F.col("v2") - F.col("v")) * (grid - F.col("t")) / (F.col("t2") - F.col("t"))).alias("value"))
 
 
+def by_recording(df: DataFrame, key: str, order, values: list[str], kind: str, f) -> DataFrame:
+    """f on the arrays (in order) of each recording, in the task that holds it: rows of f beside the key.
+
+    For transforms that need a whole recording at once; a recording is what fits a task."""
+    order = [order] if isinstance(order, str) else list(order)
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        out = f(*[p[v].to_numpy(float) for v in values])
+        return out.assign(**{key: [p[key].iloc[0]] * len(out)})
+
+    d = df.select(key, *order, *[F.col(v).cast("double").alias(v) for v in values if v not in order])
+    return d.groupBy(key).applyInPandas(one, f"{kind}, `{key}` {dict(d.dtypes)[key]}")
+
+
+def standardised(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean()) / x.std() if len(x) and x.std() > 0 else x[:0]
+
+
 def cross_correlation(df: DataFrame, key: str, order, a: str, b: str) -> DataFrame:
-    """Lag and value of the largest magnitude of the normalised cross-correlation; quadratic in a series' length."""
-    d = df.withColumn("_i", F.row_number().over(ordered(key, order)))
-    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(whole(key)), F.stddev_pop(c).over(whole(key)))
-    d = d.select(F.col(key).alias("_k"), "_i", z(a).alias("_x"), z(b).alias("_y"), F.count("*").over(whole(key)).alias("_n"))
-    x, y = d.select("_k", "_i", "_x", "_n"), d.select(F.col("_k").alias("_k2"), F.col("_i").alias("_j"), "_y")
-    c = x.join(y, F.col("_k") == F.col("_k2")).groupBy("_k", (F.col("_i") - F.col("_j")).alias("lag"))
-    c = c.agg(F.round(F.sum(F.col("_x") * F.col("_y")) / F.max("_n"), 9).alias("c")).where("c is not null")
-    top = c.groupBy("_k").agg(F.min(F.struct((-F.abs("c")).alias("s"), "lag", "c")).alias("m"))
-    return top.select(F.col("_k").alias(key), F.col("m.lag").alias("lag"), F.col("m.c").alias("peak"))
+    """Lag and value of the largest magnitude of the normalised cross-correlation, by Fourier transforms."""
+
+    def top(x, y):
+        x, y = standardised(x), standardised(y)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"lag": pd.Series(dtype="int64"), "peak": pd.Series(dtype=float)})
+        n = len(x)
+        size = 1 << (2 * n - 1).bit_length()
+        c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size) / n
+        lags = np.arange(1 - n, n)
+        c = c[lags].round(9)
+        i = int(np.abs(c).argmax())
+        return pd.DataFrame({"lag": [lags[i]], "peak": [c[i]]})
+
+    return by_recording(df, key, order, [a, b], "lag long, peak double", top).select(key, "lag", "peak")
 
 
 def dominant_frequency(df: DataFrame, key: str, order, value: str, fs: float = 1.0) -> DataFrame:
     """Frequency of the largest Fourier power of the mean-removed, Hann-weighted series of eight samples or more."""
-    d = df.withColumn("_i", F.row_number().over(ordered(key, order)) - 1)
-    d = d.withColumn("_n", F.count("*").over(whole(key))).withColumn("_c", F.col(value) - F.avg(value).over(whole(key))).where("_n >= 8")
-    d = d.withColumn("_c", F.col("_c") * (0.5 - 0.5 * F.cos(2 * np.pi * F.col("_i") / (F.col("_n") - 1))))
-    d = d.withColumn("_f", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("_n div 2"))))
-    turn = 2 * np.pi * F.col("_i") * F.col("_f") / F.col("_n")
-    p = d.groupBy(key, "_f", "_n").agg(F.sum(F.col("_c") * F.cos(turn)).alias("_re"), F.sum(F.col("_c") * F.sin(turn)).alias("_im"))
-    p = p.withColumn("_p", F.round(F.col("_re") * F.col("_re") + F.col("_im") * F.col("_im"), 6))
-    top = p.groupBy(key).agg(F.min(F.struct((-F.col("_p")).alias("s"), F.col("_f").alias("f"), F.col("_n").alias("n"))).alias("m"))
-    return top.select(key, F.col("m.f").alias("bin"), (F.col("m.f") * fs / F.col("m.n")).alias("hz"))
+
+    def top(x):
+        x = x[np.isfinite(x)]
+        if len(x) < 8:
+            return pd.DataFrame({"bin": pd.Series(dtype="int64"), "hz": pd.Series(dtype=float)})
+        power = (np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2).round(6)[1:]
+        i = int(power.argmax()) + 1
+        return pd.DataFrame({"bin": [i], "hz": [i * fs / len(x)]})
+
+    return by_recording(df, key, order, [value], "bin long, hz double", top).select(key, "bin", "hz")
 
 
 def butter(order: int, cutoff: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +118,40 @@ def butter(order: int, cutoff: float, fs: float) -> tuple[np.ndarray, np.ndarray
     return b * a.sum() / b.sum(), a
 
 
+def band(low: float, high: float, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Second-order Butterworth band-pass coefficients: the low-pass prototype moved to the band, then bilinear."""
+    wl, wh = (2 * fs * np.tan(np.pi * f / fs) for f in (low, high))
+    width, centre = wh - wl, np.sqrt(wl * wh)
+    proto = np.exp(1j * np.pi * np.array([3, 5]) / 4) * width / 2
+    poles = np.concatenate([proto + np.sqrt(proto**2 - centre**2), proto - np.sqrt(proto**2 - centre**2)])
+    a = np.real(np.poly((2 * fs + poles) / (2 * fs - poles)))
+    b = np.array([1.0, 0.0, -2.0, 0.0, 1.0])
+    z = np.exp(1j * 2 * np.arctan(centre / (2 * fs)))
+    return b * np.abs(np.polyval(a, z)) / np.abs(np.polyval(b, z)), a
+
+
+BLOCK = 128
+
+
 def _recursive(b, a, x, state):
+    """Direct-form filter by blocks: within a block the output is a matrix product of its inputs and the state before."""
+    order = len(b) - 1
+    shift = np.eye(order, k=1)
+    shift[:, 0] -= a[1:]
+    drive = b[1:] - a[1:] * b[0]
+    powers = [np.eye(order)]
+    for _ in range(BLOCK):
+        powers.append(shift @ powers[-1])
+    seen = np.stack([p[0] for p in powers[:BLOCK]])  # first state component after k steps
+    impulse = np.append(b[0], seen[: BLOCK - 1] @ drive)
+    lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+    direct = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    feed = np.stack([powers[BLOCK - 1 - j] @ drive for j in range(BLOCK)])
     y = np.empty_like(x)
-    for i, v in enumerate(x):  # each output needs the one before
-        y[i] = b[0] * v + state[0]
-        state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y[i]
+    for i in range(0, len(x), BLOCK):
+        u = x[i : i + BLOCK]
+        y[i : i + BLOCK] = direct[: len(u), : len(u)] @ u + seen[: len(u)] @ state
+        state = powers[len(u)] @ state + feed[BLOCK - len(u) :].T @ u
     return y
 
 
@@ -136,28 +190,79 @@ def low_pass(df: DataFrame, key: str, order: str, value: str, cutoff: float, fs:
     return out.withColumn("filtered", F.nanvl("filtered", F.lit(None).cast("double")))
 
 
-def peaks(df: DataFrame, key: str, order: str, value: str, distance: int = 5, height: float | None = None) -> DataFrame:
-    """Local maxima (a plateau counts at its middle), of which the highest suppress others closer than `distance`
-    samples; of equal ones the later goes first."""
+def band_pass(df: DataFrame, key: str, order: str, value: str, fs: float, low: float = 0.5, high: float = 3.0) -> DataFrame:
+    """Zero-phase band-pass of the median-centred series; the upper edge is at most 0.9 of the Nyquist rate. Series of
+    fewer than 8 samples, and empty bands, are only centred."""
+    top = min(high, 0.9 * fs / 2) if fs > 0 else 0.0
+    usable = 0 < low < top
+    b, a = band(low, top, fs) if usable else (None, None)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order)
         x = p[value].to_numpy(float)
-        edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
-        level, end = x[edge], np.r_[edge[1:], len(x)] - 1
-        top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-        at = (edge[top] + end[top]) // 2
-        if height is not None:
-            at = at[x[at] >= height]
-        keep = np.ones(len(at), bool)
-        for i in np.lexsort((at, x[at]))[::-1]:
-            if keep[i]:
-                keep &= (np.abs(at - at[i]) >= distance) | (np.arange(len(at)) == i)
-        at = at[keep]
-        return pd.DataFrame({key: p[key].iloc[at], order: p[order].iloc[at], "height": x[at]})
+        x = x - np.nanmedian(x)
+        return pd.DataFrame({key: p[key], order: p[order], "filtered": both_ways(b, a, x) if usable and len(x) >= 8 else x})
 
     d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value))
     kinds = dict(d.dtypes)
+    return d.groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, filtered double")
+
+
+def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian weights out to four sigma, the ends mirrored with the end sample repeated."""
+    if not sigma or not sigma > 0 or not len(x):
+        return x
+    reach = int(4 * sigma + 0.5)
+    weights = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma * sigma))
+    at = np.arange(-reach, len(x) + reach) % (2 * len(x))
+    return np.convolve(x[np.where(at < len(x), at, 2 * len(x) - 1 - at)], weights / weights.sum(), "valid")
+
+
+def found_peaks(x: np.ndarray, distance: int = 1, height: float | None = None, prominence: float | None = None) -> np.ndarray:
+    """Local maxima (a plateau counts at its middle) of at least `height`, of which the highest suppress others closer
+    than `distance` samples (of equal ones the later goes first), then those of at least `prominence`."""
+    edge = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+    level, end = x[edge], np.r_[edge[1:], len(x)] - 1
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    at = (edge[top] + end[top]) // 2
+    if height is not None:
+        at = at[x[at] >= height]
+    keep, order = np.ones(len(at), bool), np.lexsort((at, x[at]))[::-1]
+    for i in order:
+        if keep[i]:
+            lo, hi = np.searchsorted(at, (at[i] - distance + 1, at[i] + distance))
+            mine = keep[i]
+            keep[lo:hi] = False
+            keep[i] = mine
+    at = at[keep]
+    if prominence is not None:
+        rise = []
+        for i in at:
+            left, right = np.flatnonzero(x[:i] > x[i]), np.flatnonzero(x[i + 1 :] > x[i])
+            lo, hi = (left[-1] + 1 if len(left) else 0), (i + 1 + right[0] if len(right) else len(x))
+            rise.append(x[i] - max(x[lo : i + 1].min(), x[i:hi].min()))
+        at = at[np.array(rise, float) >= prominence] if len(at) else at
+    return at
+
+
+def peaks(df: DataFrame, key: str, order: str, value: str, distance=5, height=None, prominence=None, sigma=None) -> DataFrame:
+    """key, order, height of the peaks of each series (see found_peaks), smoothed first where sigma is given.
+
+    Each parameter is a number for all series, or the name of a column that is constant within a series."""
+    given = {"distance": distance, "height": height, "prominence": prominence, "sigma": sigma}
+    columns = {k: v for k, v in given.items() if isinstance(v, str)}
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        use = {k: p["_" + k].iloc[0] if k in columns else v for k, v in given.items()}
+        use = {k: None if v is None or v != v else v for k, v in use.items()}
+        x = gaussian(p[value].to_numpy(float), use.pop("sigma"))
+        use["distance"] = max(1, int(use["distance"] or 1))
+        at = found_peaks(x, **use)
+        return pd.DataFrame({key: p[key].iloc[at], order: p[order].iloc[at], "height": x[at]})
+
+    d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value), *[F.col(c).cast("double").alias("_" + k) for k, c in columns.items()])
+    kinds = dict(d.dtypes)
     return d.groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, height double")
 
 

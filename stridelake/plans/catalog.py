@@ -308,10 +308,15 @@ def quality_checks(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("text")).alias("n_repeated"), missing)
 
 
-EMB = EV + """, o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, (value - avg(value) OVER (PARTITION BY user_id)) / nullif(stddev_pop(value) OVER (PARTITION BY user_id), 0) AS x FROM ev),
+def _embedding(kept: str) -> str:
+    return EV + f""", nb AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS r0, count(*) OVER (PARTITION BY user_id) AS n0 FROM ev), ns AS (SELECT * FROM nb WHERE {kept}),
+o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, (value - avg(value) OVER (PARTITION BY user_id)) / nullif(stddev_pop(value) OVER (PARTITION BY user_id), 0) AS x FROM ns),
 p AS (SELECT *, lead(x) OVER (PARTITION BY user_id ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY user_id ORDER BY i) AS z FROM o)"""
 
 
+EMB = _embedding("n0 <= 900 OR ((r0 * 899 + n0 - 2) // greatest(n0 - 1, 1) * (n0 - 1)) // 899 = r0")  # 900 samples, spread evenly
+
+
 @query(EMB + """, c AS (SELECT a.user_id, count(*) FILTER (abs(a.x-b.x) <= 0.2 AND abs(a.y-b.y) <= 0.2) AS b_pairs, count(*) FILTER (abs(a.x-b.x) <= 0.2 AND abs(a.y-b.y) <= 0.2 AND abs(a.z-b.z) <= 0.2) AS a_pairs FROM p a JOIN p b ON a.user_id = b.user_id AND a.i < b.i GROUP BY 1)
 SELECT user_id, b_pairs, a_pairs, CASE WHEN a_pairs > 0 AND b_pairs > 0 THEN round(-ln(a_pairs / b_pairs::DOUBLE), 6) END AS sampen FROM c""")
 def sample_entropy(spark, d):
@@ -319,15 +324,15 @@ def sample_entropy(spark, d):
     return pairs.sample_entropy(e, "user_id").select("user_id", "b_pairs", "a_pairs", *r("sampen"))
 
 
-@query(EMB + """, q AS (SELECT user_id, (x <= y)::INT || '' || (y <= z)::INT || (x <= z)::INT AS pat, count(*) AS n FROM p WHERE z IS NOT NULL GROUP BY ALL), f AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM q)
+@query(_embedding("true") + """, q AS (SELECT user_id, (x <= y)::INT || '' || (y <= z)::INT || (x <= z)::INT AS pat, count(*) AS n FROM p WHERE z IS NOT NULL GROUP BY ALL), f AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM q)
 SELECT user_id, round(-sum(p * log2(p)) / log2(6), 6) AS perm_entropy FROM f GROUP BY user_id""")
 def permutation_entropy(spark, d):
-    e = pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value")
+    e = pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value", most=None)  # linear: no sample is needed
     return pairs.permutation_entropy(e, "user_id").select("user_id", *r("perm_entropy"))
 
 
 @query(EMB + """, v AS (SELECT * FROM p WHERE z IS NOT NULL), j AS (SELECT a.user_id, a.i, b.i AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS d FROM v a JOIN v b ON a.user_id = b.user_id AND abs(a.i-b.i) > 10)
-SELECT user_id, i, j, round(d, 6) AS d FROM j WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY d, j) = 1""")
+, n AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY d, j) = 1) SELECT user_id, i, j, round(d, 6) AS d FROM n WHERE d > 0""")
 def nearest_neighbour(spark, d):
     e = pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value")
     n = pairs.nearest_neighbour(e, "user_id")
@@ -420,7 +425,7 @@ def symbolic_entropy(spark, d):
 
 
 DIV = EMB + """, v AS (SELECT * FROM p WHERE z IS NOT NULL), j AS (SELECT a.user_id, a.i, b.i AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS d FROM v a JOIN v b ON a.user_id = b.user_id AND abs(a.i-b.i) > 10),
-nn AS (SELECT * FROM j WHERE d > 0 QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY d, j) = 1),
+nn AS (SELECT * FROM (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY user_id, i ORDER BY d, j) = 1) WHERE d > 0),
 dv AS (SELECT nn.user_id, nn.d AS d0, s.k, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS dk FROM nn CROSS JOIN generate_series(1, 19) AS s(k) JOIN v a ON a.user_id = nn.user_id AND a.i = nn.i + s.k JOIN v b ON b.user_id = nn.user_id AND b.i = nn.j + s.k)"""
 
 
@@ -430,11 +435,24 @@ def lyapunov_wolf(spark, d):
 
 
 @query(DIV + """, m AS (SELECT user_id, k, avg(ln(dk)) AS m FROM dv WHERE dk > 0 GROUP BY ALL), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k) <= 8)
-SELECT user_id, round(regr_slope(m, k), 6) AS rosenstein FROM f GROUP BY 1""")
+SELECT user_id, CASE WHEN max(n) >= 25 AND count(*) >= 3 THEN round(regr_slope(m, k), 6) END AS rosenstein FROM f JOIN (SELECT user_id, count(*) AS n FROM v GROUP BY 1) USING (user_id) GROUP BY 1""")
 def lyapunov_rosenstein(spark, d):
     return pairs.rosenstein(pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value"), "user_id").select("user_id", *r("rosenstein"))
 
 
+@query(EMB + """, v AS (SELECT * FROM p WHERE z IS NOT NULL), j AS (SELECT a.user_id, a.i, b.i AS j, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), 9) AS d FROM v a JOIN v b ON a.user_id = b.user_id),
+rd AS (SELECT user_id, quantile_cont(d, 0.1) AS radius FROM j WHERE i < j AND d > 0 GROUP BY 1), m AS (SELECT j.*, d <= radius AND i <> j AS on_ FROM j JOIN rd USING (user_id)),
+l AS (SELECT user_id, 'd' AS kind, j - i AS l, i AS p FROM m WHERE on_ UNION ALL SELECT user_id, 'v', j, i FROM m WHERE on_ UNION ALL SELECT user_id, 'w', j, i FROM m WHERE NOT on_),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY user_id, kind, l ORDER BY p) AS g FROM l), n AS (SELECT user_id, kind, count(*) AS n FROM g GROUP BY user_id, kind, l, g HAVING count(*) >= 2), c AS (SELECT user_id, kind, n, count(*) AS c FROM n GROUP BY ALL),
+q AS (SELECT *, c / sum(c) OVER (PARTITION BY user_id, kind) AS q FROM c), s AS (SELECT user_id, kind, sum(n * c) AS total, sum(n * c) / sum(c) AS mean, max(n)::DOUBLE AS most, -sum(q * log2(q)) AS entropy FROM q GROUP BY ALL),
+z AS (SELECT user_id, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5), o2 AS (SELECT user_id, count(*) FILTER (on_) AS on_ FROM m GROUP BY 1)
+SELECT z.user_id, round(o2.on_ / (z.n * (z.n - 1))::DOUBLE, 6) AS rec, round(max(total) FILTER (kind = 'd') / nullif(any_value(o2.on_), 0), 6) AS det, round(max(total) FILTER (kind = 'v') / nullif(any_value(o2.on_), 0), 6) AS lam, round(max(mean) FILTER (kind = 'd'), 6) AS mean_line, max(most) FILTER (kind = 'd') AS max_line,
+round(max(entropy) FILTER (kind = 'd'), 6) AS entropy_line, round(max(entropy) FILTER (kind = 'v'), 6) AS entropy_vertical, round(max(entropy) FILTER (kind = 'w'), 6) AS entropy_white FROM z JOIN o2 USING (user_id) LEFT JOIN s USING (user_id) GROUP BY z.user_id, z.n, o2.on_""")
+def recurrence(spark, d):
+    e = pairs.embedded(events(spark, d), "user_id", ["us", "event_id"], "value")
+    return pairs.recurrence(e, "user_id").select("user_id", *r("rec", "det", "lam", "mean_line"), "max_line", *r("entropy_line", "entropy_vertical", "entropy_white"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def label_semi_join(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
@@ -450,7 +468,7 @@ def outer_assembly(spark, d):
 @query()
 def kmeans_profiles(spark, d):
     v = clusters.standardised(clusters.vectors(table(spark, d, "embeddings"), "vec_id", "embedding"))
-    return clusters.kmeans(v, "vec_id")
+    return clusters.kmeans(v, "vec_id", starts=5)
 
 
 @query()
