@@ -5,7 +5,9 @@ Words are hashed, k-word shingles are hashed from them, and a document is its se
 
 1. Dealing. Linked sets differ in at most D shingles, so when all shingles are hashed into D + 1 groups or more, linked
    sets agree on one whole group at least. Each document sends the hash of each of its groups (per size class and the next),
-   so linked documents meet under one signature at least, whatever words are frequent. A task first joins its own
+   so linked documents meet under one signature at least, whatever words are frequent; with some groups more, each
+   document leaves out as many of its groups of frequent shingles (passages that many documents share), and linked
+   ones still meet. A task first joins its own
    documents, as in 3, and lets the smallest of those that are linked speak for all of them; so a signature has at most
    one row per map task, and a group of near copies few speakers. Under each signature all speakers, with those for
    whom they speak, are tied to the smallest, so linked documents stand together in a star at least. Stars are never
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.llm.components import connected
-from stridelake.llm.shared import U64, batches_of, id_text, mix, pack, return_memory, segments, slices, text_bytes, unpack, utf8, word_hashes, written
+from stridelake.llm.shared import U64, batches_of, id_text, mix, pack, return_memory, segments, slices, unpack, utf8, word_hashes, written
 
 GROUPS = 64
 FANOUT = 16
@@ -87,22 +89,37 @@ def size_classes(most: int, percent: int) -> np.ndarray:
 def group_counts(tops: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Groups of each size class, and how many more than the differences (plus one) these are.
 
-    With x groups more, linked sets agree on x + 1 groups at least, so a set with x empty groups or fewer shares one that
-    is not empty, and need not send its empty ones. x is chosen above the usual number of empty groups.
+    With x groups more, linked sets agree on x + 1 groups at least. In any order of groups that is the same for all sets,
+    a set may so leave out its first x groups: of what linked sets agree on, the last one stands behind x others. Empty
+    groups go first, then groups of shingles that are frequent. x is chosen above the usual number of empty groups.
     """
     k = 2 * tops * (100 - percent) // (100 + percent) + 1
     low = np.maximum(1, (np.append(0, tops[:-1]) + 1) * percent // 100)
     empty = k * np.exp(-low / k)
-    more = np.where(k < 10, 0, np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64) + 1)
+    more = np.where(k < 10, 0, np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64) + 1) + k // 6
     return k + more, more
 
 
-def signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and document number, for each group of each document at its own class and the next."""
+class Frequent:
+    """Frequent shingles (sorted) and how often each was seen; only the order in which groups are left out depends on it."""
+
+    def __init__(self, shingles=(), counts=()):
+        order = np.argsort(np.array(shingles, U64))
+        self.shingles, self.counts = np.array(shingles, U64)[order], np.array(counts, np.int64)[order]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == s, self.counts[at], 0)
+
+
+def signatures(s: np.ndarray, sizes: np.ndarray, percent: int, frequent: Frequent = Frequent()) -> tuple[np.ndarray, np.ndarray]:
+    """Signature and document number, for each group that each document sends at its own class and the next."""
     tops = size_classes(int(sizes.max(initial=1)) * 2, percent)
     groups, more = group_counts(tops, percent)
     level0, out = np.searchsorted(tops, np.maximum(sizes, 1)), []
-    doc_of = segments(sizes)
+    doc_of, seen_often = segments(sizes), frequent.of(s)
 
     def grouped(pick, level, seed):
         """Owner, group and hash of each group of the picked documents, and which groups have a shingle."""
@@ -113,24 +130,32 @@ def signatures(s: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarr
         slot = base[d] + (v % k[d].astype(U64)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         slot, v = slot[order], mix(v[order] ^ U64(0xA5A5A5A5))
-        total = np.zeros(int(k.sum()), U64)
+        total, common = np.zeros(int(k.sum()), U64), np.zeros(int(k.sum()), np.int64)
         first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else slot
         total[slot[first]] = np.add.reduceat(v, first) if len(slot) else v
+        if len(slot):  # a group is as frequent as its rarest shingle
+            common[slot[first]] = np.minimum.reduceat(seen_often[keep][order], first)
         seen = np.zeros(len(total), bool)
         seen[slot] = True
         owner = segments(k)
         group = (np.arange(len(total)) - base[owner]).astype(U64)
-        return owner, group, mix(total + mix(level[owner].astype(U64) * U64(1 << 32) + group + U64(seed))), seen
+        return owner, group, mix(total + mix(level[owner].astype(U64) * U64(1 << 32) + group + U64(seed))), seen, common
 
     for up in (0, 1):
         level = level0 + up
-        owner, group, sig, seen = grouped(sizes > 0, level, 0)
-        out.append((sig[seen], owner[seen]))
+        owner, group, sig, seen, common = grouped(sizes > 0, level, 0)
         empty = np.bincount(owner[~seen], minlength=len(sizes))
+        spare = np.maximum(0, more[level] - empty)  # groups that may be left out: the most frequent ones
+        hot = np.flatnonzero(common > 0)
+        hot = hot[np.lexsort((sig[hot], -common[hot], owner[hot]))]
+        turn = np.arange(len(hot)) - np.searchsorted(owner[hot], owner[hot])
+        sent = seen.copy()
+        sent[hot[turn < spare[owner[hot]]]] = False
+        out.append((sig[sent], owner[sent]))
         # An empty group says little, so where it must be sent, it goes with each group of a second grouping.
         often = empty > more[level]
         if often.any():
-            owner2, _, sig2, _ = grouped(often, level, 1)
+            owner2, _, sig2, _, _ = grouped(often, level, 1)
             cut = np.searchsorted(owner2, np.arange(len(sizes) + 1))
             for d, g in zip(owner[~seen & often[owner]], group[~seen & often[owner]]):
                 part = sig2[cut[d] : cut[d + 1]]
@@ -258,7 +283,24 @@ def speakers(sig: np.ndarray, who: np.ndarray, ids: np.ndarray, sets: list[np.nd
     return sig[new], ids[of[who[new]]], ids[stars], np.concatenate(links)
 
 
-def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
+def frequent_shingles(source: DataFrame, k: int, rows: int, sample: int = 2_000, most: int = 200_000) -> Frequent:
+    """Shingles that occur in two or more of about `sample` documents (drawn by a hash of text and id), at most `most`.
+
+    What is left out by their order never changes what links (see group_counts), so the sample decides cost alone."""
+
+    def run(batches):
+        for b in batches:
+            data, offs = utf8(b.column("text"))
+            for i, j in slices(offs):
+                s, _ = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+                yield pa.record_batch([pa.array(s.view(np.int64))], names=["s"])
+
+    drawn = source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows // sample))) == 0)
+    got = drawn.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(most).collect()
+    return Frequent(np.array([r.s for r in got], np.int64).view(U64), [r.n for r in got])
+
+
+def _scan(percent: int, k: int, buckets: int, frequent: Frequent, flush: int = 500_000):
     """Base rows (kind 0), signatures by bucket (kind 1); within the task whom a speaker answers for (kind 3) and links (kind 4)."""
     names = ["kind", "a", "b", "n", "f1", "f2", "blob", "blob2"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -302,7 +344,7 @@ def _scan(percent: int, k: int, buckets: int, flush: int = 500_000):
                     fresh[x] = key not in seen
                     seen.add(key)
                 if fresh.any():
-                    sig, owner = signatures(s[fresh[segments(sizes)]], np.where(fresh, sizes, 0), percent)
+                    sig, owner = signatures(s[fresh[segments(sizes)]], np.where(fresh, sizes, 0), percent, frequent)
                     number = np.cumsum(fresh) - 1 + len(sets)
                     sigs.append(sig)
                     who.append(number[owner])
@@ -356,9 +398,10 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3, tile_shingles: int = TI
 
 def _join(docs: DataFrame, percent: int, k: int, tile_shingles: int) -> DataFrame:
     source = id_text(docs)
-    buckets = max(64, text_bytes(source) // (8 << 20))
+    size, rows = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    buckets, frequent = max(64, size // (8 << 20)), frequent_shingles(source, k, rows)
     kind = "kind int, a long, b long, n long, f1 long, f2 long"
-    scan = source.mapInArrow(_scan(percent, k, buckets), f"{kind}, blob binary, blob2 binary")
+    scan = source.mapInArrow(_scan(percent, k, buckets, frequent), f"{kind}, blob binary, blob2 binary")
     # Signatures go to their bucket; the other rows, which are small, stay together by task.
     keyed = scan.withColumn("key", F.when(F.col("kind") == 1, F.col("a")).otherwise(F.spark_partition_id() % buckets)).repartition("key")
     scan = written(keyed.drop("key").sortWithinPartitions("kind", "a").mapInArrow(_meet, kind), "shingles")
