@@ -285,3 +285,16 @@ def spectral_entropy(df: DataFrame, key: str, order: str, value: str, segment: i
     d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value))
     out = d.groupBy(key).applyInPandas(one, f"`{key}` {dict(d.dtypes)[key]}, spectral_entropy double")
     return out.withColumn("spectral_entropy", F.nanvl("spectral_entropy", F.lit(None).cast("double")))
+
+
+def smoothed(df: DataFrame, key: str, order: str, value: str, sigma) -> DataFrame:
+    """key, order, smooth: Gaussian smoothing of whole recordings; sigma is a number or the name of a column."""
+    column = sigma if isinstance(sigma, str) else None
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        return pd.DataFrame({key: p[key], order: p[order], "smooth": gaussian(p[value].to_numpy(float), p["_sigma"].iloc[0] if column else sigma)})
+
+    d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value), *([F.col(column).cast("double").alias("_sigma")] if column else []))
+    kinds = dict(d.dtypes)
+    return d.groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, smooth double")

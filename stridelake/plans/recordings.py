@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stridelake.operators import segments, series
+from stridelake.operators import features, segments, series
 from stridelake.plans.catalog import query, r, table
 
 
@@ -192,3 +192,125 @@ y AS (SELECT rec, greatest(0, CASE WHEN s IS NOT NULL THEN coalesce(f, 0) - pad
 SELECT y.rec, first, last, round(p.t, 6) AS start, round(q.t, 6) AS "end", round(q.t - p.t, 6) AS duration FROM y JOIN mot p ON p.rec = y.rec AND p.i = first JOIN mot q ON q.rec = y.rec AND q.i = last""")
 def motion_window(spark, d):
     return span(segments.motion_window(motion(spark, d), "rec", "i", "t", "acc", k=1.0, least=0.1, pad=0.15), "first", "last")
+
+
+def smooth_sql(value: str, sigma: float, source: str, out: str) -> str:
+    """CTEs of the Gaussian smoothing of a value along i = 0, 1 ...: out (rec, i, t, s)."""
+    reach = int(4 * sigma + 0.5)
+    return f""", {out}n AS (SELECT rec, t, {value} AS v, row_number() OVER (PARTITION BY rec ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY rec) AS n FROM {source}),
+{out}o AS (SELECT rec, i, t, n, o, ((i + o) % (2*n) + 2*n) % (2*n) AS m FROM {out}n, generate_series(-{reach}, {reach}) AS s(o)),
+{out} AS (SELECT o.rec, o.i, any_value(o.t) AS t, sum(exp(-o*o / {2 * sigma * sigma}::DOUBLE) * x.v) / sum(exp(-o*o / {2 * sigma * sigma}::DOUBLE)) AS s FROM {out}o o JOIN {out}n x ON x.rec = o.rec AND x.i = CASE WHEN m < o.n THEN m ELSE 2*o.n-1-m END GROUP BY o.rec, o.i)"""
+
+
+def peaks_sql(source: str, height: str, distance: str, out: str) -> str:
+    """CTEs of the peaks of s in source (rec, i, t, s and what height and distance name): out (rec, i, t)."""
+    return f""", {out}c AS (SELECT *, lag(s) OVER w AS lo, lead(s) OVER w AS hi FROM {source} WINDOW w AS (PARTITION BY rec ORDER BY i)),
+{out}l AS (SELECT rec, list([i] ORDER BY s DESC, i DESC) AS l, any_value({distance}) AS d FROM {out}c WHERE s > lo AND s > hi AND s >= {height} GROUP BY rec),
+{out}k AS (SELECT rec, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: abs(y - x[1]) < d)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS i FROM {out}l),
+{out} AS (SELECT k.rec, k.i, s.t FROM {out}k k JOIN {source} s ON s.rec = k.rec AND s.i = k.i)"""
+
+
+WALK = SMP + active_sql("useracc", 1.0, 0.25, None, 1.0, "a") + FS + """, win AS (SELECT mot.* FROM mot JOIN a USING (rec) WHERE start IS NOT NULL AND t BETWEEN start AND "end"),
+wf AS (SELECT rec, 1 / median(st) AS wfs FROM (SELECT rec, t - lag(t) OVER (PARTITION BY rec ORDER BY i) AS st FROM win) WHERE st > 0 GROUP BY rec)""" + smooth_sql("useracc", 3.0, "win", "sm") + """,
+sp AS (SELECT sm.*, threshold, greatest(1, round_even(0.3::DOUBLE * wfs, 0)) AS apart FROM sm JOIN a USING (rec) JOIN wf USING (rec))""" + peaks_sql("sp", "threshold", "apart", "pk") + """,
+gp AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS g FROM pk), ct AS (SELECT rec, count(*)::DOUBLE AS n, avg(g) AS m, stddev_pop(g) AS sd FROM gp GROUP BY rec),
+task AS (SELECT rec, max(t) - min(t) AS task FROM mot GROUP BY rec), base AS (SELECT task.rec, task, duration, coalesce(n, 0) AS n, m, sd FROM task LEFT JOIN a USING (rec) LEFT JOIN ct USING (rec))"""
+STEP_NAMES = ["walk_duration", "step_count", "cadence", "walk_task_duration", "walk_task_cadence", "walk_task_mean_step_time", "walk_protocol_duration", "walk_protocol_cadence", "walk_protocol_mean_step_time", "walking_speed", "mean_step_time", "step_time_std", "step_time_cv"]
+
+
+def _walk(spark, d):
+    return features.walk(motion(spark, d), "rec", "useracc", "gyro")
+
+
+@query(WALK + """ SELECT rec, round(duration, 6) AS walk_duration, n AS step_count, round(60 * n / duration, 6) AS cadence, round(task, 6) AS walk_task_duration, round(60 * n / nullif(task, 0), 6) AS walk_task_cadence, round(task / nullif(n, 0), 6) AS walk_task_mean_step_time,
+30.0::DOUBLE AS walk_protocol_duration, round(60 * n / 30.0::DOUBLE, 6) AS walk_protocol_cadence, round(30.0::DOUBLE / nullif(n, 0), 6) AS walk_protocol_mean_step_time, round(10.0::DOUBLE / duration, 6) AS walking_speed, round(m, 6) AS mean_step_time, round(sd, 6) AS step_time_std, round(sd / m, 6) AS step_time_cv FROM base""")
+def walk_steps(spark, d):
+    return _walk(spark, d).select("rec", *r(*STEP_NAMES))
+
+
+@query(WALK + """, tw AS (SELECT rec, row_number() OVER w AS n, t AS a, lead(t, 10) OVER w AS b, lead(t) OVER w - t AS g FROM pk WINDOW w AS (PARTITION BY rec ORDER BY t)),
+ts AS (SELECT *, stddev_pop(g) OVER w AS sd, min(g) OVER w AS lo, max(g) OVER w AS hi FROM tw WINDOW w AS (PARTITION BY rec ORDER BY a ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+tc AS (SELECT ts.*, b - ts.a AS d, 600 / (b - ts.a) AS cad, sd / ((b - ts.a) / 10) AS cv, (x.start + x."end") / 2 AS mid FROM ts JOIN a x USING (rec) WHERE b IS NOT NULL), tf AS (SELECT *, cad BETWEEN 30 AND 180 AND lo >= 0.25 AND hi <= 2.5 AS fine FROM tc),
+tp AS (SELECT * FROM tf QUALIFY row_number() OVER (PARTITION BY rec ORDER BY fine DESC, CASE WHEN fine THEN round(cv, 9) END NULLS FIRST, CASE WHEN fine THEN round(abs((a + b) / 2 - mid), 6) END NULLS FIRST, n) = 1)
+SELECT task.rec, round(a, 6) AS walk_10_step_start_time, round(b, 6) AS walk_10_step_end_time, round(d, 6) AS walk_10_step_duration, CASE WHEN d IS NOT NULL THEN 10.0::DOUBLE END AS walk_10_step_count, round(cad, 6) AS walk_10_step_cadence, round(d / 10, 6) AS walk_10_step_mean_step_time, round(cv, 6) AS walk_10_step_time_cv FROM task LEFT JOIN tp USING (rec)""")
+def walk_ten_steps(spark, d):
+    return _walk(spark, d).select("rec", *r(*[n for n in features.WALK if "10_step" in n]))
+
+
+@query(WALK + """, wi AS (SELECT mot.* FROM mot JOIN a USING (rec) WHERE start IS NULL OR t BETWEEN start AND "end"),
+g AS (SELECT rec, t, useracc AS f, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, lag(useracc) OVER w AS lo, lead(useracc) OVER w AS hi FROM mot WINDOW w AS (PARTITION BY rec ORDER BY t)),
+j AS (SELECT rec, t, CASE WHEN hs IS NULL THEN (hi - f) / nullif(hd, 0) WHEN hd IS NULL THEN (f - lo) / nullif(hs, 0) ELSE (hs*hs*hi + (hd*hd - hs*hs)*f - hd*hd*lo) / nullif(hs*hd*(hs+hd), 0) END AS j FROM g), ji AS (SELECT j.* FROM j JOIN a USING (rec) WHERE start IS NULL OR t BETWEEN start AND "end")
+SELECT rec, round(avg(useracc), 6) AS walk_acc_mag_mean, round(stddev_pop(useracc), 6) AS walk_acc_mag_std, round(sqrt(avg(useracc * useracc)), 6) AS walk_acc_mag_rms, round(stddev_pop(gyro), 6) AS walk_gyro_mag_std, any_value(jm) AS walk_jerk_mean, any_value(js) AS walk_jerk_std
+FROM wi JOIN (SELECT rec, round(avg(abs(j)), 6) AS jm, round(stddev_pop(j), 6) AS js FROM ji GROUP BY rec) USING (rec) GROUP BY rec""")
+def walk_motion(spark, d):
+    return _walk(spark, d).select("rec", *r("walk_acc_mag_mean", "walk_acc_mag_std", "walk_acc_mag_rms", "walk_gyro_mag_std", "walk_jerk_mean", "walk_jerk_std"))
+
+
+@query(WALK + """, wi AS (SELECT mot.rec, useracc - avg(useracc) OVER (PARTITION BY mot.rec) AS x, row_number() OVER (PARTITION BY mot.rec ORDER BY i) AS i FROM mot JOIN a USING (rec) WHERE start IS NULL OR t BETWEEN start AND "end"),
+lg AS (SELECT rec, round_even(m * fs, 0)::BIGINT AS lag FROM ct JOIN fr USING (rec) WHERE m IS NOT NULL), v AS (SELECT rec, sum(x*x) AS v, count(*) AS n FROM wi GROUP BY rec),
+c AS (SELECT p.rec, sum(p.x * q.x) FILTER (p.i - q.i = lag) AS one, sum(p.x * q.x) FILTER (p.i - q.i = 2 * lag) AS two FROM wi p JOIN lg ON lg.rec = p.rec JOIN wi q ON q.rec = p.rec AND (p.i - q.i = lag OR p.i - q.i = 2 * lag) GROUP BY p.rec)
+SELECT lg.rec, CASE WHEN lag > 0 AND lag < n THEN round(one / nullif(v, 0), 6) END AS step_regularity, CASE WHEN lag > 0 AND 2 * lag < n THEN round(two / nullif(v, 0), 6) END AS stride_regularity FROM lg JOIN v USING (rec) LEFT JOIN c USING (rec)""")
+def walk_regularity(spark, d):
+    return _walk(spark, d).where("mean_step_time is not null").select("rec", *r("step_regularity", "stride_regularity"))
+
+
+def welch_sql(source: str, out: str, segment: int = 256) -> str:
+    """CTEs of the Welch entropy of v in source (rec, i from 0, v): out (rec, entropy)."""
+    return f""", {out}n AS (SELECT rec, i, v, least({segment}, count(*) OVER (PARTITION BY rec)) AS z, count(*) OVER (PARTITION BY rec) AS n FROM {source}),
+{out}g AS (SELECT rec, z, unnest(range(0, n - z + 1, z - z // 2)) AS b FROM (SELECT DISTINCT rec, z, n FROM {out}n WHERE z >= 4)),
+{out}s AS (SELECT g.rec, g.b, g.z, n.i - g.b AS k, n.v - avg(n.v) OVER (PARTITION BY g.rec, g.b) AS v FROM {out}g g JOIN {out}n n ON n.rec = g.rec AND n.i >= g.b AND n.i < g.b + g.z),
+{out}f AS (SELECT rec, b, z, f, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / z)) * cos(2 * pi() * k * f / z)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * k / z)) * sin(2 * pi() * k * f / z)) AS im FROM {out}s, unnest(range(0, z // 2 + 1)) AS q(f) GROUP BY ALL),
+{out}a AS (SELECT rec, z, f, avg(re*re + im*im) AS p0 FROM {out}f GROUP BY rec, z, f), {out}p AS (SELECT rec, z, f, p0 * CASE WHEN f > 0 AND 2 * f < z THEN 2 ELSE 1 END AS p FROM {out}a), {out}q AS (SELECT rec, z, p / sum(p) OVER (PARTITION BY rec) AS q, sum(p) OVER (PARTITION BY rec) AS total FROM {out}p),
+{out} AS (SELECT rec, CASE WHEN max(total) > 0 THEN -(sum(q * log2(q)) FILTER (q > 0)) / log2(max(z) // 2 + 1) END AS entropy FROM {out}q GROUP BY rec)"""
+
+
+@query(WALK + """, wi AS (SELECT mot.rec, useracc AS v, row_number() OVER (PARTITION BY mot.rec ORDER BY i) - 1 AS i FROM mot JOIN a USING (rec) WHERE start IS NULL OR t BETWEEN start AND "end")""" + welch_sql("wi", "we") + """,
+h AS (SELECT rec, i, count(*) OVER p AS n, (v - avg(v) OVER p) * (0.5 - 0.5 * cos(2 * pi() * i / (count(*) OVER p - 1))) AS c FROM wi WINDOW p AS (PARTITION BY rec)),
+pw AS (SELECT rec, n, f, sum(c * cos(2 * pi() * i * f / n)) AS re, sum(c * sin(2 * pi() * i * f / n)) AS im FROM h, unnest(range(1, n // 2 + 1)) AS s(f) WHERE n >= 8 GROUP BY ALL), tp AS (SELECT rec, f / n::DOUBLE AS hz FROM pw QUALIFY row_number() OVER (PARTITION BY rec ORDER BY round(re*re + im*im, 6) DESC, f) = 1)
+SELECT we.rec, round(hz * fs, 6) AS walk_dominant_frequency, round(entropy, 6) AS walk_spectral_entropy FROM we LEFT JOIN tp USING (rec) LEFT JOIN fr USING (rec)""")
+def walk_spectrum(spark, d):
+    return _walk(spark, d).select("rec", *r("walk_dominant_frequency", "walk_spectral_entropy"))
+
+
+TURN = PEAK + """, wi AS (SELECT mot.*, abs(gyro_x) AS v, abs(useracc) AS s0, threshold, row_number() OVER (PARTITION BY mot.rec ORDER BY i) - 1 AS k FROM mot JOIN m USING (rec) JOIN top USING (rec) WHERE t BETWEEN m.start AND m."end"),
+wf AS (SELECT rec, 1 / median(st) AS wfs FROM (SELECT rec, t - lag(t) OVER (PARTITION BY rec ORDER BY i) AS st FROM wi) WHERE st > 0 GROUP BY rec)"""
+
+
+@query(TURN + smooth_sql("s0", 2.0, "wi", "sm") + """, sp AS (SELECT sm.*, quantile_cont(s, 0.55) OVER (PARTITION BY sm.rec) AS h, greatest(1, floor(0.5::DOUBLE * wfs)) AS apart FROM sm JOIN wf USING (rec))""" + peaks_sql("sp", "h", "apart", "pk") + """,
+c AS (SELECT rec, count(*)::DOUBLE AS n FROM pk GROUP BY rec), g AS (SELECT rec, t, v AS f, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, lag(v) OVER w AS lo, lead(v) OVER w AS hi FROM wi WINDOW w AS (PARTITION BY rec ORDER BY t)),
+j AS (SELECT rec, stddev_pop(CASE WHEN hs IS NULL THEN (hi - f) / nullif(hd, 0) WHEN hd IS NULL THEN (f - lo) / nullif(hs, 0) ELSE (hs*hs*hi + (hd*hd - hs*hs)*f - hd*hd*lo) / nullif(hs*hd*(hs+hd), 0) END) AS jerk FROM g GROUP BY rec),
+qn AS (SELECT rec, t, i, gyro < threshold AS q, CASE WHEN (gyro < threshold) IS DISTINCT FROM lag(gyro < threshold) OVER (PARTITION BY rec ORDER BY i) THEN 1 ELSE 0 END AS nw FROM wi), qr AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY i) AS run FROM qn),
+qs AS (SELECT rec, max(t) - min(t) AS s FROM qr WHERE q GROUP BY rec, run HAVING count(*) >= 2), ql AS (SELECT rec, s, 0.6::DOUBLE * median(CASE WHEN s > 0 THEN s END) OVER (PARTITION BY rec) AS l FROM qs), qt AS (SELECT rec, sum(s) AS p FROM ql WHERE s >= coalesce(l, 0) GROUP BY rec)
+SELECT wi.rec, round(any_value(m.duration), 6) AS duration, round(avg(v), 6) AS mean_angular_velocity, round(max(v), 6) AS peak_angular_velocity, round(stddev_pop(v), 6) AS ang_vel_std, coalesce(any_value(c.n), 0) AS step_count, round(coalesce(any_value(qt.p), 0), 6) AS pause_time, round(any_value(jerk), 6) AS jerk_std
+FROM wi JOIN m ON m.rec = wi.rec LEFT JOIN c ON c.rec = wi.rec LEFT JOIN qt ON qt.rec = wi.rec LEFT JOIN j ON j.rec = wi.rec GROUP BY wi.rec""")
+def turn_features(spark, d):
+    return features.turn(motion(spark, d), "rec", "useracc", "gyro", "gyro_x").select("rec", *r(*features.TURN[:-1]))
+
+
+@query(TURN + ", en AS (SELECT rec, k AS i, v FROM wi)" + welch_sql("en", "we") + " SELECT rec, round(entropy, 6) AS entropy FROM we")
+def turn_entropy(spark, d):
+    return features.turn(motion(spark, d), "rec", "useracc", "gyro", "gyro_x").select("rec", *r("entropy"))
+
+
+MOVE = EXTREME + FS + """, en AS (SELECT ed.rec, coalesce(min(t) FILTER (abs(gyro_x) < threshold AND t BETWEEN s AND e AND i > b), any_value(e)) AS "end" FROM mot JOIN ed USING (rec) GROUP BY ed.rec),
+wi AS (SELECT mot.*, row_number() OVER (PARTITION BY mot.rec ORDER BY i) - 1 AS k FROM mot JOIN ed USING (rec) JOIN en USING (rec) WHERE t BETWEEN s AND en."end")"""
+
+
+@query(MOVE + """, sp AS (SELECT wi.rec, k AS i, t, useracc AS s, greatest(1, round_even(0.15::DOUBLE * fs, 0)) AS apart FROM wi JOIN fr USING (rec))""" + peaks_sql("sp", "-1e9", "apart", "pq") + """, c AS (SELECT rec, count(*)::DOUBLE AS n FROM pq GROUP BY rec),
+tp AS (SELECT rec, t AS pt, useracc AS pv FROM wi QUALIFY row_number() OVER (PARTITION BY rec ORDER BY useracc DESC, t) = 1), g AS (SELECT rec, t, useracc AS f, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, lag(useracc) OVER w AS lo, lead(useracc) OVER w AS hi FROM wi WINDOW w AS (PARTITION BY rec ORDER BY t)),
+j AS (SELECT rec, CASE WHEN hs IS NULL THEN (hi - f) / nullif(hd, 0) WHEN hd IS NULL THEN (f - lo) / nullif(hs, 0) ELSE (hs*hs*hi + (hd*hd - hs*hs)*f - hd*hd*lo) / nullif(hs*hd*(hs+hd), 0) END AS j FROM g), js AS (SELECT rec, avg(abs(j)) AS jm, stddev_pop(j) AS jd FROM j GROUP BY rec), en2 AS (SELECT rec, k AS i, useracc AS v FROM wi)""" + welch_sql("en2", "we") + """
+SELECT wi.rec, round(any_value(en."end" - ed.s), 6) AS duration, round(any_value(pt) - min(wi.t), 6) AS time_to_peak_acc, round(any_value(pv), 6) AS peak_acc, round(any_value(flexion_peak), 6) AS flexion_peak, round(any_value(extension_peak), 6) AS extension_peak, round(max(gyro), 6) AS peak_gyro, round(sqrt(avg(useracc * useracc)), 6) AS acc_rms,
+round(any_value(jm), 6) AS jerk_mean, round(any_value(jd), 6) AS jerk_std, coalesce(any_value(c.n), 0) AS peak_count, round(any_value(entropy), 6) AS entropy
+FROM wi JOIN en USING (rec) JOIN ed USING (rec) JOIN tp USING (rec) JOIN js USING (rec) LEFT JOIN c USING (rec) LEFT JOIN we USING (rec) GROUP BY wi.rec""")
+def transition_features(spark, d):
+    """The dominant axis is gyro_x in all recordings."""
+    return features.transition(motion(spark, d), "rec", "useracc", "gyro", ["gyro_x", "gyro_y", "gyro_z"]).select("rec", *r(*features.TRANSITION))
+
+
+@query()
+def feature_table(spark, d):
+    """All features of patients made of five recordings each; its blocks have SQL above."""
+    kinds = F.array(*[F.lit(a) for a in ("walk", "left_turn", "right_turn", "sit_to_stand", "stand_to_sit")])
+    m = motion(spark, d).withColumns({"patient": F.expr("rec div 5"), "date": F.lit("2026-01-05"), "activity": F.element_at(kinds, (F.col("rec") % 5 + 1).cast("int"))})
+    out = features.table(m, "patient", "date", "activity", ["gyro_x", "gyro_y", "gyro_z"], acc="useracc")
+    return out.select("patient", "date", *[F.round(n, 3).alias(n) for n in features.feature_names()])
