@@ -35,7 +35,7 @@ def mapped(column: Column, values: dict) -> Column:
 
 def any_value_in(*columns: str) -> Column:
     """Rows with at least one of the columns."""
-    return F.coalesce(*[F.col(c).isNotNull().cast("int") * F.when(F.col(c).isNotNull(), 1) for c in columns]).isNotNull()
+    return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
 
 
 def complete(*columns: str) -> Column:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from stridelake.plans import catalog
+from stridelake.plans import everything as catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
