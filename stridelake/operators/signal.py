@@ -298,3 +298,23 @@ def smoothed(df: DataFrame, key: str, order: str, value: str, sigma) -> DataFram
     d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value), *([F.col(column).cast("double").alias("_sigma")] if column else []))
     kinds = dict(d.dtypes)
     return d.groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, smooth double")
+
+
+def low_pass_columns(df: DataFrame, key: str, order: str, values: list[str], cutoff: float, rate: str, degree: int = 4) -> DataFrame:
+    """All columns of df, with the given ones low-passed as in low_pass at each recording's own rate (a column)."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        fs = p[rate].iloc[0]
+        if fs is not None and fs > 0 and 0 < cutoff < 0.95 * fs / 2:
+            b, a = butter(degree, cutoff, float(fs))
+            for v in values:
+                x = p[v].to_numpy(float)
+                known = np.isfinite(x)
+                if known.any():
+                    i = np.arange(len(x))
+                    p[v] = np.where(known, both_ways(b, a, np.interp(i, i[known], x[known])), np.nan)
+        return p
+
+    out = df.groupBy(key).applyInPandas(one, df.schema)
+    return out.withColumns({v: F.nanvl(v, F.lit(None).cast("double")) for v in values})

@@ -1,4 +1,4 @@
 """All query modules, so that each has registered its queries."""
 
-from stridelake.plans import catalog, recordings, studies  # noqa: F401
+from stridelake.plans import catalog, recordings, sources, studies  # noqa: F401
 from stridelake.plans.catalog import ORACLE, QUERIES  # noqa: F401
