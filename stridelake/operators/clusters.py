@@ -1,11 +1,16 @@
-"""Profiles of vectors: standardising, k-means with restarts, principal components."""
+"""Profiles of vectors: standardising, k-means and Gaussian mixtures with restarts, principal components, labels."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from itertools import permutations
+
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,7 +24,7 @@ def vectors(df: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def standardised(v: DataFrame) -> DataFrame:
-    """Each component less its mean, over its sample deviation (a constant factor off the population one)."""
+    """Each component less its mean, over its sample deviation (a constant factor off the population one; see Scaler)."""
     model = StandardScaler(inputCol="features", outputCol="_z", withMean=True).fit(v)
     return model.transform(v).drop("features").withColumnRenamed("_z", "features")
 
@@ -40,3 +45,108 @@ def explained_variance(v: DataFrame, k: int) -> DataFrame:
     share = PCA(k=k, inputCol="features", outputCol="_p").fit(v).explainedVariance.toArray()
     rows = [(i + 1, float(s), float(share[: i + 1].sum())) for i, s in enumerate(share)]
     return v.sparkSession.createDataFrame(rows, "component int, share double, running double")
+
+
+@dataclass
+class Scaler:
+    """Column means and population deviations of a table of profiles; constant columns are only centred."""
+
+    columns: list[str]
+    mean: list[float]
+    scale: list[float]
+
+    @classmethod
+    def fit(cls, rows: DataFrame, columns: list[str]) -> Scaler:
+        got = rows.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+        n = len(columns)
+        return cls(columns, [float(m or 0.0) for m in got[:n]], [float(s or 1.0) for s in got[n:]])
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c: (F.col(c) - m) / s for c, m, s in zip(self.columns, self.mean, self.scale)})
+
+
+@dataclass
+class Mixture:
+    """Gaussian mixture with diagonal covariances; components in order of their means."""
+
+    columns: list[str]
+    weights: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+    likelihood: float
+
+    def log_densities(self) -> list[Column]:
+        out = []
+        for w, mean, var in zip(self.weights, self.means, self.variances):
+            base = float(np.log(w) - 0.5 * np.log(2 * np.pi * var).sum())
+            out.append(F.lit(base) - sum((F.pow(F.col(c) - float(m), F.lit(2.0)) / float(2 * v) for c, m, v in zip(self.columns, mean, var)), F.lit(0.0)))
+        return out
+
+    def predict(self, rows: DataFrame, profile: str = "profile", membership: str = "membership") -> DataFrame:
+        """rows with their likeliest component and its probability."""
+        logs = self.log_densities()
+        d = rows.withColumn("_l", F.array(*logs)).withColumn("_x", F.array_max("_l"))
+        total = F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_x")))
+        return d.withColumn(profile, F.array_position("_l", F.col("_x")).cast("int") - 1).withColumn(membership, 1 / total).drop("_l", "_x")
+
+
+def mixture(rows: DataFrame, columns: list[str], k: int = 2, starts: int = 100, seed: int = 42, ridge: float = 0.10, rounds: int = 100, tolerance: float = 1e-3, together: int = 20) -> Mixture:
+    """The likeliest of `starts` fits by expectation maximisation; `ridge` is added to every variance.
+
+    A round is one aggregate over the rows for `together` starts at once, with a row of sums; starting means are rows
+    drawn by a hash of the values (the same rows in any order and number of tasks)."""
+    d = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])).select(*columns).persist()
+    first = d.agg(F.count("*"), *[F.var_pop(c) for c in columns]).first()
+    n, spread = first[0], np.array([float(v or 0.0) for v in first[1:]])
+    if n < k:
+        raise ValueError("fewer complete rows than components")
+    best = None
+    for block in range(0, starts, together):
+        fits = []
+        for s in range(block, min(starts, block + together)):
+            drawn = d.orderBy(F.xxhash64(F.lit(seed + s), *columns), *columns).limit(k).collect()  # k rows
+            fits.append(Mixture(columns, np.full(k, 1 / k), np.array([[float(r[c]) for c in columns] for r in drawn]), np.tile(spread + ridge, (k, 1)), -np.inf))
+        open_ = list(range(len(fits)))
+        for _ in range(rounds):
+            sums = []
+            for i in open_:
+                logs = fits[i].log_densities()
+                top = F.greatest(*logs)
+                total = sum((F.exp(x - top) for x in logs), F.lit(0.0))
+                sums.append(F.sum(top + F.log(total)).alias(f"l{i}"))
+                for j, x in enumerate(logs):
+                    r = F.exp(x - top) / total
+                    sums.append(F.sum(r).alias(f"r{i}_{j}"))
+                    for q, c in enumerate(columns):
+                        sums += [F.sum(r * F.col(c)).alias(f"m{i}_{j}_{q}"), F.sum(r * F.col(c) * F.col(c)).alias(f"v{i}_{j}_{q}")]
+            got, still = d.agg(*sums).first(), []
+            for i in open_:
+                f, mass = fits[i], np.maximum([got[f"r{i}_{j}"] for j in range(k)], 1e-12)
+                f.means = np.array([[got[f"m{i}_{j}_{q}"] for q in range(len(columns))] for j in range(k)]) / mass[:, None]
+                square = np.array([[got[f"v{i}_{j}_{q}"] for q in range(len(columns))] for j in range(k)]) / mass[:, None]
+                f.variances, f.weights = np.maximum(square - f.means**2, 0) + ridge, mass / mass.sum()
+                gain, f.likelihood = got[f"l{i}"] / n - f.likelihood, got[f"l{i}"] / n
+                if gain > tolerance:
+                    still.append(i)
+            open_ = still
+            if not open_:
+                break
+        top = max(fits, key=lambda f: f.likelihood)
+        best = top if best is None or top.likelihood > best.likelihood else best
+    d.unpersist()
+    order = sorted(range(k), key=lambda j: tuple(best.means[j]))
+    return Mixture(columns, best.weights[order], best.means[order], best.variances[order], best.likelihood)
+
+
+def aligned(rows: DataFrame, profile: str, label: str, labels: list) -> dict:
+    """Which label each profile stands for: of all assignments of profiles 0 .. k - 1 to the labels the one that agrees
+    with most rows, the first of equal ones."""
+    got = {(r[0], r[1]): r[2] for r in rows.where(F.col(profile).isNotNull() & F.col(label).isin(labels)).groupBy(profile, label).count().collect()}  # k * k rows
+    best = max(permutations(labels), key=lambda p: sum(got.get((i, v), 0) for i, v in enumerate(p)))
+    return dict(enumerate(best))
+
+
+def components_for(variance: DataFrame, shares: tuple = (0.80, 0.90, 0.95)) -> DataFrame:
+    """How many components reach each share of the variance, from explained_variance."""
+    every = variance.sparkSession.createDataFrame([(float(s),) for s in shares], "share_of double")
+    return variance.select("component", "running").join(F.broadcast(every), F.col("running") >= F.col("share_of") - 1e-12).groupBy("share_of").agg(F.min("component").alias("n_components"))

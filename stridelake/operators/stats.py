@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,24 @@ def repeatability(weekly: DataFrame, group: str, subject: str, week: str, value:
     """Median over subjects of the coefficient of variation (percent) with its quartile range."""
     s = weekly.groupBy(group, subject).agg((F.try_divide(F.stddev_samp(value), F.abs(F.avg(value))) * 100).alias("cv"))
     return s.groupBy(group).agg(F.count("cv").alias("n"), F.median("cv").alias("cv_median"), (F.percentile("cv", 0.75) - F.percentile("cv", 0.25)).alias("cv_iqr"))
+
+
+def fisher(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Cells of the 2x2 table and the two-sided p of Fisher's exact test: the sum over all tables with these margins that
+    are not likelier than the observed one."""
+    t = two_by_two(df, x, y).select(*(F.col(k).cast("long") for k in "abcd"))
+    r, c, n = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    t = t.withColumns({"_r": r, "_c": c, "_n": n})
+    many = t.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_r") + F.col("_c") - F.col("_n")), F.least("_r", "_c"))))
+    cells = [("k", -1), ("_r - k", -1), ("_c - k", -1), ("_n - _r - _c + k", -1), ("_r", 1), ("_n - _r", 1), ("_c", 1), ("_n - _c", 1), ("_n", -1)]
+    many = many.withColumn("_p", F.exp(sum((sign * log_factorial(F.expr(cell)) for cell, sign in cells), F.lit(0.0))))
+    own = F.max(F.when(F.col("k") == F.col("a"), F.col("_p"))).over(Window.partitionBy("_n"))
+    many = many.withColumn("_own", own)
+    return many.groupBy(*"abcd").agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_p") <= F.col("_own") * (1 + 1e-7), F.col("_p")))).alias("p"))
+
+
+def log_factorial(n):
+    """ln n! of a column: exact up to 20, then Stirling's series (its error is below 1e-15 there)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * 3.141592653589793 * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stridelake.operators import tables, windows
+from stridelake.operators import clusters, stats, tables, windows
 from stridelake.plans.catalog import DAY, EV, WEEK, _weekly, events, query, r, table
 
 KINDS = ["click", "view", "purchase"]
@@ -172,3 +172,28 @@ def label_agreement(spark, d):
     w = _weekly(spark, d).withColumn("label", tables.mapped(F.col("home_week"), {1: "Faller", 2: "Non-Faller"})).where("label is not null")
     share = w.agg(F.round(100 * F.avg((F.col("label") == "Faller").cast("int")), 6).alias("agreement"))
     return w.select("user_id", "home_week", "label").crossJoin(F.broadcast(share))  # share: one row
+
+
+@query("""WITH t AS (SELECT count(*) FILTER (quality=0 AND toxic=0) AS a, count(*) FILTER (quality=0 AND toxic=1) AS b, count(*) FILTER (quality=1 AND toxic=0) AS c, count(*) FILTER (quality=1 AND toxic=1) AS d FROM labels), m AS (SELECT *, a+b AS r, a+c AS k, a+b+c+d AS n FROM t),
+g AS (SELECT *, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x FROM m), p AS (SELECT *, exp(lgamma(r+1) + lgamma(n-r+1) + lgamma(k+1) + lgamma(n-k+1) - lgamma(n+1) - lgamma(x+1) - lgamma(r-x+1) - lgamma(k-x+1) - lgamma(n-r-k+x+1)) AS p FROM g)
+SELECT a, b, c, d, round(least(1, sum(p) FILTER (p <= o * 1.0000001::DOUBLE)), 6) AS p FROM (SELECT *, max(CASE WHEN x = a THEN p END) OVER () AS o FROM p) GROUP BY ALL""")
+def fisher_exact(spark, d):
+    return stats.fisher(table(spark, d, "labels"), "quality", "toxic").select(*"abcd", *r("p"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS quantity, l_orderkey, l_linenumber, l_partkey, round((l_tax - avg(l_tax) OVER ()) / stddev_pop(l_tax) OVER (), 6) AS tax FROM (SELECT * REPLACE (l_quantity::DOUBLE AS l_quantity, l_tax::DOUBLE AS l_tax) FROM lineitem)")
+def population_scaler(spark, d):
+    x = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"))
+    scaled = clusters.Scaler.fit(x, ["quantity", "tax"]).transform(x)
+    return scaled.select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "l_partkey", *r("quantity", "tax"))
+
+
+@query()
+def mixture_profiles(spark, d):
+    """Profiles of customers by a mixture fitted on their orders, with the labels that they stand for."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("o_totalprice").cast("double")).alias("price"))
+    x = clusters.Scaler.fit(o, ["n", "price"]).transform(o)
+    m = clusters.mixture(x, ["n", "price"], starts=5)
+    p = m.predict(x).withColumn("label", F.when(F.col("n") > 0, "many").otherwise("few"))
+    names = clusters.aligned(p, "profile", "label", ["few", "many"])
+    return p.select("o_custkey", "profile", *r("membership"), tables.mapped(F.col("profile"), names).alias("stands_for"))

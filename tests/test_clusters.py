@@ -22,3 +22,21 @@ def test_components(spark):
     want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
     got = clusters.explained_variance(table(spark, x), 3).orderBy("component").collect()
     assert np.allclose([r.share for r in got], want / want.sum()) and abs(got[-1].running - 1) < 1e-9
+
+
+def test_mixture(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal([0, 0], [0.5, 2.0], (150, 2)), rng.normal([6, 1], [1.0, 0.4], (100, 2))
+    rows = [(float(u), float(v), k) for k, x in ((0, a), (1, b)) for u, v in x] + [(None, 1.0, 0)]
+    df = spark.createDataFrame(rows, "x double, y double, truth int")
+    m = clusters.mixture(df, ["x", "y"], starts=4, ridge=0.01)
+    assert np.allclose(m.means, [a.mean(0), b.mean(0)], atol=0.15) and np.allclose(m.variances, [a.var(0) + 0.01, b.var(0) + 0.01], rtol=0.15)
+    p = m.predict(df.where("x is not null"))
+    assert p.where("profile = truth").count() >= 247 and p.where("membership < 0.5 or membership > 1").count() == 0
+    named = p.selectExpr("1 - profile as profile", "if(truth = 0, 'a', 'b') as label")
+    assert clusters.aligned(named, "profile", "label", ["a", "b"]) == {0: "b", 1: "a"}
+
+
+def test_components_for(spark):
+    v = spark.createDataFrame([(1, 0.7, 0.7), (2, 0.15, 0.85), (3, 0.15, 1.0)], "component int, share double, running double")
+    assert {r.share_of: r.n_components for r in clusters.components_for(v).collect()} == {0.8: 2, 0.9: 3, 0.95: 3}
