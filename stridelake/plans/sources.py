@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,10 +12,18 @@ from stridelake.plans.recordings import SMP, samples
 from stridelake.sources import recordings
 
 
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir, or in local mode a temporary folder where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at or tempfile.mkdtemp(prefix="stridelake-")
+
+
 @query(SMP + " SELECT rec, i AS seq, round(t, 3) AS timestamp, round(acc_x, 3) AS acc_x, CASE WHEN i % 5 > 0 THEN round(gyro_z, 3) END AS gyro_z, NULL::DOUBLE AS useracc_x FROM smp")
 def recording_scan(spark, d):
     """Recordings written as CSV files and scanned again under other names, a channel missing."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir')}/scan-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     s = samples(spark, d).select("rec", F.col("i").alias("line"), F.col("t").alias("Timestamp"), F.col("acc_x").alias("Accel_X"), F.when(F.col("i") % 5 > 0, F.col("gyro_z")).alias("GYR_Z"))
     recordings.write_csv(s.repartition("rec").sortWithinPartitions("rec", "line").drop("line"), folder, "rec")
     back = recordings.scan(spark, folder).withColumn("rec", F.regexp_extract("path", "rec=([0-9]+)", 1).cast("long"))
