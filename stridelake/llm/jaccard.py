@@ -421,7 +421,8 @@ def _join(docs: DataFrame, percent: int, k: int, tile_shingles: int) -> DataFram
     large = members.groupBy("head").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles")).where("tiles > 1")
     members = members.join(written(large, "large"), "head", "left").select(F.col("node").alias("doc_id"), "head", F.coalesce("tiles", F.lit(1)).alias("tiles")).distinct()
     members = written(members.withColumn("tile", F.expr("pmod(xxhash64(doc_id), tiles)").cast("int")), "members")
-    placed = source.join(members, "doc_id").select("doc_id", "head", "tiles", "tile", "text")
+    # Members grow with the input, so they are not broadcast, at any size.
+    placed = source.join(members.hint("merge"), "doc_id").select("doc_id", "head", "tiles", "tile", "text")
     parts = max(32, buckets // 4)
 
     def in_tiles(batches):
