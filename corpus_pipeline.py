@@ -33,7 +33,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each class linked by 5-word shingles at a Jaccard similarity of 0.8."""
     classes = jaccard.join(docs, percent=80, k=5)
     keep = written(classes.where("component_id = doc_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    among = lambda ids: docs.join(ids.select("kept_id"), docs["doc_id"] == ids["kept_id"], "left_semi")
+    # Kept ids grow with the input, so they are not broadcast, at any size.
+    among = lambda ids: docs.join(ids.select("kept_id").hint("merge"), docs["doc_id"] == ids["kept_id"], "left_semi")
     repeated = among(keep.where("n > 1")).dropDuplicates(["doc_id", "text"])
     return among(keep.where("n = 1")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
