@@ -34,64 +34,49 @@ def direct_peaks(xyz, distance):
     return signal.found_peaks(s, int(round(distance * FS)), np.median(s) + 1.5 * mad, max(mad, 0.15 * s.std()))
 
 
-def test_export_and_walk(spark, tmp_path):
+def test_export():
+    t, xyz = walker(30)
+    xyz[3, 1] = np.nan
+    rows = list(exports.trajectories("p", export(mocap.FEET, xyz)))
+    assert len(rows) == 30 * 4 and rows[0][:6] == ("p", FS, "mm", 1, 0, "RHEE") and rows[13][6:] == (None, None, None)
+    assert np.allclose([r[6:] for r in rows if r[5] == "RMT2"], xyz[:, 2], atol=1e-6)
+    assert not list(exports.trajectories("p", "a,b\n1,2\n")) and not list(exports.trajectories("p", ""))
+
+
+def test_direct_steps():
     t, xyz = walker()
-    at = tmp_path / "SRS01/visit1/NW1"
-    at.mkdir(parents=True)
-    (at / "trial.csv").write_text(export(mocap.FEET, xyz))
-    (tmp_path / "none.csv").write_text("a,b\n1,2\n")
-    rows = exports.trials(exports.scan(spark, str(tmp_path))).withColumn("activity", exports.activity(F.col("trial"))).cache()
-    assert rows.count() == 1200 * 4 and {(r.subject, r.visit, r.activity, r.units, r.fs_hz) for r in rows.select("subject", "visit", "activity", "units", "fs_hz").distinct().collect()} == {("SRS01", "visit1", "walk", "mm", FS)}
-    want = [direct_peaks(xyz[:, k], 0.35) for k in range(4)]
-    got = mocap.foot_peaks(rows, "path", 0.35).collect()
-    for k, m in enumerate(mocap.FEET):
-        assert np.allclose(sorted(r.t for r in got if r.marker == m and r.t is not None), t[want[k]])
-    whole = mocap.walk(rows, "path", full=True).first()
-    assert whole.step_count == round(2 * np.mean([len(w) for w in want])) and whole.duration == 11.99
-    times = np.sort(np.concatenate([t[w] for w in want]))
-    merged = [g.mean() for g in np.split(times, np.flatnonzero(np.diff(times) > 0.18) + 1)]
-    ten = mocap.summaries(rows, "path", "activity").first()
-    assert abs(ten.start - merged[0]) < 1e-3 and abs(ten.end - merged[9]) < 1e-3 and ten.activity == "walk" and ten.step_count == 10
-
-
-def test_turn_and_rise(spark):
-    t = np.arange(600) / FS
-    move = 1 / (1 + np.exp(-(t - 3) * 8))  # all motion around 3 s
-    rows = [("r", FS, i, m, float(500 * move[i]), float(200 * move[i]), float(900 + 300 * move[i])) for m in mocap.PELVIS + mocap.SHOULDERS + mocap.FEET for i in range(600)]
-    df = spark.createDataFrame(rows, "path string, fs_hz double, frame long, marker string, x double, y double, z double")
-    for s in (mocap.turn(df, "path").first(), mocap.rise(df, "path").first()):
-        assert 2.0 < s.start < 2.95 and 3.05 < s.end < 4.0 and abs(s.start + s.time_to_peak - 3) < 0.05
-
-
-def test_lab(spark):
-    fs, n = 25.0, 1500
-    t = np.arange(n) / fs
+    at = t[direct_peaks(xyz[:, 0], 0.35)]
+    assert len(at) in (10, 11) and np.abs(np.diff(at) - 1 / 0.9).max() < 0.1
+
+
+def test_ten_steps(spark):
+    times = [0.1, 0.2, 0.9, 1.0, *[1.5 + 0.5 * i for i in range(9)]]
+    rows = [("a", "RHEE" if i % 2 else "LHEE", x) for i, x in enumerate(times)] + [("a", "RMT2", None), ("b", "RHEE", 1.0)]
+    peaks = spark.createDataFrame(rows, "k string, marker string, t double")
+    got = mocap.ten_steps(peaks, "k").collect()
+    assert [(r.k, round(r.start, 6), round(r.end, 6), r.step_count) for r in got] == [("a", 0.15, 5.0, 10.0)]
+    assert {r.k: r.step_count for r in mocap.step_count(peaks, "k").collect()} == {"a": round(2 * 13 / 3), "b": 2.0}
+    names = spark.createDataFrame([("NW 1",), ("sts2",), ("TurnL1",), ("TURNR",), ("other",)], "n string")
+    assert [r[0] for r in names.select(exports.activity(F.col("n"))).collect()] == ["walk", "sit_to_stand", "left_turn", "right_turn", None]
+
+
+def test_lab_tables(spark):
     rng = np.random.default_rng(5)
-    step = np.sin(2 * np.pi * 0.9 * t)
-    rows = []
-    for s, *_ in lab.SENSORS:
-        g = 2 * step + 0.05 * rng.normal(size=n)
-        rows += [(s, s, i, float(t[i]), fs, float(g[i]), float(0.5 * g[i]), float(0.2 * g[i]), float(abs(g[i])), float(step[i])) for i in range(n)]
-    df = spark.createDataFrame(rows, "rec string, sensor string, i long, t double, fs double, gyro_x double, gyro_y double, gyro_z double, gyro_mag double, acc_free double").cache()
-    got = {r.sensor: r for r in lab.walking(df, "rec").collect()}
-    for s, sigma, share, mad, apart, peaks, mode in lab.SENSORS:
-        x = np.array([r[{"right": 5, "left": 5, "trunk": 8, "sacrum": 7}[s]] for r in rows if r[0] == s])
-        x = np.abs(x) if s == "left" else x
-        y = signal.gaussian(x - np.median(x), sigma)
-        limit = np.percentile(y, share * 100) if share else np.median(y) + mad * np.median(np.abs(y - np.median(y)))
-        at = signal.found_peaks(y, max(1, int(round(apart * fs))), limit)
-        assert got[s].step_count == len(at) and abs(got[s].cadence_steps_min - 60 * len(at) / t[-1]) < 1e-9
-        if s in ("right", "trunk"):
-            spans = [t[at[i + peaks - 1]] - t[at[i]] for i in range(len(at) - peaks + 1)]
-            assert abs(got[s].ten_step_duration_s - max(spans)) < 1e-9
-    assert got["sacrum"].ten_step_count == 10 and got["left"].ten_step_duration_s > 0
+    times = {k: np.cumsum(rng.uniform(0.4, 0.7, 20)) for k in ("long", "mid")}
+    rows = [(k, float(x), 8 if k == "long" else 12, "longest" if k == "long" else "regular_middle") for k, v in times.items() for x in v] + [("few", 1.0, 8, "longest")]
+    got = {r.k: (r.start, r.end) for r in lab.peak_window(spark.createDataFrame(rows, "k string, t double, peaks int, mode string"), "k").collect()}
+    w = [times["long"][i : i + 8] for i in range(13)]
+    best = max(w, key=lambda x: x[-1] - x[0])
+    w = [times["mid"][i : i + 12] for i in range(9)]
+    cv = np.array([np.diff(x).std() / np.diff(x).mean() for x in w])
+    middle = (times["mid"][0] + times["mid"][-1]) / 2
+    near = min((abs((w[i][0] + w[i][-1]) / 2 - middle), i) for i in range(9) if cv[i] <= np.percentile(cv, 40) + 1e-12)[1]
+    assert set(got) == {"long", "mid"} and np.allclose(got["long"], (best[0], best[-1])) and np.allclose(got["mid"], (w[near][0], w[near][-1]))
     trials = spark.createDataFrame([(30.0, 60.0, 20.0, None), (30.0, 40.0, 20.0, 21.0), (None, 40.0, None, 20.0), (None, None, None, None)], "sacrum_step_count double, trunk_step_count double, sacrum_duration_s double, trunk_duration_s double")
     checked = [(r.sacrum_qc_step_count, r.sacrum_qc_source) for r in lab.sacrum_check(trials).collect()]
     assert checked == [(63.5, "trunk"), (33.5, "sacrum"), (43.5, "trunk"), (None, "")]
-    wide = lab.trial_table(lab.generic(lab.walking(df, "rec").withColumn("trial", F.lit(1)), ["trial", "sensor"], ten_step=True), ["trial"], ["right", "left", "trunk", "sacrum"])
-    assert wide.count() == 1 and len(wide.columns) == 1 + 4 * 19 and abs(wide.first().right_duration_s - got["right"].ten_step_duration_s) < 1e-9
-    turn, rise = lab.turning(df, "rec").collect(), lab.rising(df.withColumn("motion", F.col("acc_free")), "rec").collect()
-    assert len(turn) == len(rise) == 4 and all(r.peak_angular_velocity > 0.9 and r.step_count > 5 for r in turn) and all(r.flexion_peak > 1.5 > -1.5 > r.extension_peak for r in rise)
-    moved = {r.sensor: r for r in lab.with_offsets(lab.rising(df.withColumn("motion", F.col("acc_free")), "rec").withColumn("sensor", F.col("rec"))).collect()}
-    plain = {r.rec: r for r in rise}
-    assert abs(moved["left"].duration_s - plain["left"].duration_s - 0.83) < 1e-9 and abs(moved["sacrum"].end_time_s - plain["sacrum"].end_time_s - 0.02) < 1e-9
+    rises = spark.createDataFrame([(1, "left", 2.0, 3.0, 0.5, 0.7), (1, "sacrum", 2.0, 3.0, 0.5, 0.7), (1, "right", 2.0, 3.0, 0.5, None)], "trial int, sensor string, duration_s double, end_time_s double, first_extreme_s double, time_to_peak_acc_s double")
+    moved = {r.sensor: (round(r.duration_s, 6), round(r.end_time_s, 6), r.time_to_peak_acc_s and round(r.time_to_peak_acc_s, 6)) for r in lab.with_offsets(rises).collect()}
+    assert moved == {"left": (2.83, 3.83, 1.39), "sacrum": (2.02, 3.02, 0.7), "right": (2.0, 3.0, None)}
+    wide = lab.trial_table(lab.generic(rises, ["trial", "sensor"]), ["trial"], ["right", "left", "trunk", "sacrum"]).collect()
+    assert len(wide) == 1 and len(wide[0]) == 1 + 4 * 19 and wide[0].left_duration_s == 2.0 and wide[0].trunk_duration_s is None
