@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stridelake.operators import features, segments, series
-from stridelake.plans.catalog import query, r, table
+from stridelake.plans.catalog import EV, ORACLE, query, r, table
 
 
 def samples(spark, d):
@@ -314,3 +314,8 @@ def feature_table(spark, d):
     m = motion(spark, d).withColumns({"patient": F.expr("rec div 5"), "date": F.lit("2026-01-05"), "activity": F.element_at(kinds, (F.col("rec") % 5 + 1).cast("int"))})
     out = features.table(m, "patient", "date", "activity", ["gyro_x", "gyro_y", "gyro_z"], acc="useracc")
     return out.select("patient", "date", *[F.round(n, 3).alias(n) for n in features.feature_names()])
+
+
+# SQL of two queries on events, by the CTEs above.
+ORACLE["find_peaks_distance"] = EV + ", sp AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id AS t, value AS s, 5 AS apart FROM ev)" + peaks_sql("sp", "-1e18", "apart", "pk") + " SELECT pk.rec AS user_id, pk.t AS event_id, round(sp.s, 6) AS height FROM pk JOIN sp ON sp.rec = pk.rec AND sp.i = pk.i"
+ORACLE["welch_entropy"] = EV + ", en AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value AS v FROM ev)" + welch_sql("en", "we") + " SELECT rec AS user_id, round(entropy, 6) AS spectral_entropy FROM we"
