@@ -89,9 +89,15 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import naming
+
+    return naming.classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam)
+    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam, op13_naming)
 }
 
 # SQL where it can express the whole result.
@@ -101,8 +107,15 @@ ORACLE: dict[str, str] = {
         d AS (SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS h FROM p),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
         SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
-               CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+               CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM f
     """,
+    "op13_naming": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+               row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM d
+        WINDOW w AS (PARTITION BY t ORDER BY points DESC, doc_id NULLS LAST)
+    """,
 }

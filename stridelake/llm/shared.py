@@ -50,6 +50,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, named: DataFrame, on: list[str], total: int, most_hot: int = 1_000) -> DataFrame:
+    """rows with the other columns of `named`, which has each key of theirs once and the number n of rows that carry it.
+
+    Keys of more than total / most_hot rows are sent to all tasks: as the n of all keys add up to `total`, these are fewer
+    than most_hot. All other keys meet their rows in a shuffle, where none of them is large. Rows without a key in `named`
+    are left out. Both tables are read twice, so they should be written ones.
+    """
+    hot = F.col("n") * most_hot > total
+    hot_keys = F.broadcast(named.where(hot).drop("n"))
+    rare = rows.join(hot_keys.select(*on), on, "left_anti").join(named.where(~hot).drop("n").hint("merge"), on)
+    return rows.join(hot_keys, on).unionByName(rare)
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most `rows` rows for what is run within, to bound memory where rows are wide."""
