@@ -89,6 +89,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stridelake.llm import naming
 
@@ -97,7 +103,7 @@ def op13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam, op13_naming)
+    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam, op12_whitening, op13_naming)
 }
 
 # SQL where it can express the whole result.
