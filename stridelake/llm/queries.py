@@ -89,6 +89,12 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stridelake.llm import phrases
+
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stridelake.llm import whitening
 
@@ -103,7 +109,7 @@ def op13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam, op12_whitening, op13_naming)
+    for f in (op1_lm_score, op2_packing, op3_multi_index, op4_warc, op5_suffix, op6_jaccard, op7_tokencount, op8_linededup, op9_quality, op10_decontam, op11_phrases, op12_whitening, op13_naming)
 }
 
 # SQL where it can express the whole result.
@@ -117,6 +123,34 @@ ORACLE: dict[str, str] = {
                CASE WHEN n >= 100 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM f
     """,
+    "op11_phrases": r"""
+        WITH piece AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
+            FROM documents),
+        w AS (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM piece),
+        total AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+        spot AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        gram AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM spot, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+        cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+        cut AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+        scored AS (
+            SELECT c.lang, c.m, c.phrase, c.w, a, k, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score
+            FROM cut c JOIN total t ON t.lang = c.lang
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1 :], ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        size AS (SELECT unnest([2, 3, 4]) AS s),
+        start AS (SELECT unnest([1, 2, 3, 4]) AS b),
+        inner_ AS (
+            SELECT lang, array_to_string(w[b : b + s - 1], ' ') AS phrase, max(a) AS longer
+            FROM cand, size, start WHERE s < m AND b + s - 1 <= m GROUP BY ALL),
+        kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+               a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM kept QUALIFY rank <= 2000
+    """,
     "op13_naming": r"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

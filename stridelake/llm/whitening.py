@@ -139,8 +139,9 @@ def project(rows: DataFrame, model: Whitener) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for batch in batches:
-            x = rows_of(batch, len(m.sums))
+        d = len(m.sums)
+        for batch in (b.slice(i, step) for b in batches for step in [max(1, 2_000_000 // d)] for i in range(0, len(b), step)):
+            x = rows_of(batch, d)
             rep = np.repeat(np.arange(len(x)), k)
             columns = [
                 batch.column("vec_id").take(pa.array(rep)),
