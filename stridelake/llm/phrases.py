@@ -3,15 +3,15 @@
 Texts are split into pieces and words and dealt into chunks of one language and bounded size; a chunk is a row of a written
 table with its words numbered by a list of its own. Two sketches are filled: one with words and pairs of words, one with
 phrases of three to five words, of those runs only in which each word and each pair may be frequent. A sketch has 2**48
-cells of which only those in use are stored, as rows (cell, count) that each chunk adds up for itself first and Spark sums
-by cell, so it grows with the input and no task or broadcast holds it whole. A cell's sum bounds the count of each phrase
-in it from above, so no phrase of `least` occurrences is lost; a chunk gets back those of its own cells that reach `least`.
-Words that cannot be frequent become delimiters, so the chunks shrink on the way.
+cells of which only those in use are held, added up by each chunk for itself first and dealt by ranges of cells, so it
+grows with the input and no task or broadcast holds it whole. A cell's sum bounds the count of each phrase in it from
+above, so no phrase of `least` occurrences is lost; a chunk gets back those of its own cells that reach `least`. Words
+that cannot be frequent become delimiters, so the chunks shrink on the way.
 
-Then each chunk compiles its candidates into an Aho-Corasick automaton over word numbers, whose delimiter 0 is in no
-candidate, so that no match crosses a piece or starts within a word, and scans its words; overlapping matches all count. A
-candidate has the same cell in all chunks, so the counts, summed over chunks, are exact, and the thresholds are applied to
-these sums alone. Parts of a frequent phrase are frequent, so their counts are among the sums.
+Then the candidates of each chunk are compiled into an Aho-Corasick automaton over word numbers, whose delimiter 0 is in
+no candidate, so that no match crosses a piece or starts within a word, and the chunk is scanned; overlapping matches all
+count. A candidate has the same cell in all chunks, so the counts, summed over tasks, are exact, and the thresholds are
+applied to these sums alone. Parts of a frequent phrase are frequent, so their counts are among the sums.
 
 Defined cases: null texts are empty, a null language is `und`; words are split at spaces and tabs only; repeated rows and
 rows without a doc_id count like others; a very long text is many pieces, dealt over chunks (a single piece longer than a
@@ -41,9 +41,9 @@ GAPS = CUTS.copy()
 GAPS[[0x20, 0x09]] = True
 CHUNK = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n_all", pa.int64()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 CHUNK_DDL = "chunk long, lang string, n_all long, n_words long, n_bytes long, words binary, counts binary, n_tokens long, tokens binary"
-CELL_DDL = "chunk long, cell long, n long"
+CELL_DDL = "chunk long, range long, n long, cells binary, sums binary"
 SUM_DDL = "lang string, phrase string, m int, n long"
-ROWS_OUT = 1 << 16
+ROWS_OUT, HELD = 1 << 16, 1 << 19
 NO_CELLS = np.zeros(0, U64)
 
 
@@ -107,8 +107,8 @@ class Chunk:
         return np.isin(cells, self.hot)
 
 
-def each(rows: DataFrame, make: Callable[[Chunk], Iterator[pa.RecordBatch]], ddl: str, name: str) -> DataFrame:
-    """A written table of what `make` gives for each chunk; chunks come one at a time."""
+def by_chunk(rows: DataFrame, make: Callable[[Chunk], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """What `make` gives for each chunk."""
 
     def run(batches):
         return_memory()
@@ -116,8 +116,13 @@ def each(rows: DataFrame, make: Callable[[Chunk], Iterator[pa.RecordBatch]], ddl
             for r in batch.to_pylist():
                 yield from make(Chunk.of(r))
 
+    return rows.mapInArrow(run, ddl)
+
+
+def one_at_a_time(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a written table; on the way, chunks come to tasks one at a time."""
     with batches_of(rows.sparkSession, 1):
-        return written(rows.mapInArrow(run, ddl), name)
+        return written(rows, name)
 
 
 def chunks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int = CHUNK_BYTES) -> DataFrame:
@@ -157,21 +162,37 @@ def chunks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
         return written(rows.mapInArrow(run, CHUNK_DDL), "chunks")
 
 
-def with_hot(rows: DataFrame, least: int, cells: Callable[[Chunk], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """The chunks with `hot`, those of their cells whose sums over all chunks reach `least`. `cells` gives the cells that a chunk adds to, and how much (None: 1)."""
+def with_hot(rows: DataFrame, least: int, items: str, cells: Callable[[Chunk], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """The chunks with `hot`, those of their cells whose sums over all chunks reach `least`.
+
+    `cells` gives the cells that a chunk adds to, and how much (None: 1); `items` is SQL for a bound of their number. The
+    cells are dealt by ranges, of which a task holds one at a time, as sorted runs that a chunk packs for each range; the
+    task that sums a range answers each chunk. Ranges hold 2**18 items, or up to 2**22 where runs would get short."""
+    total, count = rows.agg(F.coalesce(F.sum(F.expr(items)), F.lit(0)), F.count("*")).first()
+    ranges = U64(max(1, min(total >> 18, max(total >> 22, total // max(count, 1) >> 6), 1 << 24)))
 
     def add(c: Chunk):
         cell, n = cells(c)
         kinds, place = np.unique(cell, return_inverse=True)
         sums = np.bincount(place, n, len(kinds)).astype(np.int64)
-        for i in range(0, len(kinds), ROWS_OUT):
-            part = kinds[i : i + ROWS_OUT].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), c.chunk)), pa.array(part), pa.array(sums[i : i + ROWS_OUT])], ["chunk", "cell", "n"])
-
-    sketch = each(rows, add, CELL_DDL, "cells")
-    reached = sketch.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("cell")
-    # A chunk has a row for a cell, so no cell has more rows than there are chunks, and no chunk more cells than words.
-    hot = sketch.select("chunk", "cell").join(reached.hint("merge"), "cell", "left_semi").groupBy("chunk").agg(F.collect_list("cell").alias("hot"))
+        at, edge = np.unique((kinds >> U64(24)) * ranges >> U64(24), return_index=True)
+        edge = [*edge.tolist(), len(kinds)]
+        for i in range(0, len(at), 1000):
+            runs = list(zip(edge[i : i + 1000], edge[i + 1 : i + 1001]))
+            columns = [[c.chunk] * len(runs), at[i : i + 1000].tolist(), [y - x for x, y in runs], [pack(np.diff(kinds[x:y], prepend=U64(0)), 6) for x, y in runs], [pack(sums[x:y], 6) for x, y in runs]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])], ["chunk", "range", "n", "cells", "sums"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        runs = group.to_pylist()
+        cell = np.concatenate([np.cumsum(unpack(r["cells"], r["n"], 6)) for r in runs])
+        kinds, place = np.unique(cell, return_inverse=True)
+        reached = (np.bincount(place, np.concatenate([unpack(r["sums"], r["n"], 6) for r in runs])) >= least)[place]
+        edge = np.cumsum([0, *(r["n"] for r in runs)])
+        found = [(r["chunk"], cell[x:y][reached[x:y]].astype(np.int64)) for r, x, y in zip(runs, edge[:-1], edge[1:])]
+        return pa.table({"chunk": pa.array([c for c, v in found if len(v)], pa.int64()), "hot": pa.array([v for c, v in found if len(v)], pa.list_(pa.int64()))})
+
+    sketch = by_chunk(rows, add, CELL_DDL)
+    hot = sketch.groupBy("range").applyInArrow(answer, "chunk long, hot array<long>").groupBy("chunk").agg(F.flatten(F.collect_list("hot")).alias("hot"))
     return rows.join(hot.hint("merge"), "chunk", "left")
 
 
@@ -196,8 +217,8 @@ def frequent_pairs(c: Chunk):
     yield Chunk(c.chunk, c.lang, c.n_all, c.words, c.counts, np.insert(c.tokens[keep], np.flatnonzero(last[keep]) + 1, 0)).batch()
 
 
-def counted(c: Chunk, most: int):
-    """lang, phrase, m (its words) and n for the chunk's frequent words and candidates, by an automaton of its own."""
+def matches(c: Chunk, most: int) -> tuple[list[bytes], list[int]]:
+    """The chunk's frequent words and its candidates, with their counts: the words' own, the candidates' by an automaton."""
     import ahocorasick
 
     candidates: list[tuple[int, ...]] = []
@@ -206,31 +227,54 @@ def counted(c: Chunk, most: int):
         if m > 2:  # all pairs that are left are frequent
             at = at[c.among(cell)]
         candidates += set(zip(*(c.tokens[at + i].tolist() for i in range(m))))
-    phrases, sizes, sums = list(c.words), [1] * len(c.words), c.counts.tolist()
-    if candidates:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, key in enumerate(candidates):
-            automaton.add_word(key, i)
-        automaton.make_automaton()
-        matches = collections.Counter(map(operator.itemgetter(1), automaton.iter(tuple(c.tokens.tolist()))))
-        phrases += [b" ".join([c.words[t - 1] for t in key]) for key in candidates]
-        sizes += map(len, candidates)
-        sums += [matches[i] for i in range(len(candidates))]
-    for i in range(0, len(phrases), ROWS_OUT):
-        part = slice(i, i + ROWS_OUT)
-        names = pa.array([p.decode() for p in phrases[part]], pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array([c.lang] * len(names)), names, pa.array(sizes[part], pa.int32()), pa.array(sums[part], pa.int64())], ["lang", "phrase", "m", "n"])
+    if not candidates:
+        return c.words, c.counts.tolist()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for i, key in enumerate(candidates):
+        automaton.add_word(key, i)
+    automaton.make_automaton()
+    found = collections.Counter(map(operator.itemgetter(1), automaton.iter(tuple(c.tokens.tolist()))))
+    return c.words + [b" ".join([c.words[t - 1] for t in key]) for key in candidates], c.counts.tolist() + [found[i] for i in range(len(candidates))]
+
+
+def counted(rows: DataFrame, most: int) -> DataFrame:
+    """lang, phrase, m (its words) and n: what each task counts in its chunks, added up by up to HELD phrases at a time."""
+
+    def run(batches):
+        return_memory()
+        held: dict[str, dict[bytes, int]] = collections.defaultdict(dict)
+
+        def out():
+            for lang, sums in held.items():
+                phrases = list(sums)
+                for i in range(0, len(phrases), ROWS_OUT):
+                    part = phrases[i : i + ROWS_OUT]
+                    columns = [[lang] * len(part), [p.decode() for p in part], [p.count(b" ") + 1 for p in part], [sums[p] for p in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [pa.string(), pa.string(), pa.int32(), pa.int64()])], ["lang", "phrase", "m", "n"])
+            held.clear()
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                c = Chunk.of(r)
+                sums = held[c.lang]
+                for phrase, n in zip(*matches(c, most)):
+                    sums[phrase] = sums.get(phrase, 0) + n
+                if sum(map(len, held.values())) > HELD:
+                    yield from out()
+        yield from out()
+
+    return rows.mapInArrow(run, SUM_DDL)
 
 
 def frequencies(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 100, most: int = LONGEST, size: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Exact counts: lang, phrase, m and f of all phrases of 1 to `most` words that occur `least` times; lang and its number of words."""
     rows = chunks(docs, lang, text, size)
     totals = written(rows.groupBy("lang").agg(F.sum("n_all").alias("words")), "totals")
-    rows = each(with_hot(rows, least, lambda c: (c.word_cells(), c.counts)), frequent_words, CHUNK_DDL, "chunks")
-    rows = each(with_hot(rows, least, lambda c: (c.places(2)[1], None)), frequent_pairs, CHUNK_DDL, "chunks")
-    rows = with_hot(rows, least, lambda c: (np.concatenate([NO_CELLS, *(c.places(m)[1] for m in range(3, most + 1))]), None))
-    sums = each(rows, lambda c: counted(c, most), SUM_DDL, "sums")
-    return written(sums.groupBy("lang", "phrase", "m").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "frequencies"), totals
+    rows = one_at_a_time(by_chunk(with_hot(rows, least, "n_words", lambda c: (c.word_cells(), c.counts)), frequent_words, CHUNK_DDL), "chunks")
+    rows = one_at_a_time(by_chunk(with_hot(rows, least, "n_tokens", lambda c: (c.places(2)[1], None)), frequent_pairs, CHUNK_DDL), "chunks")
+    longer = lambda c: (np.concatenate([NO_CELLS, *(c.places(m)[1] for m in range(3, most + 1))]), None)
+    sums = counted(with_hot(rows, least, f"n_tokens * {most}", longer), most).groupBy("lang", "phrase", "m").agg(F.sum("n").alias("f"))
+    return one_at_a_time(sums.where(F.col("f") >= least), "frequencies"), totals
 
 
 def scores(frequent: DataFrame, totals: DataFrame) -> DataFrame:
