@@ -1,12 +1,15 @@
 """Pair joins inside one series: entropies, nearest neighbours, exponents and recurrence measures.
 
 Their cost is quadratic in the samples, so a longer recording gives `most` samples spread evenly over all of it (900 by
-default; None takes all). Pairs are dealt by blocks of BLOCK samples, so that a long series is spread over tasks.
+default; None takes all). Pairs are dealt by blocks of BLOCK samples, so that a long series is spread over tasks; only the
+recurrence measures, which need the matrix of all pairs, take a recording in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators.series import ordered, whole
@@ -113,37 +116,56 @@ def rosenstein(e: DataFrame, key: str, fs: float = 1.0, steps: int = 19, points:
     return size.join(slope, key).select(key, F.when((F.col("_n") >= least) & (F.col("_c") >= 3), F.col("_s")).alias("rosenstein"))
 
 
+def run_lengths(on: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of True down the columns."""
+    flat = np.concatenate([[False], np.pad(on, ((0, 1), (0, 0))).T.reshape(-1)]).astype(np.int8)
+    edge = np.flatnonzero(np.diff(flat))
+    return edge[1::2] - edge[::2]
+
+
+def diagonals(m: np.ndarray) -> np.ndarray:
+    """The diagonals of a square matrix as columns: in rows of 2n - 1 that are read as rows of 2n, they stand upright."""
+    n = len(m)
+    flat = np.pad(m, ((0, 0), (0, n - 1))).reshape(-1)
+    return np.pad(flat, (0, -len(flat) % (2 * n))).reshape(-1, 2 * n)
+
+
+def line_measures(lengths: np.ndarray, line: int) -> tuple[float, float, float, float]:
+    """Points in lines of `line` or more, mean and largest length, entropy (bits) of the lengths; NaN without a line."""
+    n, count = np.unique(lengths[lengths >= line], return_counts=True)
+    if not len(n):
+        return (np.nan,) * 4
+    share = count / count.sum()
+    return float((n * count).sum()), float((n * share).sum()), float(n.max()), float(-(share * np.log2(share)).sum())
+
+
+RECURRENCE = ["rec", "det", "lam", "mean_line", "max_line", "entropy_line", "entropy_vertical", "entropy_white"]
+
+
 def recurrence(e: DataFrame, key: str, share: float = 0.10, line: int = 2) -> DataFrame:
     """Recurrence measures of embedded points: two points recur when not further apart than the `share` quantile of all
     positive distances. Lines are diagonal or vertical runs of `line` recurring pairs or more (white: vertical runs of
     pairs that do not recur); both triangles count, the main diagonal does not recur.
 
-    rec, det, lam, mean_line, max_line and the entropies (bits) of line lengths: diagonal, vertical, white."""
-    p = e.where("z is not null")
-    d = F.sqrt(sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in "xyz"), F.lit(0.0)))
-    j = paired(p, key, F.lit(True)).select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round(d, 9).alias("d"))
-    radius = j.where("i < j and d > 0").groupBy(key).agg(F.percentile("d", share).alias("radius"))
-    j = j.join(radius, key).select(key, "i", "j", ((F.col("d") <= F.col("radius")) & (F.col("i") != F.col("j"))).alias("on"))
-
-    def runs(rows: DataFrame, along: Column, at: str) -> DataFrame:
-        """Lengths of the runs of neighbouring positions `at` along lines."""
-        r = rows.select(key, along.alias("_l"), F.col(at).alias("_p"))
-        r = r.withColumn("_g", F.col("_p") - F.row_number().over(Window.partitionBy(key, "_l").orderBy("_p")))
-        return r.groupBy(key, "_l", "_g").agg(F.count("*").alias("n")).where(F.col("n") >= line).groupBy(key, "n").agg(F.count("*").alias("c"))
-
-    def measures(lengths: DataFrame, *names: str) -> DataFrame:
-        share_ = F.col("c") / F.sum("c").over(whole(key))
-        out = {"total": F.sum(F.col("n") * F.col("c")), "mean": F.sum(F.col("n") * F.col("c")) / F.sum("c"), "most": F.max("n").cast("double"), "entropy": -F.sum(F.col("_p") * F.log2("_p"))}
-        return lengths.withColumn("_p", share_).groupBy(key).agg(*[out[k].alias(a) for k, a in zip(("total", "mean", "most", "entropy"), names)])
-
-    black, white = j.where("on"), j.where("not on")
-    diagonal = measures(runs(black, F.col("j") - F.col("i"), "i"), "_det", "mean_line", "max_line", "entropy_line")
-    vertical = measures(runs(black, F.col("j"), "i"), "_lam", "_m", "_x", "entropy_vertical")
-    empty = measures(runs(white, F.col("j"), "i"), "_w", "_wm", "_wx", "entropy_white")
-    size = p.groupBy(key).agg(F.count("*").alias("_n")).where("_n >= 5")
-    base = size.join(radius.select(key), key).join(black.groupBy(key).agg(F.count("*").alias("_on")), key, "left").na.fill({"_on": 0})
-    out = base.join(diagonal, key, "left").join(vertical, key, "left").join(empty, key, "left")
-    return out.select(
-        key, (F.col("_on") / (F.col("_n") * (F.col("_n") - 1))).alias("rec"), F.try_divide("_det", "_on").alias("det"), F.try_divide("_lam", "_on").alias("lam"),
-        "mean_line", "max_line", "entropy_line", "entropy_vertical", "entropy_white",
-    )
+    rec, det, lam, mean_line, max_line and the entropies (bits) of line lengths: diagonal, vertical, white. A recording's
+    points are a matrix in the task that holds them (6.5 MB for the 900 points of `embedded`); fewer than five points, or
+    none apart, give no row."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("i")
+        x, n = p[["x", "y", "z"]].to_numpy(float), len(p)
+        d = np.sqrt(sum(np.square(np.subtract.outer(c, c)) for c in x.T)).round(9)
+        apart = d[np.triu_indices(n, 1)]
+        apart = apart[apart > 0]
+        if n < 5 or not len(apart):
+            return pd.DataFrame({key: p[key].iloc[:0], **{c: pd.Series(dtype=float) for c in RECURRENCE}})
+        on = d <= np.percentile(apart, 100 * share)
+        np.fill_diagonal(on, False)
+        pairs_on = float(on.sum())
+        diagonal, vertical, white = (line_measures(run_lengths(m), line) for m in (diagonals(on), on, ~on))
+        row = [pairs_on / (n * (n - 1)), diagonal[0] / pairs_on, vertical[0] / pairs_on, *diagonal[1:], vertical[3], white[3]]
+        return pd.DataFrame({key: p[key].iloc[:1], **{c: [v] for c, v in zip(RECURRENCE, row)}})
+
+    d = e.where("z is not null").select(key, "i", "x", "y", "z")
+    out = d.groupBy(key).applyInPandas(one, f"`{key}` {dict(d.dtypes)[key]}, " + ", ".join(f"{c} double" for c in RECURRENCE))
+    return out.select(key, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in RECURRENCE])

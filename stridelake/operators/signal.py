@@ -95,6 +95,67 @@ def cross_correlation(df: DataFrame, key: str, order, a: str, b: str) -> DataFra
     return by_recording(df, key, order, [a, b], "lag long, peak double", top).select(key, "lag", "peak")
 
 
+def autocorrelations(df: DataFrame, key: str, order, value: str) -> DataFrame:
+    """key, lag, acf: the autocorrelation of the mean-removed known values at all lags, over that at 0, from the power
+    spectrum. Series of fewer than three values, and constant ones, have none."""
+
+    def lags(x):
+        x = x[np.isfinite(x)]
+        x = x - x.mean() if len(x) else x
+        n = len(x)
+        if n < 3 or np.allclose(x, 0):
+            return pd.DataFrame({"lag": pd.Series(dtype="int64"), "acf": pd.Series(dtype=float)})
+        size = 1 << (2 * n - 1).bit_length()
+        c = np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[:n]
+        return pd.DataFrame({"lag": np.arange(n), "acf": c / c[0]})
+
+    return by_recording(df, key, order, [value], "lag long, acf double", lags).select(key, "lag", "acf")
+
+
+def sensor_peaks(df: DataFrame, key: str, sensor: str, order: str, value: str) -> DataFrame:
+    """key, sensor_a, sensor_b (a before b), lag, peak: the largest normalised cross-correlation of each pair of a key's
+    sensors over all lags, of the places (`order`) that both know.
+
+    A key's sensors are transformed once each, and the pairs come from the spectra; only pairs in which one sensor lacks
+    places of the other are transformed for themselves. Pairs with fewer than three common places, or with a constant
+    signal, have no row; the smaller of two equal lags counts. Of rows of one sensor and place the first known counts."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        wide = p.dropna(subset=["_v"]).drop_duplicates(["_s", "_o"]).pivot(index="_o", columns="_s", values="_v").sort_index()
+        names, x = list(wide.columns), wide.to_numpy(float).T
+        spectra: dict = {}
+
+        def unit(at, where):
+            """Length and spectrum of a sensor's centred values at these places, or None for a constant."""
+            mask = where.tobytes()
+            if (at, mask) not in spectra:
+                v = x[at][where]
+                size = 1 << (2 * len(v) - 1).bit_length()
+                c = v - v.mean()
+                spectra[at, mask] = None if np.allclose(v, v[0]) else np.fft.rfft(c / np.linalg.norm(c), size)
+            return spectra[at, mask]
+
+        out = []
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                where = np.isfinite(x[i]) & np.isfinite(x[j])
+                n = int(where.sum())
+                if n < 3:
+                    continue
+                a, b = unit(i, where), unit(j, where)
+                if a is None or b is None:
+                    continue
+                lags = np.arange(1 - n, n)
+                c = np.fft.irfft(a * np.conj(b), 1 << (2 * n - 1).bit_length())[lags].round(9)
+                out.append((p["_k"].iloc[0], names[i], names[j], int(lags[c.argmax()]), float(c.max())))
+        return pd.DataFrame(out, columns=["_k", "sensor_a", "sensor_b", "lag", "peak"])
+
+    d = df.select(F.col(key).alias("_k"), F.col(sensor).alias("_s"), F.col(order).alias("_o"), F.col(value).cast("double").alias("_v"))
+    kinds = dict(d.dtypes)
+    out = d.groupBy("_k").applyInPandas(one, f"_k {kinds['_k']}, sensor_a {kinds['_s']}, sensor_b {kinds['_s']}, lag long, peak double")
+    return out.withColumnRenamed("_k", key)
+
+
 def dominant_frequency(df: DataFrame, key: str, order, value: str, fs: float = 1.0) -> DataFrame:
     """Frequency of the largest Fourier power of the mean-removed, Hann-weighted series of eight samples or more."""
 

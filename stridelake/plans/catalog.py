@@ -344,6 +344,39 @@ def autocorr_lag(spark, d):
     return series.autocorrelation(events(spark, d), "user_id", ["us", "event_id"], "value", 3).select("user_id", *r("acf"))
 
 
+@query(EV + """, c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, value - avg(value) OVER (PARTITION BY user_id) AS x, count(*) OVER (PARTITION BY user_id) AS n FROM ev WHERE value IS NOT NULL),
+v AS (SELECT user_id, sum(x*x) AS s FROM c WHERE n >= 3 GROUP BY 1) SELECT a.user_id, b.i - a.i AS lag, round(sum(a.x*b.x) / any_value(s), 6) AS acf FROM c a JOIN c b ON a.user_id = b.user_id AND b.i >= a.i JOIN v ON v.user_id = a.user_id WHERE s > 1e-12 GROUP BY ALL""")
+def autocorrelations(spark, d):
+    return signal.autocorrelations(events(spark, d), "user_id", ["us", "event_id"], "value").select("user_id", "lag", *r("acf"))
+
+
+PLACED = EV + ", pl AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY us, event_id) AS place, value FROM ev)"
+
+
+@query(PLACED + """, m AS (SELECT a.user_id, a.event_type AS sa, b.event_type AS sb, a.place, a.value AS x, b.value AS y FROM pl a JOIN pl b ON a.user_id = b.user_id AND a.place = b.place AND a.event_type < b.event_type WHERE a.value IS NOT NULL AND b.value IS NOT NULL),
+z AS (SELECT user_id, sa, sb, place, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY user_id, sa, sb)), q AS (SELECT user_id, sa, sb, sqrt(sum(x*x) * sum(y*y)) AS s FROM z WHERE n >= 3 GROUP BY ALL),
+c AS (SELECT p.user_id, p.sa, p.sb, p.place - o.place AS lag, round(sum(p.x * o.y) / any_value(s), 9) AS c FROM z p JOIN z o ON p.user_id = o.user_id AND p.sa = o.sa AND p.sb = o.sb JOIN q ON q.user_id = p.user_id AND q.sa = p.sa AND q.sb = p.sb WHERE s > 1e-9 GROUP BY ALL)
+SELECT user_id, sa AS sensor_a, sb AS sensor_b, lag, round(c, 6) AS peak FROM c QUALIFY row_number() OVER (PARTITION BY user_id, sa, sb ORDER BY c DESC, lag) = 1""")
+def sensor_peaks(spark, d):
+    """The events of a type are a sensor's samples, in order."""
+    e = events(spark, d).withColumn("place", F.row_number().over(series.ordered(["user_id", "event_type"], ["us", "event_id"])).cast("long"))
+    return signal.sensor_peaks(e, "user_id", "event_type", "place", "value").select("user_id", "sensor_a", "sensor_b", "lag", *r("peak"))
+
+
+@query(EV + """, s AS (SELECT user_id, us, event_type AS s, max((value, event_id)) AS v FROM ev WHERE event_type IN ('click', 'view', 'purchase') AND NOT (event_type = 'view' AND user_id % 3 = 0) GROUP BY ALL), l AS (SELECT DISTINCT user_id, us FROM s),
+k AS (SELECT unnest(['click', 'view', 'purchase']) AS s), g AS (SELECT * FROM l, k),
+b AS (SELECT g.user_id, g.us, g.s, x.us AS bt, x.v AS bv FROM g ASOF LEFT JOIN s x ON g.user_id = x.user_id AND g.s = x.s AND g.us >= x.us), f AS (SELECT b.*, x.us AS ft, x.v AS fv FROM b ASOF LEFT JOIN s x ON b.user_id = x.user_id AND b.s = x.s AND b.us <= x.us),
+n AS (SELECT user_id, us, s, CASE WHEN ft IS NULL OR us - bt <= ft - us THEN CASE WHEN us - bt <= 43200000000 THEN bv END ELSE CASE WHEN ft - us <= 43200000000 THEN fv END END AS v FROM f)
+SELECT user_id, us, round(coalesce(max(v[1]) FILTER (s = 'click'), 0), 6) AS accel_value, coalesce(max(v[2]) FILTER (s = 'click'), 0)::DOUBLE AS accel_event_id, round(coalesce(max(v[1]) FILTER (s = 'view'), 0), 6) AS useraccel_value, coalesce(max(v[2]) FILTER (s = 'view'), 0)::DOUBLE AS useraccel_event_id,
+round(coalesce(max(v[1]) FILTER (s = 'purchase'), 0), 6) AS gyro_value, coalesce(max(v[2]) FILTER (s = 'purchase'), 0)::DOUBLE AS gyro_event_id FROM n GROUP BY ALL""")
+def sensors_wide(spark, d):
+    """Three types of events as sensors, of which every third user lacks one."""
+    e = events(spark, d).where("not (event_type = 'view' and user_id % 3 = 0)")
+    names = {"click": "accel", "view": "useraccel", "purchase": "gyro"}
+    w = alignment.sensors_wide(e, "user_id", "us", "event_type", names, ("value", "event_id"), 43_200_000_000)
+    return w.select("user_id", "us", *[F.round(f"{p}_value", 6).alias(f"{p}_value") for p in names.values()], *[f"{p}_event_id" for p in names.values()])
+
+
 @query(EV + " SELECT user_id, round(regr_slope(value, t / 86400), 6) AS slope FROM ev GROUP BY user_id")
 def slope(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.round(F.regr_slope("value", F.col("t") / 86400), 6).alias("slope"))

@@ -23,23 +23,44 @@ KEPT = {"walk": 31.0, "left_turn": 11.0, "right_turn": 11.0, "sit_to_stand": 17.
 CHANNELS = [c for c in NAMES if c != "timestamp"]
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """path, seq and the canonical channels of every CSV file below a folder, whatever its columns' names, order and
-    case; channels a file lacks, and cells that are no numbers, are null. seq numbers a file's lines from 0.
+def scan(spark: SparkSession, folder: str, numeric: float = 0.8) -> DataFrame:
+    """path, seq, the canonical channels and `dated` of every CSV file below a folder, whatever its columns' names, order
+    and case; channels a file lacks, and cells that are no numbers, are null. seq numbers a file's lines from 0.
+
+    Where fewer than `numeric` of a file's timestamps are numbers, they are date-times (ISO; UTC where no zone is given),
+    and timestamp is seconds since 1970: `dated` tells so. Cells in double quotes may hold commas.
 
     Files are read as lines, a file whole at a time, since each has its own header; a recording fits a task. Files that
     cannot be read give no rows (see `expected`)."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(folder, wholetext=True)
     lines = F.split(F.regexp_replace("value", "\r\n?|﻿", "\n"), "\n")
     d = files.select(F.col("_metadata.file_path").alias("path"), F.filter(lines, lambda x: F.length(F.trim(x)) > 0).alias("_l"))
-    header = F.transform(F.split(F.get("_l", F.lit(0)), ","), lambda x: F.lower(F.trim(F.regexp_replace(x, '"', ""))))
-    d = d.where(F.size("_l") > 1).withColumn("_h", header).select("path", "_h", F.posexplode(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0)))).alias("seq", "_row"))
-    cells = F.split(F.col("_row"), ",")
+    d = d.where(F.size("_l") > 1).withColumn("_h", F.transform(cells(F.get("_l", F.lit(0))), lambda c: F.lower(c))).withColumn("_l", F.slice("_l", 2, F.size("_l") - 1))
     # The first name that the header has; its place is 0 where there is none.
-    place = lambda names: F.coalesce(*[F.nullif(F.array_position("_h", n), F.lit(0).cast("long")) for n in names])
-    value = lambda names: F.try_element_at(cells, place(names).cast("int")).try_cast("double")
-    clean = lambda c: F.nanvl(c, F.lit(None).cast("double"))
-    return d.select("path", F.col("seq").cast("long").alias("seq"), *[clean(value(n)).alias(c) for c, n in NAMES.items()])
+    place = lambda names: F.coalesce(*[F.nullif(F.array_position("_h", n), F.lit(0).cast("long")) for n in names]).cast("int")
+    clean = lambda c: F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    at = place(NAMES["timestamp"])
+    plain = F.size(F.filter("_l", lambda x: clean(F.try_element_at(cells(x), at)).isNotNull()))
+    d = d.withColumn("_dated", at.isNotNull() & (plain < numeric * F.size("_l")))
+    d = d.select("path", "_h", "_dated", F.posexplode("_l").alias("seq", "_row"))
+    value = lambda names: F.try_element_at(cells(F.col("_row")), place(names))
+    time = value(NAMES["timestamp"])
+    d = d.select("path", F.col("seq").cast("long").alias("seq"), F.when(F.col("_dated"), epoch(time)).otherwise(clean(time)).alias("timestamp"), *[clean(value(n)).alias(c) for c, n in NAMES.items() if c != "timestamp"], F.col("_dated").alias("dated"))
+    return d
+
+
+def cells(line: Column) -> Column:
+    """The cells of a line, trimmed and without their quotes."""
+    quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    parts = F.when(line.contains('"'), F.transform(quoted, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))).otherwise(F.split(line, ","))
+    return F.transform(parts, lambda c: F.trim(c))
+
+
+def epoch(text: Column) -> Column:
+    """Seconds since 1970 of an ISO date-time, in UTC where it names no zone; null for anything else."""
+    whole_ = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ].*)?$"), text)
+    zoned = F.when(whole_.rlike("([zZ]|[+-][0-9]{2}:?[0-9]{2}|UTC|GMT)$") & whole_.rlike("[T ]"), whole_).otherwise(F.concat(whole_, F.when(whole_.rlike("[T ]"), F.lit("Z")).otherwise(F.lit("T00:00:00Z"))))
+    return F.unix_micros(zoned.try_cast("timestamp")) / 1e6
 
 
 def placed(rows: DataFrame, folder_depth: int = 2) -> DataFrame:
@@ -50,22 +71,32 @@ def placed(rows: DataFrame, folder_depth: int = 2) -> DataFrame:
     return d.where((F.col("patient") != "") & ~F.col("path").rlike(r"/\.[^/]*/") & ~F.lower("path").contains("/template"))
 
 
+def decoded(path: Column) -> Column:
+    """A file's path as it was named: Spark gives spaces and other characters as %XX."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def joined(text: Column) -> Column:
+    """Lower case, everything but letters and digits as underscores, which also begin and end it."""
+    return F.concat(F.lit("_"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "_"), F.lit("_"))
+
+
 def resolved(files: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
-    """For each patient, date and activity the file to use, from (path, patient, date, stem): the file of the activity's
-    own name, else the best match of its aliases (+20 for a synchronised path, +10 for an alias in the name, +5 for the
-    activity itself); the first path of equal ones."""
-    named = F.regexp_replace("stem", "[^a-z0-9]+", "_")
-    d = files.select("path", "patient", "date", "stem").distinct()
+    """For each patient, date and activity the file to use, from (path, patient, date, stem): `<activity>.csv` right below
+    the date's folder, else the best of the files in whose path below that folder an alias begins after a separator: +20
+    for a synchronised one, +10 for an alias in the name itself, +5 for the activity in it; of equal ones the first path."""
+    d = files.select("path", "patient", "date").distinct().withColumn("_path", decoded(F.col("path")))
+    below = F.expr("substring(_path, locate(concat('/', patient, '/', date, '/'), _path) + length(patient) + length(date) + 3)")
+    d = d.withColumns({"_below": below, "_all": joined(below), "_name": joined(F.regexp_extract(below, r"([^/]*)\.csv$", 1))})
     scores = []
     for activity, others in aliases.items():
-        alias = F.lit(False)
-        for a in others:
-            alias = alias | named.contains(a)
-        score = 20 * F.lower("path").contains("synchronized").cast("int") + 10 * alias.cast("int") + 5 * named.contains(activity).cast("int")
-        scores.append(F.struct(F.lit(activity).alias("activity"), (named == activity).alias("exact"), F.when((named == activity) | alias | named.contains(activity), score).alias("score")))
+        has = lambda c: F.exists(F.array(*map(F.lit, others)), lambda a: F.contains(c, F.concat(F.lit("_"), a)))  # noqa: B023, E731
+        score = 20 * F.col("_all").contains("synchronized").cast("int") + 10 * has(F.col("_name")).cast("int") + 5 * F.col("_name").contains(activity).cast("int")
+        exact = F.col("_below") == f"{activity}.csv"
+        scores.append(F.struct(F.lit(activity).alias("activity"), exact.alias("exact"), F.when(exact | has(F.col("_all")), score).alias("score")))
     d = d.select("path", "patient", "date", F.inline(F.array(*scores))).where("score is not null")
-    pick = Window.partitionBy("patient", "date", "activity").orderBy(F.desc("exact"), F.desc(F.when(F.col("exact"), 0).otherwise(F.col("score"))), "path")
-    return d.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select("patient", "date", "activity", "path")
+    best = F.min(F.struct((~F.col("exact")).alias("e"), F.when(F.col("exact"), 0).otherwise(-F.col("score")).alias("s"), "path"))
+    return d.groupBy("patient", "date", "activity").agg(best.alias("b")).select("patient", "date", "activity", F.col("b.path").alias("path"))
 
 
 def expected(days: DataFrame, found: DataFrame, activities: list[str]) -> DataFrame:
@@ -86,10 +117,12 @@ def latest(days: DataFrame, patient: str, date: str) -> DataFrame:
 
 
 def seconds(df: DataFrame, key: str, order: str, time: str, out: str = "ts") -> DataFrame:
-    """Time in seconds: its unit follows from the median positive step (over 1e8: nanoseconds, 1e5: micro, 1: milli)."""
+    """Time in seconds: its unit follows from the median positive step (over 1e8: nanoseconds, 1e5: micro, 1: milli), but
+    for rows whose column `dated` (where there is one) says that they are seconds."""
     d = df.withColumn("_step", F.col(time) - F.lag(time).over(ordered(key, order)))
     step = F.median(F.when(F.col("_step") > 0, F.col("_step"))).over(whole(key))
     scale = F.when(step > 1e8, 1e9).when(step > 1e5, 1e6).when(step > 1, 1e3).otherwise(1.0)
+    scale = F.when(F.col("dated"), 1.0).otherwise(scale) if "dated" in df.columns else scale
     return d.withColumn(out, F.col(time) / scale).drop("_step")
 
 
@@ -159,10 +192,10 @@ def recorder_json(texts: DataFrame, path: str = "path", text: str = "value") ->
 
 
 def write_csv(rows: DataFrame, folder: str, partition: str | None = None, places: int = 3) -> None:
-    """CSV files with a header, numbers rounded to `places`; one folder for each value of `partition`. What was in the
-    folder is replaced, and an empty table leaves a file with its header."""
-    out = rows.select(*[F.format_string(f"%.{places}f", F.round(n, places)).alias(n) if t in ("double", "float") else F.col(n) for n, t in rows.dtypes])
-    out = out.select(*[F.when(F.col(n) != "null", F.col(n)).alias(n) if t in ("double", "float") else F.col(n) for n, t in rows.dtypes])
+    """CSV files with a header, numbers rounded to `places`, empty cells for null and NaN; one folder for each value of
+    `partition`. What was in the folder is replaced, and an empty table leaves a file with its header."""
+    text = lambda n: F.when(F.col(n).isNotNull() & ~F.isnan(n), F.format_string(f"%.{places}f", F.round(n, places)))
+    out = rows.select(*[text(n).alias(n) if t in ("double", "float") else F.col(n) for n, t in rows.dtypes])
     if not partition and out.isEmpty():
         out = out.coalesce(1)
     writer = out.write.mode("overwrite").option("header", "true")

@@ -5,8 +5,8 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from stridelake.operators import signal
-from stridelake.sources import recordings
+from stridelake.operators import alignment, signal
+from stridelake.sources import discovery, recordings
 
 
 def put(path, text):
@@ -71,3 +71,69 @@ def test_sinks(spark, tmp_path):
     recordings.write_csv(df.where("false"), f"{tmp_path}/t")
     assert spark.read.csv(f"{tmp_path}/t", header=True).columns == ["k", "x", "n"]
     assert recordings.union_all([df.select("k"), df.select("n")]).count() == 4
+
+
+def test_resolved_below_the_date(spark, tmp_path):
+    """Folders count, aliases begin after a separator, and <activity>.csv is exact only right below the date."""
+    for name in ("360_leftturn/data.csv", "sidewalk.csv", "old/walk.csv", "x/turn r synchronized.csv", "x/turn_r.csv", "sit stand.csv", "stand_to_sit.csv", "a/stand_to_sit synchronized.csv"):
+        put(tmp_path / "SRS 1/2026-01-05" / name, "time,acc_x\n1,2\n")
+    files = recordings.placed(recordings.scan(spark, str(tmp_path)).withColumn("path", recordings.decoded(F.col("path"))))
+    aliases = {"walk": ["walk", "10_mw"], "left_turn": ["left_turn", "360_leftturn"], "right_turn": ["turn_r"], "sit_to_stand": ["sit_stand"], "stand_to_sit": ["stand_sit"]}
+    got = {r.activity: r.path.split("/2026-01-05/")[1] for r in recordings.resolved(files, aliases).collect()}
+    assert got == {"walk": "old/walk.csv", "left_turn": "360_leftturn/data.csv", "right_turn": "x/turn r synchronized.csv", "sit_to_stand": "sit stand.csv", "stand_to_sit": "stand_to_sit.csv"}
+
+
+def test_date_times(spark, tmp_path):
+    """Date-times, with and without zones, beside files of numbers; one file with a few broken numbers stays numeric."""
+    iso = ["2026-01-05T10:00:00.000Z", "2026-01-05 10:00:00.040", "2026-01-05T11:00:00.080+01:00", "not a time", "2026-01-05T10:00:00.160"]
+    put(tmp_path / "a.csv", "time,acc_x\n" + "".join(f"{t},{i}\n" for i, t in enumerate(iso)))
+    put(tmp_path / "b.csv", "time,acc_x\n" + "".join(f"{i * 40 if i % 6 else 'x'},{i}\n" for i in range(12)))
+    put(tmp_path / "c.csv", 'note,time,acc_x\n"a, ""b""",2026-01-05,7\n"c",2026-01-06,8\nd,2026-01-09,"9"\n')
+    rows = recordings.scan(spark, str(tmp_path))
+    of = lambda n: [(r.timestamp, r.acc_x, r.dated) for r in rows.where(F.col("path").endswith(n)).orderBy("seq").collect()]
+    start = 1767607200.0
+    a = of("a.csv")
+    assert [t and round(t - start, 6) for t, _, _ in a] == [0.0, 0.04, 0.08, None, 0.16] and all(d for _, _, d in a)
+    assert [t for t, _, _ in of("b.csv")] == [None if i % 6 == 0 else i * 40.0 for i in range(12)] and not of("b.csv")[0][2]
+    assert [(t, x) for t, x, _ in of("c.csv")] == [(1767571200.0, 7.0), (1767657600.0, 8.0), (1767916800.0, 9.0)]
+    # Seconds stay seconds, however long their steps are; numbers are milliseconds here.
+    done = {r.path[-5:]: r.last for r in recordings.preprocess(rows, cutoff=None).groupBy("path").agg(F.max("t").alias("last")).collect()}
+    assert done == {"a.csv": 0.16, "b.csv": 0.4, "c.csv": 345600.0} or all(abs(done[k] - v) < 1e-6 for k, v in {"a.csv": 0.16, "b.csv": 0.4, "c.csv": 345600.0}.items())
+
+
+def test_discovery(spark, tmp_path):
+    for name in ("raw/10 MW/long name.csv", "walk/a.csv", "Left Turn/b.csv", "x/L_360 synchronized.csv", "none.csv"):
+        put(tmp_path / "P1/2026-01-05" / name, "t\n1\n")
+    files = discovery.listed(spark, str(tmp_path)).select(F.regexp_extract("path", "(P1/.*)", 1).alias("path"), F.lit("P1").alias("patient"))
+    got = {r.activity: r.path.removeprefix("P1/2026-01-05/") for r in discovery.discovered(files, ["patient"]).collect()}
+    assert got == {"walk": "walk/a.csv", "left_turn": "Left Turn/b.csv"}
+    kinds = {r.path.rsplit("/", 1)[1]: r.a for r in files.select("path", discovery.inferred(F.col("path")).alias("a")).collect()}
+    assert kinds == {"long name.csv": "walk", "a.csv": "walk", "b.csv": "left_turn", "L_360 synchronized.csv": "left_turn", "none.csv": None}
+    below = spark.createDataFrame([("P1", "2026-01-05/a/x.csv"), ("P1", "2026-01-07/x.csv"), ("P1", "old/2026-01-01/x.csv"), ("P1", "very/old/2026-01-01/x.csv"), ("P2", "x.csv")], "patient string, below string")
+    wanted = spark.createDataFrame([("P1", None), ("P1", "2026-01-01"), ("P1", "1999-01-01"), ("P2", None)], "patient string, date string")
+    assert {tuple(r) for r in discovery.date_folders(below, wanted).collect()} == {("P1", None, "very"), ("P1", "2026-01-01", "old/2026-01-01"), ("P1", "1999-01-01", None), ("P2", None, None)}
+
+
+def test_lab_discovery(spark, tmp_path):
+    for name in ("SRS01/Visit 1/NW2/trunk.csv", "SRS01/Visit 1/NW10/trunk.csv", "SRS01/Visit 1/nw/trunk.csv", "SRS01/Visit 1/STS3/trunk.csv", "SRS01/Visit 1/STS1_b7/trunk.csv", "SRS01/other/NW1/trunk.csv", "pilot/visit1/TurnL1/trunk.csv"):
+        put(tmp_path / name, "t\n1\n")
+    files = discovery.listed(spark, str(tmp_path)).select(F.regexp_extract("path", "((SRS01|pilot)/.*)", 1).alias("below"))
+    trials = discovery.lab_trials(discovery.lab_folders(files)).orderBy("activity", "ordinal").collect()
+    assert [(r.folder, r.visit_id, r.ordinal) for r in trials] == [("STS1_b7", "V01", 1), ("STS3", "V01", 2), ("NW2", "V01", 1), ("NW10", "V01", 2), ("nw", "V01", 3)]
+    chosen = {(r.subject, r.visit, r.activity): r.folder for r in discovery.lab_choice(discovery.lab_folders(files, named=False)).collect()}
+    assert chosen == {("SRS01", "Visit 1", "walk"): "NW10", ("SRS01", "Visit 1", "sit_to_stand"): "STS3", ("SRS01", "other", "walk"): "NW1", ("pilot", "visit1", "left_turn"): "TurnL1"}
+
+
+def test_sensors_wide(spark):
+    rows = [
+        ("a", 0.00, "accelerometer", 1.0, 2.0, 3.0), ("a", 0.00, "accelerometer", 1.0, 2.0, 3.0), ("a", 0.05, "gyroscope", 4.0, 5.0, None), ("a", 0.10, "accelerometer", 6.0, 6.0, 6.0), ("a", 1.00, "gyroscope", 7.0, 7.0, 7.0),
+        ("a", 1.00, "barometer", 9.0, 9.0, 9.0), ("a", None, "gyroscope", 1.0, 1.0, 1.0), ("b", 2e12, "useraccelerometer", 1.0, 1.0, 1.0), ("b", 2e12 + 80, "gyroscope", 2.0, 2.0, 2.0), ("b", 2e12 + 200, "gyroscope", 3.0, 3.0, 3.0),
+    ]
+    df = spark.createDataFrame(rows, "rec string, t double, sensor string, x double, y double, z double")
+    names = {"accelerometer": "acc", "useraccelerometer": "user", "gyroscope": "gyro"}
+    got = {(r.rec, r.t): tuple(r)[2:] for r in alignment.sensors_wide(df, "rec", "t", "sensor", names).collect()}
+    zero = (0.0,) * 3
+    assert got == {
+        ("a", 0.0): ((1.0, 2.0, 3.0) + zero + (4.0, 5.0, 0.0)), ("a", 0.05): ((1.0, 2.0, 3.0) + zero + (4.0, 5.0, 0.0)), ("a", 0.1): ((6.0,) * 3 + zero + (4.0, 5.0, 0.0)), ("a", 1.0): (zero + zero + (7.0,) * 3),
+        ("b", 2e12): (zero + (1.0,) * 3 + (2.0,) * 3), ("b", 2e12 + 80): (zero + (1.0,) * 3 + (2.0,) * 3), ("b", 2e12 + 200): (zero + zero + (3.0,) * 3),
+    }
