@@ -38,11 +38,11 @@ def activity_of_path(spark, d):
 
 
 @query(PATHS + """, bl AS (SELECT patient, CASE WHEN length(below) % 3 = 0 THEN 'deep/' ELSE '' END || dt || '/' || below AS below FROM pth), sp AS (SELECT patient, string_split(below, '/') AS p FROM bl), fo AS (SELECT DISTINCT patient, array_to_string(p[1:k], '/') AS folder, p[k] AS name, k FROM (SELECT *, unnest(range(1, len(p))) AS k FROM sp)),
-wn AS (SELECT DISTINCT patient, CASE WHEN patient LIKE '%7' THEN NULL ELSE dt END AS date FROM pth WHERE dt < '1995-01-01') SELECT w.patient, w.date, CASE WHEN date IS NULL THEN max(name) FILTER (k = 1) ELSE arg_min(fo.folder, (k, fo.folder)) FILTER (name = w.date) END AS folder FROM wn w JOIN fo ON fo.patient = w.patient GROUP BY ALL""")
+wn AS (SELECT DISTINCT patient, CASE WHEN patient LIKE '%7' THEN NULL ELSE dt END AS date FROM pth WHERE dt LIKE '%1') SELECT w.patient, w.date, CASE WHEN w.date IS NULL THEN max(name) FILTER (k = 1) ELSE arg_min(fo.folder, (k, fo.folder)) FILTER (name = w.date) END AS folder FROM wn w JOIN fo ON fo.patient = w.patient GROUP BY w.patient, w.date""")
 def date_folders(spark, d):
     p = paths(spark, d)
     files = p.select("patient", F.concat(F.when(F.length("below") % 3 == 0, "deep/").otherwise(""), "dt", F.lit("/"), "below").alias("below"))
-    wanted = p.where("dt < '1995-01-01'").select("patient", F.when(~F.col("patient").like("%7"), F.col("dt")).alias("date"))
+    wanted = p.where("dt like '%1'").select("patient", F.when(~F.col("patient").like("%7"), F.col("dt")).alias("date"))
     return discovery.date_folders(files, wanted)
 
 
@@ -65,6 +65,6 @@ def lab_trials(spark, d):
 
 
 @query(LAB + """, nm AS (SELECT *, coalesce(regexp_extract_all(folder, '[0-9]+')[-1]::BIGINT, -1) AS num, folder AS f FROM ac WHERE activity IS NOT NULL)
-SELECT subject, visit, activity, CASE WHEN activity = 'sit_to_stand' THEN arg_min(f, (num, f)) ELSE arg_max(f, (num, f)) END AS folder, CASE WHEN activity = 'sit_to_stand' THEN min(num) ELSE max(num) END AS number FROM nm GROUP BY ALL""")
+SELECT subject, visit, activity, CASE WHEN activity = 'sit_to_stand' THEN arg_min(f, (num, f)) ELSE arg_max(f, (num, f)) END AS folder, CASE WHEN activity = 'sit_to_stand' THEN min(num) ELSE max(num) END AS number FROM nm GROUP BY subject, visit, activity""")
 def lab_choice(spark, d):
     return discovery.lab_choice(discovery.lab_folders(lab(spark, d), named=False))
