@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stridelake.operators import clusters, stats, tables, windows
@@ -167,11 +168,49 @@ def fixed_order(spark, d):
     return tables.fixed_columns(x, {"l_orderkey": kinds["l_orderkey"], "l_linenumber": kinds["l_linenumber"], "a": "double", "missing": "double"})
 
 
-@query(WEEK + ", p AS (SELECT user_id, home_week, value, CASE WHEN home_week = 1 THEN 'Faller' WHEN home_week = 2 THEN 'Non-Faller' END AS label FROM wk) SELECT user_id, home_week, label, round(100 * avg((label = 'Faller')::INT) OVER (), 6) AS agreement FROM p WHERE label IS NOT NULL")
+@query(WEEK + """, p AS (SELECT user_id, home_week, (value > 50)::INT AS profile, CASE WHEN home_week = 1 THEN 'Faller' WHEN home_week = 2 THEN 'Non-Faller' END AS label FROM wk), k AS (SELECT * FROM p WHERE label IS NOT NULL AND profile IS NOT NULL),
+g AS (SELECT count(*) FILTER ((profile = 0) = (label = 'Faller')) AS straight, count(*) AS n FROM k) SELECT k.user_id, k.home_week, label, CASE WHEN (profile = 0) = (straight >= n - straight) THEN 'Faller' ELSE 'Non-Faller' END AS stands_for, round(100.0::DOUBLE * greatest(straight, n - straight) / n, 6) AS agreement FROM k, g""")
 def label_agreement(spark, d):
-    w = _weekly(spark, d).withColumn("label", tables.mapped(F.col("home_week"), {1: "Faller", 2: "Non-Faller"})).where("label is not null")
-    share = w.agg(F.round(100 * F.avg((F.col("label") == "Faller").cast("int")), 6).alias("agreement"))
-    return w.select("user_id", "home_week", "label").crossJoin(F.broadcast(share))  # share: one row
+    """Two profiles of weekly values, the labels that they stand for, and how many rows agree."""
+    labels = ["Faller", "Non-Faller"]
+    w = _weekly(spark, d).withColumn("label", tables.mapped(F.col("home_week"), dict(enumerate(labels, 1)))).withColumn("profile", (F.col("value") > 50).cast("int"))
+    names, share = clusters.agreement(w, "profile", "label", labels)
+    w = w.where("label is not null and profile is not null")
+    return w.select("user_id", "home_week", "label", tables.mapped(F.col("profile"), names).alias("stands_for"), F.round(F.lit(share), 6).alias("agreement"))
+
+
+TRANSFER = """WITH src AS (SELECT o_custkey, count(*)::DOUBLE AS n, avg(o_totalprice::DOUBLE) AS price FROM orders GROUP BY 1), lab AS (SELECT * FROM src WHERE o_custkey % 3 = 0),
+sc AS (SELECT avg(n) AS mn, stddev_pop(n) AS sn, avg(price) AS mp, stddev_pop(price) AS sp, corr(n, price) AS c FROM lab), home AS (SELECT o_custkey, (n - mn) / sn AS x, (price - mp) / sp AS y, c FROM src, sc WHERE o_custkey % 3 <> 0)"""
+
+
+def transferred(spark, d):
+    """Customers of one group, to fit on, and the others, both standardised by the first."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("o_totalprice").cast("double")).alias("price"))
+    lab = o.where("o_custkey % 3 = 0")
+    scaler = clusters.Scaler.fit(lab, ["n", "price"])
+    return scaler.transform(lab), scaler.transform(o.where("o_custkey % 3 <> 0")), F.array("n", "price")
+
+
+@query(TRANSFER + " SELECT o_custkey, round((x + sign(c) * y) / sqrt(2), 6) AS pc1, round((x - sign(c) * y) / sqrt(2), 6) AS pc2, round((1 + abs(c)) / 2, 6) AS share FROM home")
+def axes_transferred(spark, d):
+    """Principal axes of one group applied to the other: of two standardised columns they are the diagonals."""
+    lab, home, values = transferred(spark, d)
+    axes = clusters.Axes.fit(lab, values)
+    return home.select("o_custkey", *[F.round(c, 6).alias(f"pc{i + 1}") for i, c in enumerate(axes.scores(values))], F.lit(round(float(axes.share[0]), 6)).alias("share"))
+
+
+@query(TRANSFER + """, ct AS (SELECT unnest([[-0.9, 0.4], [0.1, -1.2], [1.1, 0.3]]::DOUBLE[][]) AS v, unnest([0, 1, 2]) AS i) SELECT o_custkey, arg_min(i, (round((x - v[1]) ** 2 + (y - v[2]) ** 2, 12), i))::INT AS profile FROM home, ct GROUP BY o_custkey""")
+def profiles_applied(spark, d):
+    """Given centres applied to rows scaled by another group."""
+    _, home, values = transferred(spark, d)
+    return home.select("o_custkey", clusters.Profiles(np.array([[-0.9, 0.4], [0.1, -1.2], [1.1, 0.3]]), 0.0).nearest(values).alias("profile"))
+
+
+@query()
+def profiles_transferred(spark, d):
+    """Centres fitted on one group applied to the other."""
+    lab, home, values = transferred(spark, d)
+    return home.select("o_custkey", clusters.Profiles.fit(lab, values).nearest(values).alias("profile"))
 
 
 @query("""WITH t AS (SELECT count(*) FILTER (quality=0 AND toxic=0) AS a, count(*) FILTER (quality=0 AND toxic=1) AS b, count(*) FILTER (quality=1 AND toxic=0) AS c, count(*) FILTER (quality=1 AND toxic=1) AS d FROM labels), m AS (SELECT *, a+b AS r, a+c AS k, a+b+c+d AS n FROM t),
@@ -193,7 +232,7 @@ def mixture_profiles(spark, d):
     """Profiles of customers by a mixture fitted on their orders, with the labels that they stand for."""
     o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("n"), F.avg(F.col("o_totalprice").cast("double")).alias("price"))
     x = clusters.Scaler.fit(o, ["n", "price"]).transform(o)
-    m = clusters.mixture(x, ["n", "price"], starts=5)
+    m = clusters.mixture(x, ["n", "price"])
     p = m.predict(x).withColumn("label", F.when(F.col("n") > 0, "many").otherwise("few"))
     names = clusters.aligned(p, "profile", "label", ["few", "many"])
     return p.select("o_custkey", "profile", *r("membership"), tables.mapped(F.col("profile"), names).alias("stands_for"))

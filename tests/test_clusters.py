@@ -1,6 +1,7 @@
 """Profiles of vectors against direct computations."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stridelake.operators import clusters
 
@@ -40,3 +41,27 @@ def test_mixture(spark):
 def test_components_for(spark):
     v = spark.createDataFrame([(1, 0.7, 0.7), (2, 0.15, 0.85), (3, 0.15, 1.0)], "component int, share double, running double")
     assert {r.share_of: r.n_components for r in clusters.components_for(v).collect()} == {0.8: 2, 0.9: 3, 0.95: 3}
+
+
+def test_profiles_transfer(spark):
+    """Centres and axes fitted on one table, applied to another, against NumPy."""
+    rng = np.random.default_rng(5)
+    lab = np.concatenate([rng.normal([0, 0, 0], 1, (80, 3)), rng.normal([6, -4, 2], 1, (50, 3)), rng.normal([-5, 5, 5], 1, (30, 3))])
+    home = rng.normal(0, 5, (70, 3))
+    frame = lambda x: spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(999, [1.0, None, 2.0])], "id int, v array<double>").repartition(3)
+    fitted = clusters.Profiles.fit(frame(lab), F.col("v"), k=3, starts=20)
+    means = sorted((lab[s].mean(0) for s in (slice(0, 80), slice(80, 130), slice(130, 160))), key=tuple)
+    assert np.allclose(fitted.centres, means) and np.isclose(fitted.cost, sum(np.square(lab[s] - lab[s].mean(0)).sum() for s in (slice(0, 80), slice(80, 130), slice(130, 160))))
+    got = {r.id: r.p for r in frame(home).select("id", fitted.nearest(F.col("v")).alias("p")).collect()}
+    assert got.pop(999) is None
+    assert got == dict(enumerate(np.square(home[:, None] - fitted.centres).sum(2).argmin(1).tolist()))
+    axes = clusters.Axes.fit(frame(lab), F.col("v"))
+    values, vectors = np.linalg.eigh(np.cov(lab.T, bias=True))
+    assert np.allclose(axes.share, values[::-1] / values.sum()) and np.allclose(np.abs(axes.axes @ vectors[:, ::-1]), np.eye(3), atol=1e-9)
+    scores = {r.id: (r.pc1, r.pc2) for r in frame(home).select("id", *axes.scores(F.col("v"))).collect()}
+    assert np.allclose([scores[i] for i in range(70)], (home - lab.mean(0)) @ axes.axes[:2].T)
+
+
+def test_agreement(spark):
+    rows = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (1, "a"), (0, None), (None, "b"), (1, "c")], "profile int, label string")
+    assert clusters.agreement(rows, "profile", "label", ["b", "a"]) == ({0: "a", 1: "b"}, 75.0)
