@@ -2,10 +2,15 @@
 
 A recording is the rows of one key: order i from 0, time t in seconds, and channels. Each block gives one row per key;
 what cannot be computed is null. Recordings of fewer than LEAST samples have nulls throughout.
+
+Blocks read their samples, spans and peaks several times. `cut` is what is done with such a table before it is read; the
+feature table gives one that writes it to the shared folder, so that each is computed once.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +25,7 @@ WALK = [
 ]
 NONLINEAR = [
     "approximate_entropy", "sample_entropy", "symbolic_entropy", "permutation_entropy", "rosenstein_lyapunov_exponent", "wolf_lyapunov_exponent",
-    "rqa_rec", "rqa_det", "rqa_lam", "rqa_mean_line", "rqa_max_line", "rqa_entropy_line", "rqa_entropy_vertical", "rqa_entropy_white",
+    "rqa_REC", "rqa_DET", "rqa_LAM", "rqa_MeanL", "rqa_MaxL", "rqa_EntrL", "rqa_EntrV", "rqa_EntrW",
 ]
 TURN = ["duration", "mean_angular_velocity", "peak_angular_velocity", "ang_vel_std", "step_count", "pause_time", "jerk_std", "entropy"]
 ASYMMETRY = [f"{p}turn_{w}_difference" for p in ("", "abs_") for w in ("duration", "velocity", "pause")]
@@ -38,6 +43,10 @@ def feature_names() -> list[str]:
     ]
 
 
+def same(df: DataFrame) -> DataFrame:
+    return df
+
+
 def enough(df: DataFrame, key: str, least: int = LEAST) -> DataFrame:
     """The samples of recordings with `least` samples or more."""
     return df.withColumn("_n", F.count("*").over(whole(key))).where(F.col("_n") >= least).drop("_n")
@@ -59,10 +68,11 @@ def steps(df: DataFrame, key: str, order: str, time: str, value: str, span: Data
     return got.join(within.select(key, "_at", order, time), [key, "_at"]).select(key, order, time, "height")
 
 
-def step_times(peaks: DataFrame, key: str, time: str) -> DataFrame:
-    """Mean, population deviation and variation of the intervals between peaks."""
+def step_times(peaks: DataFrame, key: str, time: str, width: float = 1.0) -> DataFrame:
+    """Mean, population deviation and variation of the intervals between peaks; of a single peak, which is one step in its
+    window of `width` seconds, the width."""
     gap = peaks.withColumn("_g", F.col(time) - F.lag(time).over(ordered(key, time)))
-    s = gap.groupBy(key).agg(F.count("*").cast("double").alias("step_count"), F.avg("_g").alias("mean_step_time"), F.stddev_pop("_g").alias("step_time_std"))
+    s = gap.groupBy(key).agg(F.count("*").cast("double").alias("step_count"), F.coalesce(F.avg("_g"), F.lit(width)).alias("mean_step_time"), F.coalesce(F.stddev_pop("_g"), F.lit(0.0)).alias("step_time_std"))
     return s.withColumn("step_time_cv", F.try_divide("step_time_std", "mean_step_time"))
 
 
@@ -105,17 +115,19 @@ def rms(value: str) -> Column:
     return F.sqrt(F.avg(F.col(value) * F.col(value)))
 
 
-def walk(df: DataFrame, key: str, acc: str, gyro: str, order: str = "i", time: str = "t", metres: float = 10.0, protocol: float = 30.0) -> DataFrame:
+def walk(df: DataFrame, key: str, acc: str, gyro: str, order: str = "i", time: str = "t", metres: float = 10.0, protocol: float = 30.0, cut=same) -> DataFrame:
     """key and the WALK features."""
-    d = enough(df, key)
-    span = segments.active_span(d, key, time, acc, cap=None, least=1.0)
-    peaks = steps(d, key, order, time, acc, span)
-    within, fs = segments.inside(d, key, time, span), rate(d, key, order, time)
-    count = step_times(peaks, key, time)
+    d = cut(enough(df, key))
+    span = cut(segments.active_span(d, key, time, acc, cap=None, least=1.0))
+    peaks = cut(steps(d, key, order, time, acc, span))
+    within, fs = cut(segments.inside(d, key, time, span)), cut(rate(d, key, order, time))
+    count = cut(step_times(peaks, key, time))
     jerk = segments.inside(series.gradient(d, key, time, acc, "_jerk"), key, time, span)
     hz = signal.dominant_frequency(within, key, order, acc).select(key, F.col("hz").alias("_hz"))
-    lag = fs.join(count.select(key, "mean_step_time"), key, "left").join(hz, key, "left")
-    lag = lag.select(key, "fs", "_hz", F.coalesce(F.rint(F.col("mean_step_time") * F.col("fs")), F.rint(F.try_divide(F.lit(1.0), "_hz"))).cast("long").alias("lag"))
+    # Without steps the lag follows from the frequency of the whole recording.
+    other = signal.dominant_frequency(d.join(count.select(key), key, "left_anti"), key, order, acc).select(key, F.col("hz").alias("_all"))
+    lag = fs.join(count.select(key, "mean_step_time"), key, "left").join(hz, key, "left").join(other, key, "left")
+    lag = cut(lag.select(key, "fs", "_hz", F.coalesce(F.rint(F.col("mean_step_time") * F.col("fs")), F.rint(F.try_divide(F.lit(1.0), "_all"))).cast("long").alias("lag")))
     task = statistics(d, key, walk_task_duration=F.max(time) - F.min(time))
     motion = statistics(within, key, walk_acc_mag_mean=F.avg(acc), walk_acc_mag_std=F.stddev_pop(acc), walk_acc_mag_rms=rms(acc), walk_gyro_mag_std=F.stddev_pop(gyro))
     out = task.join(span.select(key, "start", F.col("duration").alias("walk_duration")), key, "left").join(motion, key, "left").join(lag, key, "left").join(count, key, "left")
@@ -133,30 +145,28 @@ def walk(df: DataFrame, key: str, acc: str, gyro: str, order: str = "i", time: s
     return out.withColumns(more).select(key, *WALK)
 
 
-def nonlinear(df: DataFrame, key: str, acc: str, order: str = "i", time: str = "t", most: int = 900) -> DataFrame:
+def nonlinear(df: DataFrame, key: str, acc: str, order: str = "i", time: str = "t", most: int = 900, cut=same) -> DataFrame:
     """key and the NONLINEAR features of the walk span, of keys with ten samples or more in it."""
-    d = enough(df, key)
+    d = cut(enough(df, key))
     within = enough(segments.inside(d, key, time, segments.active_span(d, key, time, acc, cap=None, least=1.0)), key, 10)
-    e = pairs.embedded(within, key, order, acc, most)
     # The rate of the whole recording, as for the other features.
-    fs = rate(d, key, order, time)
-    out = within.select(key).distinct().join(fs, key)
-    parts = [
-        pairs.approximate_entropy(e, key).toDF(key, "approximate_entropy"), pairs.sample_entropy(e, key).select(key, F.col("sampen").alias("sample_entropy")), pairs.symbolic_entropy(e, key, "i", "x"),
-        pairs.permutation_entropy(e, key).toDF(key, "permutation_entropy"), pairs.rosenstein(e, key).toDF(key, "_l1"), pairs.wolf(e, key).toDF(key, "_l2"), pairs.recurrence(e, key),
-    ]
-    for p in parts:
-        out = out.join(p, key, "left")
-    out = out.withColumns({"rosenstein_lyapunov_exponent": F.col("_l1") * F.col("fs"), "wolf_lyapunov_exponent": F.col("_l2") * F.col("fs")})
-    return out.select(key, *NONLINEAR[:6], *[F.col(n.removeprefix("rqa_")).alias(n) for n in NONLINEAR[6:]])
+    out = pairs.nonlinear(pairs.embedded(within, key, order, acc, most), key).join(rate(d, key, order, time), key)
+    scaled = out.withColumns({"rosenstein": F.col("rosenstein") * F.col("fs"), "wolf": F.col("wolf") * F.col("fs")})
+    return scaled.select(key, *[F.col(c).alias(n) for c, n in zip(pairs.NONLINEAR, NONLINEAR)])
+
+
+def filtered(df: DataFrame, key: str, order: str, time: str, columns: list[str], cutoff: float | None, degree: int = 4) -> DataFrame:
+    """df with the columns low-passed at each recording's own rate; as it is without a cutoff."""
+    return signal.low_pass_columns(segments.with_rate(df, key, order, time), key, order, columns, cutoff, "fs", degree).drop("fs") if cutoff else df
 
 
-def turn(df: DataFrame, key: str, acc: str, gyro: str, axis: str, order: str = "i", time: str = "t", beta: float = 0.6, height: float = 0.55) -> DataFrame:
+def turn(df: DataFrame, key: str, acc: str, gyro: str, axis: str, order: str = "i", time: str = "t", beta: float = 0.6, height: float = 0.55, cutoff: float | None = 5.0, cut=same) -> DataFrame:
     """key and the TURN features: the span by the gyro magnitude, velocities of |axis|, steps by |acc|, pauses under the
-    span's threshold."""
+    span's threshold. The magnitude (which the preprocess has filtered already) and |axis| are low-passed at `cutoff`."""
     d = enough(df, key).withColumn("_vel", F.abs(axis)).withColumn("_push", F.abs(acc))
-    span = segments.peak_span(d, key, order, time, gyro)
-    within = segments.inside(d, key, time, span)
+    d = cut(filtered(d, key, order, time, [gyro, "_vel"], cutoff))
+    span = cut(segments.peak_span(d, key, order, time, gyro))
+    within = cut(segments.inside(d, key, time, span))
     velocity = statistics(within, key, mean_angular_velocity=F.avg("_vel"), peak_angular_velocity=F.max("_vel"), ang_vel_std=F.stddev_pop("_vel"))
     jerk = statistics(series.gradient(within, key, time, "_vel", "_j"), key, jerk_std=F.stddev_pop("_j"))
     smooth = segments.with_rate(segments.numbered(within, key, order, "_at"), key, order, time)
@@ -188,25 +198,29 @@ def widest_axis(df: DataFrame, key: str, time: str, axes: list[str], span: DataF
     return df.join(best, key).withColumn(out, F.element_at(F.array(*axes), F.col("_axis") + 1)).drop("_axis")
 
 
-def transition_details(df: DataFrame, key: str, gyro: str, axes: list[str], order: str = "i", time: str = "t", anchored: bool = False) -> tuple[DataFrame, DataFrame]:
+def transition_details(df: DataFrame, key: str, gyro: str, axes: list[str], order: str = "i", time: str = "t", anchored: bool = False, cut=same) -> tuple[DataFrame, DataFrame]:
     """The recordings with their dominant axis, and per key threshold, start, end, duration and both extremes."""
     d = enough(df, key)
-    broad = segments.active_span(d, key, time, gyro, k=3.0, least=0.5, fallback=0.1)
-    d = widest_axis(d, key, time, axes, broad)
-    span = segments.refined_span(d, key, order, time, "axis", broad)
+    broad = cut(segments.active_span(d, key, time, gyro, k=3.0, least=0.5, fallback=0.1))
+    d = cut(widest_axis(d, key, time, axes, broad))
+    span = cut(segments.refined_span(d, key, order, time, "axis", broad))
     if anchored:
         rated = segments.with_rate(d, key, order, time).join(span.select(key, "threshold", "start", "end"), key)
         on = F.col(time).between(F.col("start"), F.col("end")) & (F.abs("axis") >= F.col("threshold"))
         region = segments.strongest_region(rated.select(key, order, time, "axis", "fs", on.alias("_hit")), key, order, time, "axis", F.col("_hit"), segments.samples(0.75, F.col("fs")), segments.samples(0.5, F.col("fs")))
         region = region.select(key, F.col("start").alias("_s"), F.col("end").alias("_e"))
         span = span.join(region, key, "left").select(key, "threshold", F.coalesce("_s", "start").alias("start"), F.coalesce("_e", "end").alias("end"))
-    return d, segments.motion_end(d, key, order, time, "axis", span, anchored)
+    return d, cut(segments.motion_end(d, key, order, time, "axis", span, anchored))
 
 
-def transition(df: DataFrame, key: str, acc: str, gyro: str, axes: list[str], order: str = "i", time: str = "t", anchored: bool = False) -> DataFrame:
+def transition(df: DataFrame, key: str, acc: str, gyro: str, axes: list[str], order: str = "i", time: str = "t", anchored: bool = False, cut=same) -> DataFrame:
     """key and the TRANSITION features."""
-    d, found = transition_details(df, key, gyro, axes, order, time, anchored)
-    within = segments.inside(d, key, time, found)
+    return transition_block(*transition_details(df, key, gyro, axes, order, time, anchored, cut), key, acc, gyro, order, time, cut)
+
+
+def transition_block(d: DataFrame, found: DataFrame, key: str, acc: str, gyro: str, order: str = "i", time: str = "t", cut=same) -> DataFrame:
+    """The features from what transition_details gives."""
+    within = cut(segments.inside(d, key, time, found))
     top = F.min(F.struct((-F.round(acc, 9)).alias("x"), F.col(time).alias("t"), F.col(acc).alias("v")))
     stats = within.groupBy(key).agg(top.alias("_top"), F.min(time).alias("_t0"), F.max(gyro).alias("peak_gyro"), rms(acc).alias("acc_rms"))
     stats = stats.select(key, (F.col("_top.t") - F.col("_t0")).alias("time_to_peak_acc"), F.col("_top.v").alias("peak_acc"), "peak_gyro", "acc_rms")
@@ -234,29 +248,49 @@ def cycle_correlation(a: DataFrame, b: DataFrame, key: str, time: str, value: st
     return c.select(key, F.abs("peak").alias(f"{prefix}_xcorr_symmetry_score"), F.col("peak").alias(f"{prefix}_xcorr_peak_correlation"))
 
 
-def table(motion: DataFrame, patient: str, date: str, activity: str, axes: list[str], acc: str = "acc", gyro: str = "gyro") -> DataFrame:
-    """One row per patient and date: patient, date and all features in their fixed order. motion: samples (i, t, acc, gyro
-    and axes) of the activities walk, left_turn, right_turn, sit_to_stand and stand_to_sit; what is missing is null."""
-    keyed = motion.withColumn("_key", F.concat_ws("\u0001", F.col(patient).cast("string"), F.col(date).cast("string")))
-    of = lambda a: keyed.where(F.col(activity) == a)
-    out = keyed.select("_key", patient, date).distinct()
-    out = out.join(walk(of("walk"), "_key", acc, gyro), "_key", "left").join(nonlinear(of("walk"), "_key", acc), "_key", "left")
-    for side in ("left_turn", "right_turn"):
-        t = turn(of(side), "_key", acc, gyro, axes[0])
-        out = out.join(t.select("_key", *[F.col(n).alias(f"{side}_{n}") for n in TURN]), "_key", "left")
-    out = out.select("*", *asymmetry(out))
-    cycles = []
-    for side in ("left_turn", "right_turn"):
-        d = enough(of(side), "_key")
-        best = d.groupBy("_key").agg(F.least(*[F.struct((-F.round(F.avg(F.abs(a)), 9)).alias("m"), F.lit(i).alias("i")) for i, a in enumerate(axes)]).alias("_b"))
-        d = d.join(best, "_key").withColumn("axis", F.abs(F.element_at(F.array(*axes), F.col("_b.i") + 1)))
-        cycles.append(segments.inside(d, "_key", "t", segments.turn_span(d, "_key", "i", "t", "axis").where("start is not null")))
-    out = out.join(cycle_correlation(*cycles, "_key", "t", "axis", "turn_left_right"), "_key", "left")
-    cycles = []
-    for kind in ("sit_to_stand", "stand_to_sit"):
-        t = transition(of(kind), "_key", acc, gyro, axes)
-        out = out.join(t.select("_key", *[F.col(n).alias(f"{kind}_{n}") for n in TRANSITION]), "_key", "left")
-        d, found = transition_details(of(kind), "_key", gyro, axes)
-        cycles.append(segments.inside(d, "_key", "t", found))
-    out = out.join(cycle_correlation(*cycles, "_key", "t", "axis", "sitstand_standsit"), "_key", "left")
-    return out.select(patient, date, *feature_names())
+def widest_turn(df: DataFrame, key: str, axes: list[str], gyro: str, order: str = "i", time: str = "t", cutoff: float | None = 5.0) -> DataFrame:
+    """The samples with |axis| of the axis of the largest mean magnitude, low-passed; the magnitude where no axis is known."""
+    d = enough(df, key)
+    best = d.groupBy(key).agg(F.array_min(F.array_compact(F.array(*[F.when(F.avg(F.abs(a)).isNotNull(), F.struct((-F.round(F.avg(F.abs(a)), 9)).alias("m"), F.lit(i).alias("i"))) for i, a in enumerate(axes)]))).alias("_b"))
+    d = d.join(best, key).withColumn("axis", F.coalesce(F.abs(F.try_element_at(F.array(*axes), F.col("_b.i") + 1)), F.col(gyro))).drop("_b")
+    return filtered(d, key, order, time, ["axis"], cutoff)
+
+
+def table(samples: DataFrame, patient: str, date: str, activity: str, axes: list[str], motion: str = "motion", free: str = "acc_free", gyro: str = "gyro_mag", cutoff: float | None = 5.0, cut=same) -> DataFrame:
+    """One row per patient and date: patient, date and all features in their fixed order. samples: preprocessed and
+    truncated samples (i, t, the motion channel, the acceleration without its mean, the gyro magnitude and axes) of the
+    activities walk, left_turn, right_turn, sit_to_stand and stand_to_sit; what is missing is null.
+
+    Turn steps come from the acceleration without its mean, or from the motion channel where it is constant; all other
+    features of acceleration are of the motion channel. The blocks do not depend on each other and run side by side."""
+    keyed = samples.select(F.concat_ws("\u0001", F.col(patient).cast("string"), F.col(date).cast("string")).alias("_key"), F.col(patient).alias("_patient"), F.col(date).alias("_date"), F.col(activity).alias("_activity"), "i", "t", F.col(motion).alias("_motion"), F.col(free).alias("_free"), F.col(gyro).alias("_gyro"), *axes)
+    keyed = cut(keyed)
+    flat = F.coalesce(F.stddev_pop("_free").over(Window.partitionBy("_key", "_activity")) <= 1e-8, F.lit(True))
+    of = lambda a: keyed.where(F.col("_activity") == a).select("_key", "i", "t", "_motion", "_gyro", F.when(flat, F.col("_motion")).otherwise(F.col("_free")).alias("_push0"), *axes)
+
+    def one_turn(side):
+        t = turn(of(side), "_key", "_push0", "_gyro", axes[0], cutoff=cutoff, cut=cut)
+        return cut(t.select("_key", *[F.col(n).alias(f"{side}_{n}") for n in TURN]))
+
+    def turn_cycle(side):
+        d = cut(widest_turn(of(side), "_key", axes, "_gyro", cutoff=cutoff))
+        return cut(segments.inside(d, "_key", "t", segments.turn_span(d, "_key", "i", "t", "axis").where("start is not null")))
+
+    def one_move(kind):
+        d, found = transition_details(of(kind), "_key", "_gyro", axes, cut=cut)
+        t = transition_block(d, found, "_key", "_motion", "_gyro", cut=cut)
+        return cut(t.select("_key", *[F.col(n).alias(f"{kind}_{n}") for n in TRANSITION])), cut(segments.inside(d, "_key", "t", found))
+
+    sides, kinds = ("left_turn", "right_turn"), ("sit_to_stand", "stand_to_sit")
+    with ThreadPoolExecutor(8) as pool:
+        walked = pool.submit(lambda: cut(walk(of("walk"), "_key", "_motion", "_gyro", cut=cut)))
+        bent = pool.submit(lambda: cut(nonlinear(of("walk"), "_key", "_motion", cut=cut)))
+        turned, cycles, moved = ([pool.submit(f, x) for x in of_] for f, of_ in ((one_turn, sides), (turn_cycle, sides), (one_move, kinds)))
+        moves = [m.result() for m in moved]
+        blocks = [walked.result(), bent.result(), *[t.result() for t in turned], *[m[0] for m in moves]]
+        blocks.append(cycle_correlation(*[c.result() for c in cycles], "_key", "t", "axis", "turn_left_right"))
+        blocks.append(cycle_correlation(*[m[1] for m in moves], "_key", "t", "axis", "sitstand_standsit"))
+    out = keyed.select("_key", F.col("_patient").alias(patient), F.col("_date").alias(date)).distinct()
+    for b in blocks:
+        out = out.join(b, "_key", "left")
+    return out.select("*", *asymmetry(out)).select(patient, date, *feature_names())

@@ -139,6 +139,24 @@ def line_measures(lengths: np.ndarray, line: int) -> tuple[float, float, float,
     return float((n * count).sum()), float((n * share).sum()), float(n.max()), float(-(share * np.log2(share)).sum())
 
 
+def distances(points: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum(np.square(np.subtract.outer(c, c)) for c in points.T)).round(9)
+
+
+def recurrence_of(d: np.ndarray, share: float, line: int) -> list[float] | None:
+    """The measures of RECURRENCE from a matrix of distances; None for fewer than five points, or none apart."""
+    n = len(d)
+    apart = d[np.triu_indices(n, 1)]
+    apart = apart[apart > 0]
+    if n < 5 or not len(apart):
+        return None
+    on = d <= np.percentile(apart, 100 * share)
+    np.fill_diagonal(on, False)
+    pairs_on = float(on.sum())
+    diagonal, vertical, white = (line_measures(run_lengths(m), line) for m in (diagonals(on), on, ~on))
+    return [pairs_on / (n * (n - 1)), diagonal[0] / pairs_on, vertical[0] / pairs_on, *diagonal[1:], vertical[3], white[3]]
+
+
 RECURRENCE = ["rec", "det", "lam", "mean_line", "max_line", "entropy_line", "entropy_vertical", "entropy_white"]
 
 
@@ -152,20 +170,74 @@ def recurrence(e: DataFrame, key: str, share: float = 0.10, line: int = 2) -> Da
     none apart, give no row."""
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        x, n = p[["x", "y", "z"]].to_numpy(float), len(p)
-        d = np.sqrt(sum(np.square(np.subtract.outer(c, c)) for c in x.T)).round(9)
-        apart = d[np.triu_indices(n, 1)]
-        apart = apart[apart > 0]
-        if n < 5 or not len(apart):
-            return pd.DataFrame({key: p[key].iloc[:0], **{c: pd.Series(dtype=float) for c in RECURRENCE}})
-        on = d <= np.percentile(apart, 100 * share)
-        np.fill_diagonal(on, False)
-        pairs_on = float(on.sum())
-        diagonal, vertical, white = (line_measures(run_lengths(m), line) for m in (diagonals(on), on, ~on))
-        row = [pairs_on / (n * (n - 1)), diagonal[0] / pairs_on, vertical[0] / pairs_on, *diagonal[1:], vertical[3], white[3]]
-        return pd.DataFrame({key: p[key].iloc[:1], **{c: [v] for c, v in zip(RECURRENCE, row)}})
+        row = recurrence_of(distances(p.sort_values("i")[["x", "y", "z"]].to_numpy(float)), share, line)
+        return pd.DataFrame({key: p[key].iloc[: int(row is not None)], **{c: [v] for c, v in zip(RECURRENCE, row or [])}}, columns=[key, *RECURRENCE])
 
     d = e.where("z is not null").select(key, "i", "x", "y", "z")
     out = d.groupBy(key).applyInPandas(one, f"`{key}` {dict(d.dtypes)[key]}, " + ", ".join(f"{c} double" for c in RECURRENCE))
     return out.select(key, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in RECURRENCE])
+
+
+NONLINEAR = ["apen", "sampen", "symbolic_entropy", "perm_entropy", "rosenstein", "wolf", *RECURRENCE]
+
+
+def bits(values: np.ndarray) -> float:
+    """Shannon entropy of the values' frequencies."""
+    share = np.unique(values, return_counts=True)[1] / max(len(values), 1)
+    return float(-(share * np.log2(share)).sum()) if len(share) else np.nan
+
+
+def template_entropies(x: np.ndarray, r: float) -> tuple[float, float]:
+    """Approximate and sample entropy of a series, from its matrices of near templates."""
+    near = np.abs(np.subtract.outer(x, x)) <= r
+    two = near[:-1, :-1] & near[1:, 1:]
+    three = two[:-1, :-1] & near[2:, 2:]
+    n = len(two)
+    with np.errstate(divide="ignore"):
+        apen = np.log(two.sum(1) / n).mean() - (np.log(three.sum(1) / (n - 1)).mean() if n > 1 else np.nan)
+    b, a = np.triu(two, 1).sum(), np.triu(three, 1).sum()
+    return float(apen), float(-np.log(a / b)) if a and b else np.nan
+
+
+def exponents(d: np.ndarray, theiler: int, steps: int, points: int, least: int) -> tuple[float, float]:
+    """Rosenstein's and Wolf's exponents a sample, from the distances of embedded points."""
+    n = len(d)
+    at = np.arange(n)
+    apart = np.where(np.abs(np.subtract.outer(at, at)) > theiler, d, np.inf)
+    mate, start = apart.argmin(1), apart.min(1)
+    on = np.isfinite(start) & (start > 0)
+    line, wolf = [], np.nan
+    for k in range(1, steps + 1):
+        i = at[on & (at + k < n) & (mate + k < n)]
+        later, first = d[i + k, mate[i] + k], start[i]
+        first, later = first[later > 0], later[later > 0]
+        if len(later):
+            line.append((k, np.log(later).mean()))
+            wolf = float(np.log(later / first).mean()) if k == 1 else wolf
+    line = line[:points]
+    slope = float(np.polyfit(*zip(*line), 1)[0]) if n >= least and len(line) >= 3 else np.nan
+    return slope, wolf
+
+
+def nonlinear(e: DataFrame, key: str, r: float = 0.2, theiler: int = 10, steps: int = 19, points: int = 8, least: int = 25, share: float = 0.10, line: int = 2) -> DataFrame:
+    """key and all measures of this module (NONLINEAR; the exponents a sample) for each embedded recording, from one pass
+    over the matrix of its points: what the single operators give, without a join of pairs for each of them."""
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("i")
+        x = p["x"].to_numpy(float)
+        got = dict.fromkeys(NONLINEAR, np.nan)
+        if len(x) >= 3 and np.isfinite(x).all():
+            got["apen"], got["sampen"] = template_entropies(x, r)
+            a, b, c = x[:-2], x[1:-1], x[2:]
+            got["perm_entropy"] = bits((a <= b) * 4 + (b <= c) * 2 + (a <= c)) / np.log2(6)
+            quarter = (x[:, None] >= np.percentile(x, [25, 50, 75])).sum(1)
+            got["symbolic_entropy"] = bits(quarter[:-1] * 4 + quarter[1:])
+            d = distances(np.stack([a, b, c], 1))
+            got["rosenstein"], got["wolf"] = exponents(d, theiler, steps, points, least)
+            got.update(zip(RECURRENCE, recurrence_of(d, share, line) or []))
+        return pd.DataFrame({key: p[key].iloc[:1], **{c: [v] for c, v in got.items()}})
+
+    d = e.select(key, "i", "x")
+    out = d.groupBy(key).applyInPandas(one, f"`{key}` {dict(d.dtypes)[key]}, " + ", ".join(f"{c} double" for c in NONLINEAR))
+    return out.select(key, *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in NONLINEAR])

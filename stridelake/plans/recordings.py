@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import features, segments, series
 from stridelake.plans.catalog import EV, ORACLE, query, r, table
+from stridelake.sources import recordings
+from stridelake.sources.cuts import written
 
 
 def samples(spark, d):
@@ -213,13 +215,13 @@ def peaks_sql(source: str, height: str, distance: str, out: str) -> str:
 WALK = SMP + active_sql("useracc", 1.0, 0.25, None, 1.0, "a") + FS + """, win AS (SELECT mot.* FROM mot JOIN a USING (rec) WHERE start IS NOT NULL AND t BETWEEN start AND "end"),
 wf AS (SELECT rec, 1 / median(st) AS wfs FROM (SELECT rec, t - lag(t) OVER (PARTITION BY rec ORDER BY i) AS st FROM win) WHERE st > 0 GROUP BY rec)""" + smooth_sql("useracc", 3.0, "win", "sm") + """,
 sp AS (SELECT sm.*, threshold, greatest(1, round_even(0.3::DOUBLE * wfs, 0)) AS apart FROM sm JOIN a USING (rec) JOIN wf USING (rec))""" + peaks_sql("sp", "threshold", "apart", "pk") + """,
-gp AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS g FROM pk), ct AS (SELECT rec, count(*)::DOUBLE AS n, avg(g) AS m, stddev_pop(g) AS sd FROM gp GROUP BY rec),
+gp AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS g FROM pk), ct AS (SELECT rec, count(*)::DOUBLE AS n, coalesce(avg(g), 1.0::DOUBLE) AS m, coalesce(stddev_pop(g), 0.0::DOUBLE) AS sd FROM gp GROUP BY rec),
 task AS (SELECT rec, max(t) - min(t) AS task FROM mot GROUP BY rec), base AS (SELECT task.rec, task, duration, coalesce(n, 0) AS n, m, sd FROM task LEFT JOIN a USING (rec) LEFT JOIN ct USING (rec))"""
 STEP_NAMES = ["walk_duration", "step_count", "cadence", "walk_task_duration", "walk_task_cadence", "walk_task_mean_step_time", "walk_protocol_duration", "walk_protocol_cadence", "walk_protocol_mean_step_time", "walking_speed", "mean_step_time", "step_time_std", "step_time_cv"]
 
 
 def _walk(spark, d):
-    return features.walk(motion(spark, d), "rec", "useracc", "gyro")
+    return features.walk(written(motion(spark, d)), "rec", "useracc", "gyro", cut=written)
 
 
 @query(WALK + """ SELECT rec, round(duration, 6) AS walk_duration, n AS step_count, round(60 * n / duration, 6) AS cadence, round(task, 6) AS walk_task_duration, round(60 * n / nullif(task, 0), 6) AS walk_task_cadence, round(task / nullif(n, 0), 6) AS walk_task_mean_step_time,
@@ -284,12 +286,12 @@ qs AS (SELECT rec, max(t) - min(t) AS s FROM qr WHERE q GROUP BY rec, run HAVING
 SELECT wi.rec, round(any_value(m.duration), 6) AS duration, round(avg(v), 6) AS mean_angular_velocity, round(max(v), 6) AS peak_angular_velocity, round(stddev_pop(v), 6) AS ang_vel_std, coalesce(any_value(c.n), 0) AS step_count, round(coalesce(any_value(qt.p), 0), 6) AS pause_time, round(any_value(jerk), 6) AS jerk_std
 FROM wi JOIN m ON m.rec = wi.rec LEFT JOIN c ON c.rec = wi.rec LEFT JOIN qt ON qt.rec = wi.rec LEFT JOIN j ON j.rec = wi.rec GROUP BY wi.rec""")
 def turn_features(spark, d):
-    return features.turn(motion(spark, d), "rec", "useracc", "gyro", "gyro_x").select("rec", *r(*features.TURN[:-1]))
+    return features.turn(written(motion(spark, d)), "rec", "useracc", "gyro", "gyro_x", cutoff=None, cut=written).select("rec", *r(*features.TURN[:-1]))
 
 
 @query(TURN + ", en AS (SELECT rec, k AS i, v FROM wi)" + welch_sql("en", "we") + " SELECT rec, round(entropy, 6) AS entropy FROM we")
 def turn_entropy(spark, d):
-    return features.turn(motion(spark, d), "rec", "useracc", "gyro", "gyro_x").select("rec", *r("entropy"))
+    return features.turn(written(motion(spark, d)), "rec", "useracc", "gyro", "gyro_x", cutoff=None, cut=written).select("rec", *r("entropy"))
 
 
 MOVE = EXTREME + FS + """, en AS (SELECT ed.rec, coalesce(min(t) FILTER (abs(gyro_x) < threshold AND t BETWEEN s AND e AND i > b), any_value(e)) AS "end" FROM mot JOIN ed USING (rec) GROUP BY ed.rec),
@@ -304,15 +306,20 @@ round(any_value(jm), 6) AS jerk_mean, round(any_value(jd), 6) AS jerk_std, coale
 FROM wi JOIN en USING (rec) JOIN ed USING (rec) JOIN tp USING (rec) JOIN js USING (rec) LEFT JOIN c USING (rec) LEFT JOIN we USING (rec) GROUP BY wi.rec""")
 def transition_features(spark, d):
     """The dominant axis is gyro_x in all recordings."""
-    return features.transition(motion(spark, d), "rec", "useracc", "gyro", ["gyro_x", "gyro_y", "gyro_z"]).select("rec", *r(*features.TRANSITION))
+    return features.transition(written(motion(spark, d)), "rec", "useracc", "gyro", ["gyro_x", "gyro_y", "gyro_z"], cut=written).select("rec", *r(*features.TRANSITION))
 
 
 @query()
 def feature_table(spark, d):
-    """All features of patients made of five recordings each; its blocks have SQL above."""
-    kinds = F.array(*[F.lit(a) for a in ("walk", "left_turn", "right_turn", "sit_to_stand", "stand_to_sit")])
-    m = motion(spark, d).withColumns({"patient": F.expr("rec div 5"), "date": F.lit("2026-01-05"), "activity": F.element_at(kinds, (F.col("rec") % 5 + 1).cast("int"))})
-    out = features.table(m, "patient", "date", "activity", ["gyro_x", "gyro_y", "gyro_z"], acc="useracc")
+    """All features of patients made of five recordings each: raw rows, preprocess, last seconds, motion channel, blocks."""
+    kinds = F.array(*[F.lit(a) for a in recordings.KEPT])
+    s = samples(spark, d)
+    raw = s.select(F.col("rec").cast("string").alias("path"), F.col("i").alias("seq"), (F.col("t") * 1000).alias("timestamp"), *recordings.CHANNELS)
+    of = F.element_at(kinds, (F.col("path").cast("int") % 5 + 1))
+    p = written(recordings.preprocess(raw), "preprocessed")
+    p = written(recordings.motion_channel(recordings.truncated(p, "path", of), "path"), "truncated")
+    p = p.withColumns({"patient": F.expr("cast(path as int) div 5"), "date": F.lit("2026-01-05"), "activity": of})
+    out = features.table(p, "patient", "date", "activity", ["gyro_x", "gyro_y", "gyro_z"], cut=written)
     return out.select("patient", "date", *[F.round(n, 3).alias(n) for n in features.feature_names()])
 
 

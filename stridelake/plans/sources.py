@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,14 +9,7 @@ from pyspark.sql import functions as F
 from stridelake.plans.catalog import query, r
 from stridelake.plans.recordings import SMP, samples
 from stridelake.sources import recordings
-
-
-def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or in local mode a temporary folder where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return at or tempfile.mkdtemp(prefix="stridelake-")
+from stridelake.sources.cuts import shared_folder
 
 
 @query(SMP + " SELECT rec, i AS seq, round(t, 3) AS timestamp, round(acc_x, 3) AS acc_x, CASE WHEN i % 5 > 0 THEN round(gyro_z, 3) END AS gyro_z, NULL::DOUBLE AS useracc_x FROM smp")
