@@ -5,7 +5,7 @@ Samples are (key, i, t, fs, sensor and channels) of preprocessed recordings; a k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators import features, segments, signal
@@ -20,14 +20,27 @@ SENSORS = [
     ("trunk", 12.0, 0.65, None, 0.45, 8, "longest"),
     ("sacrum", 4.0, None, 1.25, 0.35, 8, "longest"),
 ]
+OTHERS = (8.0, 0.75, None, 0.40, 10, "longest")  # all other sensors
 GENERIC = [
     "start_time_s", "end_time_s", "duration_s", "step_count", "cadence_steps_min", "mean_step_time_s", "ten_step_start_time_s", "ten_step_end_time_s", "ten_step_duration_s", "ten_step_count",
     "ten_step_cadence_steps_min", "ten_step_mean_step_time_s", "peak_angular_velocity", "mean_angular_velocity", "flexion_peak", "extension_peak", "time_to_peak_acc_s", "peak_acc", "peak_gyro",
 ]
 
 
-def parameters(spark) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(SENSORS, "sensor string, sigma double, percentile double, mad double, apart double, peaks int, mode string"))  # four rows
+PARAMETERS = ["sigma", "percentile", "mad", "apart", "peaks", "mode"]
+
+
+def with_parameters(samples: DataFrame) -> DataFrame:
+    """samples with the values of their sensor as columns."""
+    kinds = ("double", "double", "double", "double", "int", "string")
+
+    def of(i: int) -> Column:
+        value = F.lit(OTHERS[i]).cast(kinds[i])
+        for sensor, *values in SENSORS:
+            value = F.when(F.col("sensor") == sensor, F.lit(values[i]).cast(kinds[i])).otherwise(value)
+        return value
+
+    return samples.withColumns({n: of(i) for i, n in enumerate(PARAMETERS)})
 
 
 def peak_window(peaks: DataFrame, key: str) -> DataFrame:
@@ -51,32 +64,33 @@ def peak_window(peaks: DataFrame, key: str) -> DataFrame:
     return d.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("_rank", "_at"))).where("_r = 1").select(key, "start", "end")
 
 
-def sacrum_events(samples: DataFrame, key: str, value: str = "acc_free", fs: float = 25.0, first: int = 9, steps: int = 10) -> DataFrame:
-    """key, start, end of the first nine events of the band-passed acceleration of recordings with the rate fs."""
-    b = signal.band_pass(samples, key, "i", value, fs)
-    b = signal.smoothed(b, key, "i", "filtered", float(max(1, round(0.15 * fs))))
-    limit = segments.spread_threshold(b, key, "smooth", 0.75, None).withColumn("_d", F.lit(max(1, round(0.35 * fs))))
+def sacrum_events(samples: DataFrame, key: str, value: str = "acc_free", first: int = 9) -> DataFrame:
+    """key, start, end of the first nine events of the band-passed acceleration, at each recording's own rate (fs)."""
+    rates = samples.groupBy(key).agg(F.first("fs", True).alias("_fs"))
+    b = signal.band_pass(samples, key, "i", value, "fs").join(rates, key).withColumn("_sigma", segments.samples(0.15, F.col("_fs")))
+    b = signal.smoothed(b, key, "i", "filtered", "_sigma")
+    limit = segments.spread_threshold(b, key, "smooth", 0.75, None).join(rates, key).withColumn("_d", segments.samples(0.35, F.col("_fs")))
     p = signal.peaks(b.join(limit, key), key, "i", "smooth", distance="_d", height="threshold").join(samples.select(key, "i", "t"), [key, "i"])
     d = p.withColumn("_r", F.row_number().over(ordered(key, "t"))).where(F.col("_r") <= first)
     return d.groupBy(key).agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("_n")).where(F.col("_n") == first).drop("_n")
 
 
-def walking(samples: DataFrame, key: str, seconds: float | None = 60.0, fs: float = 25.0) -> DataFrame:
-    """Summary of each walk: steps of the first `seconds` (None: all) by the sensor's own signal, and its ten-step window."""
-    spark = samples.sparkSession
+def walking(samples: DataFrame, key: str, seconds: float | None = 60.0) -> DataFrame:
+    """Summary of each walk: steps of the first `seconds` (None: all) by the sensor's own signal, and its ten-step window.
+    Distances follow each recording's own rate (fs); sensors without values of their own take OTHERS."""
     d = samples.withColumn("_end", F.least(F.max("t").over(whole(key)), F.lit(seconds if seconds is not None else float("inf"))))
-    d = d.where("t <= _end").join(parameters(spark), "sensor").withColumn("_x", sensor_signal(F.col("sensor")))
+    d = with_parameters(d.where("t <= _end")).withColumn("_x", sensor_signal(F.col("sensor")))
     d = d.withColumn("_x", F.col("_x") - F.median("_x").over(whole(key)))
     s = signal.smoothed(d, key, "i", "_x", "sigma").join(d.drop("_x"), [key, "i"])
     w = whole(key)
     s = s.withColumn("_m", F.median("smooth").over(w)).withColumn("_mad", F.median(F.abs(F.col("smooth") - F.col("_m"))).over(w))
-    by_share = F.coalesce(*[F.when(F.col("percentile") == p, F.percentile("smooth", p).over(w)) for p in sorted({p for _, _, p, *_ in SENSORS if p})])
-    s = s.withColumn("_h", F.when(F.col("mad").isNotNull(), F.col("_m") + F.col("mad") * F.col("_mad")).otherwise(by_share)).withColumn("_d", F.greatest(F.lit(1.0), F.rint(F.col("apart") * fs)))
+    by_share = F.coalesce(*[F.when(F.col("percentile") == p, F.percentile("smooth", p).over(w)) for p in sorted({p for _, p, *_ in [OTHERS, *(v[1:] for v in SENSORS)] if p})])
+    s = s.withColumn("_h", F.when(F.col("mad").isNotNull(), F.col("_m") + F.col("mad") * F.col("_mad")).otherwise(by_share)).withColumn("_d", F.greatest(F.lit(1.0), F.rint(F.col("apart") * F.coalesce("fs", F.lit(0.0)))))
     p = signal.peaks(s, key, "i", "smooth", distance="_d", height="_h").join(s.select(key, "i", "t", "sensor", "peaks", "mode"), [key, "i"])
     base = d.groupBy(key).agg(F.first("sensor").alias("sensor"), F.min("t").alias("start_time_s"), F.first("_end").alias("end_time_s"), F.count("*").alias("_n")).where("_n >= 3")
     base = base.join(p.groupBy(key).agg(F.count("*").cast("double").alias("step_count")), key, "left").withColumn("step_count", F.coalesce("step_count", F.lit(0.0)))
     base = base.withColumn("duration_s", F.col("end_time_s") - F.col("start_time_s"))
-    ten = peak_window(p.where("sensor <> 'sacrum'"), key).unionByName(sacrum_events(d.where("sensor = 'sacrum'").select(key, "i", "t", "acc_free"), key, fs=fs))
+    ten = peak_window(p.where("sensor <> 'sacrum'"), key).unionByName(sacrum_events(d.where("sensor = 'sacrum'").select(key, "i", "t", "acc_free", "fs"), key))
     out = base.join(ten, key, "left").withColumn("_t", F.col("end") - F.col("start"))
     return out.select(
         key, "sensor", "start_time_s", "end_time_s", "duration_s", "step_count", F.try_divide(60 * F.col("step_count"), "duration_s").alias("cadence_steps_min"), F.try_divide("duration_s", "step_count").alias("mean_step_time_s"),
@@ -98,9 +112,9 @@ def turning(samples: DataFrame, key: str, axis: str = "gyro_y") -> DataFrame:
     return out.select(key, F.col("start").alias("start_time_s"), F.col("end").alias("end_time_s"), F.col("duration").alias("duration_s"), F.coalesce("step_count", F.when(F.col("start").isNotNull(), 0.0)).alias("step_count"), "peak_angular_velocity", "mean_angular_velocity")
 
 
-def rising(samples: DataFrame, key: str, motion: str = "motion") -> DataFrame:
-    """Summary of each rise, its window anchored at the extremes of the dominant axis."""
-    d, found = features.transition_details(samples, key, "gyro_mag", ["gyro_x", "gyro_y", "gyro_z"], anchored=True)
+def rising(samples: DataFrame, key: str, motion: str = "motion", cut=features.same) -> DataFrame:
+    """Summary of each rise, its window anchored at the extremes of the dominant axis. For `cut` see features."""
+    d, found = features.transition_details(samples, key, "gyro_mag", ["gyro_x", "gyro_y", "gyro_z"], anchored=True, cut=cut)
     within = segments.inside(d, key, "t", found)
     top = F.min(F.struct((-F.round(motion, 9)).alias("x"), F.col("t").alias("t"), F.col(motion).alias("v")))
     s = within.groupBy(key).agg(top.alias("_top"), F.min("t").alias("_t0"), F.max("gyro_mag").alias("peak_gyro"))

@@ -251,20 +251,21 @@ def low_pass(df: DataFrame, key: str, order: str, value: str, cutoff: float, fs:
     return out.withColumn("filtered", F.nanvl("filtered", F.lit(None).cast("double")))
 
 
-def band_pass(df: DataFrame, key: str, order: str, value: str, fs: float, low: float = 0.5, high: float = 3.0) -> DataFrame:
+def band_pass(df: DataFrame, key: str, order: str, value: str, fs, low: float = 0.5, high: float = 3.0) -> DataFrame:
     """Zero-phase band-pass of the median-centred series; the upper edge is at most 0.9 of the Nyquist rate. Series of
-    fewer than 8 samples, and empty bands, are only centred."""
-    top = min(high, 0.9 * fs / 2) if fs > 0 else 0.0
-    usable = 0 < low < top
-    b, a = band(low, top, fs) if usable else (None, None)
+    fewer than 8 samples, and empty bands, are only centred. fs is a rate for all, or the name of a column with each
+    recording's own (null or not positive: only centred)."""
+    column = fs if isinstance(fs, str) else None
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order)
         x = p[value].to_numpy(float)
         x = x - np.nanmedian(x)
-        return pd.DataFrame({key: p[key], order: p[order], "filtered": both_ways(b, a, x) if usable and len(x) >= 8 else x})
+        rate = p["_fs"].iloc[0] if column else fs
+        top = min(high, 0.9 * rate / 2) if rate is not None and rate > 0 else 0.0
+        return pd.DataFrame({key: p[key], order: p[order], "filtered": both_ways(*band(low, top, float(rate)), x) if 0 < low < top and len(x) >= 8 else x})
 
-    d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value))
+    d = df.where(F.col(value).isNotNull()).select(key, order, F.col(value).cast("double").alias(value), *([F.col(column).cast("double").alias("_fs")] if column else []))
     kinds = dict(d.dtypes)
     return d.groupBy(key).applyInPandas(one, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, filtered double")
 

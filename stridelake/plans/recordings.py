@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stridelake.operators import features, segments, series
+from stridelake.operators import features, lab, segments, series
 from stridelake.plans.catalog import EV, ORACLE, query, r, table
 from stridelake.sources import recordings
 from stridelake.sources.cuts import written
@@ -309,6 +309,37 @@ def transition_features(spark, d):
     return features.transition(written(motion(spark, d)), "rec", "useracc", "gyro", ["gyro_x", "gyro_y", "gyro_z"], cut=written).select("rec", *r(*features.TRANSITION))
 
 
+def lab_samples(spark, d):
+    """Samples of laboratory sensors: every fifth recording is of one sensor, one of them without values of its own."""
+    names = F.array(*[F.lit(n) for n in ("right", "left", "trunk", "sacrum", "thigh")])
+    s = samples(spark, d).withColumns({f"{p}_mag": recordings.magnitude(p) for p in ("acc", "gyro", "useracc")})
+    s = series.centre(segments.with_rate(s, "rec", "i", "t"), "rec", "acc_mag", out="acc_free")
+    return written(s.withColumn("sensor", F.element_at(names, (F.col("rec") % 5 + 1).cast("int"))), "lab")
+
+
+@query()
+def lab_walks(spark, d):
+    out = lab.walking(lab_samples(spark, d), "rec")
+    return out.select("rec", "sensor", *r(*[n for n in out.columns if n not in ("rec", "sensor")]))
+
+
+LAB_TURN = SMP + FS + """, v AS (SELECT s.rec, i, t, abs(gyro_y) AS v, fs FROM smp s JOIN fr USING (rec)), tp AS (SELECT rec, 0.25::DOUBLE * max(v) AS threshold, max(i) AS n, greatest(1, round_even(0.10::DOUBLE * any_value(fs), 0)) AS pad FROM v GROUP BY rec),
+hit AS (SELECT v.rec, min(i) AS a, max(i) AS b FROM v JOIN tp USING (rec) WHERE v >= threshold GROUP BY v.rec), sp AS (SELECT rec, greatest(0, a - pad)::BIGINT AS a, least(n, b + pad)::BIGINT AS b FROM hit JOIN tp USING (rec)),
+w AS (SELECT v.*, sp.a, sp.b FROM v JOIN sp USING (rec) WHERE i BETWEEN sp.a AND sp.b)"""
+
+
+@query(LAB_TURN + """ SELECT rec, round(min(t), 6) AS start_time_s, round(max(t), 6) AS end_time_s, round(max(t) - min(t), 6) AS duration_s, round(max(v), 6) AS peak_angular_velocity, round(avg(v), 6) AS mean_angular_velocity FROM w GROUP BY rec""")
+def lab_turns(spark, d):
+    return lab.turning(lab_samples(spark, d), "rec").select("rec", *r("start_time_s", "end_time_s", "duration_s", "peak_angular_velocity", "mean_angular_velocity"))
+
+
+@query()
+def lab_rises(spark, d):
+    m = written(recordings.motion_channel(lab_samples(spark, d), "rec"))
+    out = lab.with_offsets(lab.rising(m, "rec", cut=written).join(m.select("rec", "sensor").distinct(), "rec"))
+    return out.select("rec", "sensor", *r(*[n for n in out.columns if n not in ("rec", "sensor")]))
+
+
 @query()
 def feature_table(spark, d):
     """All features of patients made of five recordings each: raw rows, preprocess, last seconds, motion channel, blocks."""

@@ -80,3 +80,53 @@ def test_lab_tables(spark):
     assert moved == {"left": (2.83, 3.83, 1.39), "sacrum": (2.02, 3.02, 0.7), "right": (2.0, 3.0, None)}
     wide = lab.trial_table(lab.generic(rises, ["trial", "sensor"]), ["trial"], ["right", "left", "trunk", "sacrum"]).collect()
     assert len(wide) == 1 and len(wide[0]) == 1 + 4 * 19 and wide[0].left_duration_s == 2.0 and wide[0].trunk_duration_s is None
+
+
+def test_lab_walking(spark):
+    """Two rates and a fifth sensor, against a direct computation with each recording's own rate."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for key, (sensor, fs) in enumerate([("right", 25.0), ("right", 50.0), ("thigh", 40.0), ("left", 25.0), ("trunk", 50.0), ("sacrum", 50.0), ("sacrum", 25.0)]):
+        n = int(40 * fs)
+        t = np.arange(n) / fs
+        x = {c: np.sin(2 * np.pi * f * t + p) + rng.normal(0, 0.1, n) for c, f, p in (("gyro_x", 0.9, 0), ("gyro_z", 0.9, 1), ("gyro_mag", 1.7, 0), ("acc_free", 1.8, 2))}
+        rows += [(key, sensor, i, float(t[i]), fs, *(float(x[c][i]) for c in x)) for i in range(n)]
+        v = {"right": x["gyro_x"], "left": np.abs(x["gyro_x"]), "trunk": x["gyro_mag"], "sacrum": x["gyro_z"]}.get(sensor, x["acc_free"])
+        sigma, share, mad, apart, count, mode = next((p[1:] for p in lab.SENSORS if p[0] == sensor), lab.OTHERS)
+        smooth = signal.gaussian(v - np.median(v), sigma)
+        m = np.median(smooth)
+        limit = m + mad * np.median(np.abs(smooth - m)) if mad else np.percentile(smooth, 100 * share)
+        at = t[signal.found_peaks(smooth, max(1, round(apart * fs)), limit)]
+        if sensor == "sacrum":
+            b, a = signal.band(0.5, min(3.0, 0.9 * fs / 2), fs)
+            y = signal.gaussian(signal.both_ways(b, a, x["acc_free"] - np.median(x["acc_free"])), max(1, round(0.15 * fs)))
+            c = np.median(y)
+            events = t[signal.found_peaks(y, max(1, round(0.35 * fs)), c + 0.75 * np.median(np.abs(y - c)))][:9]
+            ten = events[-1] - events[0]
+        elif mode == "longest":
+            ten = max(at[i + count - 1] - at[i] for i in range(len(at) - count + 1))
+        else:
+            ten = None
+        want[key] = (len(at), ten)
+    df = spark.createDataFrame(rows, "k int, sensor string, i int, t double, fs double, gyro_x double, gyro_z double, gyro_mag double, acc_free double")
+    got = {r.k: r for r in lab.walking(df, "k").collect()}
+    assert set(got) == set(want)
+    for key, (steps, ten) in want.items():
+        assert got[key].step_count == steps > 5
+        assert ten is None or abs(got[key].ten_step_duration_s - ten) < 1e-9
+
+
+def test_lab_turning(spark):
+    fs, n = 40.0, 400
+    t = np.arange(n) / fs
+    y = 3 * np.exp(-(((t - 5) / 1.2) ** 2))
+    push = np.abs(np.sin(2 * np.pi * 0.7 * t))
+    df = spark.createDataFrame([(1, i, float(t[i]), float(-y[i]), float(push[i])) for i in range(n)], "k int, i int, t double, gyro_y double, acc_free double")
+    r = lab.turning(df, "k").first()
+    on = np.flatnonzero(y >= 0.75)
+    a, b = on[0] - 4, on[-1] + 4
+    part = slice(a, b + 1)
+    smooth = signal.gaussian(push[part], max(1, round(0.04 * fs)))
+    steps = len(signal.found_peaks(smooth, round(0.5 * fs), np.percentile(smooth, 50)))
+    assert (r.start_time_s, r.end_time_s, r.step_count) == (t[a], t[b], steps) and steps > 0
+    assert abs(r.peak_angular_velocity - y.max()) < 1e-9 and abs(r.mean_angular_velocity - y[part].mean()) < 1e-9
