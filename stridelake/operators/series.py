@@ -48,32 +48,59 @@ def collapse_duplicates(df: DataFrame, key: str, time: str, *channels: str) -> D
     return df.groupBy(key, time).agg(*[F.avg(c).alias(c) for c in channels])
 
 
-def interpolate(df: DataFrame, key: str, order: str, value: str, out: str = "filled", axis: str | None = None) -> DataFrame:
-    """Linear between known values by position, or along the column `axis`; the ends take the nearest known value."""
-    w = ordered(key, order)
-    d = df.withColumn("_i", F.row_number().over(w))
+def interpolate_columns(df: DataFrame, key: str, order: str, values: dict[str, str], axis: str | None = None) -> DataFrame:
+    """df with each value (a key of `values`) filled under its new name: linear between known values by position, or along
+    the column `axis`; the ends take the nearest known value. All values share one window in each direction."""
+    d = df.withColumn("_i", F.row_number().over(ordered(key, order)))
     x = F.col(axis) if axis else F.col("_i")
-    known = F.when(F.col(value).isNotNull(), F.struct(x.alias("i"), F.col(value).alias("v")))
-    d = d.withColumn("_a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(known, True).over(after(key, "_i")))
-    inner = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (x - F.col("_a.i")) / (F.col("_b.i") - F.col("_a.i"))
-    return d.withColumn(out, F.when(F.col("_a").isNull(), F.col("_b.v")).when(F.col("_b").isNull() | (F.col("_a.i") == F.col("_b.i")), F.col("_a.v")).otherwise(inner)).drop("_i", "_a", "_b")
+    forth, back = ordered(key, "_i").rowsBetween(Window.unboundedPreceding, 0), after(key, "_i")
+    known = [F.when(F.col(v).isNotNull(), F.struct(x.alias("i"), F.col(v).alias("v"))) for v in values]
+    d = d.withColumns({f"_a{j}": F.last(c, True).over(forth) for j, c in enumerate(known)}).withColumns({f"_b{j}": F.last(c, True).over(back) for j, c in enumerate(known)})
 
+    def filled(j: int) -> Column:
+        a, b = F.col(f"_a{j}"), F.col(f"_b{j}")
+        inner = a["v"] + (b["v"] - a["v"]) * (x - a["i"]) / (b["i"] - a["i"])
+        return F.when(a.isNull(), b["v"]).when(b.isNull() | (a["i"] == b["i"]), a["v"]).otherwise(inner)
 
-def gradient(df: DataFrame, key: str, time: str, value: str, out: str = "slope") -> DataFrame:
-    """Second-order differences on an uneven grid, first-order ones at the ends; missing values are bridged along the
-    time for their neighbours and stay missing."""
-    d = interpolate(df, key, time, value, "_f", axis=time)
+    return d.withColumns({out: filled(j) for j, out in enumerate(values.values())}).drop("_i", *[f"_{s}{j}" for s in "ab" for j in range(len(values))])
+
+
+def interpolate(df: DataFrame, key: str, order: str, value: str, out: str = "filled", axis: str | None = None) -> DataFrame:
+    """interpolate_columns for one value."""
+    return interpolate_columns(df, key, order, {value: out}, axis)
+
+
+def gradients(df: DataFrame, key: str, time: str, slopes: dict[str, str]) -> DataFrame:
+    """Second-order differences of each value (a key of `slopes`) on an uneven grid, first-order ones at the ends; missing
+    values are bridged along the time for their neighbours and stay missing."""
+    d = interpolate_columns(df, key, time, {v: f"_f{j}" for j, v in enumerate(slopes)}, axis=time)
     w = ordered(key, time)
-    hs, hd = F.col(time) - F.lag(time).over(w), F.lead(time).over(w) - F.col(time)
-    f, lo, hi = F.col("_f"), F.lag("_f").over(w), F.lead("_f").over(w)
-    inner = F.try_divide(hs * hs * hi + (hd * hd - hs * hs) * f - hd * hd * lo, hs * hd * (hs + hd))
-    slope = F.when(hs.isNull(), F.try_divide(hi - f, hd)).when(hd.isNull(), F.try_divide(f - lo, hs)).otherwise(inner)
-    return d.withColumn("_slope", slope).withColumn(out, F.when(F.col(value).isNotNull(), F.col("_slope"))).drop("_f", "_slope")
+    near = {"_t0": F.lag(time).over(w), "_t1": F.lead(time).over(w)}
+    for j in range(len(slopes)):
+        near |= {f"_l{j}": F.lag(f"_f{j}").over(w), f"_h{j}": F.lead(f"_f{j}").over(w)}
+    d = d.withColumns(near)
+    hs, hd = F.col(time) - F.col("_t0"), F.col("_t1") - F.col(time)
 
+    def slope(j: int, value: str) -> Column:
+        f, lo, hi = F.col(f"_f{j}"), F.col(f"_l{j}"), F.col(f"_h{j}")
+        inner = F.try_divide(hs * hs * hi + (hd * hd - hs * hs) * f - hd * hd * lo, hs * hd * (hs + hd))
+        ends = F.when(hs.isNull(), F.try_divide(hi - f, hd)).when(hd.isNull(), F.try_divide(f - lo, hs))
+        return F.when(F.col(value).isNotNull(), ends.otherwise(inner))
 
-def zscore(df: DataFrame, key, value: str, out: str = "z") -> DataFrame:
+    return d.withColumns({out: slope(j, v) for j, (v, out) in enumerate(slopes.items())}).drop("_t0", "_t1", *[f"_{s}{j}" for s in "flh" for j in range(len(slopes))])
+
+
+def gradient(df: DataFrame, key: str, time: str, value: str, out: str = "slope") -> DataFrame:
+    """gradients of one value."""
+    return gradients(df, key, time, {value: out})
+
+
+def zscore(df: DataFrame, key, value: str, out: str = "z", sample: bool = False, flat: float | None = None) -> DataFrame:
+    """The value less its mean over its population (or sample) deviation; where there is none, `flat` (None: null)."""
     w = whole(key)
-    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_pop(value).over(w)))
+    deviation = (F.stddev_samp if sample else F.stddev_pop)(value).over(w)
+    z = F.try_divide(F.col(value) - F.avg(value).over(w), deviation)
+    return df.withColumn(out, z if flat is None else F.when(F.col(value).isNotNull(), F.coalesce(z, F.lit(flat))))
 
 
 def centre(df: DataFrame, key, value: str, how=F.avg, out: str = "centred") -> DataFrame:
@@ -98,6 +125,13 @@ def rolling_variance(df: DataFrame, key: str, order, value: str, rows: int = 50,
     return df.withColumn(out, F.var_samp(value).over(ordered(key, order).rowsBetween(1 - rows, 0)))
 
 
+def baseline(df: DataFrame, key: str, order, value: str, rows: int = 100, out: str = "baseline") -> DataFrame:
+    """df with the mean of the first `rows` known values of each series."""
+    known = F.sum(F.col(value).isNotNull().cast("int")).over(ordered(key, order).rowsBetween(Window.unboundedPreceding, 0))
+    d = df.withColumn("_c", known)
+    return d.withColumn(out, F.avg(F.when(F.col("_c") <= rows, F.col(value))).over(whole(key))).drop("_c")
+
+
 def local_peaks(df: DataFrame, key: str, order, value: str) -> DataFrame:
     """Strict local maxima that reach the series' 55th percentile."""
     w = ordered(key, order)

@@ -134,9 +134,7 @@ def derived(df: DataFrame, key: str, time: str = "t", magnitudes: bool = True) -
     """The magnitudes (unless they are there), the acceleration without its mean and the four jerks."""
     d = df.withColumns({f"{p}_mag": magnitude(p) for p in ("acc", "useracc", "gyro")}) if magnitudes else df
     d = series.centre(d, key, "acc_mag", out="acc_free")
-    for value, name in (("acc_mag", "acc_jerk"), ("acc_free", "acc_free_jerk"), ("useracc_mag", "useracc_jerk"), ("gyro_mag", "gyro_jerk")):
-        d = series.gradient(d, key, time, value, name)
-    return d
+    return series.gradients(d, key, time, {"acc_mag": "acc_jerk", "acc_free": "acc_free_jerk", "useracc_mag": "useracc_jerk", "gyro_mag": "gyro_jerk"})
 
 
 def preprocess(rows: DataFrame, key: str = "path", cutoff: float | None = 5.0, degree: int = 4) -> DataFrame:
@@ -145,8 +143,7 @@ def preprocess(rows: DataFrame, key: str = "path", cutoff: float | None = 5.0, d
     d = seconds(rows.where("timestamp is not null"), key, "seq", "timestamp")
     d = series.unwrap_clock(d, key, "seq", "ts", out="ts")
     d = series.collapse_duplicates(d, key, "ts", *CHANNELS)
-    for c in CHANNELS:
-        d = series.interpolate(d, key, "ts", c, "_f").drop(c).withColumnRenamed("_f", c)
+    d = series.interpolate_columns(d, key, "ts", {c: c for c in CHANNELS})
     d = segments.numbered(d, key, "ts").withColumn("t", F.col("ts") - F.min("ts").over(whole(key)))
     d = d.withColumns({f"{p}_mag": magnitude(p) for p in ("acc", "useracc", "gyro")})
     if cutoff:
