@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stridelake.plans.catalog import query, r
+from stridelake.operators import series
+from stridelake.plans.catalog import query, r, table
 from stridelake.plans.recordings import SMP, samples
-from stridelake.sources import recordings
+from stridelake.sources import recordings, studies
 from stridelake.sources.cuts import shared_folder
 
 
@@ -71,3 +72,22 @@ def sensor_signals(spark, d):
     names = F.array(*[F.lit(s) for s in ("right", "left", "trunk", "sacrum", "other")])
     s = samples(spark, d).withColumns({"gyro_mag": recordings.magnitude("gyro"), "acc_free": F.col("acc_x"), "sensor": F.element_at(names, (F.col("rec") % 5 + 1).cast("int"))})
     return s.select("rec", "i", F.round(recordings.sensor_signal(F.col("sensor")), 6).alias("value"))
+
+
+@query("""SELECT l_suppkey % 3 AS part, l_orderkey::DOUBLE AS l_orderkey, CASE WHEN l_suppkey % 3 = 0 THEN l_returnflag WHEN l_suppkey % 3 = 1 AND l_linenumber = 1 THEN 'a, "b"' END AS note, CASE WHEN l_suppkey % 3 <> 0 THEN l_quantity::DOUBLE END AS l_quantity FROM lineitem""")
+def united_files(spark, d):
+    """Three sets of files with columns of their own, read as one table."""
+    folder = f"{shared_folder(spark)}/united-{uuid.uuid4().hex}"
+    x = table(spark, d, "lineitem").withColumn("part", F.col("l_suppkey") % 3)
+    parts = {0: ["l_orderkey", F.col("l_returnflag").alias("note")], 1: [F.when(F.col("l_linenumber") == 1, 'a, "b"').alias("note"), "l_quantity", "l_orderkey"], 2: ["l_quantity", "l_orderkey"]}
+    for i, columns in parts.items():
+        x.where(F.col("part") == i).select(*columns).write.option("header", "true").option("escape", '"').csv(f"{folder}/part{i}")
+    rows = studies.united(studies.csv_rows(spark, folder))
+    return rows.select(F.regexp_extract("path", "/part([0-9])/", 1).cast("long").alias("part"), "l_orderkey", "note", "l_quantity")
+
+
+@query(SMP + """, n AS (SELECT rec, i, acc_x AS v, count(acc_x) OVER (PARTITION BY rec ORDER BY i) AS c FROM smp) SELECT rec, i, round(v - avg(CASE WHEN c <= 100 THEN v END) OVER (PARTITION BY rec), 6) AS above, round(coalesce((v - avg(v) OVER (PARTITION BY rec)) / nullif(stddev_samp(v) OVER (PARTITION BY rec), 0), 0), 6) AS z FROM n""")
+def baseline_and_scores(spark, d):
+    """Samples above the mean of the first hundred, and their z-scores by the sample deviation."""
+    s = series.zscore(series.baseline(samples(spark, d), "rec", "i", "acc_x"), "rec", "acc_x", sample=True, flat=0.0)
+    return s.select("rec", "i", F.round(F.col("acc_x") - F.col("baseline"), 6).alias("above"), *r("z"))

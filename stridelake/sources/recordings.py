@@ -35,7 +35,7 @@ def scan(spark: SparkSession, folder: str, numeric: float = 0.8) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(folder, wholetext=True)
     lines = F.split(F.regexp_replace("value", "\r\n?|﻿", "\n"), "\n")
     d = files.select(F.col("_metadata.file_path").alias("path"), F.filter(lines, lambda x: F.length(F.trim(x)) > 0).alias("_l"))
-    d = d.where(F.size("_l") > 1).withColumn("_h", F.transform(cells(F.get("_l", F.lit(0))), lambda c: F.lower(c))).withColumn("_l", F.slice("_l", 2, F.size("_l") - 1))
+    d = d.where(F.size("_l") > 1).withColumn("_h", F.transform(cells(F.get("_l", F.lit(0))), lambda c: F.lower(c))).withColumn("_l", F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0))))
     # The first name that the header has; its place is 0 where there is none.
     place = lambda names: F.coalesce(*[F.nullif(F.array_position("_h", n), F.lit(0).cast("long")) for n in names]).cast("int")
     clean = lambda c: F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stridelake.operators import alignment, signal
-from stridelake.sources import discovery, recordings
+from stridelake.sources import discovery, recordings, studies
 
 
 def put(path, text):
@@ -21,6 +21,7 @@ def test_scan(spark, tmp_path):
     put(tmp_path / "SRS01/2026-01-05/deep/synchronized/my left.csv", "time,acc_x\n1,2\n")
     put(tmp_path / "SRS02/2026-01-06/.hidden/walk.csv", "time,acc_x\n1,2\n")
     put(tmp_path / "SRS02/2026-01-06/walk.csv", "")
+    put(tmp_path / "SRS02/2026-01-06/other.csv", "time,acc_x\n")
     rows = recordings.placed(recordings.scan(spark, str(tmp_path)))
     walk = rows.where("path like '%/2026-01-05/walk.csv'").orderBy("seq").collect()
     assert [(r.patient, r.date, r.stem, r.timestamp, r.acc_x, r.gyro_z, r.acc_y) for r in walk] == [("SRS01", "2026-01-05", "walk", 0.0, 1.5, 2.0, None), ("SRS01", "2026-01-05", "walk", 20.0, None, None, None)]
@@ -137,3 +138,33 @@ def test_sensors_wide(spark):
         ("a", 0.0): ((1.0, 2.0, 3.0) + zero + (4.0, 5.0, 0.0)), ("a", 0.05): ((1.0, 2.0, 3.0) + zero + (4.0, 5.0, 0.0)), ("a", 0.1): ((6.0,) * 3 + zero + (4.0, 5.0, 0.0)), ("a", 1.0): (zero + zero + (7.0,) * 3),
         ("b", 2e12): (zero + (1.0,) * 3 + (2.0,) * 3), ("b", 2e12 + 80): (zero + (1.0,) * 3 + (2.0,) * 3), ("b", 2e12 + 200): (zero + zero + (3.0,) * 3),
     }
+
+
+def test_study_files(spark, tmp_path):
+    put(tmp_path / "f/features_dataset_1.csv", '﻿patient_id,step_count,note,step_count\nSRS01,10,"a, b",99\nSRS02,,x\n')
+    put(tmp_path / "f/features_dataset_2.csv", "date,patient_id,step_count\n2026-01-05,SRS03,12.5,extra\n")
+    put(tmp_path / "f/features_dataset_3.csv", "patient_id\n")
+    put(tmp_path / "f/features_dataset_4.csv", "\n")
+    rows = studies.csv_rows(spark, str(tmp_path / "f"), "features_dataset_*.csv")
+    d = studies.united(rows)
+    assert d.columns == ["path", "seq", "date", "note", "patient_id", "step_count"] and dict(d.dtypes)["step_count"] == "double"
+    assert {(r.patient_id, r.step_count, r.note, r.date) for r in d.collect()} == {("SRS01", 10.0, "a, b", None), ("SRS02", None, "x", None), ("SRS03", 12.5, None, "2026-01-05")}
+    left = studies.skipped(spark, str(tmp_path / "f"), rows, "features_dataset_*.csv")
+    assert {r.path.rsplit("_", 1)[1] for r in left.collect()} == {"3.csv", "4.csv"}
+    texts = spark.createDataFrame([('{"SRS01": 71, "SRS02": "72", "x": null}',), ("broken",), (None,)], "value string")
+    assert {tuple(r) for r in studies.subjects(texts).collect()} == {("SRS01", 71), ("SRS02", 72)}
+
+
+def test_labels_and_annotations(spark, tmp_path):
+    put(tmp_path / "l/a.csv", "Participant ID,12-Month Fall History,12-Month Fall History Classification\n SRS01 ,2,F\nSRS01,0,NF\nSRS02,0,NF\nSRS03,,?\nP1,1,F\n")
+    labels = studies.fall_labels(studies.united(studies.csv_rows(spark, str(tmp_path / "l"))))
+    assert {tuple(r) for r in labels.collect()} == {("SRS01", 2.0, "Faller"), ("SRS02", 0.0, "Non-Faller"), ("SRS03", None, None)}
+    put(tmp_path / "w/a.csv", "subject_id,visit_id,walk_start_s,walk_end_s,turn_start_s\nSRS01,V01,1.5,3,bad\nX,V01,1,2,3\n")
+    put(tmp_path / "g/a.csv", "subject_id,visit_id,activity,start_time_s\nSRS01,V01,walk,1.5\nSRS01,V01,turn,none\nX,V01,walk,2\n")
+    maps = {"walk": {"start_time_s": "walk_start_s", "end_time_s": "walk_end_s"}, "turn": {"start_time_s": "turn_start_s"}}
+    of = lambda f: studies.annotations(studies.united(studies.csv_rows(spark, str(tmp_path / f))), maps, ["start_time_s"], ["subject_id", "visit_id"]).collect()
+    assert [(r.subject_id, r.activity, r.start_time_s, r.end_time_s) for r in of("w")] == [("SRS01", "walk", 1.5, 3.0)]
+    assert {(r.subject_id, r.activity, r.start_time_s) for r in of("g")} == {("SRS01", "walk", 1.5), ("SRS01", "turn", None)}
+    folder = f"{tmp_path}/manifest"
+    recordings.write_csv(studies.manifest(spark), folder)
+    assert spark.read.csv(folder, header=True).count() == 4
