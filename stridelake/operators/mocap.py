@@ -27,16 +27,12 @@ def timed(rows: DataFrame, key: str) -> DataFrame:
 def centre(rows: DataFrame, key: str, markers: list[str]) -> DataFrame:
     """Mean of the markers that are there in each frame, gaps filled by position."""
     d = rows.where(F.col("marker").isin(markers)).groupBy(key, "frame").agg(F.first("fs_hz").alias("fs_hz"), *[F.avg(c).alias(c) for c in "xyz"])
-    d = timed(d, key)
-    for c in "xyz":
-        d = series.interpolate(d, key, "frame", c, "_f").drop(c).withColumnRenamed("_f", c)
-    return d
+    return series.interpolate_columns(timed(d, key), key, "frame", {c: c for c in "xyz"})
 
 
 def speed(df: DataFrame, key: str, axes: str = "xyz", out: str = "speed") -> DataFrame:
     """Length of the gradient of the axes over time."""
-    for c in axes:
-        df = series.gradient(df, key, "t", c, f"_d{c}")
+    df = series.gradients(df, key, "t", {c: f"_d{c}" for c in axes})
     size = F.sqrt(sum((F.col(f"_d{c}") * F.col(f"_d{c}") for c in axes), F.lit(0.0)))
     return df.withColumn(out, size).drop(*[f"_d{c}" for c in axes])
 
@@ -55,9 +51,7 @@ def foot_peaks(rows: DataFrame, key: str, apart: float, span: DataFrame | None =
     d = timed(d, "_km")
     if span is not None:
         d = segments.numbered(segments.inside(d, key, "t", span).drop("i"), "_km", "frame")
-    d = segments_of(d, "_km", 5)
-    for c in "xyz":
-        d = series.interpolate(d, "_km", "i", c, "_f").drop(c).withColumnRenamed("_f", c)
+    d = series.interpolate_columns(segments_of(d, "_km", 5), "_km", "i", {c: c for c in "xyz"})
     d = smooth(speed(d, "_km"), "_km", "speed", 0.035, "_v")
     w = whole("_km")
     d = d.withColumn("_m", F.median("_v").over(w))

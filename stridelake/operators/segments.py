@@ -211,8 +211,8 @@ def motion_window(df: DataFrame, key: str, order: str, time: str, smooth: str, k
     """The region of motion with the largest peak times length: the magnitude of the (smoothed) signal around its median
     above median + k * 1.4826 MAD for `least` seconds, widened to where it falls to the exit threshold; around the largest
     magnitude where there is no such region."""
-    d = with_rate(df.where(F.col(smooth).isNotNull()), key, order, time)
-    d = d.withColumn("_a", F.abs(F.col(smooth) - F.median(smooth).over(whole(key)))).withColumn("_m", F.median("_a").over(whole(key)))
+    d = with_rate(df.where(F.col(smooth).isNotNull()).select(key, order, time, F.col(smooth).alias("_x")), key, order, time)
+    d = d.withColumn("_a", F.abs(F.col("_x") - F.median("_x").over(whole(key)))).withColumn("_m", F.median("_a").over(whole(key)))
     d = d.withColumn("_d", 1.4826 * F.median(F.abs(F.col("_a") - F.col("_m"))).over(whole(key))).withColumn("_thr", F.col("_m") + k * F.col("_d"))
     d = d.withColumn("_exit", F.greatest(0.35 * F.col("_thr"), F.col("_m") + 0.5 * F.col("_d"))).withColumn("_n", F.count("*").over(whole(key)))
     d = d.withColumn("_len", samples(least, F.col("fs"))).withColumn("_pad", F.rint(pad * F.coalesce("fs", F.lit(0.0))).cast("long"))

@@ -34,7 +34,7 @@ def activity_files(spark, d):
 
 @query(PATHS + ALIAS + " SELECT pth.path, m.activity FROM pth LEFT JOIN (SELECT path, arg_max(activity, (size, -rank, activity)) AS activity FROM mt GROUP BY path) m ON pth.path = m.path")
 def activity_of_path(spark, d):
-    return paths(spark, d).select("path", discovery.inferred(F.col("path")).alias("activity"))
+    return discovery.inferred(paths(spark, d).select("path"))
 
 
 @query(PATHS + """, bl AS (SELECT patient, CASE WHEN length(below) % 3 = 0 THEN 'deep/' ELSE '' END || dt || '/' || below AS below FROM pth), sp AS (SELECT patient, string_split(below, '/') AS p FROM bl), fo AS (SELECT DISTINCT patient, array_to_string(p[1:k], '/') AS folder, p[k] AS name, k FROM (SELECT *, unnest(range(1, len(p))) AS k FROM sp)),

@@ -41,27 +41,31 @@ def words_of(path: Column) -> Column:
     return plain(F.concat_ws(" ", stem, F.try_element_at(parts, F.lit(-2)), path))
 
 
-def matches(path: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
-    """An array of (activity, rank, size): of each activity the best-ranked alias that the path has, and its length."""
+def matches(words: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
+    """An array of (activity, rank, size): of each activity the best-ranked alias that the words hold, and its length."""
     found = []
     for activity, names in aliases.items():
         ranked = F.array(*[F.struct(plain(F.lit(n)).alias("alias"), F.lit(i).alias("rank")) for i, n in enumerate(names)])
-        first = F.get(F.filter(ranked, lambda a: (a["alias"] != "") & F.contains(words_of(path), a["alias"])), F.lit(0))
-        found.append(F.when(first.isNotNull(), F.struct(F.lit(activity).alias("activity"), first["rank"].alias("rank"), F.length(first["alias"]).alias("size"))))
-    return F.array_compact(F.array(*found))
+        first = F.slice(F.filter(ranked, lambda a: (a["alias"] != "") & F.contains(words, a["alias"])), 1, 1)
+        found.append(F.transform(first, lambda a: F.struct(F.lit(activity).alias("activity"), a["rank"].alias("rank"), F.length(a["alias"]).alias("size"))))  # noqa: B023
+    return F.flatten(F.array(*found))
 
 
-def inferred(path: Column, aliases: dict[str, list[str]] = ALIASES) -> Column:
-    """The activity whose alias in the path is the longest, then of the lower rank, then last by name; null without one."""
-    scored = F.transform(matches(path, aliases), lambda m: F.struct(m["size"].alias("size"), (-m["rank"]).alias("rank"), m["activity"].alias("activity")))
-    return F.array_max(scored)["activity"]
+def inferred(files: DataFrame, path: str = "path", out: str = "activity", aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+    """files with the activity whose alias in the path is the longest, then of the lower rank, then last by name; null
+    without one."""
+    d = files.withColumn("_words", words_of(F.col(path)))
+    scored = F.transform(matches(F.col("_words"), aliases), lambda m: F.struct(m["size"].alias("size"), (-m["rank"]).alias("rank"), m["activity"].alias("activity")))
+    return d.withColumn(out, F.array_max(scored)["activity"]).drop("_words")
 
 
 def discovered(files: DataFrame, by: list[str], aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """by, activity, path: for each activity of a folder (`by`) the file of the best alias, then a synchronised name, then
     the fewest folders, the shortest name and the first name and path. A file may stand for several activities."""
     name = F.element_at(F.split("path", "/"), -1)
-    d = files.select(*by, "path", F.inline(matches(F.col("path"), aliases)))
+    d = files.select(*by, "path", words_of(F.col("path")).alias("_words"))
+    # inline_outer, as a filter for files without a match would look for all aliases once more.
+    d = d.select(*by, "path", F.inline_outer(matches(F.col("_words"), aliases))).where("activity is not null")
     order = F.struct("rank", (~F.lower(name).contains("synchronized")).alias("apart"), F.size(F.split("path", "/")).alias("depth"), F.length(name).alias("length"), F.lower(name).alias("name"), "path")
     return d.groupBy(*by, "activity").agg(F.min(order).alias("b")).select(*by, "activity", F.col("b.path").alias("path"))
 

@@ -130,3 +130,84 @@ def test_lab_turning(spark):
     steps = len(signal.found_peaks(smooth, round(0.5 * fs), np.percentile(smooth, 50)))
     assert (r.start_time_s, r.end_time_s, r.step_count) == (t[a], t[b], steps) and steps > 0
     assert abs(r.peak_angular_velocity - y.max()) < 1e-9 and abs(r.mean_angular_velocity - y[part].mean()) < 1e-9
+
+
+def marker_rows(key, markers, xyz):
+    return [(key, FS, f + 1, m, *(None if np.isnan(v) else float(v) for v in xyz[f, k])) for f in range(len(xyz)) for k, m in enumerate(markers)]
+
+
+ROWS = "trial string, fs_hz double, frame int, marker string, x double, y double, z double"
+
+
+def test_centre_and_speed(spark):
+    """The mean of the markers that are there, gaps by position, and the length of the gradient."""
+    rng = np.random.default_rng(2)
+    xyz = np.cumsum(rng.normal(size=(40, 3, 3)), 0)
+    xyz[5, 1], xyz[10:12], xyz[0] = np.nan, np.nan, np.nan
+    rows = marker_rows("a", mocap.PELVIS[:3], xyz) + [("a", FS, 1, "OTHER", 9.0, 9.0, 9.0)]
+    got = mocap.speed(mocap.centre(spark.createDataFrame(rows, ROWS), "trial", mocap.PELVIS), "trial").orderBy("i").toPandas()
+    mean = np.array([np.nanmean(f, 0) if np.isfinite(f).any() else [np.nan] * 3 for f in xyz])
+    at, known = np.arange(40), np.isfinite(mean[:, 0])
+    want = np.stack([np.interp(at, at[known], mean[known, c]) for c in range(3)], 1)
+    assert np.allclose(got[["x", "y", "z"]], want)
+    assert np.allclose(got.t, at / FS) and np.allclose(got.speed, np.linalg.norm(np.gradient(want, 1 / FS, axis=0), axis=1))
+
+
+def test_mocap_walk(spark):
+    """Steps of all foot markers, and the summary of the whole trial, against the direct peaks."""
+    t, xyz = walker()
+    df = spark.createDataFrame(marker_rows("a", mocap.FEET, xyz), ROWS)
+    direct = {m: t[direct_peaks(xyz[:, k], 0.35)] for k, m in enumerate(mocap.FEET)}
+    got = mocap.foot_peaks(df, "trial", 0.35).collect()
+    assert {m: sorted(r.t for r in got if r.marker == m) for m in mocap.FEET} == {m: sorted(v.tolist()) for m, v in direct.items()}
+    r = mocap.walk(df, "trial", full=True).first()
+    steps = round(2 * np.mean([len(v) for v in direct.values()]))
+    assert (r.start, r.end, r.step_count) == (0.0, round(t[-1], 3), steps) and r.cadence == round(60 * steps / t[-1], 3) and r.mean_step_time == round(t[-1] / steps, 3)
+
+
+def widened(v, fs, k, least, pad):
+    """First and last sample of the region of motion: direct, by loops."""
+    a = np.abs(v - np.median(v))
+    m = np.median(a)
+    d = 1.4826 * np.median(np.abs(a - m))
+    on, out = a > m + k * d, max(0.35 * (m + k * d), m + 0.5 * d)
+    edge = np.flatnonzero(np.diff(np.r_[0, on.astype(int), 0]))
+    runs = [(s, e) for s, e in zip(edge[::2], edge[1::2]) if e - s >= max(1, round(least * fs))]
+    s, e = max(runs, key=lambda r: (round(a[r[0] : r[1]].max() * (r[1] - r[0]), 9), -r[0]))
+    before, behind = [i for i in range(s + 1) if a[i] <= out], [i for i in range(e, len(a)) if a[i] <= out]
+    p = round(pad * fs)
+    return max(0, (before[-1] if before else 0) - p), min(len(a) - 1, (behind[0] if behind else len(a) - 1) + p)
+
+
+def test_mocap_rise_and_turn(spark):
+    n = 600
+    t = np.arange(n) / FS
+    up = 500 + 400 / (1 + np.exp(-(t - 3) * 5))
+    body = mocap.PELVIS + mocap.SHOULDERS
+    rise = np.stack([np.stack([0 * t + k, 0 * t, up + k], 1) for k in range(len(body))], 1)
+    r = mocap.rise(spark.createDataFrame(marker_rows("a", body, rise), ROWS), "trial").first()
+    z = signal.gaussian(up + np.mean(range(len(body))), max(1, 0.06 * FS))
+    v = np.gradient(z, t)
+    first, last = widened(signal.gaussian(v, max(1, 0.04 * FS)), FS, 2.5, 0.30, 0.05)
+    assert (r.start, r.end) == (round(t[first], 3), round(t[last], 3)) and abs(r.start - 1.9) < 1 and abs(r.end - 4.1) < 1
+    assert r.time_to_peak == round(t[first + np.abs(v[first : last + 1]).argmax()] - t[first], 3)
+
+    angle = 2 * np.pi / (1 + np.exp(-(t - 3) * 3))
+    pelvis = np.stack([np.stack([100 * np.cos(angle) + k, 100 * np.sin(angle), 0 * t], 1) for k in range(4)], 1)
+    feet = np.stack([np.stack([100 * np.cos(angle), 100 * np.sin(angle), 30 * np.maximum(0, np.sin(2 * np.pi * t + k))], 1) for k in range(4)], 1)
+    df = spark.createDataFrame(marker_rows("a", mocap.PELVIS + mocap.FEET, np.concatenate([pelvis, feet], 1)), ROWS)
+    r = mocap.turn(df, "trial").first()
+    c = np.stack([100 * np.cos(angle), 100 * np.sin(angle)], 1)
+    v = signal.gaussian(np.linalg.norm(np.gradient(c, t, axis=0), axis=1), max(1, 0.08 * FS))
+    a = np.abs(v - np.median(v))
+    on = a > np.median(a) + 0.5 * 1.4826 * np.median(np.abs(a - np.median(a)))
+    edge = np.flatnonzero(np.diff(np.r_[0, on.astype(int), 0]))
+    runs = [(s, e) for s, e in zip(edge[::2], edge[1::2]) if e - s >= 20]
+    first, last = max(0, runs[0][0] - 15), min(n - 1, runs[-1][1] + 15)
+    assert abs(r.start - t[first]) <= 0.011 and abs(r.end - t[last]) <= 0.011 and r.step_count > 0
+
+
+def test_mocap_trials(spark):
+    paths = ["d/SRS01/Visit 1/NW1/a.csv", "d/SRS01/Visit 1/NW2_x/a.csv", "d/SRS02/visit2/deep/TurnL/b.csv", "d/P1/Visit 1/NW1/a.csv", "d/SRS01/other/NW1/a.csv"]
+    got = exports.trials(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert {(r.subject, r.visit, r.trial) for r in got} == {("SRS01", "Visit 1", "NW1"), ("SRS02", "visit2", "TurnL")}

@@ -108,7 +108,7 @@ def test_discovery(spark, tmp_path):
     files = discovery.listed(spark, str(tmp_path)).select(F.regexp_extract("path", "(P1/.*)", 1).alias("path"), F.lit("P1").alias("patient"))
     got = {r.activity: r.path.removeprefix("P1/2026-01-05/") for r in discovery.discovered(files, ["patient"]).collect()}
     assert got == {"walk": "walk/a.csv", "left_turn": "Left Turn/b.csv"}
-    kinds = {r.path.rsplit("/", 1)[1]: r.a for r in files.select("path", discovery.inferred(F.col("path")).alias("a")).collect()}
+    kinds = {r.path.rsplit("/", 1)[1]: r.activity for r in discovery.inferred(files).collect()}
     assert kinds == {"long name.csv": "walk", "a.csv": "walk", "b.csv": "left_turn", "L_360 synchronized.csv": "left_turn", "none.csv": None}
     below = spark.createDataFrame([("P1", "2026-01-05/a/x.csv"), ("P1", "2026-01-07/x.csv"), ("P1", "old/2026-01-01/x.csv"), ("P1", "very/old/2026-01-01/x.csv"), ("P2", "x.csv")], "patient string, below string")
     wanted = spark.createDataFrame([("P1", None), ("P1", "2026-01-01"), ("P1", "1999-01-01"), ("P2", None)], "patient string, date string")
