@@ -1,7 +1,8 @@
 """Marker trajectories: centres, speeds, foot steps and the summaries of walks, turns and rises.
 
 Rows are (key, fs_hz, frame, marker, x, y, z), as sources.mocap gives them; a key is one trial. Times are
-(frame - first frame) / fs_hz, or the row's number where there is no rate.
+(frame - first frame) / fs_hz, or the row's number where there is no rate. `cut` is what is done with a table that is read
+several times, before it is read (see features).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridelake.operators import segments, series, signal, windows
+from stridelake.operators.features import same
 from stridelake.operators.series import ordered, whole
 
 # Marker names of the body model.
@@ -44,7 +46,7 @@ def smooth(df: DataFrame, key: str, value: str, seconds: float, out: str) -> Dat
     return df.join(s, [key, "i"])
 
 
-def foot_peaks(rows: DataFrame, key: str, apart: float, span: DataFrame | None = None) -> DataFrame:
+def foot_peaks(rows: DataFrame, key: str, apart: float, span: DataFrame | None = None, cut=same) -> DataFrame:
     """Steps of each foot marker (key, marker, t): peaks of its smoothed speed above median + 1.5 * 1.4826 MAD, within the
     span where that is given. Markers without a step have one row with t null."""
     d = rows.where(F.col("marker").isin(FEET)).withColumn("_km", F.concat_ws("\u0001", F.col(key).cast("string"), "marker"))
@@ -52,11 +54,12 @@ def foot_peaks(rows: DataFrame, key: str, apart: float, span: DataFrame | None =
     if span is not None:
         d = segments.numbered(segments.inside(d, key, "t", span).drop("i"), "_km", "frame")
     d = series.interpolate_columns(segments_of(d, "_km", 5), "_km", "i", {c: c for c in "xyz"})
-    d = smooth(speed(d, "_km"), "_km", "speed", 0.035, "_v")
+    d = cut(smooth(cut(speed(d, "_km")), "_km", "speed", 0.035, "_v"))
     w = whole("_km")
     d = d.withColumn("_m", F.median("_v").over(w))
     d = d.withColumn("_mad", 1.4826 * F.median(F.abs(F.col("_v") - F.col("_m"))).over(w))
     d = d.withColumns({"_h": F.col("_m") + 1.5 * F.col("_mad"), "_p": F.greatest("_mad", 0.15 * F.stddev_pop("_v").over(w)), "_d": segments.samples(apart, F.col("fs_hz"))})
+    d = cut(d)
     p = signal.peaks(d, "_km", "i", "_v", distance="_d", height="_h", prominence="_p").select("_km", "i")
     times = p.join(d.select("_km", "i", "t"), ["_km", "i"]).select("_km", F.col("t").alias("step"))
     return d.select("_km", key, "marker").distinct().join(times, "_km", "left").select(key, "marker", F.col("step").alias("t"))
@@ -84,9 +87,9 @@ def ten_steps(peaks: DataFrame, key: str, count: int = 10, gap: float = 0.18) ->
 SUMMARY = ["start", "end", "duration", "step_count", "cadence", "mean_step_time", "time_to_peak"]
 
 
-def walk(rows: DataFrame, key: str, full: bool = False) -> DataFrame:
+def walk(rows: DataFrame, key: str, full: bool = False, cut=same) -> DataFrame:
     """Summary of the ten-step window, or of the whole trial."""
-    peaks = foot_peaks(rows, key, 0.35)
+    peaks = cut(foot_peaks(rows, key, 0.35, cut=cut))
     ten = ten_steps(peaks, key)
     if full:
         whole_ = timed(rows.select(key, "fs_hz", "frame").distinct(), key).groupBy(key).agg(F.min("t").alias("start"), F.max("t").alias("end"))
@@ -97,10 +100,10 @@ def walk(rows: DataFrame, key: str, full: bool = False) -> DataFrame:
     return rounded(d.withColumn("time_to_peak", F.lit(None).cast("double")), key)
 
 
-def turn(rows: DataFrame, key: str) -> DataFrame:
+def turn(rows: DataFrame, key: str, cut=same) -> DataFrame:
     """The turn by the pelvis' speed in the plane: from the first to the last region (0.2 s at least) whose distance from
     the median speed is above median + 0.5 * 1.4826 MAD, with 0.15 s on both sides; without one, the motion window."""
-    d = smooth(speed(centre(rows, key, PELVIS), key, "xy"), key, "speed", 0.08, "_v")
+    d = cut(smooth(cut(speed(centre(rows, key, PELVIS), key, "xy")), key, "speed", 0.08, "_v"))
     w = whole(key)
     d = d.withColumn("_a", F.abs(F.col("_v") - F.median("_v").over(w))).withColumn("_m", F.median("_a").over(w))
     d = d.withColumn("_t", F.col("_m") + 0.5 * 1.4826 * F.median(F.abs(F.col("_a") - F.col("_m"))).over(w))
@@ -110,19 +113,21 @@ def turn(rows: DataFrame, key: str) -> DataFrame:
     n = d.groupBy(key).agg(F.count("*").alias("_n"))
     span = runs.groupBy(key).agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.first("_p").alias("_p")).join(n, key)
     span = span.select(key, F.greatest(F.lit(0), F.col("_s") - F.col("_p")).cast("long").alias("first"), F.least(F.col("_n") - 1, F.col("_e") + F.col("_p")).cast("long").alias("last"))
+    d, span = cut(d), cut(span)
     rest = segments.motion_window(smooth(d.drop("_v"), key, "speed", 0.04, "_v"), key, "i", "t", "_v", 2.0, 0.40, 0.15).select(key, "first", "last").join(span, key, "left_anti")
-    s = segments.with_times(d, key, "i", "t", span.unionByName(rest))
+    s = cut(segments.with_times(d, key, "i", "t", span.unionByName(rest)))
     top = segments.inside(d, key, "t", s).groupBy(key).agg(F.min(F.struct((-F.round("_v", 9)).alias("v"), "t")).alias("_top"))
     s = s.join(top, key).withColumn("time_to_peak", F.col("_top.t") - F.col("start"))
-    s = s.join(step_count(foot_peaks(rows, key, 0.30, s), key), key, "left")
+    s = s.join(step_count(foot_peaks(rows, key, 0.30, s, cut), key), key, "left")
     return rounded(s.withColumns({"step_count": F.coalesce("step_count", F.lit(0.0)), "cadence": F.lit(None).cast("double"), "mean_step_time": F.lit(None).cast("double")}), key)
 
 
-def rise(rows: DataFrame, key: str) -> DataFrame:
+def rise(rows: DataFrame, key: str, cut=same) -> DataFrame:
     """The motion window of the vertical velocity of pelvis and shoulders."""
-    d = smooth(centre(rows, key, PELVIS + SHOULDERS), key, "z", 0.06, "_z")
-    d = series.gradient(d, key, "t", "_z", "_v")
+    d = cut(smooth(cut(centre(rows, key, PELVIS + SHOULDERS)), key, "z", 0.06, "_z"))
+    d = cut(series.gradient(d, key, "t", "_z", "_v"))
     s = segments.motion_window(smooth(d, key, "_v", 0.04, "_s"), key, "i", "t", "_s", 2.5, 0.30, 0.05)
+    s = cut(s)
     top = segments.inside(d, key, "t", s).groupBy(key).agg(F.min(F.struct((-F.round(F.abs("_v"), 9)).alias("v"), "t")).alias("_top"))
     s = s.join(top, key).withColumn("time_to_peak", F.col("_top.t") - F.col("start"))
     return rounded(s.withColumns({c: F.lit(None).cast("double") for c in ("step_count", "cadence", "mean_step_time")}), key)
@@ -132,10 +137,10 @@ def rounded(d: DataFrame, key: str) -> DataFrame:
     return d.select(key, *[(F.round(c, 3) if c != "step_count" else F.col(c)).alias(c) for c in SUMMARY])
 
 
-def summaries(rows: DataFrame, key: str, activity: str, full: bool = False) -> DataFrame:
+def summaries(rows: DataFrame, key: str, activity: str, full: bool = False, cut=same) -> DataFrame:
     """A summary of each trial by its activity (a column); a trial that a summary cannot be made of has nulls."""
     of = lambda a: rows.where(F.col(activity) == a)
-    parts = [("walk", walk(of("walk"), key, full)), ("left_turn", turn(of("left_turn"), key)), ("right_turn", turn(of("right_turn"), key)), ("sit_to_stand", rise(of("sit_to_stand"), key))]
+    parts = [("walk", walk(of("walk"), key, full, cut)), ("left_turn", turn(of("left_turn"), key, cut)), ("right_turn", turn(of("right_turn"), key, cut)), ("sit_to_stand", rise(of("sit_to_stand"), key, cut))]
     out = None
     for name, part in parts:
         part = part.withColumn("activity", F.lit(name))

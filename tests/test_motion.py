@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import lab, mocap, signal
 from stridelake.sources import mocap as exports
+from stridelake.sources.cuts import written
 
 FS = 100.0
 
@@ -158,9 +159,9 @@ def test_mocap_walk(spark):
     t, xyz = walker()
     df = spark.createDataFrame(marker_rows("a", mocap.FEET, xyz), ROWS)
     direct = {m: t[direct_peaks(xyz[:, k], 0.35)] for k, m in enumerate(mocap.FEET)}
-    got = mocap.foot_peaks(df, "trial", 0.35).collect()
+    got = mocap.foot_peaks(df, "trial", 0.35, cut=written).collect()
     assert {m: sorted(r.t for r in got if r.marker == m) for m in mocap.FEET} == {m: sorted(v.tolist()) for m, v in direct.items()}
-    r = mocap.walk(df, "trial", full=True).first()
+    r = mocap.walk(df, "trial", full=True, cut=written).first()
     steps = round(2 * np.mean([len(v) for v in direct.values()]))
     assert (r.start, r.end, r.step_count) == (0.0, round(t[-1], 3), steps) and r.cadence == round(60 * steps / t[-1], 3) and r.mean_step_time == round(t[-1] / steps, 3)
 
@@ -185,7 +186,7 @@ def test_mocap_rise_and_turn(spark):
     up = 500 + 400 / (1 + np.exp(-(t - 3) * 5))
     body = mocap.PELVIS + mocap.SHOULDERS
     rise = np.stack([np.stack([0 * t + k, 0 * t, up + k], 1) for k in range(len(body))], 1)
-    r = mocap.rise(spark.createDataFrame(marker_rows("a", body, rise), ROWS), "trial").first()
+    r = mocap.rise(spark.createDataFrame(marker_rows("a", body, rise), ROWS), "trial", written).first()
     z = signal.gaussian(up + np.mean(range(len(body))), max(1, 0.06 * FS))
     v = np.gradient(z, t)
     first, last = widened(signal.gaussian(v, max(1, 0.04 * FS)), FS, 2.5, 0.30, 0.05)
@@ -196,7 +197,7 @@ def test_mocap_rise_and_turn(spark):
     pelvis = np.stack([np.stack([100 * np.cos(angle) + k, 100 * np.sin(angle), 0 * t], 1) for k in range(4)], 1)
     feet = np.stack([np.stack([100 * np.cos(angle), 100 * np.sin(angle), 30 * np.maximum(0, np.sin(2 * np.pi * t + k))], 1) for k in range(4)], 1)
     df = spark.createDataFrame(marker_rows("a", mocap.PELVIS + mocap.FEET, np.concatenate([pelvis, feet], 1)), ROWS)
-    r = mocap.turn(df, "trial").first()
+    r = mocap.turn(df, "trial", written).first()
     c = np.stack([100 * np.cos(angle), 100 * np.sin(angle)], 1)
     v = signal.gaussian(np.linalg.norm(np.gradient(c, t, axis=0), axis=1), max(1, 0.08 * FS))
     a = np.abs(v - np.median(v))
