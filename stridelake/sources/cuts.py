@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN: list[str] = []  # paths of the tables of this driver
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or in local mode a temporary folder where that is unset."""
@@ -22,5 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a Parquet table in the shared folder, read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this driver has written so far, and give their number. For when results have been taken:
+    DataFrames that still read these tables fail afterwards."""
+    for path in WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(WRITTEN)
+    WRITTEN.clear()
+    return n

@@ -1,12 +1,13 @@
 """Scans of recording folders, recorder files and the preprocess pipeline on files that the tests write."""
 
 import json
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from stridelake.operators import alignment, signal
-from stridelake.sources import discovery, recordings, studies
+from stridelake.sources import cuts, discovery, recordings, studies
 
 
 def put(path, text):
@@ -168,3 +169,10 @@ def test_labels_and_annotations(spark, tmp_path):
     folder = f"{tmp_path}/manifest"
     recordings.write_csv(studies.manifest(spark), folder)
     assert spark.read.csv(folder, header=True).count() == 4
+
+
+def test_cuts_are_cleaned(spark):
+    table = cuts.written(spark.range(5))
+    path = cuts.WRITTEN[-1].removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(path)
+    assert cuts.clean(spark) >= 1 and not os.path.exists(path) and cuts.clean(spark) == 0
