@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 20
+WRITTEN: list[str] = []  # paths of the tables of this driver
 
 
 def return_memory() -> None:
@@ -46,10 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that this driver has written so far, and give their number. For when results have been taken:
+    DataFrames that still read these tables fail afterwards."""
+    for path in WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(WRITTEN)
+    WRITTEN.clear()
+    return n
+
+
 def attach(rows: DataFrame, named: DataFrame, on: list[str], total: int, most_hot: int = 1_000) -> DataFrame:
     """rows with the other columns of `named`, which has each key of theirs once and the number n of rows that carry it.
 

@@ -2,11 +2,12 @@
 
 import collections
 import hashlib
+import os
 import re
 
 from pyspark.sql import functions as F
 
-from stridelake.llm import naming
+from stridelake.llm import naming, shared
 
 LONG = "ab " * 200
 ROWS = [
@@ -49,3 +50,13 @@ def test_naming_hot(spark):
     got = naming.classes(docs, block=8)
     assert got.groupBy("group_size").count().orderBy("group_size").collect() == [(1, 300), (2700, 2700)]
     assert got.where("kept").count() == 301 and got.where("group_size > 1 and keep_id <> 1").count() == 0
+
+
+def test_clean(spark):
+    """What an operator leaves in the shared folder goes when its result has been taken."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab")], "doc_id long, text string")
+    before = set(shared.WRITTEN)
+    assert naming.classes(docs).where("kept").count() == 1
+    left = [p.removeprefix("file://") for p in shared.WRITTEN if p not in before]
+    assert left and all(os.path.isdir(p) for p in left)
+    assert shared.clean(spark) >= len(left) and not any(os.path.exists(p) for p in left)
