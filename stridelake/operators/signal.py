@@ -28,17 +28,16 @@ def dominant(df: DataFrame, key: str, channel: str, value: str) -> DataFrame:
 
 
 def gaussian_smooth(df: DataFrame, key: str, order, value: str, sigma: float = 3.0, out: str = "smooth") -> DataFrame:
-    """Gaussian weights out to four sigma, the series mirrored at its ends (the end sample repeats)."""
-    reach = int(4 * sigma + 0.5)
-    d = df.withColumn("_i", F.row_number().over(ordered(key, order)) - 1).withColumn("_n", F.count("*").over(whole(key)))
-    near = d.withColumn("_o", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    at = F.pmod(F.col("_i") + F.col("_o"), 2 * F.col("_n"))
-    at = F.when(at < F.col("_n"), at).otherwise(2 * F.col("_n") - 1 - at)
-    near = near.select(F.col(key).alias("_k"), "_i", at.alias("_at"), F.exp(-F.col("_o") * F.col("_o") / (2 * sigma * sigma)).alias("_w"))
-    values = d.select(F.col(key).alias("_vk"), F.col("_i").alias("_vi"), F.col(value).alias("_v"))
-    s = near.join(values, (near["_k"] == values["_vk"]) & (near["_at"] == values["_vi"]))
-    s = s.groupBy("_k", F.col("_i").alias("_si")).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias(out))
-    return d.join(s, (d[key] == s["_k"]) & (d["_i"] == s["_si"]), "left").drop("_i", "_n", "_k", "_si")
+    """df with the value smoothed by Gaussian weights out to four sigma, the series mirrored at its ends (the end sample
+    repeats), in the task that holds the recording. A null makes the values within its reach null."""
+    order = [order] if isinstance(order, str) else list(order)
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` double"
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order)
+        return p.assign(**{out: gaussian(p[value].to_numpy(float), sigma)})
+
+    return df.groupBy(key).applyInPandas(one, schema).withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
 def resample(df: DataFrame, key: str, time: str, value: str, points: int = 101) -> DataFrame:
