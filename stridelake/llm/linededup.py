@@ -1,13 +1,15 @@
 """Operator 8: line dedup by content-defined line chunks.
 
-Lines with text are hashed, and a rolling hash over the last two of them decides whether a chunk may end there: 1 in
-`spread` places is a boundary, chosen by content alone, so boundaries shift with their lines. From each line on a chunk
-runs to the first boundary that leaves it `least` lines with text (or to the last line); blank lines inside a chunk
-belong to it. With spread 1, the default, every place is a boundary, so each run of `least` lines or more that occurs
-twice is found whole, in whatever context; a larger spread sends as many chunks of more lines, and loses the lines behind
-a passage's last boundary (README states how many). Chunks that occur again anywhere are candidates; candidates are
-grouped by their bytes themselves, and every occurrence but the first (smallest doc_id, then place) is removed with its
-line ends.
+Lines with text are hashed, and a rolling hash goes over `least - spread + 1` of them at a time. A place is a boundary
+where its rolling hash is the smallest of some window of `spread` neighbouring ones: boundaries are chosen by content
+alone and shift with their lines, and as any `least` lines hold one whole window, any run of `least` lines or more has a
+boundary at the same line of each of its copies, whatever stands around it. The lines under the rolling hash at a
+boundary are its chunk; with the default, two lines and a spread of two, about two lines in three begin one.
+
+Chunks whose hash occurs again anywhere are seeds. A seed is extended to both sides a line at a time: every run of `least`
+lines that holds it is grouped by its bytes themselves, and every occurrence but the first (smallest doc_id, then place)
+is removed with its line ends. Overlapping runs add up to whole passages, so each repeated passage of `least` lines or
+more goes whole, as if all its runs had been compared. Blank lines inside a run belong to it.
 
 Defined cases: null text is empty and stays as it is; texts with fewer than `least` lines of text stay, and so do lines
 that repeat alone; very long texts are read whole; rows equal in doc_id and text are one document and keep the same;
@@ -39,29 +41,44 @@ def line_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, end - (data[end - 1] == 10), np.searchsorted(offs, start, "right") - 1
 
 
-def line_chunks(data: np.ndarray, offs: np.ndarray, spread: int = 1, least: int = 2):
-    """Chunks: row, first byte in the row, bytes, hash."""
+def text_lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_starts of the lines with text."""
     start, end, row = line_starts(data, offs)
-    c, solid = prefix_hash(data), np.append(0, np.cumsum(~SPACE[data]))
+    solid = np.append(0, np.cumsum(~SPACE[data]))
     text = solid[end] > solid[start]
-    start, end, row = start[text], end[text], row[text]
-    h, n = span_hash(c, start, end), len(start)
-    rolling = h.copy()
-    rolling[1:] = mix(h[:-1] * U64(31) + h[1:])
-    final = np.append(row[1:] != row[:-1], True) if n else np.zeros(0, bool)
-    stops = np.flatnonzero((rolling % U64(spread) == 0) | final)
-    first = np.arange(n)
-    ok = first + least <= n
-    first = first[ok]
-    last = stops[np.searchsorted(stops, first + least - 1)] if len(first) else first
-    same = row[first] == row[last] if len(first) else ok[:0]  # a row's last line is a boundary, so none is passed
-    first, last = first[same], last[same]
-    a, b = start[first], end[last]
-    return row[first], a - offs[row[first]], b - a, span_hash(c, a, b)
-
-
-def dedup(docs: DataFrame, spread: int = 1, least: int = 2) -> DataFrame:
-    """All columns of docs with the text that is left, and n_lines, n_removed."""
+    return start[text], end[text], row[text]
+
+
+def line_chunks(data: np.ndarray, offs: np.ndarray, spread: int = 2, least: int = 2):
+    """Chunks at the boundaries: row, number of the first line among the row's lines with text, hash."""
+    start, end, row = text_lines(data, offs)
+    rolled = least - spread + 1
+    h = span_hash(prefix_hash(data), start, end)
+    n = len(h) - least + 1  # places that may begin a run of `least` lines
+    if n < 1:
+        return row[:0], row[:0], h[:0]
+    rolling = h[: len(h) - rolled + 1].copy()
+    for j in range(1, rolled):
+        rolling = mix(rolling * U64(31) + h[j : len(h) - rolled + 1 + j])
+    smallest = np.min([rolling[j : n + j] for j in range(spread)], axis=0)
+    within, chosen = row[:n] == row[least - 1 :], np.zeros(len(rolling), bool)
+    for j in range(spread):
+        chosen[j : n + j] |= within & (rolling[j : n + j] == smallest)
+    at = np.flatnonzero(chosen)
+    return row[at], at - np.searchsorted(row, row[at]), rolling[at]
+
+
+def runs_of(start: np.ndarray, end: np.ndarray, at: np.ndarray, spread: int, least: int):
+    """First and last byte of the runs of `least` of a row's lines that hold the chunks at lines `at`."""
+    first = np.unique(np.add.outer(at, -np.arange(spread)))
+    first = first[(first >= 0) & (first + least <= len(start))]
+    return start[first], end[first + least - 1]
+
+
+def dedup(docs: DataFrame, spread: int = 2, least: int = 2) -> DataFrame:
+    """All columns of docs with the text that is left, and n_lines, n_removed. 2 <= spread <= least."""
+    if not 2 <= spread <= least:
+        raise ValueError("spread must be between 2 and least")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     fields = [f for f in docs.schema if f.name in columns]
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("rid")]
@@ -71,26 +88,34 @@ def dedup(docs: DataFrame, spread: int = 1, least: int = 2) -> DataFrame:
         for b in batches:
             data, offs = utf8(b.column("text"))
             for i, j in slices(offs):
-                row, start, size, h = line_chunks(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], spread, least)
+                row, line, h = line_chunks(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], spread, least)
                 at = pa.array(row + i)
-                yield pa.record_batch([b.column("id").take(at), b.column("rid").take(at), pa.array(start), pa.array(size), pa.array(h.view(np.int64))], names=["id", "rid", "start", "size", "h"])
+                yield pa.record_batch([b.column("id").take(at), b.column("rid").take(at), pa.array(line), pa.array(h.view(np.int64))], names=["id", "rid", "line", "h"])
 
-    seen = written(source.mapInArrow(scan, "id long, rid long, start long, size long, h long"), "chunks")
+    seen = written(source.mapInArrow(scan, "id long, rid long, line long, h long"), "chunks")
     # Both sides of each join are written tables, so that a chunk that is everywhere can be split.
-    again = written(seen.groupBy("h", "size").agg(F.count("*").alias("n")).where("n > 1").select("h", "size"), "again")
-    wanted = seen.join(again, ["h", "size"]).groupBy("id", "rid").agg(F.collect_set(F.struct("start", "size")).alias("parts"))  # a document's own chunks
+    again = written(seen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
+    wanted = seen.join(again, "h").groupBy("id", "rid").agg(F.collect_set("line").alias("parts"))  # a document's own chunks
 
-    def cut(batches):
+    def extend(batches):
         for b in batches:
-            data, offs = utf8(b.column("text"))
-            per = np.asarray(b.column("parts").value_lengths())
-            base, p = np.repeat(offs[:-1], per), b.column("parts").flatten()
-            blob = [data[o + s : o + s + n].tobytes() for o, s, n in zip(base, np.asarray(p.field("start")), np.asarray(p.field("size")))]
-            of = pa.array(np.repeat(np.arange(len(per)), per))
-            yield pa.record_batch([b.column("id").take(of), b.column("rid").take(of), p.field("start"), p.field("size"), pa.array(blob, pa.binary())], names=["id", "rid", "start", "size", "bytes"])
+            whole, ends = utf8(b.column("text"))
+            for i, j in slices(ends):
+                data, offs = whole[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+                start, end, row = text_lines(data, offs)
+                edge, of, begin, size, blob = np.searchsorted(row, np.arange(j - i + 1)), [], [], [], []
+                for x, seeds in enumerate(b.column("parts").slice(i, j - i)):
+                    lines = slice(edge[x], edge[x + 1])
+                    for p, q in zip(*runs_of(start[lines], end[lines], seeds.values.to_numpy(), spread, least)):
+                        of.append(i + x)
+                        begin.append(p - offs[x])
+                        size.append(q - p)
+                        blob.append(data[p:q].tobytes())
+                at = pa.array(of, pa.int64())
+                yield pa.record_batch([b.column("id").take(at), b.column("rid").take(at), pa.array(begin, pa.int64()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], names=["id", "rid", "start", "size", "bytes"])
 
     texts = source.join(wanted, ["id", "rid"]).select("id", "rid", "text", "parts")
-    parts = written(texts.mapInArrow(cut, "id long, rid long, start long, size long, bytes binary"), "candidates")
+    parts = written(texts.mapInArrow(extend, "id long, rid long, start long, size long, bytes binary"), "candidates")
     place = F.struct("id", "rid", "start")
     groups = parts.groupBy("bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     groups = written(groups.where("first <> last").select("bytes", "first"), "repeated")

@@ -398,11 +398,32 @@ def test_linededup_passages(spark):
     for r in got:
         if (r.doc_id, r.was) != (3, rows[3][1]):  # ties within one doc_id go by the text's hash
             assert (r.text, r.n_lines, r.n_removed) == want[r.doc_id, r.was]
-    for least, spread in ((2, 3), (3, 1)):
-        some = {r.doc_id: r.n_removed for r in linededup.dedup(spark.createDataFrame(rows[:120], "doc_id long, text string"), spread, least).collect()}
+    table = spark.createDataFrame(rows[:120], "doc_id long, text string")
+    for least, spread in ((3, 2), (3, 3), (4, 3)):  # no run is lost at any spread
+        some = {r.doc_id: r.n_removed for r in linededup.dedup(table, spread, least).collect()}
         most = brute_lines(rows[:120], least)
-        assert all(some[d] <= most[d, t][2] for d, t in rows[:120]) and 0 < sum(some.values())
-        assert spread > 1 or all(some[d] == most[d, t][2] for d, t in rows[:120])
+        assert all(some[d] == most[d, t][2] for d, t in rows[:120]) and 0 < sum(some.values())
+    with pytest.raises(ValueError):
+        linededup.dedup(table, 1, 2)
+
+
+def test_linededup_boundaries():
+    """Boundaries move with their lines, are fewer than the lines, and each run of `least` lines holds a whole chunk."""
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(9))
+    shared = [line() for _ in range(40)]
+
+    def chosen(lines, spread, least):
+        data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+        _, at, h = linededup.line_chunks(data, np.array([0, len(data)]), spread, least)
+        return dict(zip(at.tolist(), h.tolist()))
+
+    for least, spread in ((2, 2), (4, 2), (5, 4)):
+        rolled = least - spread + 1
+        one, two = (chosen([line() for _ in range(k)] + shared + [line() for _ in range(3)], spread, least) for k in (2, 7))
+        inner = range(spread, 40 - least - spread)
+        assert {i: one[i + 2] for i in inner if i + 2 in one} == {i: two[i + 7] for i in inner if i + 7 in two}
+        assert all(any(i + j in one for j in range(least - rolled + 1)) for i in range(45 - least + 1)) and len(one) < 40
 
 
 def test_quality(spark, none):
