@@ -173,7 +173,9 @@ g AS (SELECT count(*) FILTER ((profile = 0) = (label = 'Faller')) AS straight, c
 def label_agreement(spark, d):
     """Two profiles of weekly values, the labels that they stand for, and how many rows agree."""
     labels = ["Faller", "Non-Faller"]
-    w = _weekly(spark, d).withColumn("label", tables.mapped(F.col("home_week"), dict(enumerate(labels, 1)))).withColumn("profile", (F.col("value") > 50).cast("int"))
+    w = _weekly(spark, d).withColumn("label", tables.mapped(F.col("home_week"), dict(enumerate(labels, 1))))
+    # A mean of exactly 50 comes out a little above or below by the order in which Spark adds; rounded, it is 50 in any.
+    w = w.withColumn("profile", (F.round("value", 9) > 50).cast("int"))
     names, share = clusters.agreement(w, "profile", "label", labels)
     w = w.where("label is not null and profile is not null")
     return w.select("user_id", "home_week", "label", tables.mapped(F.col("profile"), names).alias("stands_for"), F.round(F.lit(share), 6).alias("agreement"))
