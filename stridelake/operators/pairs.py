@@ -54,11 +54,17 @@ def sample_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
 
 def nearest_neighbour(e: DataFrame, key: str, theiler: int = 10) -> DataFrame:
     """For each embedded point the nearest other one more than `theiler` samples off; points whose nearest is equal to
-    them have none."""
-    j = paired(e.where("z is not null"), key, F.abs(F.col("a.i") - F.col("b.i")) > theiler)
-    d = F.sqrt(sum((F.pow(F.col(f"a.{c}") - F.col(f"b.{c}"), 2) for c in "xyz"), F.lit(0.0)))
-    j = j.select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.round(d, 9).alias("d"))
-    return j.groupBy(key, "i").agg(F.min(F.struct("d", "j")).alias("m")).select(key, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d")).where("d > 0")
+    them have none.
+
+    A point meets each block of its series as one array, so that no row is made, sorted or spilled for a pair."""
+    p = e.where("z is not null").withColumn("_m", F.floor((F.col("i") - 1) / BLOCK)).withColumn("_all", F.sequence(F.lit(0).cast("long"), F.max("_m").over(whole(key))))
+    a = p.select(key, "i", "x", "y", "z", F.col("_m").alias("_r"), F.explode("_all").alias("_c"))
+    block = p.groupBy(key, F.col("_m").alias("_c")).agg(F.collect_list(F.struct("i", "x", "y", "z")).alias("_b"), F.first("_all").alias("_all"))
+    j = a.join(block.select(key, "_c", "_b", F.explode("_all").alias("_r")), [key, "_r", "_c"])
+    apart = lambda o: F.sqrt(sum((F.pow(F.col(c) - o[c], 2) for c in "xyz"), F.lit(0.0)))
+    far = F.filter("_b", lambda o: F.abs(F.col("i") - o["i"]) > theiler)
+    near = F.array_min(F.transform(far, lambda o: F.struct(F.round(apart(o), 9).alias("d"), o["i"].alias("j"))))
+    return j.select(key, "i", near.alias("m")).groupBy(key, "i").agg(F.min("m").alias("m")).select(key, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d")).where("d > 0")
 
 
 def permutation_entropy(e: DataFrame, key: str) -> DataFrame:
@@ -89,15 +95,17 @@ def symbolic_entropy(df: DataFrame, key: str, order, value: str) -> DataFrame:
 
 
 def divergence(e: DataFrame, key: str, steps: int, theiler: int = 10) -> DataFrame:
-    """For each point and its nearest neighbour the distance d0, and dk after k = 1..steps samples; positive ones only."""
+    """For each point and its nearest neighbour the distance d0, and dk after k = 1..steps samples; positive ones only.
+
+    Each point brings the values that follow it along, so that point and neighbour are joined once for all k."""
     n = nearest_neighbour(e, key, theiler).select(F.col(key).alias("_k"), "i", "j", F.col("d").alias("d0"))
-    n = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    p = e.where("z is not null")
-    a = p.select(F.col(key).alias("_ka"), F.col("i").alias("_ia"), *[F.col(c).alias(f"_a{c}") for c in "xyz"])
-    b = p.select(F.col(key).alias("_kb"), F.col("i").alias("_ib"), *[F.col(c).alias(f"_b{c}") for c in "xyz"])
-    j = n.join(a, (F.col("_k") == F.col("_ka")) & (F.col("i") + F.col("k") == F.col("_ia")))
-    j = j.join(b, (F.col("_k") == F.col("_kb")) & (F.col("j") + F.col("k") == F.col("_ib")))
-    d = F.sqrt(sum((F.pow(F.col(f"_a{c}") - F.col(f"_b{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    later = F.collect_list("x").over(ordered(key, "i").rowsBetween(1, steps + 2))
+    p = e.select(F.col(key).alias("_p"), F.col("i").alias("_i"), later.alias("_x"))
+    a, b = (p.select(F.col("_p").alias(f"_k{s}"), F.col("_i").alias(f"_i{s}"), F.col("_x").alias(f"_{s}")) for s in "ab")
+    j = n.join(a, (F.col("_k") == F.col("_ka")) & (F.col("i") == F.col("_ia"))).join(b, (F.col("_k") == F.col("_kb")) & (F.col("j") == F.col("_ib")))
+    j = j.select("_k", "i", "d0", "_a", "_b", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k"))
+    # Beyond the last value there is null, and so no distance.
+    d = F.sqrt(sum((F.pow(F.get("_a", F.col("k") - 1 + c) - F.get("_b", F.col("k") - 1 + c), 2) for c in range(3)), F.lit(0.0)))
     return j.select(F.col("_k").alias(key), "i", "k", "d0", F.round(d, 9).alias("dk")).where("dk > 0")
 
 
