@@ -10,7 +10,7 @@ from stridelake.operators import series
 from stridelake.plans.catalog import query, r, table
 from stridelake.plans.recordings import SMP, samples
 from stridelake.sources import recordings, studies
-from stridelake.sources.cuts import shared_folder
+from stridelake.sources.cuts import dealt, shared_folder
 
 
 @query(SMP + " SELECT rec, i AS seq, round(t, 3) AS timestamp, round(acc_x, 3) AS acc_x, CASE WHEN i % 5 > 0 THEN round(gyro_z, 3) END AS gyro_z, NULL::DOUBLE AS useracc_x FROM smp")
@@ -31,7 +31,8 @@ def raw(spark, d):
     s = samples(spark, d)
     t = F.rint((F.col("t") - F.when(F.col("i") >= 40, 0.5).otherwise(0.0)) * 1000)
     x = F.when(F.col("i") % 11 > 0, F.col("acc_x")).alias("acc_x")
-    return s.select(F.col("rec").cast("string").alias("path"), F.col("i").alias("seq"), t.alias("timestamp"), x, *[c for c in recordings.CHANNELS if c != "acc_x"])
+    s = s.select(F.col("rec").cast("string").alias("path"), F.col("i").alias("seq"), t.alias("timestamp"), x, *[c for c in recordings.CHANNELS if c != "acc_x"])
+    return dealt(s, "path", table(spark, d, "lineitem").count())
 
 
 @query(SMP + """, raw AS (SELECT rec, i, round_even((t - CASE WHEN i >= 40 THEN 0.5::DOUBLE ELSE 0 END) * 1000, 0) / 1000.0::DOUBLE AS ts, CASE WHEN i % 11 > 0 THEN acc_x END AS x, acc_y AS y, acc_z AS z FROM smp),
