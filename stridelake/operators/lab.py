@@ -81,12 +81,12 @@ def walking(samples: DataFrame, key: str, seconds: float | None = 60.0) -> DataF
     d = samples.withColumn("_end", F.least(F.max("t").over(whole(key)), F.lit(seconds if seconds is not None else float("inf"))))
     d = with_parameters(d.where("t <= _end")).withColumn("_x", sensor_signal(F.col("sensor")))
     d = d.withColumn("_x", F.col("_x") - F.median("_x").over(whole(key)))
-    s = signal.smoothed(d, key, "i", "_x", "sigma").join(d.drop("_x"), [key, "i"])
+    s = signal.smoothed(d, key, "i", "_x", "sigma", keep=("t", "fs", "sensor", *[n for n in PARAMETERS if n != "sigma"]))
     w = whole(key)
     s = s.withColumn("_m", F.median("smooth").over(w)).withColumn("_mad", F.median(F.abs(F.col("smooth") - F.col("_m"))).over(w))
     by_share = F.coalesce(*[F.when(F.col("percentile") == p, F.percentile("smooth", p).over(w)) for p in sorted({p for _, p, *_ in [OTHERS, *(v[1:] for v in SENSORS)] if p})])
     s = s.withColumn("_h", F.when(F.col("mad").isNotNull(), F.col("_m") + F.col("mad") * F.col("_mad")).otherwise(by_share)).withColumn("_d", F.greatest(F.lit(1.0), F.rint(F.col("apart") * F.coalesce("fs", F.lit(0.0)))))
-    p = signal.peaks(s, key, "i", "smooth", distance="_d", height="_h").join(s.select(key, "i", "t", "sensor", "peaks", "mode"), [key, "i"])
+    p = signal.peaks(s, key, "i", "smooth", distance="_d", height="_h", keep=("t", "sensor", "peaks", "mode"))
     base = d.groupBy(key).agg(F.first("sensor").alias("sensor"), F.min("t").alias("start_time_s"), F.first("_end").alias("end_time_s"), F.count("*").alias("_n")).where("_n >= 3")
     base = base.join(p.groupBy(key).agg(F.count("*").cast("double").alias("step_count")), key, "left").withColumn("step_count", F.coalesce("step_count", F.lit(0.0)))
     base = base.withColumn("duration_s", F.col("end_time_s") - F.col("start_time_s"))

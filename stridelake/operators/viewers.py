@@ -57,7 +57,7 @@ def mean_steps(d: DataFrame, key: str, time: str, value: str, sigma: float, apar
     """The smoothed samples (key, _at, time, smooth, limit) of spans of three samples or more, and the peaks that reach
     limit = k * the mean of the smoothed samples, `apart` seconds off."""
     d = d.withColumn("_c", F.count("*").over(whole(key))).where("_c >= 3 and fs is not null")
-    s = signal.smoothed(d, key, "_at", value, sigma).join(d.select(key, "_at", time, segments.samples(apart, F.col("fs"), rounded).alias("_apart")), [key, "_at"])
+    s = signal.smoothed(d.withColumn("_apart", segments.samples(apart, F.col("fs"), rounded)), key, "_at", value, sigma, keep=(time, "_apart"))
     s = cut(s.withColumn("limit", k * F.avg("smooth").over(whole(key))))
     return s, cut(signal.peaks(s, key, "_at", "smooth", distance="_apart", height="limit"))
 
@@ -81,7 +81,7 @@ def per(n: Column, seconds: Column, unit: float = 1.0) -> Column:
 def viewed_turn(df: DataFrame, key: str, acc: str, velocity: str, order: str = "i", time: str = "t", sigma: float = 1.0, k: float = 1.0, apart: float = 0.37, cut=features.same) -> DataFrame:
     """Turns of the turn viewer: the turn's span narrowed to its strong runs, steps in it, then its edges moved to where
     the steps' signal crosses its threshold. Velocities are those of the final span, or of all samples without one."""
-    d = cut(df.withColumn("_vel", F.abs(velocity)))
+    d = cut(df.select(key, order, time, acc, F.abs(velocity).alias("_vel")))
     broad = cut(segments.turn_span(d, key, order, time, "_vel"))
     span = cut(strong_span(d, key, order, time, "_vel", broad))
     inner = cut(within(d, key, order, time, acc, span))
@@ -100,7 +100,7 @@ def viewed_turn(df: DataFrame, key: str, acc: str, velocity: str, order: str = "
 def reported_turn(df: DataFrame, key: str, acc: str, velocity: str, order: str = "i", time: str = "t", width: float = 1.0, sigma: float = 1.0, k: float = 1.0, apart: float = 0.45, beta: float = 0.6, cut=features.same) -> DataFrame:
     """Turns of the validation report: the turn's span over windows of `width` seconds, steps in it, and its pauses under
     the same threshold; these stand for duration, steps and pause time of the turn features there."""
-    d = cut(df.withColumn("_vel", F.abs(velocity)))
+    d = cut(df.select(key, order, time, acc, F.abs(velocity).alias("_vel")))
     span = cut(segments.turn_span(d, key, order, time, "_vel", width))
     inner = cut(within(d, key, order, time, acc, span))
     _, peaks = mean_steps(inner, key, time, acc, sigma, apart, k, False, cut)
@@ -114,14 +114,14 @@ def viewed_walk(df: DataFrame, key: str, acc: str, order: str = "i", time: str =
     """Walks of the walk viewer: peaks of a prominence of scale * threshold in the active span, whose edges then move to
     where the smoothed signal crosses the threshold. Frequency and regularity are those of the active span (of all
     samples without one), at the recording's own rate."""
-    d = cut(df.where(F.col(acc).isNotNull()))
+    d = cut(df.select(key, order, time, acc).where(F.col(acc).isNotNull()))
     span = cut(segments.active_span(d, key, time, acc, cap=None, least=1.0))
     inner = within(d, key, order, time, acc, span).join(span.select(key, F.col("threshold").alias("limit")), key)
     inner = cut(inner.withColumns({"_apart": segments.samples(apart, F.col("fs")), "_rise": scale * F.col("limit")}))
-    smooth = cut(signal.smoothed(inner, key, "_at", acc, sigma).join(inner.select(key, "_at", time, "limit", "_apart", "_rise"), [key, "_at"]))
-    peaks = cut(signal.peaks(smooth, key, "_at", "smooth", distance="_apart", height="limit", prominence="_rise"))
+    smooth = cut(signal.smoothed(inner, key, "_at", acc, sigma, keep=(time, "limit", "_apart", "_rise")))
+    peaks = cut(signal.peaks(smooth, key, "_at", "smooth", distance="_apart", height="limit", prominence="_rise", keep=(time,)))
     moved = crossings(smooth, peaks, key, time).where("duration > 0").select(key, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    count = cut(features.step_times(peaks.join(smooth.select(key, "_at", time), [key, "_at"]), key, time))
+    count = cut(features.step_times(peaks, key, time))
     active = cut(segments.inside(d, key, time, span))
     hz = signal.dominant_frequency(active, key, order, acc).select(key, F.col("hz").alias("_hz"))
     out = cut(span.select(key, "threshold", "start", "end").join(features.rate(d, key, order, time), key, "left").join(count, key, "left").join(hz, key, "left").join(moved, key, "left"))

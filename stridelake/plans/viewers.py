@@ -46,7 +46,7 @@ FROM m JOIN l ON l.rec = m.rec LEFT JOIN c ON c.rec = m.rec LEFT JOIN qt ON qt.r
 
 @query(REPORT)
 def reported_turns(spark, d):
-    out = viewers.reported_turn(written(motion(spark, d), "motion"), "rec", "useracc", "gyro_x", cut=written)
+    out = viewers.reported_turn(motion(spark, d), "rec", "useracc", "gyro_x", cut=written)
     return out.select("rec", *r("threshold", "start", "end", "duration"), "step_count", *r("pause_time"))
 
 
@@ -66,12 +66,12 @@ FROM fin JOIN l ON l.rec = fin.rec JOIN ve ON ve.rec = fin.rec"""
 
 @query(VIEW)
 def viewed_turns(spark, d):
-    out = viewers.viewed_turn(written(motion(spark, d), "motion"), "rec", "useracc", "gyro_x", cut=written)
+    out = viewers.viewed_turn(motion(spark, d), "rec", "useracc", "gyro_x", cut=written)
     return out.select("rec", *r("threshold", "start", "end", "duration"), "step_count", *r("steps_per_second", "peak_angular_velocity", "mean_angular_velocity"))
 
 
 @query()
 def viewed_walks(spark, d):
     """Prominence is beyond SQL; held against a direct computation in tests/test_viewers.py."""
-    out = viewers.viewed_walk(written(motion(spark, d), "motion"), "rec", "useracc", cut=written)
+    out = viewers.viewed_walk(motion(spark, d), "rec", "useracc", cut=written)
     return out.select("rec", *r(*[n for n in out.columns if n != "rec"]))

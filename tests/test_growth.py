@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stridelake.operators import pairs, segments
+from stridelake.operators import features, pairs, segments, series
+from stridelake.sources.cuts import dealt
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,3 +71,29 @@ def test_a_mean_of_fifty_is_fifty_in_any_order(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/events.parquet")
     got = {r.user_id: r.stands_for for r in __spark_entry__.queries()["label_agreement"](spark, str(tmp_path)).collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_gaps_are_filled_from_one_sort(spark):
+    x = [(1, i, v, w) for i, (v, w) in enumerate([(None, 1.0), (2.0, None), (None, None), (None, 4.0), (8.0, None), (None, None)])]
+    d = series.interpolate_columns(spark.createDataFrame(x, "k int, i int, v double, w double"), "k", "i", {"v": "v", "w": "w"})
+    got = sorted((r.i, r.v, r.w) for r in d.collect())
+    assert got == [(0, 2.0, 1.0), (1, 2.0, 2.0), (2, 4.0, 3.0), (3, 6.0, 4.0), (4, 8.0, 4.0), (5, 8.0, 4.0)]
+    assert plan(d.select("k", "i", "v", "w")).split("Initial Plan")[-1].count("Sort [") == 1
+
+
+def test_dealt_follows_the_rows(spark):
+    df = spark.range(1000).selectExpr("id % 100 as k")
+    assert dealt(df, "k", 1000, 50).rdd.getNumPartitions() == 20
+    assert dealt(df, "k", 1000).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_walk_computes_what_is_asked(spark):
+    t = np.arange(400) / 25
+    rows = [(k, i, float(t[i]), float(1 + np.sin((9 + k) * t[i]) * (50 < i < 350)), float(np.cos(t[i]))) for k in range(2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, i int, t double, a double, g double")
+    full = {r.k: r.asDict() for r in features.walk(df, "k", "a", "g").collect()}
+    for some in (["walk_jerk_mean", "walk_acc_mag_rms"], ["step_count", "mean_step_time"], ["walk_10_step_cadence"], ["step_regularity", "walk_spectral_entropy"]):
+        part = features.walk(df, "k", "a", "g", only=some)
+        got = {r.k: r.asDict() for r in part.collect()}
+        assert got == {k: {n: v for n, v in row.items() if n in ("k", *some)} for k, row in full.items()}
+        assert ("Pandas" in plan(part)) == (some[0] != "walk_jerk_mean")
