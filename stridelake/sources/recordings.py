@@ -137,9 +137,10 @@ def derived(df: DataFrame, key: str, time: str = "t", magnitudes: bool = True) -
     return series.gradients(d, key, time, {"acc_mag": "acc_jerk", "acc_free": "acc_free_jerk", "useracc_mag": "useracc_jerk", "gyro_mag": "gyro_jerk"})
 
 
-def preprocess(rows: DataFrame, key: str = "path", cutoff: float | None = 5.0, degree: int = 4) -> DataFrame:
+def preprocess(rows: DataFrame, key: str = "path", cutoff: float | None = 5.0, degree: int = 4, derive: bool = True) -> DataFrame:
     """Samples (key, i, t and channels) from scanned rows: seconds, clock resets taken out in order of arrival, equal
-    times averaged, gaps filled by position, magnitudes (low-passed at `cutoff` where it is given), then `derived`."""
+    times averaged, gaps filled by position, magnitudes (low-passed at `cutoff` where it is given), then `derived`; not
+    with `derive` False, for samples that `truncated` derives anew."""
     d = seconds(rows.where("timestamp is not null"), key, "seq", "timestamp")
     d = series.unwrap_clock(d, key, "seq", "ts", out="ts")
     d = series.collapse_duplicates(d, key, "ts", *CHANNELS)
@@ -148,7 +149,7 @@ def preprocess(rows: DataFrame, key: str = "path", cutoff: float | None = 5.0, d
     d = d.withColumns({f"{p}_mag": magnitude(p) for p in ("acc", "useracc", "gyro")})
     if cutoff:
         d = signal.low_pass_columns(segments.with_rate(d, key, "i", "t"), key, "i", ["acc_mag", "useracc_mag", "gyro_mag"], cutoff, "fs", degree)
-    return derived(d, key, magnitudes=False)
+    return derived(d, key, magnitudes=False) if derive else d
 
 
 def truncated(samples: DataFrame, key: str, activity: Column, kept: dict[str, float] = KEPT) -> DataFrame:

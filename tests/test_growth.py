@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from stridelake.operators import features, pairs, segments, series
-from stridelake.sources.cuts import dealt
+from stridelake.sources import cuts
+from stridelake.sources.cuts import bucketed, dealt
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -98,3 +99,24 @@ def test_walk_computes_what_is_asked(spark):
         for k, row in full.items():
             assert got[k] == pytest.approx({n: v for n, v in row.items() if n in ("k", *some)})
         assert ("Pandas" in plan(part)) == (some[0] != "walk_jerk_mean")
+
+
+def tables_of(spark, name):
+    """What a query writes: the columns of each table, and how many of the tables are bucketed."""
+    paths, tables = len(cuts.WRITTEN), len(cuts.TABLES)
+    assert __spark_entry__.queries()[name](spark, SMALL).count()
+    return [spark.read.parquet(p).columns for p in cuts.WRITTEN[paths:]], len(cuts.TABLES) - tables
+
+
+def test_bucketed_tables_are_read_without_a_shuffle(spark):
+    df = spark.range(400).selectExpr("id % 40 as k", "cast(id as double) as v")
+    a = bucketed(df, "k", 8)
+    b = bucketed(a.groupBy("k").agg(F.max("v").alias("top")), "k", 8)
+    d = series.centre(a, "k", "v").join(b.hint("merge"), "k")
+    assert "SortMergeJoin" in plan(d) and "Exchange" not in plan(d)
+    assert d.count() == 400 and d.where("top < v").isEmpty()
+
+
+def test_feature_table_moves_what_it_reads(spark):
+    written, _ = tables_of(spark, "feature_table")
+    assert written and not {c for t in written for c in t} & {"acc_x", "useracc_x", "acc_jerk", "gyro_jerk"}
