@@ -6,12 +6,14 @@ plans. A bout has the rate `fs` (an integer); its samples are numbered from 0, a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators import segments
+from stridelake.operators.features import same
 from stridelake.operators.series import ordered, whole
 from stridelake.operators.signal import by_recording
 
@@ -48,21 +50,32 @@ def tapered(n: int, share: float = TAPER) -> np.ndarray:
     return np.where(near < edge, 0.5 - 0.5 * np.cos(np.pi * near / edge), 1.0) if edge > 0 else np.ones(n)
 
 
-def morse(x: np.ndarray, fs: float, hz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Morse-wavelet transform of x at the frequencies hz (a row each), of peak gain 2, and its derivative in time.
+def gains(size: int, fs: float, hz: tuple) -> np.ndarray:
+    """The wavelets' spectra, of peak gain 2: a row for each frequency."""
+    omega = 2 * np.pi * np.fft.fftfreq(size)
+    peak = (BETA / GAMMA) ** (1 / GAMMA)
+    scaled = np.maximum(omega, 0) * (peak * fs / (2 * np.pi * np.array(hz)))[:, None]
+    with np.errstate(divide="ignore"):
+        return np.where(scaled > 0, 2 * np.exp(BETA * (np.log(scaled) - np.log(peak)) - scaled**GAMMA + peak**GAMMA), 0.0)
+
+
+# Recordings of about one length share them; those of long ones (over 10 MB) are not held.
+held_gains = lru_cache(4)(gains)
+
+
+def morse(x: np.ndarray, fs: float, hz: np.ndarray, slope: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Morse-wavelet transform of x at the frequencies hz (a row each), of peak gain 2, and its derivative in time where
+    `slope` asks for it.
 
     The ends are mirrored out to a power of two of at least twice the length."""
     n = len(x)
     size = 2 << int(np.ceil(np.log2(max(n, 2))))
     before = (size - n) // 2
     spectrum = np.fft.fft(np.pad(x, (before, size - n - before), "reflect") if n > 1 else np.resize(x, size))
-    omega = 2 * np.pi * np.fft.fftfreq(size)
-    peak = (BETA / GAMMA) ** (1 / GAMMA)
-    scaled = np.maximum(omega, 0) * (peak * fs / (2 * np.pi * hz))[:, None]
-    with np.errstate(divide="ignore"):
-        gain = np.where(scaled > 0, 2 * np.exp(BETA * (np.log(scaled) - np.log(peak)) - scaled**GAMMA + peak**GAMMA), 0.0)
+    moved = spectrum * (held_gains if size <= 1 << 14 else gains)(size, fs, tuple(hz))
     part = slice(before, before + n)
-    return np.fft.ifft(spectrum * gain)[:, part], np.fft.ifft(spectrum * gain * 1j * omega * fs)[:, part]
+    turned = np.fft.ifft(moved * 1j * (2 * np.pi * np.fft.fftfreq(size)) * fs)[:, part] if slope else None
+    return np.fft.ifft(moved)[:, part], turned
 
 
 def reassigned(w: np.ndarray, slope: np.ndarray, hz: np.ndarray, floor: float = 1e-8) -> np.ndarray:
@@ -79,7 +92,7 @@ def reassigned(w: np.ndarray, slope: np.ndarray, hz: np.ndarray, floor: float =
 def bout_power(x: np.ndarray, fs: int, squeeze: bool = False) -> np.ndarray:
     """Power of a bout (frequency, sample), tapered and with silence on both sides."""
     quiet = np.zeros(SILENCE * fs)
-    w, slope = morse(np.concatenate([quiet, x * tapered(len(x)), quiet]), fs, FREQUENCIES)
+    w, slope = morse(np.concatenate([quiet, x * tapered(len(x)), quiet]), fs, FREQUENCIES, squeeze)
     power = reassigned(w, slope, FREQUENCIES) if squeeze else np.abs(w) ** 2
     return power[:, SILENCE * fs : len(x) + SILENCE * fs]
 
@@ -91,10 +104,10 @@ def wavelet_power(bout: DataFrame, key: str, order: str, value: str, fs: int = 1
     def one(x):
         n = len(x) // fs
         if not n:
-            return pd.DataFrame({"second": [], "bin": [], "hz": [], "power": []})
+            return {"second": [], "bin": [], "hz": [], "power": []}
         power = bout_power(x[: n * fs], fs, squeeze).reshape(len(FREQUENCIES), n, fs).sum(2)
         second, row = (a.reshape(-1) for a in np.meshgrid(np.arange(n), np.arange(len(FREQUENCIES)), indexing="ij"))
-        return pd.DataFrame({"second": second, "bin": row, "hz": FREQUENCIES[row].round(9), "power": power.T.reshape(-1)})
+        return {"second": second, "bin": row, "hz": FREQUENCIES[row].round(9), "power": power.T.reshape(-1)}
 
     return by_recording(bout, key, order, [value], "second long, bin int, hz double, power double", one).select(key, "second", "bin", "hz", "power")
 
@@ -124,16 +137,18 @@ def lasting(ridge: DataFrame, key: str, least: int = 3, delta: int = 20) -> Data
     return d.withColumn("_n", F.count("*").over(Window.partitionBy(key, "_run"))).where(F.col("_n") >= least).drop("_run", "_n")
 
 
-def wavelet_steps(df: DataFrame, key: str, time: str, value: str, fs: int = 10, low: float = 1.4, high: float = 2.3, k: float = 1.0, fallback: float = 0.3, least: int = 3, delta: int = 20, below: float = 0.6, above: float = 2.5) -> DataFrame:
+def wavelet_steps(df: DataFrame, key: str, time: str, value: str, fs: int = 10, low: float = 1.4, high: float = 2.3, k: float = 1.0, fallback: float = 0.3, least: int = 3, delta: int = 20, below: float = 0.6, above: float = 2.5, cut=same) -> DataFrame:
     """key, start, end, duration, step_count, cadence of each recording with a bout; without lasting ridges 0 steps.
 
     Seconds whose range reaches median + k * MAD of the ranges (at most 0.3 of the largest) are active, and the power is
-    that of the active seconds joined. A second with a lasting ridge has its frequency in steps."""
-    bout = even_bout(df, key, time, value, fs).withColumn("second", F.expr(f"k div {fs}"))
+    that of the active seconds joined. A second with a lasting ridge has its frequency in steps. For `cut` see
+    features."""
+    bout = cut(even_bout(df, key, time, value, fs).withColumn("second", F.expr(f"k div {fs}")))
     ranges = bout.groupBy(key, "second").agg((F.max("value") - F.min("value")).alias("p2p"), F.min("t").alias("begins"), F.max("t").alias("ends"))
     limit = segments.spread_threshold(ranges, key, "p2p", k, 0.3, fallback)
     active = ranges.join(limit, key).where("p2p >= threshold").withColumn("place", F.row_number().over(ordered(key, "second")).cast("long") - 1)
     active = active.withColumn("_n", F.count("*").over(whole(key))).where(F.col("_n") >= least).select(key, "second", "place", "begins", "ends")
+    active = cut(active)
     power = wavelet_power(bout.join(active.select(key, "second"), [key, "second"]), key, "k", "value", fs)
     bins = [int(np.abs(FREQUENCIES - f).argmin()) for f in (low, high)]
     ridge = ridges(power, key, *bins, below, above).withColumnRenamed("second", "place")

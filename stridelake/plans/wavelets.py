@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import wavelets
 from stridelake.plans.catalog import query, r
-from stridelake.plans.recordings import SMP, motion, samples
+from stridelake.plans.recordings import SMP, cutting, motion, samples
 
 BOUT = """, g0 AS (SELECT rec, t, acc AS v, lead(t) OVER w AS b, lead(acc) OVER w AS v2, min(t) OVER (PARTITION BY rec) AS t0, max(t) OVER (PARTITION BY rec) AS t1 FROM mot WINDOW w AS (PARTITION BY rec ORDER BY t)),
 n AS (SELECT rec, any_value(t0) AS t0, ceil(round((any_value(t1) - any_value(t0)) * 10, 9))::BIGINT AS n FROM g0 GROUP BY rec),
@@ -57,4 +57,5 @@ def lasting_ridges(spark, d):
 
 @query()
 def wavelet_steps(spark, d):
-    return wavelets.wavelet_steps(motion(spark, d), "rec", "t", "acc").select("rec", *r("start", "end", "duration", "step_count", "cadence"))
+    n, cut = cutting(spark, d)
+    return wavelets.wavelet_steps(motion(spark, d, n), "rec", "t", "acc", cut=cut).select("rec", *r("start", "end", "duration", "step_count", "cadence"))

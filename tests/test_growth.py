@@ -120,3 +120,9 @@ def test_bucketed_tables_are_read_without_a_shuffle(spark):
 def test_feature_table_moves_what_it_reads(spark):
     written, _ = tables_of(spark, "feature_table")
     assert written and not {c for t in written for c in t} & {"acc_x", "useracc_x", "acc_jerk", "gyro_jerk"}
+
+
+def test_wavelet_bout_is_made_once(spark):
+    """The lines were read and sorted again for each use of the bout."""
+    df = __spark_entry__.queries()["wavelet_steps"](spark, SMALL)
+    assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f]
