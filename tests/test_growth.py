@@ -126,3 +126,8 @@ def test_wavelet_bout_is_made_once(spark):
     """The lines were read and sorted again for each use of the bout."""
     df = __spark_entry__.queries()["wavelet_steps"](spark, SMALL)
     assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f]
+
+
+def test_lab_rises_moves_what_it_reads(spark):
+    written, found = tables_of(spark, "lab_rises")
+    assert len(written) == found and not {c for t in written for c in t} & {"acc_x", "useracc_x", "useracc_mag", "motion_source"}
