@@ -131,3 +131,9 @@ def test_wavelet_bout_is_made_once(spark):
 def test_lab_rises_moves_what_it_reads(spark):
     written, found = tables_of(spark, "lab_rises")
     assert len(written) == found and not {c for t in written for c in t} & {"acc_x", "useracc_x", "useracc_mag", "motion_source"}
+
+
+@pytest.mark.parametrize("name", ["transition_features"])
+def test_blocks_read_bucketed_tables(spark, name):
+    written, found = tables_of(spark, name)
+    assert found and found == len(written)
