@@ -75,9 +75,10 @@ def sacrum_events(samples: DataFrame, key: str, value: str = "acc_free", first:
     return d.groupBy(key).agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("_n")).where(F.col("_n") == first).drop("_n")
 
 
-def walking(samples: DataFrame, key: str, seconds: float | None = 60.0) -> DataFrame:
+def walking(samples: DataFrame, key: str, seconds: float | None = 60.0, cut=features.same) -> DataFrame:
     """Summary of each walk: steps of the first `seconds` (None: all) by the sensor's own signal, and its ten-step window.
-    Distances follow each recording's own rate (fs); sensors without values of their own take OTHERS."""
+    Distances follow each recording's own rate (fs); sensors without values of their own take OTHERS. For `cut` see
+    features."""
     d = samples.withColumn("_end", F.least(F.max("t").over(whole(key)), F.lit(seconds if seconds is not None else float("inf"))))
     d = with_parameters(d.where("t <= _end")).withColumn("_x", sensor_signal(F.col("sensor")))
     d = d.withColumn("_x", F.col("_x") - F.median("_x").over(whole(key)))
@@ -87,6 +88,7 @@ def walking(samples: DataFrame, key: str, seconds: float | None = 60.0) -> DataF
     by_share = F.coalesce(*[F.when(F.col("percentile") == p, F.percentile("smooth", p).over(w)) for p in sorted({p for _, p, *_ in [OTHERS, *(v[1:] for v in SENSORS)] if p})])
     s = s.withColumn("_h", F.when(F.col("mad").isNotNull(), F.col("_m") + F.col("mad") * F.col("_mad")).otherwise(by_share)).withColumn("_d", F.greatest(F.lit(1.0), F.rint(F.col("apart") * F.coalesce("fs", F.lit(0.0)))))
     p = signal.peaks(s, key, "i", "smooth", distance="_d", height="_h", keep=("t", "sensor", "peaks", "mode"))
+    p = cut(p)
     base = d.groupBy(key).agg(F.first("sensor").alias("sensor"), F.min("t").alias("start_time_s"), F.first("_end").alias("end_time_s"), F.count("*").alias("_n")).where("_n >= 3")
     base = base.join(p.groupBy(key).agg(F.count("*").cast("double").alias("step_count")), key, "left").withColumn("step_count", F.coalesce("step_count", F.lit(0.0)))
     base = base.withColumn("duration_s", F.col("end_time_s") - F.col("start_time_s"))
