@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from stridelake.operators import viewers
 from stridelake.plans.catalog import query, r
-from stridelake.plans.recordings import FS, SMP, limit_sql, mask_sql, motion, peaks_sql, ranges_sql, smooth_sql
-from stridelake.sources.cuts import written
+from stridelake.plans.recordings import FS, SMP, cutting, limit_sql, mask_sql, motion, peaks_sql, ranges_sql, smooth_sql
 
 CHANNELS = ["useracc", "acc", "gyro"]
 
@@ -46,7 +45,8 @@ FROM m JOIN l ON l.rec = m.rec LEFT JOIN c ON c.rec = m.rec LEFT JOIN qt ON qt.r
 
 @query(REPORT)
 def reported_turns(spark, d):
-    out = viewers.reported_turn(motion(spark, d), "rec", "useracc", "gyro_x", cut=written)
+    n, cut = cutting(spark, d)
+    out = viewers.reported_turn(motion(spark, d, n), "rec", "useracc", "gyro_x", cut=cut)
     return out.select("rec", *r("threshold", "start", "end", "duration"), "step_count", *r("pause_time"))
 
 
@@ -66,7 +66,8 @@ FROM fin JOIN l ON l.rec = fin.rec JOIN ve ON ve.rec = fin.rec"""
 
 @query(VIEW)
 def viewed_turns(spark, d):
-    out = viewers.viewed_turn(motion(spark, d), "rec", "useracc", "gyro_x", cut=written)
+    n, cut = cutting(spark, d)
+    out = viewers.viewed_turn(motion(spark, d, n), "rec", "useracc", "gyro_x", cut=cut)
     return out.select("rec", *r("threshold", "start", "end", "duration"), "step_count", *r("steps_per_second", "peak_angular_velocity", "mean_angular_velocity"))
 
 
