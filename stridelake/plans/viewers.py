@@ -74,5 +74,6 @@ def viewed_turns(spark, d):
 @query()
 def viewed_walks(spark, d):
     """Prominence is beyond SQL; held against a direct computation in tests/test_viewers.py."""
-    out = viewers.viewed_walk(motion(spark, d), "rec", "useracc", cut=written)
+    n, cut = cutting(spark, d)
+    out = viewers.viewed_walk(motion(spark, d, n), "rec", "useracc", cut=cut)
     return out.select("rec", *r(*[n for n in out.columns if n != "rec"]))
