@@ -133,7 +133,7 @@ def test_lab_rises_moves_what_it_reads(spark):
     assert len(written) == found and not {c for t in written for c in t} & {"acc_x", "useracc_x", "useracc_mag", "motion_source"}
 
 
-@pytest.mark.parametrize("name", ["transition_features", "lab_walks", "reported_turns", "viewed_walks"])
+@pytest.mark.parametrize("name", ["transition_features", "lab_walks", "reported_turns", "viewed_walks", "walk_regularity"])
 def test_blocks_read_bucketed_tables(spark, name):
     written, found = tables_of(spark, name)
     assert found and found == len(written)
