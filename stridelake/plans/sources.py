@@ -18,7 +18,7 @@ def recording_scan(spark, d):
     """Recordings written as CSV files and scanned again under other names, a channel missing."""
     folder = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
     s = samples(spark, d).select("rec", F.col("i").alias("line"), F.col("t").alias("Timestamp"), F.col("acc_x").alias("Accel_X"), F.when(F.col("i") % 5 > 0, F.col("gyro_z")).alias("GYR_Z"))
-    recordings.write_csv(s.repartition("rec").sortWithinPartitions("rec", "line").drop("line"), folder, "rec")
+    recordings.write_csv(dealt(s, "rec", table(spark, d, "lineitem").count()).sortWithinPartitions("rec", "line").drop("line"), folder, "rec")
     back = recordings.scan(spark, folder).withColumn("rec", F.regexp_extract("path", "rec=([0-9]+)", 1).cast("long"))
     return back.select("rec", "seq", "timestamp", "acc_x", "gyro_z", "useracc_x")
 

@@ -35,18 +35,20 @@ def scan(spark: SparkSession, folder: str, numeric: float = 0.8) -> DataFrame:
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("ignoreCorruptFiles", "true").text(folder, wholetext=True)
     lines = F.split(F.regexp_replace("value", "\r\n?|﻿", "\n"), "\n")
     d = files.select(F.col("_metadata.file_path").alias("path"), F.filter(lines, lambda x: F.length(F.trim(x)) > 0).alias("_l"))
-    d = d.where(F.size("_l") > 1).withColumn("_h", F.transform(cells(F.get("_l", F.lit(0))), lambda c: F.lower(c))).withColumn("_l", F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0))))
-    # The first name that the header has; its place is 0 where there is none.
+    d = d.where(F.size("_l") > 1).withColumn("_h", F.transform(cells(F.get("_l", F.lit(0))), lambda c: F.lower(c)))
+    # Each line is cut into cells once, and each name sought once in a file's header.
+    d = d.withColumn("_l", F.transform(F.slice("_l", F.lit(2), F.size("_l") - 1), cells))
+    # The first name that the header has; null where there is none.
     place = lambda names: F.coalesce(*[F.nullif(F.array_position("_h", n), F.lit(0).cast("long")) for n in names]).cast("int")
     clean = lambda c: F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
-    at = place(NAMES["timestamp"])
-    plain = F.size(F.filter("_l", lambda x: clean(F.try_element_at(cells(x), at)).isNotNull()))
+    d = d.withColumns({f"_at_{c}": place(names) for c, names in NAMES.items()})
+    at = F.col("_at_timestamp")
+    plain = F.size(F.filter("_l", lambda x: clean(F.try_element_at(x, at)).isNotNull()))
     d = d.withColumn("_dated", at.isNotNull() & (plain < numeric * F.size("_l")))
-    d = d.select("path", "_h", "_dated", F.posexplode("_l").alias("seq", "_row"))
-    value = lambda names: F.try_element_at(cells(F.col("_row")), place(names))
-    time = value(NAMES["timestamp"])
-    d = d.select("path", F.col("seq").cast("long").alias("seq"), F.when(F.col("_dated"), epoch(time)).otherwise(clean(time)).alias("timestamp"), *[clean(value(n)).alias(c) for c, n in NAMES.items() if c != "timestamp"], F.col("_dated").alias("dated"))
-    return d
+    d = d.select("path", "_dated", *[f"_at_{c}" for c in NAMES], F.posexplode("_l").alias("seq", "_row"))
+    value = lambda c: F.try_element_at("_row", F.col(f"_at_{c}"))
+    time = value("timestamp")
+    return d.select("path", F.col("seq").cast("long").alias("seq"), F.when(F.col("_dated"), epoch(time)).otherwise(clean(time)).alias("timestamp"), *[clean(value(c)).alias(c) for c in CHANNELS], F.col("_dated").alias("dated"))
 
 
 def cells(line: Column) -> Column:
@@ -196,7 +198,8 @@ def write_csv(rows: DataFrame, folder: str, partition: str | None = None, places
     out = rows.select(*[text(n).alias(n) if t in ("double", "float") else F.col(n) for n, t in rows.dtypes])
     if not partition and out.isEmpty():
         out = out.coalesce(1)
-    writer = out.write.mode("overwrite").option("header", "true")
+    # Tasks put their files in place themselves: with many small ones the driver would spend its time renaming.
+    writer = out.write.mode("overwrite").option("header", "true").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     (writer.partitionBy(partition) if partition else writer).csv(folder)
 
 
