@@ -8,6 +8,7 @@ ids). A string such as <|endoftext|> in a text is ordinary text.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -81,29 +82,31 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.row: dict[int, int] = {}
+        self.hashes, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of the hashes
         self.sizes, self.starts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: list[int], texts: list[str]):
+    def _learn(self, texts: list[str]):
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got])
-        self.row.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(got))))
+        size = np.fromiter(map(len, got), np.int64, len(got))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(size) - size])
         self.sizes = np.concatenate([self.sizes, size])
-        self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.uint32)])
+        self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))])
 
     def rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Row in sizes, starts of each pre-token."""
         h, first, inverse = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
         if len(self.row) > self.most:
             self.clear()
-        known = [self.row.get(x, -1) for x in h.tolist()]
-        new = [i for i, k in enumerate(known) if k < 0]
-        if new:
-            text = data.tobytes()
-            self._learn(h[new].tolist(), [text[start[j] : end[j]].decode() for j in first[new]])
-            known = [self.row[x] for x in h.tolist()]
-        return np.array(known)[inverse]
+        at = np.searchsorted(self.hashes, h)
+        there = np.append(self.hashes, np.uint64(0))[at] == h
+        there &= at < len(self.hashes)
+        known = np.append(self.row, 0)[at]
+        new = np.flatnonzero(~there)
+        if len(new):
+            text, known[new] = data.tobytes(), len(self.sizes) + np.arange(len(new))
+            self._learn([text[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            self.hashes, self.row = np.insert(self.hashes, at[new], h[new]), np.insert(self.row, at[new], known[new])
+        return known[inverse]
 
     def counts(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of each pre-token, its first byte, and pre-tokens per document."""
