@@ -229,6 +229,14 @@ def test_suffix(docs, none, most_shard):
     assert suffix.repeats(none).count() == 0
 
 
+def test_suffix_windows_of_a_heavy_anchor_give_joined_spans(spark):
+    common = bytes(np.random.default_rng(5).integers(97, 123, 100).astype(np.uint8))
+    blobs = [b"." * 40 + common + b"," * 40, b";" * 30 + common, b":" * 70, b"(" + common[:70] + b")" * 9 + common[30:] + b"("]
+    parts = spark.createDataFrame([(7, i, len(x), x) for i, x in enumerate(blobs)], "anchor long, seg long, size long, blob binary")
+    got = {r.seg: (r.anchor, r.size, r.spans) for r in suffix._by_window(parts.union(parts), 60).collect()}
+    assert got == {0: (7, 180, [40, 140]), 1: (7, 130, [30, 130]), 2: (7, 70, [0, 70]), 3: (7, 151, [1, 71, 80, 150])}
+
+
 def brute_classes(rows, percent, k):
     sets = {}
     for d, t in rows:
