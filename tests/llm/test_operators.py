@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stridelake.llm import ann, components, decontam, jaccard, linededup, lm_score, packing, quality, suffix, tokencount, warc
+from stridelake.llm import ann, components, decontam, jaccard, linededup, lm_score, packing, quality, queries, suffix, tokencount, warc
 from stridelake.llm.queries import tokenizer_path
 
 WORDS = ["The", "of", "and", "ground", "Water", "is", "under", "é", "naïve", "x1", "stone", "old", "long", "tree", "way", "seen"]
@@ -237,6 +237,21 @@ def test_suffix_windows_of_a_heavy_anchor_give_joined_spans(spark):
     assert got == {0: (7, 180, [40, 140]), 1: (7, 130, [30, 130]), 2: (7, 70, [0, 70]), 3: (7, 151, [1, 71, 80, 150])}
 
 
+def test_suffix_query_shows_what_is_kept_of_planted_passages(spark, tmp_path):
+    """Passages of 60 words: of 400 bytes or more they go, of less they stay, and n_bytes is the whole text's either way."""
+    rng = random.Random(11)
+    prose = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    passages = [prose(60, size) for size in (5, 5, 5, 7, 7, 7)]  # 359 and 479 bytes
+    texts = [f"{prose(80, 6)} {c}\n{p}\n{c} {prose(40, 6)}" for p in passages for c in "xyz"] + [prose(150, 6) for _ in range(9)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_suffix(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        gone = "\n" + passages[i // 3] + "\n" if 9 <= i < 18 else ""
+        kept = text.replace(gone, "") if gone else text
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_bytes) == (len(text), len(gone), len(kept))
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+
+
 def brute_classes(rows, percent, k):
     sets = {}
     for d, t in rows:
