@@ -1,20 +1,23 @@
 """Pair joins inside one series: entropies, nearest neighbours, exponents and recurrence measures.
 
 Their cost is quadratic in the samples, so a longer recording gives `most` samples spread evenly over all of it (900 by
-default; None takes all). Pairs are dealt by blocks of BLOCK samples, so that a long series is spread over tasks; only the
-recurrence measures, which need the matrix of all pairs, take a recording in one task.
+default; None takes all, as the queries of the exponents do). Pairs are dealt by blocks of BLOCK samples (neighbours: of
+TILE), so that a long series is spread over tasks; only the recurrence measures, which need the matrix of all pairs, take a
+recording in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stridelake.operators.series import ordered, whole
 
-BLOCK = 1_000
+BLOCK, TILE = 1_000, 4_000
 
 
 def even_sample(df: DataFrame, key: str, order, most: int = 900) -> DataFrame:
@@ -52,19 +55,54 @@ def sample_entropy(e: DataFrame, key: str, r: float = 0.2) -> DataFrame:
     return out.withColumn("sampen", F.when((F.col("a_pairs") > 0) & (F.col("b_pairs") > 0), -F.log(F.col("a_pairs") / F.col("b_pairs"))))
 
 
+def nearest_of(at: np.ndarray, p: np.ndarray, at2: np.ndarray, p2: np.ndarray, theiler: int, step: int = 64) -> tuple[np.ndarray, ...]:
+    """The nearest of the points p2 (a column each, at positions at2, in order) to each of p, and of p to each of p2, more
+    than `theiler` positions off: places and distances (inf: none), the first of equal ones."""
+    mate, far = np.zeros(len(at), np.int64), np.full(len(at), np.inf)
+    mate2, far2 = np.zeros(len(at2), np.int64), np.full(len(at2), np.inf)
+    for k in range(0, len(at), step):
+        part = slice(k, k + step)
+        d = sum(np.square(np.subtract.outer(c, c2)) for c, c2 in zip(p[:, part], p2))
+        d = np.sqrt(d, out=d).round(9, out=d)
+        near = slice(*np.searchsorted(at2, [at[part][0] - theiler, at[part][-1] + theiler + 1]))
+        d[:, near][np.abs(np.subtract.outer(at[part], at2[near])) <= theiler] = np.inf
+        mate[part] = d.argmin(1)
+        far[part] = d[np.arange(len(d)), mate[part]]
+        first = d.argmin(0)
+        least = d[first, np.arange(len(at2))]
+        mate2, far2 = np.where(least < far2, first + k, mate2), np.minimum(least, far2)
+    return mate, far, mate2, far2
+
+
 def nearest_neighbour(e: DataFrame, key: str, theiler: int = 10) -> DataFrame:
     """For each embedded point the nearest other one more than `theiler` samples off; points whose nearest is equal to
     them have none.
 
-    A point meets each block of its series as one array, so that no row is made, sorted or spilled for a pair."""
-    p = e.where("z is not null").withColumn("_m", F.floor((F.col("i") - 1) / BLOCK)).withColumn("_all", F.sequence(F.lit(0).cast("long"), F.max("_m").over(whole(key))))
-    a = p.select(key, "i", "x", "y", "z", F.col("_m").alias("_r"), F.explode("_all").alias("_c"))
-    block = p.groupBy(key, F.col("_m").alias("_c")).agg(F.collect_list(F.struct("i", "x", "y", "z")).alias("_b"), F.first("_all").alias("_all"))
-    j = a.join(block.select(key, "_c", "_b", F.explode("_all").alias("_r")), [key, "_r", "_c"])
-    apart = lambda o: F.sqrt(sum((F.pow(F.col(c) - o[c], 2) for c in "xyz"), F.lit(0.0)))
-    far = F.filter("_b", lambda o: F.abs(F.col("i") - o["i"]) > theiler)
-    near = F.array_min(F.transform(far, lambda o: F.struct(F.round(apart(o), 9).alias("d"), o["i"].alias("j"))))
-    return j.select(key, "i", near.alias("m")).groupBy(key, "i").agg(F.min("m").alias("m")).select(key, "i", F.col("m.j").alias("j"), F.col("m.d").alias("d")).where("d > 0")
+    Each two blocks of TILE points of a series meet in one group, whose distances are held for 64 points at a time, so that
+    no row is made for a pair and a long series is spread over tasks; it moves a point once for each block of its series."""
+
+    tile = TILE
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("i", "ascending")])).combine_chunks()
+        at, p = t["i"].to_numpy().astype(np.int64), np.array([t[c].to_numpy() for c in "xyz"])
+        lost = ~np.isfinite(p).all(0)  # a value that is not finite leaves none in its series
+        p[:, lost] = 0.0
+        cut = np.searchsorted((at - 1) // tile, t["_r"][0].as_py(), "right")  # of one block, or of two
+        mate, far, mate2, far2 = nearest_of(at[:cut], p[:, :cut], at[cut:] if cut < len(at) else at, p[:, cut:] if cut < len(at) else p, theiler)
+        if cut < len(at):
+            mate, far = np.concatenate([mate + cut, mate2]), np.concatenate([far, far2])
+        on = np.isfinite(far)
+        return pa.table({key: t[key].filter(pa.array(on)), "i": pa.array(at[on], pa.int32()), "j": pa.array(at[mate[on]], pa.int32()), "d": pa.array(np.where(lost, np.nan, far)[on])})
+
+    p = e.where(F.col(key).isNotNull() & F.col("z").isNotNull()).withColumn("_m", F.floor((F.col("i") - 1) / tile))
+    p = p.withColumn("_top", F.max("_m").over(whole(key))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"))))
+    p = p.select(key, "i", "x", "y", "z", F.least("_m", "_o").alias("_r"), F.greatest("_m", "_o").alias("_c"))
+    # A number of its own, as few bytes can be much work.
+    n = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), e.sparkSession.sparkContext.defaultParallelism)
+    near = p.repartition(n, key, "_r", "_c").groupBy(key, "_r", "_c").applyInArrow(one, f"`{key}` {dict(p.dtypes)[key]}, i int, j int, d double")
+    m = F.array_min("_near")  # one of each block
+    return near.groupBy(key, "i").agg(F.collect_list(F.struct("d", "j")).alias("_near")).where(m["d"] > 0).select(key, "i", m["j"].alias("j"), m["d"].alias("d"))
 
 
 def permutation_entropy(e: DataFrame, key: str) -> DataFrame:

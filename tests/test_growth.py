@@ -145,3 +145,19 @@ def test_scan_cuts_each_line_once(spark, tmp_path):
     got = recordings.scan(spark, str(tmp_path)).select("seq", "timestamp", "acc_x", "gyro_z", "useracc_x")
     assert sorted(got.drop("dated").collect()) == [(0, 0.5, 2.0, None, None), (1, 1.5, None, 3.0, None)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(regexp_replace(") <= 4
+
+
+@pytest.mark.parametrize("name", ["lyapunov_wolf", "lyapunov_rosenstein"])
+def test_exponents_of_all_samples(spark, tmp_path, monkeypatch, name):
+    """Of a recording of more than 900 samples only 900 took part. Here it is three blocks, and one beside it is short."""
+    monkeypatch.setattr(pairs, "TILE", 500, raising=False)
+    x = {1: np.round(np.random.default_rng(8).normal(50, 9, 1300), 2), 2: np.round(np.random.default_rng(9).normal(50, 9, 60), 2), 3: np.ones(40)}
+    rows = [(k * 10_000 + i, k, "click", float(v)) for k, vs in x.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r[0]: r[1] for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()}
+    for k in (1, 2):
+        v = (x[k] - x[k].mean()) / x[k].std()
+        want = pairs.exponents(pairs.distances(np.stack([v[:-2], v[1:-1], v[2:]], 1)), 10, 19, 8, 25)[name == "lyapunov_wolf"]
+        assert got.pop(k) == pytest.approx(want, abs=2e-6)
+    assert not got
