@@ -142,17 +142,20 @@ def wavelet_steps(df: DataFrame, key: str, time: str, value: str, fs: int = 10,
 
     Seconds whose range reaches median + k * MAD of the ranges (at most 0.3 of the largest) are active, and the power is
     that of the active seconds joined. A second with a lasting ridge has its frequency in steps. For `cut` see
-    features."""
+    features. No join may be broadcast: the seconds grow with the input, though few bytes of files hold many."""
     bout = cut(even_bout(df, key, time, value, fs).withColumn("second", F.expr(f"k div {fs}")))
     ranges = bout.groupBy(key, "second").agg((F.max("value") - F.min("value")).alias("p2p"), F.min("t").alias("begins"), F.max("t").alias("ends"))
     limit = segments.spread_threshold(ranges, key, "p2p", k, 0.3, fallback)
-    active = ranges.join(limit, key).where("p2p >= threshold").withColumn("place", F.row_number().over(ordered(key, "second")).cast("long") - 1)
-    active = active.withColumn("_n", F.count("*").over(whole(key))).where(F.col("_n") >= least).select(key, "second", "place", "begins", "ends")
+    active = ranges.join(limit.hint("merge"), key).where("p2p >= threshold").withColumn("place", F.row_number().over(ordered(key, "second")).cast("long") - 1)
+    active = active.withColumn("_n", F.count("*").over(whole(key))).where(F.col("_n") >= least).select(key, "second", "place", "begins", "ends", "p2p")
     active = cut(active)
-    power = wavelet_power(bout.join(active.select(key, "second"), [key, "second"]), key, "k", "value", fs)
+    # Their samples: all whose second reaches the smallest range of an active one, so that the bout is joined by its key.
+    w = Window.partitionBy(key, "second")
+    moving = bout.withColumn("_range", F.max("value").over(w) - F.min("value").over(w)).join(active.groupBy(key).agg(F.min("p2p").alias("_least")).hint("merge"), key)
+    power = wavelet_power(moving.where("_range >= _least"), key, "k", "value", fs)
     bins = [int(np.abs(FREQUENCIES - f).argmin()) for f in (low, high)]
     ridge = ridges(power, key, *bins, below, above).withColumnRenamed("second", "place")
-    found = lasting(ridge.join(active, [key, "place"]), key, least, delta).withColumn("hz", F.round(FREQUENCIES[0] + F.col("bin") * 0.05, 9))
+    found = lasting(ridge.join(active.hint("merge"), [key, "place"]), key, least, delta).withColumn("hz", F.round(FREQUENCIES[0] + F.col("bin") * 0.05, 9))
     got = found.groupBy(key).agg(F.min("begins").alias("start"), F.max("ends").alias("end"), F.sum("hz").alias("_s"), F.avg("hz").alias("_m"))
-    out = bout.select(key).distinct().join(got, key, "left")
+    out = bout.select(key).distinct().join(got.hint("merge"), key, "left")
     return out.select(key, "start", "end", (F.col("end") - F.col("start")).alias("duration"), F.coalesce("_s", F.lit(0.0)).alias("step_count"), (F.col("_m") * 60).alias("cadence"))

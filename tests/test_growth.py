@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stridelake.operators import features, pairs, segments, series
+from stridelake.operators import features, pairs, segments, series, wavelets
 from stridelake.sources import cuts, recordings
 from stridelake.sources.cuts import bucketed, dealt
 
@@ -128,6 +128,14 @@ def test_wavelet_bout_is_made_once(spark):
     assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f]
 
 
+def test_wavelet_steps_sends_no_table_whole(spark):
+    """The active seconds were broadcast, in the query and with a bout that is not cut."""
+    df = __spark_entry__.queries()["wavelet_steps"](spark, SMALL)
+    bout = spark.createDataFrame([(1, i / 10, float(i % 5)) for i in range(90)], "rec int, t double, v double")
+    steps = wavelets.wavelet_steps(bout, "rec", "t", "v")
+    assert df.count() and steps.count() == 1 and not [d for d in (df, steps) if "Broadcast" in plan(d)]
+
+
 def test_lab_rises_moves_what_it_reads(spark):
     written, found = tables_of(spark, "lab_rises")
     assert len(written) == found and not {c for t in written for c in t} & {"acc_x", "useracc_x", "useracc_mag", "motion_source"}
