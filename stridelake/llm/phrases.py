@@ -56,7 +56,7 @@ def numbered(data: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     offs = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     listed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offs), pa.py_buffer(data[solid[1:-1]])]).dictionary_encode()
     number = listed.indices.to_numpy().astype(np.int64) + 1
-    before = np.concatenate([[0], np.cumsum(CUTS[data])])[start]  # delimiters before each word
+    before = np.searchsorted(np.flatnonzero(CUTS[data]), start)  # delimiters before each word
     return listed.dictionary.to_pylist(), np.bincount(number, minlength=1)[1:], np.insert(number, np.flatnonzero(np.diff(before) > 0) + 1, 0)
 
 
@@ -162,14 +162,20 @@ def chunks(docs: DataFrame, lang: str = "lang", text: str = "text", size: int =
         return written(rows.mapInArrow(run, CHUNK_DDL), "chunks")
 
 
+def ranges_of(total: int, chunks: int) -> int:
+    """Into how many ranges the cells are dealt: of 2**18 items, or of up to 2**22 where a chunk would add less than 2**12
+    to a range, as each run that a chunk packs for a range costs as much as thousands of items."""
+    return max(1, min(total >> 18, max(total >> 22, total // max(chunks, 1) >> 12), 1 << 24))
+
+
 def with_hot(rows: DataFrame, least: int, items: str, cells: Callable[[Chunk], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
     """The chunks with `hot`, those of their cells whose sums over all chunks reach `least`.
 
     `cells` gives the cells that a chunk adds to, and how much (None: 1); `items` is SQL for a bound of their number. The
     cells are dealt by ranges, of which a task holds one at a time, as sorted runs that a chunk packs for each range; the
-    task that sums a range answers each chunk. Ranges hold 2**18 items, or up to 2**22 where runs would get short."""
+    task that sums a range answers each chunk."""
     total, count = rows.agg(F.coalesce(F.sum(F.expr(items)), F.lit(0)), F.count("*")).first()
-    ranges = U64(max(1, min(total >> 18, max(total >> 22, total // max(count, 1) >> 6), 1 << 24)))
+    ranges = U64(ranges_of(total, count))
 
     def add(c: Chunk):
         cell, n = cells(c)
@@ -233,8 +239,8 @@ def matches(c: Chunk, most: int) -> tuple[list[bytes], list[int]]:
     for i, key in enumerate(candidates):
         automaton.add_word(key, i)
     automaton.make_automaton()
-    found = collections.Counter(map(operator.itemgetter(1), automaton.iter(tuple(c.tokens.tolist()))))
-    return c.words + [b" ".join([c.words[t - 1] for t in key]) for key in candidates], c.counts.tolist() + [found[i] for i in range(len(candidates))]
+    found = np.fromiter(map(operator.itemgetter(1), automaton.iter(tuple(c.tokens.tolist()))), np.int64)
+    return c.words + [b" ".join([c.words[t - 1] for t in key]) for key in candidates], c.counts.tolist() + np.bincount(found, minlength=len(candidates)).tolist()
 
 
 def counted(rows: DataFrame, most: int) -> DataFrame:

@@ -70,3 +70,12 @@ def test_chunks_keep_pieces(spark, size):
     frequent, totals = phrases.frequencies(docs, least=20, size=size)
     assert {(r.phrase, r.f) for r in frequent.collect() if r.m > 1} == {("one two", 600), ("four one", 580), ("four one two", 580)}
     assert totals.first().words == 20 * 121
+
+
+def test_runs_follow_the_input():
+    """Each chunk packs a run for each range; both their numbers grew with the input, so the runs with its square. The
+    figures are those of the longer phrases over 0.5 GB."""
+    runs = [k * 176 * phrases.ranges_of(k * 325_600_000, k * 176) for k in (1, 12, 100)]
+    assert runs[1] <= 3 * 12 * runs[0]
+    assert [k * 325_600_000 // phrases.ranges_of(k * 325_600_000, k * 176) < 2 << 22 for k in (1, 12, 100)] == [True] * 3
+    assert phrases.ranges_of(0, 0) == phrases.ranges_of(1000, 5) == 1
